@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import events, graph, joins, windows, wording
+
+MODULES = (events, joins, windows, wording, graph)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {q.name: q.run for m in MODULES for q in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {q.name: q.oracle for m in MODULES for q in m.QUERIES if q.oracle}
