@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import events, graph, joins, windows, wording
+from ..operators import events, graph, joins, records, windows, wording
 
-MODULES = (events, joins, windows, wording, graph)
+MODULES = (events, joins, windows, wording, records, graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
