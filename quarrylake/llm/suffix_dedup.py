@@ -34,6 +34,8 @@ LENGTH, GRAM = 50, 26
 BATCH, TRANSFORM, CHUNK = 8 << 20, 1 << 20, 48 << 10
 #: Groups of copies that hold 1/HOT_SHARE of the rows are found on the map side.
 HOT_SHARE = 256
+#: Batches of one task at most, on average.
+TASK_BATCHES = 4
 LOWEST = -(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -251,11 +253,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total, rows = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     batches = max(1, -(-total // batch_bytes))
     batch_of = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
-    width = shuffle_width(spark)
+    width = max(shuffle_width(spark), batches // TASK_BATCHES)
     first = facts.groupBy("sha").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).filter("n > 1")
     hot = checkpointed(first.filter(F.col("n") >= F.lit(max(2, -(-rows // HOT_SHARE)))))  # HOT_SHARE of them at most
-    pick = lambda f: facts.join(f, "sha").filter("doc_id > low").select(batch_of.alias("batch"), F.lit(0).alias("kind"), F.col("doc_id").alias("number"), F.col("sha").alias("payload"))
-    copies = checkpointed(pick(F.broadcast(hot)).unionByName(pick(first.join(F.broadcast(hot), "sha", "left_anti"))))
+    later = lambda df: df.filter("doc_id > low").select(batch_of.alias("batch"), F.lit(0).alias("kind"), F.col("doc_id").alias("number"), F.col("sha").alias("payload"))
+    of_hot = later(facts.join(F.broadcast(hot), "sha"))
+    of_rest = later(facts.join(F.broadcast(hot), "sha", "left_anti").join(first.join(F.broadcast(hot), "sha", "left_anti"), "sha"))
+    copies = checkpointed(of_hot.unionByName(of_rest))
     dealt = docs.select(batch_of.alias("batch"), "doc_id", "text").repartition(width, "batch")
 
     def load(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, list[bytes], np.ndarray]:

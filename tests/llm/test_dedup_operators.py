@@ -157,7 +157,9 @@ def test_passages(request, which, batch):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_passages_planted(make):
+@pytest.mark.parametrize("share", [1, 256])
+def test_passages_planted(make, monkeypatch, share):
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", share)
     rng = np.random.default_rng(9)
     words = ["".join(rng.choice(list("abcdeé"), rng.integers(1, 8))) for _ in range(60)]
     passages = [" ".join(rng.choice(words, 40)) for _ in range(12)]
