@@ -93,3 +93,50 @@ def streak(df: DataFrame, key: str, ts: str, tie: str, bad: Column, good: Column
     """Adds ``name``: bad rows since the last good one."""
     islands = running_count(df, key, ts, tie, good, "_island").withColumn("_key", F.struct(key, "_island"))
     return running_count(islands, "_key", ts, tie, bad, name).drop("_key", "_island")
+
+
+def rolling_count(df: DataFrame, key: str, ts: str, tie: str, hours: int, name: str) -> DataFrame:
+    """Adds ``name``: rows of the key in the ``hours`` up to and with each row's time.
+
+    Rows are dealt by key and time bucket of that length; each bucket also gets a copy of the bucket
+    before it, so a window never spans more than two buckets of one key.
+    """
+    width = hours * 3600
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    marked = df.withColumn("_us", at).withColumn("_own", F.floor(at / (width * 1_000_000)))
+    copies = marked.withColumn("_b", F.explode(F.array("_own", F.col("_own") + 1)))
+    inside = Window.partitionBy(key, "_b").orderBy("_us").rangeBetween(-width * 1_000_000, 0)
+    return copies.withColumn(name, F.count("*").over(inside)).filter("_b = _own").drop("_us", "_own", "_b")
+
+
+def consolidate(df: DataFrame, key: str, order: list[str], content: str, authority: str) -> DataFrame:
+    """Adds ``relation`` and ``target``: how each candidate changes the live record of its pool, in order.
+
+    The first is new; equal content is a duplicate; one of at least the live record's authority
+    supersedes it; any other is a conflict, which leaves the live record as it is.  Each step reads what
+    the one before it left, so pools are streamed in order.
+    """
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", relation string, target long"
+    ident = order[-1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool, live = None, None
+        for batch in batches:
+            out = []
+            for k, i, c, a in zip(batch[key].tolist(), batch[ident].tolist(), batch[content].tolist(), batch[authority].tolist(), strict=True):
+                if k != pool:
+                    pool, live = k, None
+                if live is None:
+                    out.append(("new", None))
+                    live = (i, c, a)
+                elif c == live[1]:
+                    out.append(("duplicate", live[0]))
+                elif a >= live[2]:
+                    out.append(("supersede", live[0]))
+                    live = (i, c, a)
+                else:
+                    out.append(("conflict", live[0]))
+            relation, target = zip(*out, strict=True) if out else ((), ())
+            yield batch.assign(relation=list(relation), target=pd.array(list(target), dtype="Int64"))
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

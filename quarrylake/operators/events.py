@@ -6,7 +6,11 @@ turn end, error a failed check), ``lineitem`` for the call log, ``orders`` for q
 
 from __future__ import annotations
 
-from ..plans.query import sql_query
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.query import Query, sql_query, table
+from . import asof
 
 K = "CAST(get_json_object(props, '$.k') AS BIGINT)"
 DUCK_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -16,6 +20,17 @@ def with_k(name: str, text: str, oracle: str | None = None):
     return sql_query(name, text.replace("$K", K), (oracle or text).replace("$K", DUCK_K))
 
 
+#: Events of the same session in the hour up to a row.
+HOUR = "count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW)"
+AG23 = "SELECT event_id, count(CASE WHEN event_type = 'error' THEN 1 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS streak FROM (SELECT *, count(CASE WHEN event_type = 'purchase' THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events)"
+
+
+def ag23_failure_streak(spark: SparkSession, sf: str) -> DataFrame:
+    """Failures of a session since its last pass, at every event."""
+    events = table(spark, sf, "events")
+    return asof.streak(events, "user_id", "ts", "event_id", F.col("event_type") == "error", F.col("event_type") == "purchase", "streak").select("event_id", "streak")
+
+
 QUERIES = [
     with_k("sc02_decode_events", "SELECT event_id, ts, user_id, event_type, $K AS k, event_type = 'purchase' AS candidate FROM {events}"),
     with_k("sc14_invalidate_for_limit", "SELECT doc_id, CASE WHEN n_chars > 4000 THEN '' ELSE sha2(text, 256) END AS hash FROM {documents}", "SELECT doc_id, CASE WHEN n_chars > 4000 THEN '' ELSE sha256(text) END AS hash FROM documents"),
@@ -46,7 +61,7 @@ QUERIES = [
     with_k("ag06_sessions_ended_after", "SELECT user_id, event_type, max(ts) AS ended FROM {events} GROUP BY user_id, event_type HAVING max(ts) > TIMESTAMP '2024-01-15 00:00:00' ORDER BY ended DESC, user_id, event_type LIMIT 200"),
     with_k("ag07_state_histogram", "SELECT count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS open_turns, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS done_turns, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_custkey END) AS done_sessions FROM {orders}"),
     with_k("ag08_usage_summary", "SELECT l_returnflag AS provider, l_linestatus AS model, l_linenumber AS task, count(*) AS calls, sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS ok, round(avg(l_quantity), 4) AS mean_ms, round(sum(l_extendedprice), 2) AS cost FROM {lineitem} GROUP BY l_returnflag, l_linestatus, l_linenumber", "SELECT l_returnflag AS provider, l_linestatus AS model, l_linenumber AS task, count(*) AS calls, CAST(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS ok, round(avg(l_quantity), 4) AS mean_ms, round(sum(l_extendedprice), 2) AS cost FROM lineitem GROUP BY ALL"),
-    with_k("ag09_calls_in_sliding_hour", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS calls FROM {events}"),
+    Query("ag09_calls_in_sliding_hour", lambda s, sf: asof.rolling_count(table(s, sf, "events"), "user_id", "ts", "event_id", 1, "calls").select("event_id", "calls"), f"SELECT event_id, {HOUR} AS calls FROM events"),
     with_k("ag10_injection_summary", "SELECT count(*) AS rows_total, count(CASE WHEN value > 10 THEN 1 END) AS non_empty, round(avg(CASE WHEN value > 10 THEN value END), 6) AS mean_tokens, count(CASE WHEN event_type = 'signup' THEN 1 END) AS handoffs FROM {events}"),
     with_k("ag10_injections_per_item", "SELECT $K AS item, count(*) AS injections FROM {events} GROUP BY $K"),
     with_k("ag11_file_counts", "SELECT count(*) AS files, count(CASE WHEN length(html) > 0 THEN 1 END) AS parsed, count(CASE WHEN length(coalesce(html, '')) = 0 THEN 1 END) AS failed FROM {pages}"),
@@ -60,7 +75,7 @@ QUERIES = [
     with_k("ag20_turn_ordinal", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS ordinal FROM {conversations}"),
     with_k("ag21_group_by_scope", "SELECT scope, count(*) AS rules FROM (SELECT concat_ws('|', array_sort(array_distinct(array(p_brand, p_type)))) AS scope FROM {part}) GROUP BY scope", "SELECT scope, count(*) AS rules FROM (SELECT array_to_string(list_sort(list_distinct([p_brand, p_type])), '|') AS scope FROM part) GROUP BY scope"),
     with_k("ag22_status_groups", "SELECT CASE WHEN o_orderstatus = 'O' THEN 'active' WHEN o_orderstatus = 'P' THEN 'proposed' ELSE 'retired' END AS bucket, count(*) AS rules FROM {orders} GROUP BY 1"),
-    with_k("ag23_failure_streak", "SELECT event_id, count(CASE WHEN event_type = 'error' THEN 1 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS streak FROM (SELECT *, count(CASE WHEN event_type = 'purchase' THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM {events})"),
+    Query("ag23_failure_streak", ag23_failure_streak, AG23),
     with_k("ag24_mean_known_cost", "SELECT l_returnflag, round(avg(CASE WHEN l_tax > 0 THEN l_extendedprice END), 4) AS mean_cost FROM {lineitem} GROUP BY l_returnflag"),
     with_k("ag25_precision_recall", "SELECT round(sum(hit) / greatest(1, sum(picked)), 6) AS precision, round(sum(hit) / greatest(1, sum(relevant)), 6) AS recall FROM (SELECT CASE WHEN d.n_chars > 500 THEN 1 ELSE 0 END AS picked, l.quality AS relevant, CASE WHEN d.n_chars > 500 THEN l.quality ELSE 0 END AS hit FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id)"),
     # queues, counters, logs
@@ -86,6 +101,6 @@ QUERIES = [
     with_k("sm07_session_gap", "SELECT user_id, session_window.start AS started, count(*) AS n FROM {events} GROUP BY user_id, session_window(ts, '6 hours')", "SELECT user_id, min(ts) AS started, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, island"),
     with_k("sm08_cursor_overlap", "SELECT e.event_id FROM {events} e JOIN (SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN ts END) - INTERVAL '6' HOUR AS floor FROM {events} GROUP BY user_id) c ON e.user_id = c.user_id WHERE e.ts >= c.floor"),
     with_k("sm12_batching_policy", "SELECT user_id, day, count(*) AS waiting, count(*) >= 5 OR max(event_type = 'purchase') AS flush FROM (SELECT user_id, CAST(ts AS DATE) AS day, event_type FROM {events}) GROUP BY user_id, day", "SELECT user_id, day, count(*) AS waiting, count(*) >= 5 OR bool_or(event_type = 'purchase') AS flush FROM (SELECT user_id, CAST(ts AS DATE) AS day, event_type FROM events) GROUP BY user_id, day"),
-    with_k("sm13_rate_limit", "SELECT event_id, calls > 2 AS over_budget FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS calls FROM {events})"),
+    Query("sm13_rate_limit", lambda s, sf: asof.rolling_count(table(s, sf, "events"), "user_id", "ts", "event_id", 1, "calls").selectExpr("event_id", "calls > 2 AS over_budget"), f"SELECT event_id, {HOUR} > 2 AS over_budget FROM events"),
     with_k("sm14_retention_classes", "SELECT event_id, CASE WHEN event_type = 'view' THEN ts + INTERVAL '180' DAY ELSE ts + INTERVAL '90' DAY END AS keep_until FROM {events}"),
 ]

@@ -14,11 +14,15 @@ CHAIN = "SELECT o_orderkey AS src, lag(o_orderkey) OVER (PARTITION BY o_custkey
 DUCK_CHAIN = CHAIN.replace("{orders}", "orders")
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Takes the shared folder named in ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarrylake-"))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarrylake-"))
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -143,7 +143,55 @@ PF21 = f"""
     FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 WHERE a.role = 'user'
 """
 
+def er02_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of a customer applied one after another to the live one; the priority is the authority."""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", (6 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("authority"))
+    return asof.consolidate(orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderstatus", "authority").select("o_orderkey", "relation", "target")
+
+
+ER02 = """
+    WITH RECURSIVE r AS (SELECT o_custkey, o_orderkey, o_orderstatus AS c, 6 - CAST(substr(o_orderpriority, 1, 1) AS INT) AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+    f AS (
+        SELECT o_custkey, n, o_orderkey, 'new' AS relation, NULL::BIGINT AS target, o_orderkey AS live, c AS lc, a AS la FROM r WHERE n = 1
+        UNION ALL
+        SELECT r.o_custkey, r.n, r.o_orderkey, CASE WHEN r.c = f.lc THEN 'duplicate' WHEN r.a >= f.la THEN 'supersede' ELSE 'conflict' END, f.live,
+            CASE WHEN r.c <> f.lc AND r.a >= f.la THEN r.o_orderkey ELSE f.live END, CASE WHEN r.c <> f.lc AND r.a >= f.la THEN r.c ELSE f.lc END, CASE WHEN r.c <> f.lc AND r.a >= f.la THEN r.a ELSE f.la END
+        FROM f JOIN r ON r.o_custkey = f.o_custkey AND r.n = f.n + 1)
+    SELECT o_orderkey, relation, target FROM f
+"""
+
+
+def sc07_serialize_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as rule rows, written as file text, and read again: what comes back is what was written."""
+    files = table(spark, sf, "documents").select(F.concat(F.lit("facts/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("value"))
+    parsed = rules.parse_rules(files).filter("error is null")
+    write = F.udf(lambda r: rules.serialize(r.asDict(recursive=True)), "string")
+    again = rules.parse_rules(parsed.select("path", write(F.struct(*parsed.columns)).alias("value")))
+    return again.select("path", "id", "type", F.sha2("summary", 256).alias("summary"))
+
+
+SC07 = r"""
+    SELECT 'facts/' || doc_id || '.md' AS path, 'F' || upper(substr(sha256(doc_id::VARCHAR), 1, 12)) AS id, 'fact' AS type, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS summary
+    FROM documents WHERE length(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 0
+"""
+
+
+def tx24_pending_work(spark: SparkSession, sf: str) -> DataFrame:
+    """The part of each reply from its last sentence on, where that names what is left to do."""
+    replies = table(spark, sf, "conversations").filter("role = 'assistant'")
+    last = F.element_at(T.sentences(F.col("text")), -1)
+    return replies.select("conv_id", "turn", F.length(last).alias("size"))
+
+
+TX24 = r"""
+    SELECT conv_id, turn, length(trim(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?。])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: length(trim(s)) > 0)[-1])) AS size
+    FROM conversations WHERE role = 'assistant'
+"""
+
 QUERIES = [
+    Query("er02_relation_application", er02_relations, ER02),
+    Query("sc07_serialize_rules", sc07_serialize_rules, SC07),
+    Query("tx24_pending_work", tx24_pending_work, TX24),
     Query("sc05_parse_rules", sc05_parse_rules, SC05),
     Query("sc25_diff_hunks", sc25_diff_hunks, SC25),
     Query("sm10_turn_states", sm10_turn_states, SM10),

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import events, graph, joins, records, windows, wording
+from ..streaming import queries as streams
 
-MODULES = (events, joins, windows, wording, records, graph)
+MODULES = (events, joins, windows, wording, records, graph, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -103,3 +103,25 @@ def test_reach_and_heads(spark):
     replaced = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(20, 21)], "src long, dst long")
     heads = graph.live_heads(replaced, spark.createDataFrame([(5,), (9,)], "node long")).collect()
     assert {r["node"]: r["head"] for r in heads} == {k: 5 for k in range(5)} | {k: 9 for k in range(5, 9)}
+
+
+def test_rolling_count_over_bucket_edges(spark):
+    at = seconds(0, 1800, 3599, 3600, 3601, 7199, 7200, 20_000)
+    df = spark.createDataFrame([(1, t, i) for i, t in enumerate(at)] + [(2, at[0], 99)], "k long, ts timestamp, id long")
+    got = {r["id"]: r["n"] for r in asof.rolling_count(df, "k", "ts", "id", 1, "n").collect()}
+    want = {i: sum(0 <= (t - u).total_seconds() <= 3600 for u in at) for i, t in enumerate(at)}
+    assert got == want | {99: 1}
+
+
+def test_consolidate_in_order(spark):
+    rows = [("p", 1, "a", 2), ("p", 2, "a", 1), ("p", 3, "b", 1), ("p", 4, "b", 2), ("p", 5, "b", 0), ("q", 1, "a", 0)]
+    df = spark.createDataFrame(rows, "pool string, id long, said string, power int")
+    got = asof.consolidate(df, "pool", ["id"], "said", "power").orderBy("pool", "id").collect()
+    assert [(r["relation"], r["target"]) for r in got] == [("new", None), ("duplicate", 1), ("conflict", 1), ("supersede", 1), ("duplicate", 4), ("new", None)]
+
+
+def test_resolution_takes_the_first_rule_with_a_target(spark):
+    refs = spark.createDataFrame([(1,), (2,), (3,)], "ref long")
+    found = spark.createDataFrame([(1, 9, 2), (1, 8, 1), (1, 7, 1), (2, 5, 3), *[(2, k, 3) for k in range(10, 20)]], "ref long, target long, priority int")
+    got = graph.resolve_names(refs, found, "ref").collect()
+    assert sorted((r["ref"], r["target"] or 0) for r in got) == [(1, 7), (1, 8), (2, 5), (2, 10), (2, 11), (2, 12), (3, 0)]
