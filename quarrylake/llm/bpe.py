@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_in, id_out
+
 #: Unicode white space as the tokenizer's pattern sees it.
 WHITE = "\\t-\\r" + "".join(map(chr, (0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -258,7 +260,7 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             ids = [np.fromiter(chain.from_iterable(parts), np.int32) for parts in bpe.encode_batch(batch["text"], special)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
+    return id_out(df.select(id_in(id_col), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, ids array<int>"))
 
 
 def decode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -269,7 +271,7 @@ def decode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [bpe.decode(i if i is not None else ()) for i in batch["ids"]]})
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInPandas(run, "doc_id long, text string")
+    return id_out(df.select(id_in(id_col), F.col(ids_col).alias("ids")).mapInPandas(run, "doc_id long, text string"))
 
 
 def token_lengths(df: DataFrame, tokenizer: str, text_col: str = "text", name: str = "n_tokens", keep: Sequence[str] = ()) -> DataFrame:
@@ -306,5 +308,5 @@ def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
             n, a, b = zip(*rows, strict=True)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
 
-    picked = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    picked = df.select(id_in(id_col), F.col(text_col).alias("text"))
+    return id_out(picked.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))

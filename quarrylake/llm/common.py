@@ -14,6 +14,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stands for a null id in Python and in joins; a pandas column of longs with nulls would lose digits.
+NO_ID = -(1 << 63)
+
+
+def id_in(col: str, name: str = "doc_id") -> Column:
+    return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID)).alias(name)
+
+
+def id_out(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    return df.withColumn(name, F.nullif(name, F.lit(NO_ID)))
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z only.  Pure ASCII strings take the JVM's byte-wise ``lower``."""
     plain = F.octet_length(col) == F.length(col)

@@ -11,13 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_width
+from .common import NO_ID, checkpointed, id_in, shuffle_width
 
 #: Rows of one range partition when the order of the ids is worked out.
 RANGE_ROWS = 500_000
 #: Ids that may be broadcast; a larger set is joined by shuffling.
 BROADCAST_IDS = 500_000
-LOWEST = -(1 << 63)
 
 
 def canonical(text: Column) -> Column:
@@ -70,7 +69,7 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Null text counts as empty.  Equal canonical forms have equal fingerprints; forms that collide on
     all 128 bits are told apart by a byte comparison.  An empty table gives no rows.
     """
-    docs = df.select(F.coalesce(F.col(id_col), F.lit(LOWEST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = df.select(id_in(id_col, "key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     h1, h2 = wide_hash(canonical(F.col("text")))
     hashed = checkpointed(docs.select("key", F.lit(0).alias("kind"), h1.alias("h1"), h2.alias("h2")))
     members = checkpointed(bucket_members(hashed))
@@ -78,7 +77,7 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     odd = differing(members.join(texts, "key")).select("key", "own")
     out = hashed.join(odd, "key", "left")
     shown = F.concat(hex128(F.col("h1"), F.col("h2")), F.coalesce(F.concat(F.lit(":"), "own"), F.lit("")))
-    return out.select(F.nullif("key", F.lit(LOWEST)).alias("doc_id"), shown.alias("fingerprint"))
+    return out.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), shown.alias("fingerprint"))
 
 
 def successors(keys: DataFrame, rows: int) -> DataFrame:
@@ -115,7 +114,7 @@ def edit_sensitivity(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     as empty, a null id sorts below all others.  Of rows that repeat an id the least text is used.  A
     single document is its own next one; an empty table gives no rows.
     """
-    docs = df.select(F.coalesce(F.col(id_col), F.lit(LOWEST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = df.select(id_in(id_col, "key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if not docs.groupBy("key").count().filter("count > 1").isEmpty():
         docs = docs.groupBy("key").agg(F.min("text").alias("text"))
     keys = docs.select("key", F.length("text").cast("long").alias("n_chars"))
@@ -141,5 +140,5 @@ def edit_sensitivity(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     after = named.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint"))
     like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
     return named.join(after, "next_key").select(
-        F.nullif("key", F.lit(LOWEST)).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next")
+        F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next")
     )

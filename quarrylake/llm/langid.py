@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import id_in, id_out
+
 #: Longest context in bytes, contexts of the automaton, and how often a context must have been seen.
 ORDER, CONTEXTS, SEEN = 4, 8192, 4
 #: Labelled documents per language that the trees are fitted on, and languages learned at most.
@@ -170,9 +172,9 @@ def identify(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                     pred[i], score[i] = m.languages[b], s
             yield batch.drop(columns="_text").assign(lang_pred=pred, score=score)
 
-    picked = df.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text"))
+    picked = df.select(id_in(id_col), *keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in picked.drop("_text").dtypes) + ", lang_pred string, score double"
-    return picked.mapInPandas(run, schema)
+    return id_out(picked.mapInPandas(run, schema))
 
 
 def fold(id_col: str, folds: int) -> Column:

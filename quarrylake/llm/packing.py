@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_in, id_out
+
 CAPACITY = 2048
 #: Documents of one shard, on average.
 SHARD_ROWS = 4096
@@ -90,7 +92,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", sour
     source = F.col("source") if source is None else source
     cluster = F.lit(None).cast("string") if cluster is None else cluster
     size = F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("long")
-    picked = df.select(F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("doc_id"), size.alias("size"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster"))
+    picked = df.select(id_in(id_col), size.alias("size"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster"))
     shards = max(1, -(-df.count() // shard_rows))
     dealt = picked.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)))
     schema = "doc_id long, piece long, start_token long, n_tokens long, shard long, bin long, bin_offset long"
@@ -102,5 +104,4 @@ def pack(df: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", sour
         out = [(row[0], piece, start, size, number, b, at) for row, pieces in zip(rows, pack_shard(rows, capacity), strict=True) for piece, start, size, b, at in pieces]
         return pd.DataFrame(out, columns=["doc_id", "piece", "start_token", "n_tokens", "shard", "bin", "bin_offset"])
 
-    packed = dealt.groupBy("shard").applyInPandas(run, schema)
-    return packed.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
+    return id_out(dealt.groupBy("shard").applyInPandas(run, schema))

@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_in, id_out
+
 DIMENSIONS, NONZERO, REACH = 64, 4, 2
 WORDS, SEEN = 30_000, 3
 #: Labelled documents that the classifier is fitted on at most.
@@ -173,5 +175,5 @@ def classify(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc
             score = model.value.scores(texts) if model.value else np.full(len(texts), 0.5)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
 
-    picked = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, "doc_id long, score double, predicted int")
+    picked = df.select(id_in(id_col), F.col(text_col).alias("text"))
+    return id_out(picked.mapInPandas(run, "doc_id long, score double, predicted int"))

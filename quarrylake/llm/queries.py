@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_template, doc_fingerprint, exact_dedup, langid, packing, quality, simhash, suffix_dedup, token_scan
-from .common import ascii_lower, read_table
+from .common import ascii_lower, id_in, id_out, read_table
 
 #: End-of-document id of the vocabulary below.
 SEPARATOR = 50_256
@@ -45,8 +45,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_documents(docs: DataFrame) -> DataFrame:
     cluster = F.xxhash64(ascii_lower(F.coalesce("text", F.lit("")))).alias("cluster")
-    sized = bpe.token_lengths(docs.select("doc_id", "source", cluster, "text"), tokenizer_path(), keep=("doc_id", "source", "cluster"))
-    return packing.pack(sized.withColumn("n_tokens", F.col("n_tokens") + 1), cluster=F.col("cluster"))  # one for the separator
+    sized = bpe.token_lengths(docs.select(id_in("doc_id"), "source", cluster, "text"), tokenizer_path(), keep=("doc_id", "source", "cluster"))
+    return id_out(packing.pack(sized.withColumn("n_tokens", F.col("n_tokens") + 1), cluster=F.col("cluster")))  # one for the separator
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

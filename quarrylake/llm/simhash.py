@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, id_in, id_out
 from .components import connected_components
 
 SEED = 42
@@ -58,7 +58,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = np.fromiter((fingerprint(t, width) for t in batch["text"]), np.uint64, len(batch))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)})
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return id_out(df.select(id_in(id_col), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long"))
 
 
 def planes_of(values: np.ndarray) -> list[int]:

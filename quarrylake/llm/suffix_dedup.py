@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_width
+from .common import NO_ID, checkpointed, id_in, id_out, shuffle_width
 
 LENGTH, GRAM = 50, 26
 #: Bytes of text in a batch, of the contexts in one transform, and of a chunk that is hashed at once.
@@ -36,7 +36,6 @@ BATCH, TRANSFORM, CHUNK = 8 << 20, 1 << 20, 48 << 10
 HOT_SHARE = 256
 #: Batches of one task at most, on average.
 TASK_BATCHES = 4
-LOWEST = -(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -240,15 +239,15 @@ def resolve(texts: list[bytes], anchors: np.ndarray, owner: np.ndarray, length:
     return out
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, spans (array of start, end), kept (binary).
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, spans (array of start, end), kept (binary), ``keep`` as strings.
 
     Null text counts as empty.  A null id sorts below every other id; rows with the same id remove
     nothing from each other, and texts shorter than ``length`` bytes lose nothing.  Strings are judged
     on the input and never go over the end of a document.  An empty table gives no rows.
     """
     spark = df.sparkSession
-    docs = df.select(F.coalesce(F.col(id_col), F.lit(LOWEST)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = df.select(id_in(id_col), *[F.col(c).cast("string").alias(f"_{c}") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     facts = checkpointed(docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")))
     total, rows = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     batches = max(1, -(-total // batch_bytes))
@@ -260,7 +259,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of_hot = later(facts.join(F.broadcast(hot), "sha"))
     of_rest = later(facts.join(F.broadcast(hot), "sha", "left_anti").join(first.join(F.broadcast(hot), "sha", "left_anti"), "sha"))
     copies = checkpointed(of_hot.unionByName(of_rest))
-    dealt = docs.select(batch_of.alias("batch"), "doc_id", "text").repartition(width, "batch")
+    dealt = docs.select(batch_of.alias("batch"), *docs.columns).repartition(width, "batch")
 
     def load(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """Ids, texts and which of them are copies; sorted by id."""
@@ -331,7 +330,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     shared[at] = np.unpackbits(np.frombuffer(marks[bucket], np.uint8), count=len(at)) > 0
             at = np.flatnonzero(shared[np.searchsorted(kinds, c.anchor)])
             digests, first, inverse = np.unique(c.digest[at], return_index=True, return_inverse=True)
-            high = np.full(len(digests), LOWEST)
+            high = np.full(len(digests), NO_ID)
             np.maximum.at(high, inverse, ids[c.doc[at]])
             low = ids[c.doc[at[first]]]  # documents are in the order of their ids
             for bucket, pick in by_bucket(c.anchor[at[first]]):
@@ -374,8 +373,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def apply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame([], columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            return pd.DataFrame([], columns=["doc_id", "n_bytes", "n_removed", "spans", "kept", *keep])
         ids, texts, is_copy = load(left, right)
+        left = left.sort_values("doc_id", kind="stable")  # as load() does
         digests, sizes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, n, raw in zip(right["kind"], right["number"], right["payload"], strict=True):
             if k == 2:
@@ -408,7 +408,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             spans = [(0, len(t))] if is_copy[x] and len(t) >= length else removed.get(x, [])
             kept = t if not spans else b"".join([t[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(t)], strict=True)])
             rows.append((int(ids[x]), len(t), len(t) - len(kept), [{"start": a, "end": b} for a, b in spans], kept))
-        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"]).assign(**{c: left[f"_{c}"].to_numpy() for c in keep})
 
     side = "batch long, kind int, number long, payload binary"
     with_copies = lambda more: copies.unionByName(more).repartition(width, "batch").groupBy("batch")
@@ -418,5 +418,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns = "bucket long, batch long, anchors binary, digests binary, low binary, high binary, counts binary, strings binary"
     met = texts.cogroup(with_copies(shared)).applyInPandas(send_contexts, columns)
     answers = met.groupBy("bucket").applyInPandas(answer, side)
-    out = texts.cogroup(with_copies(answers)).applyInPandas(apply, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(LOWEST)))
+    out = texts.cogroup(with_copies(answers)).applyInPandas(apply, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary" + "".join(f", `{c}` string" for c in keep))
+    return id_out(out)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .common import id_in, id_out
 
 #: Bytes of one block.
 BLOCK_BYTES = 1 << 18
@@ -74,7 +75,7 @@ def token_blocks(df: DataFrame, tokenizer: str, separator: int, id_col: str = "d
         if size or ids:
             yield pd.DataFrame({"file": [name], "block_no": [number], "data": [b"".join(held)], "doc_ids": [ids]})
 
-    picked = df.select(F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("doc_id"), F.col(text_col).alias("text"))
+    picked = df.select(id_in(id_col), F.col(text_col).alias("text"))
     return picked.mapInPandas(run, "file string, block_no long, data binary, doc_ids array<long>")
 
 
@@ -142,4 +143,4 @@ def document_token_counts(df: DataFrame, tokenizer: str, separator: int = 50_256
     """
     scanned = scan(token_blocks(df, tokenizer, separator, id_col, text_col, block_bytes), separator, carry=("doc_ids",))
     each = scanned.select("file", "first_ordinal", F.posexplode(F.arrays_zip("doc_ids", "lengths")).alias("pos", "x"))
-    return each.select(F.nullif("x.doc_ids", F.lit(-(1 << 63))).alias("doc_id"), "file", (F.col("first_ordinal") + F.col("pos")).alias("ordinal"), F.col("x.lengths").alias("n_tokens"))
+    return id_out(each.select(F.col("x.doc_ids").alias("doc_id"), "file", (F.col("first_ordinal") + F.col("pos")).alias("ordinal"), F.col("x.lengths").alias("n_tokens")))

@@ -62,3 +62,24 @@ def test_stages_of_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.select(*corpus_pipeline.COLUMNS), str(tmp_path)).count() == 0
+
+
+def test_stages_with_nulls_ties_and_repeated_rows(spark, tmp_path):
+    rows = [
+        (None, "the house and the garden", "en", None, None), (None, None, None, None, None), (1, None, "en", "src0", 0), (2, "", None, "src1", None),
+        (3, "The house and the garden", None, "src1", 7), (3, "The house and the garden", None, "src1", 7), (4, "das Haus und der Garten " * 30, "de", "src1", 9),
+        (1 << 60, "das Haus und der Garten " * 30 + "ist neu", "de", None, None), (5, "w " * 90_000, "en", "src2", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("fp", F.lit(1)).withColumn("kept", F.lit("x"))
+    found = docs
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, found, str(tmp_path))
+        found.write.parquet(str(tmp_path / name))
+        found = spark.read.parquet(str(tmp_path / name))
+        got = sorted((r["doc_id"] for r in found.collect()), key=str)
+        if name == "language_id":
+            assert got == sorted([None, 3, 3, 4, 1 << 60, 5], key=str)
+        elif name == "exact_dedup":
+            assert got == sorted([3, 4, 1 << 60, 5], key=str)
+        else:
+            assert {3, 4, 5} <= set(got) <= {3, 4, 1 << 60, 5}

@@ -34,6 +34,14 @@ def test_bpe_equals_the_library(request, library, which):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
 
 
+def test_large_ids_beside_a_null_one(make):
+    big = (1 << 60) + 1
+    df = make([(None, "a b c"), (big, "a b d")])
+    path = queries.tokenizer_path()
+    for found in (bpe.round_trip(df, path), token_scan.document_token_counts(df, path), langid.identify(df, F.lit(True)), queries.pack_documents(df)):
+        assert {r["doc_id"] for r in found.collect()} == {None, big}
+
+
 def test_bpe_random_texts(library):
     rng = np.random.default_rng(3)
     enc = bpe.encoder(queries.tokenizer_path())
