@@ -38,6 +38,22 @@ def sm05_throttle(spark: SparkSession, sf: str) -> DataFrame:
     return drained(sessions.throttle_stream(log(spark, sf), "user_id", 6 * 3600), "throttle").select("event_id")
 
 
+def sm02_micro_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Good rows and dead letters of every batch, each batch written twice as after a crash; one copy stays."""
+    rows = log(spark, sf).select("event_id", F.when(F.col("value") < 5, "dead").otherwise("done").alias("state"))
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/batches-{uuid.uuid4().hex}"
+    sink = sessions.write_once(f"{folder}/out", lambda batch: batch)
+
+    def crashing(batch: DataFrame, number: int) -> None:
+        sink(batch, number)
+        sink(batch, number)
+
+    stream = rows.writeStream.foreachBatch(crashing).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    stream.start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out").select("event_id", "state")
+
+
 SM05 = """
     WITH RECURSIVE a AS (
         SELECT user_id, min((ts, event_id)) AS x FROM events GROUP BY ALL
@@ -47,6 +63,7 @@ SM05 = """
 """
 
 QUERIES = [
+    Query("sm02_micro_batches", sm02_micro_batches, "SELECT event_id, CASE WHEN value < 5 THEN 'dead' ELSE 'done' END AS state FROM events"),
     Query("sm01_ingest_stream", sm01_ingest, "SELECT event_id, user_id, sha256(props) AS props, event_type = 'purchase' AS candidate FROM events"),
     Query("sm05_throttle_stream", sm05_throttle, SM05),
 ]
