@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Patterns and words that results depend on.
 WORD_RUN = r"[A-Za-z0-9_]+"
 HANGUL_RUN = r"[가-힣]{2,}"
+CASE_BREAKS = (("([a-z0-9])([A-Z])", "$1 $2"), ("([A-Z]+)([A-Z][a-z])", "$1 $2"))
+KEY_TERM = r"[A-Za-z][A-Za-z0-9]*(?:[._+#-][A-Za-z0-9]+)*[+#]*|\d+(?:\.\d+)*"
+PATH_HINT = r"[A-Za-z0-9_@.\-/]*/[A-Za-z0-9_@.\-/]+|[A-Za-z0-9_-]+\.[A-Za-z][A-Za-z0-9_]{0,7}\b"
+SENTENCE_BREAK = r"(?<=[.!?。])\s+|\r?\n+"
+QUOTE_SIGNS = r"[`\"'“”‘’()\[\]{}]"
+POINTS = r"[.,;:!?。、]+"
+NEGATIONS = ("not", "never", "no", "don't", "dont", "without", "avoid", "stop")
+QUESTION_WORDS = ("what", "why", "how", "where", "when", "which", "who", "whose")
+ROLE_TAG = r"\[/?\s*(system|sys|inst|assistant|developer)\s*\]|<\|(im_start|im_end|system|assistant|user|endoftext)\|>"
+ASCII_PER_TOKEN, OTHER_PER_TOKEN = 4, 1.3
+
 #: Tokens of column {c} in DuckDB: word runs, their parts and themselves, of two letters at least.
 DUCK_TOKENS = (
     "list_distinct(list_filter(flatten(list_transform(regexp_extract_all({c}, '[A-Za-z0-9_]+'), "
@@ -23,7 +35,12 @@ def nfkc(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Distinct tokens: ASCII words with their camel-case and underscore parts, and Hangul bigrams."""
     text = nfkc(F.coalesce(text, F.lit("")))
-    spaced = lambda w: F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2"), "_+", " ")
+
+    def spaced(word: Column) -> Column:
+        for pattern, parted in CASE_BREAKS:
+            word = F.regexp_replace(word, pattern, parted)
+        return F.regexp_replace(word, "_+", " ")
+
     words = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(WORD_RUN), F.lit(0)), lambda w: F.concat(F.split(F.lower(spaced(w)), " "), F.array(F.lower(w)))))
     hangul = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(HANGUL_RUN), F.lit(0)), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
     return F.array_distinct(F.concat(F.filter(words, lambda t: F.length(t) >= 2), hangul))
@@ -32,7 +49,7 @@ def tokens(text: Column) -> Column:
 def approx_tokens(text: Column) -> Column:
     """ASCII characters / 4 and others / 1.3, rounded up."""
     other = F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))
-    return F.ceil((F.length(text) - other) / 4 + other / 1.3)
+    return F.ceil((F.length(text) - other) / ASCII_PER_TOKEN + other / OTHER_PER_TOKEN)
 
 
 def collapse(text: Column) -> Column:
@@ -46,27 +63,23 @@ def for_match(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """Wording without punctuation, quotes, backticks or case."""
-    bare = F.regexp_replace(for_match(text), r"[`\"'“”‘’()\[\]{}]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[.,;:!?。、]+", " "), r"\s+", " "))
+    bare = F.regexp_replace(for_match(text), QUOTE_SIGNS, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, POINTS, " "), r"\s+", " "))
 
 
 def key_terms(text: Column) -> Column:
     """Numbers, versions and Latin names, the parts that change what a rule says."""
-    found = F.regexp_extract_all(nfkc(text), F.lit(r"[A-Za-z][A-Za-z0-9]*(?:[._+#-][A-Za-z0-9]+)*[+#]*|\d+(?:\.\d+)*"), F.lit(0))
+    found = F.regexp_extract_all(nfkc(text), F.lit(KEY_TERM), F.lit(0))
     return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
 
 
-#: Fixed words: what negates a rule.
-NEGATIONS = ("not", "never", "no", "don't", "dont", "without", "avoid", "stop")
-
-
 def negated(text: Column) -> Column:
     return F.lower(text).rlike(r"(?<![A-Za-z0-9_])(" + "|".join(NEGATIONS) + r")(?![A-Za-z0-9_])")
 
 
 def sentences(text: Column) -> Column:
     """Sentences on . ! ? 。 and line breaks, collapsed, empty ones dropped."""
-    parts = F.split(text, r"(?<=[.!?。])\s+|\r?\n+")
+    parts = F.split(text, SENTENCE_BREAK)
     return F.filter(F.transform(parts, collapse), lambda s: F.length(s) > 0)
 
 
@@ -86,7 +99,7 @@ def redact(text: Column) -> Column:
 
 
 def path_hints(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_@.\-/]*/[A-Za-z0-9_@.\-/]+|[A-Za-z0-9_-]+\.[A-Za-z][A-Za-z0-9_]{0,7}\b"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(PATH_HINT), F.lit(0))
     bare = F.transform(found, lambda h: F.regexp_replace(h, "^[./]+", ""))
     return F.array_sort(F.array_distinct(F.filter(bare, lambda h: (F.length(h) >= 3) & ~h.rlike(r"^\d+(\.\d+)*$"))))
 
@@ -98,7 +111,7 @@ def prompt_kind(text: Column) -> Column:
 
 def is_question(sentence: Column) -> Column:
     trimmed = F.trim(sentence)
-    return trimmed.rlike(r"[?？]\s*$") | F.lower(trimmed).rlike(r"^(what|why|how|where|when|which|who|whose)(?![a-z0-9_])")
+    return trimmed.rlike(r"[?？]\s*$") | F.lower(trimmed).rlike("^(" + "|".join(QUESTION_WORDS) + ")(?![a-z0-9_])")
 
 
 def names_word(text: Column, word: Column) -> Column:

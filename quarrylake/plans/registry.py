@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import events, graph, joins, records, resolution, windows, wording
+from ..operators import contexts, events, graph, joins, records, resolution, windows, wording
 from ..streaming import queries as streams
 
-MODULES = (events, joins, windows, wording, records, resolution, graph, streams)
+MODULES = (events, joins, windows, wording, records, resolution, contexts, graph, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylake.functions import text as T
-from quarrylake.operators import asof, graph
+from quarrylake.operators import asof, contexts, graph, resolution
 
 
 def seconds(*values):
@@ -125,3 +125,24 @@ def test_resolution_takes_the_first_rule_with_a_target(spark):
     found = spark.createDataFrame([(1, 9, 2), (1, 8, 1), (1, 7, 1), (2, 5, 3), *[(2, k, 3) for k in range(10, 20)]], "ref long, target long, priority int")
     got = graph.resolve_names(refs, found, "ref").collect()
     assert sorted((r["ref"], r["target"] or 0) for r in got) == [(1, 7), (1, 8), (2, 5), (2, 10), (2, 11), (2, 12), (3, 0)]
+
+
+def test_blocks_share_a_shrinking_budget(spark):
+    rows = [("a", 1, 1, 4), ("a", 1, 2, 9), ("a", 1, 3, 2), ("a", 2, 4, 3), ("a", 2, 5, 1), ("b", 1, 6, 8), ("b", 1, 7, 9)]
+    df = spark.createDataFrame(rows, "k string, block int, id int, cost long")
+    got = contexts.pack_blocks(df, "k", "block", ["id"], "cost", 10, 2).orderBy("id").collect()
+    assert [r["taken"] for r in got] == [True, False, True, False, False, True, False]
+
+
+def test_work_state(spark):
+    text = "# branch.oid abcdef1234\0# branch.head main\x001 .M N... 1 1 1 a b src/x y.py\x002 R. N... 1 1 1 a b R100 new.py\0old.py\0? extra.txt\0"
+    assert contexts.work_state(text) == {"branch": "main", "head": "abcdef1", "dirty": ["src/x y.py", "new.py", "extra.txt"]}
+    got = contexts.work_states(spark.createDataFrame([(1, None)], "i int, status string")).first()
+    assert (got["branch"], got["dirty"]) == ("?", [])
+
+
+def test_chase_stops_at_the_first_definition(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(10)], "src long, dst long")
+    node = lambda *v: spark.createDataFrame([(x,) for x in v], "node long")
+    got = resolution.chase(links, node(0, 3, 5), node(2, 4), 4).collect()
+    assert sorted((r["node"], r["target"], r["hops"]) for r in got) == [(0, 2, 2), (3, 4, 1)]
