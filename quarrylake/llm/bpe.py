@@ -73,6 +73,7 @@ class ByteBPE:
         self.decimal = [str(i) for i in range(size)]
         self.cut = self._forced_cuts(token for i, token in enumerate(self.token_bytes) if i not in self.special.values())
         self.memory: dict[bytes, tuple[int, ...]] = {}
+        self.sizes: dict[bytes, int] = {}
 
     @staticmethod
     def _forced_cuts(tokens: Iterable[bytes]) -> np.ndarray:
@@ -129,42 +130,32 @@ class ByteBPE:
             push(i)
         return [i for i in ids if i >= 0]
 
-    def merge_pieces(self, pieces: Sequence[bytes]) -> tuple[list[int], list[int]]:
-        """Flat ids of all pieces and the offset at which each piece starts (one more at the end)."""
-        out: list[list[int] | None] = [None] * len(pieces)
-        short = [k for k, p in enumerate(pieces) if len(p) <= LONG]
-        for k, p in enumerate(pieces):
-            if len(p) > LONG:
-                out[k] = self._merge_long(p)
-        sizes = np.fromiter((len(pieces[k]) for k in short), np.int64, len(short))
-        owner = np.repeat(np.arange(len(short)), sizes)
-        ids = self.byte_ids[np.frombuffer(b"".join([pieces[k] for k in short]), np.uint8)]
-        done_ids, done_owner = [], []
-
-        def ranked(ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
-            rank = np.full(len(ids), self.none, np.int64)
-            if len(ids) > 1:
-                pair = np.flatnonzero(owner[1:] == owner[:-1])
-                rank[pair] = self._ranks(ids[pair], ids[pair + 1])
-            return rank
-
-        rank = ranked(ids, owner)
+    def merge_pieces(self, pieces: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all pieces, and the offset at which each piece starts (one more at the end)."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        done_ids, done_owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in np.flatnonzero(lengths > LONG).tolist():
+            own = np.array(self._merge_long(pieces[k]), np.int64)
+            done_ids.append(own)
+            done_owner.append(np.full(len(own), k))
+        short = lengths <= LONG
+        owner = np.repeat(np.flatnonzero(short), lengths[short])
+        ids = self.byte_ids[np.frombuffer(b"".join(pieces if short.all() else [p for p in pieces if len(p) <= LONG]), np.uint8)]
+        rank = np.full(len(ids), self.none, np.int64)
+        pair = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[pair] = self._ranks(ids[pair], ids[pair + 1])
         while len(ids):
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             best = np.minimum.reduceat((rank << 32) | np.arange(len(ids)), starts)
             over = (best >> 32) == self.none
-            if over.any():
+            best &= 0xFFFFFFFF
+            if over.any():  # these pieces have no merge left
                 gone = np.repeat(over, np.diff(np.r_[starts, len(ids)]))
                 done_ids.append(ids[gone])
                 done_owner.append(owner[gone])
                 stay = ~gone
-                moved = np.cumsum(stay) - 1
-                best = moved[best[~over] & 0xFFFFFFFF]
+                best = (np.cumsum(stay) - 1)[best[~over]]
                 ids, owner, rank = ids[stay], owner[stay], rank[stay]
-            else:
-                best = best & 0xFFFFFFFF
-            if not len(ids):
-                break
             ids[best] = self.merged[rank[best]]
             keep = np.ones(len(ids), bool)
             keep[best + 1] = False
@@ -175,18 +166,11 @@ class ByteBPE:
                 left = left[left + 1 < len(ids)]
                 left = left[owner[left] == owner[left + 1]]
                 rank[left] = self._ranks(ids[left], ids[left + 1])
-        if done_ids:
-            flat, own = np.concatenate(done_ids), np.concatenate(done_owner)
-            order = np.argsort(own, kind="stable")
-            flat = flat[order].tolist()
-            ends = np.cumsum(np.bincount(own, minlength=len(short))).tolist()
-            for k, s, e in zip(short, [0, *ends], ends, strict=False):
-                out[k] = flat[s:e]
-        parts = [x or [] for x in out]
-        offsets = np.r_[0, np.cumsum([len(x) for x in parts])].tolist()
-        return list(chain.from_iterable(parts)), offsets
+        flat, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        return flat[np.argsort(owner, kind="stable")], np.r_[0, np.cumsum(np.bincount(owner, minlength=len(pieces)))]
 
-    def _learn(self, wanted: list[bytes]) -> None:
+    def _merge_fragments(self, wanted: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all fragments, and the offset at which each fragment starts (one more at the end)."""
         pieces, starts = [], [0]
         for fragment in wanted:
             if (word := fragment.decode()).isalpha() or word[0] == " " and word[1:].isalpha():
@@ -195,8 +179,35 @@ class ByteBPE:
                 pieces += [p.encode() for p in PIECES.findall(word)]
             starts.append(len(pieces))
         flat, offsets = self.merge_pieces(pieces)
-        for fragment, s, e in zip(wanted, starts, starts[1:], strict=False):
-            self.memory[fragment] = tuple(flat[offsets[s] : offsets[e]])
+        return flat, offsets[starts]
+
+    def _learn(self, wanted: list[bytes]) -> None:
+        flat, offsets = self._merge_fragments(wanted)
+        flat, offsets = flat.tolist(), offsets.tolist()
+        self.memory.update(zip(wanted, [tuple(flat[s:e]) for s, e in zip(offsets, offsets[1:], strict=False)], strict=True))
+
+    def count_batch(self, texts: Iterable[str | None]) -> Iterator[int]:
+        """The number of tokens of each text, as ordinary text."""
+        held: list[list[bytes]] = []
+        size = 0
+
+        def resolve() -> list[int]:
+            if len(self.sizes) > 2 * REMEMBER:
+                self.sizes.clear()
+            known = self.sizes.get
+            found = [list(map(known, parts)) for parts in held]
+            new = list({p for parts, got in zip(held, found, strict=True) if None in got for p, g in zip(parts, got, strict=True) if g is None})
+            self.sizes.update(zip(new, np.diff(self._merge_fragments(new)[1]).tolist(), strict=True))
+            return [sum(map(known, parts)) if None in got else sum(got) for parts, got in zip(held, found, strict=True)]
+
+        for text in texts:
+            held.append(self.fragments((text or "").encode("utf-8", "replace")))
+            size += len(text or "")
+            if size >= TOGETHER:
+                yield from resolve()
+                held.clear()
+                size = 0
+        yield from resolve()
 
     def _segments(self, text: str, special: bool) -> list[bytes | int]:
         if special and self.special_split and any(t in text for t in self.special):
@@ -280,8 +291,7 @@ def token_lengths(df: DataFrame, tokenizer: str, text_col: str = "text", name: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(tokenizer)
         for batch in batches:
-            sizes = [sum(map(len, parts)) for parts in bpe.encode_batch(batch["_text"], False)]
-            yield batch[list(keep)].assign(**{name: sizes})
+            yield batch[list(keep)].assign(**{name: list(bpe.count_batch(batch["_text"]))})
 
     schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + f", `{name}` long"
     return df.select(*keep, F.col(text_col).alias("_text")).mapInPandas(run, schema)

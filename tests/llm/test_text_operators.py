@@ -50,6 +50,9 @@ def test_bpe_random_texts(library):
         text = "".join(rng.choice(signs, rng.integers(0, 120)))
         ids = library.encode(text, add_special_tokens=False).ids
         assert enc.encode(text) == ids
+        library.encode_special_tokens = True
+        assert list(enc.count_batch([text, None])) == [len(library.encode(text, add_special_tokens=False).ids), 0]
+        library.encode_special_tokens = False
         assert enc.decode(ids[n % 3 :]) == library.decode(ids[n % 3 :], skip_special_tokens=False)
 
 
