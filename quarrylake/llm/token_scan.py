@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import id_in, id_out
+from .common import checkpointed, id_in, id_out
 
 #: Bytes of one block.
 BLOCK_BYTES = 1 << 18
@@ -104,7 +104,7 @@ def scan(blocks: DataFrame, separator: int, width: int = 4, chunk: int = CHUNK,
 
     kept = blocks.select("file", "block_no", "data", *carry)
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.drop("data").dtypes) + ", n long, found long, tail long, head long, inner array<long>"
-    blocks = kept.mapInPandas(summarise, schema).withColumn("chunk", F.floor(F.col("block_no") / chunk))
+    blocks = checkpointed(kept.mapInPandas(summarise, schema).withColumn("chunk", F.floor(F.col("block_no") / chunk)))  # read twice below
     # tail of a run of blocks: tokens after its last separator; a run without separators adds all its tokens
     step = F.struct("block_no", "n", "found", "tail")
     folded = lambda c: F.aggregate(c, F.struct(F.lit(0).cast("long").alias("found"), F.lit(0).cast("long").alias("tail")), lambda a, x: F.struct((a["found"] + x["found"]).alias("found"), (F.when(x["found"] > 0, x["tail"]).otherwise(a["tail"] + x["tail"])).alias("tail")))
