@@ -85,7 +85,7 @@ def ag17_coverage(spark: SparkSession, sf: str) -> DataFrame:
     want = T.postings(asked, "item_id", "text").join(df, "tok", "left").withColumn("w", F.log(1 + F.lit(max(1, docs.count())) / F.coalesce(F.col("df"), F.lit(0.5))))
     total = want.groupBy("item_id").agg(F.sum("w").alias("total"))
     hit = T.postings(docs, "doc_id", "text").join(want.select("item_id", "tok", "w"), "tok").groupBy("item_id", "doc_id").agg(F.sum("w").alias("hit"))
-    return hit.join(F.broadcast(total), "item_id").select("item_id", "doc_id", F.round(F.col("hit") / F.col("total"), 5).alias("coverage")).filter("coverage >= 0.5")
+    return hit.join(total, "item_id").select("item_id", "doc_id", F.round(F.col("hit") / F.col("total"), 5).alias("coverage")).filter("coverage >= 0.5")
 
 
 AG17 = f"""

@@ -135,7 +135,7 @@ def ad05_recall(spark: SparkSession, sf: str) -> DataFrame:
     want = T.postings(table(spark, sf, "benchmark"), "item_id", "text").join(df, "tok", "left").withColumn("w", F.log(1 + F.lit(max(1, pool.count())) / F.coalesce(F.col("df"), F.lit(0.5))))
     total = want.groupBy("item_id").agg(F.sum("w").alias("total"))
     hit = posted.join(want.filter("df is not null").select("item_id", "tok", "w"), "tok").groupBy("item_id", "kind", "id", "part").agg(F.sum("w").alias("hit"))
-    scored = hit.join(F.broadcast(total), "item_id").withColumn("coverage", F.round(F.col("hit") / F.col("total"), 5)).filter("coverage >= 0.3")
+    scored = hit.join(total, "item_id").withColumn("coverage", F.round(F.col("hit") / F.col("total"), 5)).filter("coverage >= 0.3")
     order = Window.partitionBy("item_id").orderBy(F.desc("coverage"), "kind", "id", "part")
     return scored.withColumn("place", F.row_number().over(order)).filter("place <= 5").select("item_id", "kind", "id", "part", "coverage", "place")
 

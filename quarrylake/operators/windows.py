@@ -84,7 +84,7 @@ def so02_recall_rank(spark: SparkSession, sf: str) -> DataFrame:
     weighted = want.join(df, "tok", "left").withColumn("w", F.log(1 + F.lit(n) / F.coalesce(F.col("df"), F.lit(0.5))))
     total = weighted.groupBy("item_id").agg(F.sum("w").alias("total"))
     hits = T.postings(docs, "doc_id", "text").join(weighted.filter("df is not null").select("item_id", "tok", "w"), "tok").groupBy("item_id", "doc_id").agg(F.sum("w").alias("hit"))
-    scored = hits.join(F.broadcast(total), "item_id").withColumn("coverage", F.round(F.col("hit") / F.col("total"), 5))
+    scored = hits.join(total, "item_id").withColumn("coverage", F.round(F.col("hit") / F.col("total"), 5))
     age = F.col("doc_id") % 90
     ranked = scored.filter("coverage >= 0.3").withColumn("score", F.round(F.col("coverage") + 0.1 * F.exp(-age / 30), 5))
     from pyspark.sql import Window

@@ -72,7 +72,7 @@ def ag16_weighted_overlap(spark: SparkSession, sf: str) -> DataFrame:
     qn = want.groupBy("item_id").agg(F.sum("w").alias("qn"))
     inter = posted.join(want, "tok").groupBy("item_id", "doc_id").agg(F.sum("w").alias("inter"))
     score = F.round(F.col("inter") / F.sqrt(F.col("qn") * F.col("dn")), 5)
-    return inter.join(F.broadcast(qn), "item_id").join(dn, "doc_id").select("item_id", "doc_id", score.alias("score")).filter("score >= 0.12")
+    return inter.join(qn, "item_id").join(dn, "doc_id").select("item_id", "doc_id", score.alias("score")).filter("score >= 0.12")
 
 
 AG16 = f"""
