@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out
+from .common import checkpointed, id_in, id_out
 
 CAPACITY = 2048
 #: Documents of one shard, on average.
@@ -92,8 +92,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", sour
     source = F.col("source") if source is None else source
     cluster = F.lit(None).cast("string") if cluster is None else cluster
     size = F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("long")
-    picked = df.select(id_in(id_col), size.alias("size"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster"))
-    shards = max(1, -(-df.count() // shard_rows))
+    # the sizes may be costly to work out, and they are read twice: for the number of shards and for packing
+    picked = checkpointed(df.select(id_in(id_col), size.alias("size"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster")))
+    shards = max(1, -(-picked.count() // shard_rows))
     dealt = picked.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)))
     schema = "doc_id long, piece long, start_token long, n_tokens long, shard long, bin long, bin_offset long"
 
