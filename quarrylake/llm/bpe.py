@@ -26,8 +26,8 @@ from .common import id_in, id_out
 #: Unicode white space as the tokenizer's pattern sees it.
 WHITE = "\\t-\\r" + "".join(map(chr, (0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Fragments that are remembered; beyond that the memory starts anew.
-REMEMBER = 400_000
+#: Fragments that are remembered; beyond that, and at the end of a task, the memory starts anew.
+REMEMBER = 200_000
 #: Bytes of text whose fragments are encoded together.
 TOGETHER = 1 << 21
 #: Pieces above this many bytes are merged with a heap instead of in numpy rounds.
@@ -192,7 +192,7 @@ class ByteBPE:
         size = 0
 
         def resolve() -> list[int]:
-            if len(self.sizes) > 2 * REMEMBER:
+            if len(self.sizes) > REMEMBER:
                 self.sizes.clear()
             known = self.sizes.get
             found = [list(map(known, parts)) for parts in held]
@@ -209,6 +209,11 @@ class ByteBPE:
                 size = 0
         yield from resolve()
 
+    def forget(self) -> None:
+        """Gives the memory back: Python workers live on after a task and may next run something else."""
+        self.memory.clear()
+        self.sizes.clear()
+
     def _segments(self, text: str, special: bool) -> list[bytes | int]:
         if special and self.special_split and any(t in text for t in self.special):
             return [self.special[s] if s in self.special else s.encode() for s in self.special_split.split(text) if s]
@@ -270,6 +275,7 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         for batch in batches:
             ids = [np.fromiter(chain.from_iterable(parts), np.int32) for parts in bpe.encode_batch(batch["text"], special)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
+        bpe.forget()
 
     return id_out(df.select(id_in(id_col), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, ids array<int>"))
 
@@ -292,6 +298,7 @@ def token_lengths(df: DataFrame, tokenizer: str, text_col: str = "text", name: s
         bpe = encoder(tokenizer)
         for batch in batches:
             yield batch[list(keep)].assign(**{name: list(bpe.count_batch(batch["_text"]))})
+        bpe.forget()
 
     schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + f", `{name}` long"
     return df.select(*keep, F.col(text_col).alias("_text")).mapInPandas(run, schema)
@@ -317,6 +324,7 @@ def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                 continue
             n, a, b = zip(*rows, strict=True)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
+        bpe.forget()
 
     picked = df.select(id_in(id_col), F.col(text_col).alias("text"))
     return id_out(picked.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))

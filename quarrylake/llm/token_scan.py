@@ -72,6 +72,7 @@ def token_blocks(df: DataFrame, tokenizer: str, separator: int, id_col: str = "d
                     held, size = [rest], len(rest)
                 if rest is None or rest:
                     ids.append(doc)
+        bpe.forget()
         if size or ids:
             yield pd.DataFrame({"file": [name], "block_no": [number], "data": [b"".join(held)], "doc_ids": [ids]})
 
