@@ -151,19 +151,23 @@ def _whole_groups(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.Da
         yield pd.concat(held, ignore_index=True)
 
 
+def dealt(keyed: DataFrame, item: str, block: int) -> DataFrame:
+    """(key, part, item): a bucket of more than ``block`` rows is cut so that every pair of its chunks is one part."""
+    large = keyed.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / (block // 2)).cast("int").alias("chunks"))
+    large = checkpointed(large)
+    if large.isEmpty():
+        return keyed.select("key", F.lit(0).alias("part"), item)
+    # a large bucket: every pair of its chunks is one block
+    chunk = F.pmod(F.xxhash64(item), F.col("chunks")).cast("int")
+    mates = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(j, chunk) * F.col("chunks") + F.greatest(j, chunk))
+    return keyed.join(large, "key", "left").select("key", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(mates)).alias("part"), item)
+
+
 def link_edges(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(src, dst) edges over distinct fingerprints (column fp) whose components are those of all links."""
     blocks = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
     keys = [F.lit(t << 32).bitwiseOR(F.shiftleft(blocks[a], 16)).bitwiseOR(blocks[b]) for t, (a, b) in enumerate(combinations(range(4), 2))]
     keyed = checkpointed(distinct.select("fp", F.explode(F.array(*keys)).alias("key")))
-    large = keyed.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / (block // 2)).cast("int").alias("chunks"))
-    large = checkpointed(large)
-    if large.isEmpty():
-        dealt = keyed.select("key", F.lit(0).alias("part"), "fp")
-    else:  # a large bucket: every pair of its chunks is one block
-        chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-        mates = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(j, chunk) * F.col("chunks") + F.greatest(j, chunk))
-        dealt = keyed.join(large, "key", "left").select("key", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(mates)).alias("part"), "fp")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _whole_groups(batches, block):
@@ -182,7 +186,7 @@ def link_edges(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
                     if len(member):
                         yield pd.DataFrame({"src": member.view(np.int64), "dst": root.view(np.int64)})
 
-    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInPandas(compare, "src long, dst long")
+    return dealt(keyed, "fp", block).repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInPandas(compare, "src long, dst long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS, hot_share: int = 64) -> DataFrame:
