@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.screening import redact_secrets
 from ..plans.query import Query, sql_query, table
 from ..sources import code, rules
 from . import asof
@@ -201,7 +202,7 @@ QUERIES = [
     Query("er04_candidates", er04_candidates, ER04),
     Query("tx11_unsupported_terms", tx11_unsupported_terms, TX11),
     Query("pf21_continues_session", pf21_continues, PF21),
-    Query("sc01_append_redacted", lambda s, sf: table(s, sf, "documents").select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("stored")), f"SELECT doc_id, sha256({REDACTED}) AS stored FROM documents"),
+    Query("sc01_append_redacted", lambda s, sf: table(s, sf, "documents").select("doc_id", F.sha2(redact_secrets(F.col("text")), 256).alias("stored")), f"SELECT doc_id, sha256({REDACTED}) AS stored FROM documents"),
     sql_query("sc09_file_listing", r"SELECT page_id, url FROM {pages} WHERE NOT (url RLIKE '/(node_modules|dist|build)/') AND NOT (url RLIKE '[?&]ref=')", r"SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '/(node_modules|dist|build)/') AND NOT regexp_matches(url, '[?&]ref=')"),
     sql_query("sc10_wanted_files", r"SELECT p.page_id, m.language FROM (SELECT page_id, url, regexp_extract(url, 'example[.][a-z]+/([a-z]+)/', 1) AS ext FROM {pages}) p JOIN (SELECT * FROM VALUES ('en', 'english'), ('de', 'german'), ('fr', 'french') AS m(ext, language)) m ON p.ext = m.ext WHERE NOT startswith(p.url, 'https://m.')", r"SELECT p.page_id, m.language FROM (SELECT page_id, url, regexp_extract(url, 'example[.][a-z]+/([a-z]+)/', 1) AS ext FROM pages) p JOIN (VALUES ('en', 'english'), ('de', 'german'), ('fr', 'french')) m(ext, language) ON p.ext = m.ext WHERE NOT starts_with(p.url, 'https://m.')"),
     sql_query("sc15_stable_ids", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS local_id FROM {part}"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.screening import redact_secrets
 from ..plans.query import Query, sql_query, table
 
 D = T.DUCK_TOKENS.format(c="text")
@@ -94,7 +95,7 @@ QUERIES = [
     per_row("tx04_token_estimate", "documents", "doc_id", {"n": T.approx_tokens}, r"SELECT doc_id, ceil((length(text) - length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))) / 4 + length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) / 1.3)::BIGINT AS n FROM documents"),
     per_row("tx05_truncate_slug", "documents", "doc_id", {"short": lambda t: T.truncate(F.regexp_replace(t, r"\s+", " "), 30), "slug": T.slug}, r"SELECT doc_id, CASE WHEN length(regexp_replace(text, '\s+', ' ', 'g')) > 30 THEN substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 29) || '…' ELSE regexp_replace(text, '\s+', ' ', 'g') END AS short, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', ''), ''), 'item') AS slug FROM documents"),
     per_row("tx05_sentences", "documents", "doc_id", {"n": lambda t: F.size(T.sentences(t))}, r"SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?。])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: length(trim(s)) > 0)) AS n FROM documents"),
-    per_row("tx06_redact_assignments", "documents", "doc_id", {"digest": lambda t: F.sha2(T.redact(t), 256), "found": lambda t: T.redact(t) != t}, f"SELECT doc_id, sha256({REDACTED}) AS digest, {REDACTED} <> text AS found FROM documents"),
+    per_row("tx06_redact_assignments", "documents", "doc_id", {"digest": lambda t: F.sha2(redact_secrets(t), 256), "found": lambda t: redact_secrets(t) != t}, f"SELECT doc_id, sha256({REDACTED}) AS digest, {REDACTED} <> text AS found FROM documents"),
     per_row("tx07_strip_invisible", "documents", "doc_id", {"digest": lambda t: F.sha2(F.regexp_replace(t, r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}]", ""), 256)}, r"SELECT doc_id, sha256(regexp_replace(text, '[\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g')) AS digest FROM documents"),
     per_row("tx09_canonical", "documents", "doc_id", {"digest": lambda t: F.sha2(T.canonical(t), 256), "negated": T.negated}, f"SELECT doc_id, sha256({CANON}) AS digest, regexp_matches(lower(text), '(^|[^a-z0-9_])(not|never|no|don''t|dont|without|avoid|stop)([^a-z0-9_]|$)') AS negated FROM documents"),
     per_row("tx09_key_terms", "documents", "doc_id", {"n": lambda t: F.size(T.key_terms(t))}, r"SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]*(?:[._+#-][A-Za-z0-9]+)*[+#]*|\d+(?:\.\d+)*'), lambda x: lower(x)))) AS n FROM documents"),
