@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.screening import redact_secrets
+from ..functions.screening import injected, redact_secrets
 from ..plans.query import Query, sql_query, table
 
 D = T.DUCK_TOKENS.format(c="text")
@@ -114,7 +114,7 @@ QUERIES = [
     per_row("pf19_topic_named", "documents", "doc_id", {"named": lambda t: T.names_word(t, F.lit("the"))}, "SELECT doc_id, contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' the ') AS named FROM documents"),
     per_row("pf20_signature_named", "documents", "doc_id", {"named": lambda t: t.rlike(r"(?<![A-Za-z0-9_])token(?![A-Za-z0-9_])")}, "SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9_])token([^A-Za-z0-9_]|$)') AS named FROM documents"),
     per_row("pf22_evidence_quote", "documents", "doc_id", {"quoted": lambda t: F.contains(T.for_match(t), F.lit("the "))}, r"SELECT doc_id, contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'the ') AS quoted FROM documents"),
-    per_row("pf23_injection_guard", "documents", "doc_id", {"held": lambda t: F.lower(t).rlike(T.ROLE_TAG)}, f"SELECT doc_id, regexp_matches(lower(text), '{T.ROLE_TAG}') AS held FROM documents"),
+    per_row("pf23_injection_guard", "documents", "doc_id", {"held": injected}, f"SELECT doc_id, regexp_matches(lower(text), '{T.ROLE_TAG}') AS held FROM documents"),
     sql_query("pf24_scope_equality", "SELECT p_partkey, array_sort(array_distinct(split(p_name, ' '))) = array_sort(array_distinct(split(concat(p_name, ' ', p_name), ' '))) AS same FROM {part}", "SELECT p_partkey, list_sort(list_distinct(string_split(p_name, ' '))) = list_sort(list_distinct(string_split(concat(p_name, ' ', p_name), ' '))) AS same FROM part"),
     sql_query("pf12_glob", r"SELECT page_id, url RLIKE '^https?://[^/]*[.](com|org)/en/[^/]*$' AS matched FROM {pages}", r"SELECT page_id, regexp_matches(url, '^https?://[^/]*[.](com|org)/en/[^/]*$') AS matched FROM pages"),
     sql_query("pf13_path_filter", "SELECT page_id, url = 'http://x' OR startswith(url, 'https://m.') OR contains(url, '/fr/') AS matched FROM {pages}", "SELECT page_id, url = 'http://x' OR starts_with(url, 'https://m.') OR contains(url, '/fr/') AS matched FROM pages"),
