@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import string
 import tempfile
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +39,36 @@ def ascii_lower(col: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Takes the shared folder named in ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
+    """Takes the shared folder named in ``spark.checkpoint.dir``; a folder of its own only where that is unset and the master is local."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + quote(tempfile.mkdtemp(prefix="quarrylake-")))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.split("[")[0] == "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(shared or "file://" + quote(tempfile.mkdtemp(prefix="quarrylake-")))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on after a task and wait beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def thrifty(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function for mapInPandas that gives its memory back at the end of each task."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

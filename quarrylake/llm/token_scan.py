@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import checkpointed, id_in, id_out
+from .common import checkpointed, id_in, id_out, thrifty
 
 #: Bytes of one block.
 BLOCK_BYTES = 1 << 18
@@ -36,7 +36,7 @@ def read_token_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BY
                 for k, s in enumerate(range(0, len(content), block_bytes)):
                     yield pd.DataFrame({"file": [name], "block_no": [k], "data": [content[s : s + block_bytes]]})
 
-    return whole.select("path", "content").mapInPandas(cut, "file string, block_no long, data binary")
+    return whole.select("path", "content").mapInPandas(thrifty(cut), "file string, block_no long, data binary")
 
 
 def token_blocks(df: DataFrame, tokenizer: str, separator: int, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, width: int = 4) -> DataFrame:
@@ -77,7 +77,7 @@ def token_blocks(df: DataFrame, tokenizer: str, separator: int, id_col: str = "d
             yield pd.DataFrame({"file": [name], "block_no": [number], "data": [b"".join(held)], "doc_ids": [ids]})
 
     picked = df.select(id_in(id_col), F.col(text_col).alias("text"))
-    return picked.mapInPandas(run, "file string, block_no long, data binary, doc_ids array<long>")
+    return picked.mapInPandas(thrifty(run), "file string, block_no long, data binary, doc_ids array<long>")
 
 
 def separators(data: bytes, separator: int, width: int = 4) -> np.ndarray:
@@ -105,7 +105,7 @@ def scan(blocks: DataFrame, separator: int, width: int = 4, chunk: int = CHUNK,
 
     kept = blocks.select("file", "block_no", "data", *carry)
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.drop("data").dtypes) + ", n long, found long, tail long, head long, inner array<long>"
-    blocks = checkpointed(kept.mapInPandas(summarise, schema).withColumn("chunk", F.floor(F.col("block_no") / chunk)))  # read twice below
+    blocks = checkpointed(kept.mapInPandas(thrifty(summarise), schema).withColumn("chunk", F.floor(F.col("block_no") / chunk)))  # read twice below
     # tail of a run of blocks: tokens after its last separator; a run without separators adds all its tokens
     step = F.struct("block_no", "n", "found", "tail")
     folded = lambda c: F.aggregate(c, F.struct(F.lit(0).cast("long").alias("found"), F.lit(0).cast("long").alias("tail")), lambda a, x: F.struct((a["found"] + x["found"]).alias("found"), (F.when(x["found"] > 0, x["tail"]).otherwise(a["tail"] + x["tail"])).alias("tail")))
