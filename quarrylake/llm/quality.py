@@ -16,15 +16,15 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out
+from .common import id_in, id_out, thrifty
 
 DIMENSIONS, NONZERO, REACH = 64, 4, 2
 WORDS, SEEN = 30_000, 3
-#: Labelled documents that the classifier is fitted on at most.
-SAMPLE = 6000
+#: Labelled documents that the classifier is fitted on at most, and bytes of each and of all together.
+SAMPLE, LONGEST, SAMPLE_BYTES = 6000, 1 << 18, 32 << 20
 HIDDEN, EPOCHS, RATE = 32, 60, 3e-3
 THRESHOLD = 0.3
 _LETTERS = regex.compile(r"\p{Ll}+")
@@ -152,11 +152,13 @@ def fit(texts: list[str], labels: list[int]) -> QualityModel | None:
 
 
 def training_sample(df: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[list[str], list[int]]:
-    """At most ``sample`` labelled texts, chosen by a hash of the id."""
+    """At most ``sample`` labelled texts and SAMPLE_BYTES of them, chosen by a hash of the id; none longer than LONGEST."""
     known = labels.filter(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
     chosen = known.groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(sample)
     texts = df.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = texts.join(F.broadcast(chosen), "i").orderBy(F.xxhash64("i"), "i", "t").limit(sample).collect()
+    order = (F.xxhash64("i"), "i", "t")
+    few = texts.filter(F.octet_length("t") <= LONGEST).join(F.broadcast(chosen), "i").orderBy(*order).limit(sample)
+    rows = few.withColumn("bytes", F.sum(F.octet_length("t").cast("long")).over(Window.orderBy(*order))).filter(F.col("bytes") <= SAMPLE_BYTES).collect()
     return [r["t"] for r in rows], [r["y"] for r in rows]
 
 
@@ -176,4 +178,4 @@ def classify(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
 
     picked = df.select(id_in(id_col), F.col(text_col).alias("text"))
-    return id_out(picked.mapInPandas(run, "doc_id long, score double, predicted int"))
+    return id_out(picked.mapInPandas(thrifty(run), "doc_id long, score double, predicted int"))

@@ -1,7 +1,9 @@
 """Tokenising, counting, formatting, language, quality."""
 
 import hashlib
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -132,18 +134,63 @@ def test_conversations(spark):
     assert len(texts[1]) == got[1]["formatted_chars"]
 
 
-def test_ppm_code_lengths_are_those_of_a_plain_walk():
-    model = langid.fit({"x": ["abracadabra abra " * 40], "y": ["hello world, hello there " * 40]}, order=3, contexts=500)
-    texts = [b"abra world", b"", b"hello " * 300, bytes(range(256))]
-    got = model.code_lengths(texts)
-    for k, text in enumerate(texts):
-        state, want = 0, np.zeros(2)
-        for b in text:
-            want += model.bits[state * 256 + b]
-            state = model.following[state * 256 + b]
-        assert np.allclose(got[k], want)
-    sums = np.exp2(-model.bits.reshape(-1, 256, 2).astype(float)).sum(axis=1)
-    assert sums.max() <= 1 + 1e-4  # a code: no state gives out more than one
+def plain_ppm(samples, order, contexts, seen):
+    """Code lengths by the definition: counts of all strings, escapes by method C, the longest context of the chosen set."""
+    langs = sorted(samples)
+    counts = {lang: [Counter(b[i : i + k + 1] for t in samples[lang] for b in [t.encode()] for i in range(len(b) - k)) for k in range(order + 1)] for lang in langs}
+    totals = Counter()
+    for lang in langs:
+        for level in counts[lang][1:]:
+            for gram, n in level.items():
+                totals[gram[:-1]] += n
+    chosen = {b""}
+    for context, n in sorted(totals.items(), key=lambda x: (-x[1], len(x[0]), x[0])):
+        if len(chosen) >= contexts or n < seen:
+            break
+        if context[1:] in chosen and context[:-1] in chosen:
+            chosen.add(context)
+
+    def chance(lang, context, byte):
+        after = {g[-1]: n for g, n in counts[lang][len(context)].items() if g[:-1] == context}
+        total, kinds = sum(after.values()), len(after)
+        if byte in after:
+            return after[byte] / (total + kinds)
+        return (kinds / (total + kinds) if total else 1.0) * (chance(lang, context[1:], byte) if context else 1 / 256)
+
+    def lengths(text):
+        out = np.zeros(len(langs))
+        for i in range(len(text)):
+            context = next(text[j:i] for j in range(max(0, i - order), i + 1) if text[j:i] in chosen)
+            out += [-np.log2(chance(lang, context, text[i])) for lang in langs]
+        return out
+
+    return lengths
+
+
+@pytest.mark.parametrize(("order", "contexts", "seen"), [(3, 500, 1), (4, 30, 2), (2, 8, 1)])
+def test_ppm_equals_brute_force(order, contexts, seen):
+    samples = {"x": ["abracadabra abra ", "abra kadabra é"], "y": ["hello world, hello there", "yes", ""], "z": ["日本語 abra"]}
+    model, plain = langid.fit(samples, order, contexts, seen), plain_ppm(samples, order, contexts, seen)
+    texts = [b"abra world", b"", b"hello " * 120 + b"zz", bytes(range(60)), "日本 é".encode()]
+    for text, got in zip(texts, model.code_lengths(texts), strict=True):
+        assert np.allclose(got, plain(text), rtol=1e-5)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i * 100 + k, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 20, f"l{i:02d}") for i in range(80) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, F.lit(True)).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+
+
+def test_language_sample_of_repeated_ids_and_clashing_columns(spark):
+    long = "der hund und die katze " * 40_000
+    rows = [(None, "the cat and the dog", "en", "x")] * 900 + [(1, long, "de", "y"), (2, "der hund und die katze", "de", "z")] + [(3, "the dog", None, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text string").withColumn("score", F.lit("clash"))
+    sample = langid.training_sample(df, F.lit(True), "doc_id", "text", "lang", 400)
+    assert {k: len(v) for k, v in sample.items()} == {"en": 400, "de": 2}
+    found = langid.identify(df.drop("_text"), F.lit(True)).collect()
+    assert len(found) == len(rows) and {r["lang_pred"] for r in found if r["doc_id"] in (1, 2)} == {"de"}
 
 
 def test_language_accuracy_on_held_out_rows(spark):
@@ -156,6 +203,29 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.97
 
 
+def plain_network(model, text):
+    """The classifier's score step by step, word by word."""
+    ids = [model.vocabulary.get(w, model.vocabulary.get(quality.shape(w), 0)) for w in text.split()]
+    mean = sum((model.vectors[i].astype(float) for i in ids), np.zeros(model.vectors.shape[1])) / max(1, len(ids))
+    half = len(mean) // 2
+    again = sum(a == b for a, b in zip(ids, ids[1:])) / (len(ids) - 1) if len(ids) > 1 else 0.0
+    x = [*mean, math.log1p(len(ids)), math.log(1e-3 + math.dist(mean[:half], [0] * half)), math.log(1e-3 + math.dist(mean[half:], [0] * half)), len(set(ids)) / max(1, len(ids)), again]
+    w1, b1, w2, b2 = model.layers
+    x = [(v - m) / s for v, m, s in zip(x, model.mean, model.spread)]
+    hidden = [math.tanh(sum(v * w1[i][h] for i, v in enumerate(x)) + b1[h]) for h in range(len(b1))]
+    return 1 / (1 + math.exp(-max(-35, min(35, (sum(v * w for v, w in zip(hidden, w2)) + b2) / model.temperature))))
+
+
+def test_network_equals_brute_force():
+    rng = np.random.default_rng(3)
+    good, bad = ["alpha", "beta", "gamma", "delta"], ["ZZZ", "$$$", "111", "buy"]
+    texts = [" ".join(rng.choice(good if k % 2 else bad, 30)) for k in range(120)]
+    model = quality.fit(texts, [k % 2 for k in range(120)])
+    asked = ["alpha beta beta Newword 42", "", "buy buy buy", "delta " * 40_000, "§"]
+    assert np.allclose(model.scores(asked), [plain_network(model, t) for t in asked], atol=1e-6)
+    assert model.scores(texts)[1] > 0.5 > model.scores(texts)[0]
+
+
 def test_language_edge_cases(make):
     rows = [(0, "the cat sat on the mat " * 9), (1, "der hund und die katze " * 9), (2, None), (3, "123 !?"), (None, "the the"), (4, "der und die"), (4, "der und die"), (5, "")]
     df = make(rows, ["en", "de", "en", "de", None, None, None, None])
