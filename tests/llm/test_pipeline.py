@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quarrylake.llm import queries
 
-from .test_dedup_operators import LOW, plain_components, plain_fingerprint
+from .test_dedup_operators import LOW
+from .test_near_copies import plain_groups
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
@@ -27,7 +28,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         key = t.translate(LOW)
         last[key] = max(i, last.get(key, i))
     rows = [(i, t) for i, t in rows if last[t.translate(LOW)] == i]
-    roots = plain_components([plain_fingerprint(t) for _, t in rows])
+    roots = plain_groups(rows)  # five-word shingles, similarity 0.8
     least = defaultdict(list)
     for (i, _), r in zip(rows, roots, strict=True):
         least[r].append(i)
