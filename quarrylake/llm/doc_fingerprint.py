@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import NO_ID, checkpointed, id_in, shuffle_width
 
@@ -63,13 +64,31 @@ def bucket_members(hashed: DataFrame, per_salt: int = 2000) -> DataFrame:
     return pick(F.broadcast(large) if total // (per_salt * 50) < BROADCAST_IDS else large).unionByName(pick(small))
 
 
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, text): rows with a key of their own.
+
+    The key is the id, null as NO_ID.  Where an id comes more than once, keys are (id, hash of the text, row
+    number), so rows with one id are in the order of that hash; equal rows are in any order.
+    """
+    docs = df.select(id_in(id_col, "key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if docs.groupBy("key").count().filter("count > 1").isEmpty():
+        return docs
+    row = F.monotonically_increasing_id()  # of a stored table: it stays as it is
+    return checkpointed(docs.select(F.struct(F.col("key").alias("id"), F.xxhash64("text").alias("text"), row.alias("row")).alias("key"), "text"))
+
+
+def shown_id(docs: DataFrame, key: str = "key") -> Column:
+    field = f"{key}.id" if isinstance(docs.schema[key].dataType, StructType) else key
+    return F.nullif(field, F.lit(NO_ID)).alias("doc_id")
+
+
 def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) for every row; ids are unique.
+    """(doc_id, fingerprint) for every row; ids may repeat.
 
     Null text counts as empty.  Equal canonical forms have equal fingerprints; forms that collide on
     all 128 bits are told apart by a byte comparison.  An empty table gives no rows.
     """
-    docs = df.select(id_in(id_col, "key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = keyed(df, id_col, text_col)
     h1, h2 = wide_hash(canonical(F.col("text")))
     hashed = checkpointed(docs.select("key", F.lit(0).alias("kind"), h1.alias("h1"), h2.alias("h2")))
     members = checkpointed(bucket_members(hashed))
@@ -77,7 +96,7 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     odd = differing(members.join(texts, "key")).select("key", "own")
     out = hashed.join(odd, "key", "left")
     shown = F.concat(hex128(F.col("h1"), F.col("h2")), F.coalesce(F.concat(F.lit(":"), "own"), F.lit("")))
-    return out.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), shown.alias("fingerprint"))
+    return out.select(shown_id(out), shown.alias("fingerprint"))
 
 
 def successors(keys: DataFrame, rows: int) -> DataFrame:
@@ -109,14 +128,13 @@ def edited_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def edit_sensitivity(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of texts and of their edited forms, and whether they agree.
 
-    One row per id: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    One row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next.  An exact fingerprint's likeness is 1 where two are equal and else 0.  Null text counts
-    as empty, a null id sorts below all others.  Of rows that repeat an id the least text is used.  A
-    single document is its own next one; an empty table gives no rows.
+    as empty, a null id sorts below all others.  Rows that share an id are documents of their own, in
+    descending order of a hash of their texts.  A single document is its own next one; an empty table
+    gives no rows.
     """
-    docs = df.select(id_in(id_col, "key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if not docs.groupBy("key").count().filter("count > 1").isEmpty():
-        docs = docs.groupBy("key").agg(F.min("text").alias("text"))
+    docs = keyed(df, id_col, text_col)
     keys = docs.select("key", F.length("text").cast("long").alias("n_chars"))
     pairs = checkpointed(successors(keys, keys.count()))
 
@@ -140,5 +158,5 @@ def edit_sensitivity(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     after = named.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("next_fingerprint"))
     like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
     return named.join(after, "next_key").select(
-        F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next")
+        shown_id(named), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next")
     )

@@ -243,7 +243,17 @@ def test_fingerprints_of_odd_tables(make):
     one = doc_fingerprint.edit_sensitivity(make([(3, "abcdef")])).first()
     assert one["edited_sha256"] == sha("abcdab") and one["near_next"] == 1.0
     twice = doc_fingerprint.edit_sensitivity(make([(3, "b"), (3, "a"), (2, "c")])).collect()
-    assert sorted(r["doc_id"] for r in twice) == [2, 3]
+    assert sorted((r["doc_id"], r["n_chars"]) for r in twice) == [(2, 1), (3, 1), (3, 1)] and len({r["fingerprint"] for r in twice}) == 3
+
+
+def test_every_row_of_a_repeated_id_has_a_fingerprint(make):
+    texts = ["Straße  und Weg", "strasse UND weg", "etwas ganz anderes", "etwas ganz anderes", ""]
+    rows = [(None, t) for t in texts] + [(7, t) for t in texts] + [(9, "neun")]
+    names = {t: plain_canonical(t) for _, t in rows}
+    for found, column in ((doc_fingerprint.edit_sensitivity(make(rows)), "n_chars"), (doc_fingerprint.fingerprint(make(rows)), "doc_id")):
+        found = found.collect()
+        assert Counter(r["doc_id"] for r in found) == {None: 5, 7: 5, 9: 1}
+        assert Counter(r["fingerprint"] for r in found).values().__len__() == len(set(names.values())) and column in found[0]
 
 
 def test_fingerprint_collisions_are_told_apart(spark):
