@@ -12,12 +12,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby, islice
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import thrifty
+
 #: The control strings of the production template.
 TURN, END = "### ", " </turn>\n"
 TEMPLATE = (
@@ -329,47 +332,87 @@ def read_back(pieces: Iterable[tuple[str, bool]]) -> Iterator[tuple[str, str, st
         raise ValueError("the output ends inside a turn")
 
 
+def separable(source: str = TEMPLATE) -> bool:
+    """The template is one loop over the messages whose body sees only its own message."""
+
+    def free(node: Node, bound: frozenset) -> bool:
+        if node.kind == "name":
+            return node.value in bound
+        if node.kind == "for":
+            return free(node.parts[0], bound) and free(node.parts[1], bound | {node.value})
+        return all(free(p, bound) for p in node.parts)
+
+    root = fold(Parser(source).parse())
+    loop = root.parts[0] if root.kind == "block" and len(root.parts) == 1 else root
+    return loop.kind == "for" and (loop.parts[0].kind, loop.parts[0].value) == ("name", "messages") and free(loop.parts[1], frozenset({loop.value}))
+
+
+def _digests(turns: Iterator[tuple[int, str, str, str | None, int]]) -> Iterator[tuple]:
+    """One row for each run of turns of a conversation; a masked text of None stands for the text itself."""
+    at, n, loss_chars, chars = None, 0, 0, 0
+    whole, loss = hashlib.sha256(), hashlib.sha256()
+    for conv, role, text, masked, length in turns:
+        if conv != at and n:
+            yield at, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars
+            n, loss_chars, chars, whole, loss = 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+        masked = text if masked is None else masked
+        at, n, chars, loss_chars = conv, n + 1, chars + length, loss_chars + len(masked)
+        whole.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
+        loss.update(masked.encode("utf-8", "replace"))
+    if n:
+        yield at, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars
+
+
 def format_conversations(df: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """Formats and reads back every conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     ``df`` has conv_id, turn, role and text, one row per turn.  Turns are taken in the order of turn,
     then role and text where that ties; repeated rows are turns of their own.  Null roles and texts
     count as empty, rows without a conv_id form one conversation with a null id, null turns come
-    first.  Conversations are streamed turn by turn, so one of any length needs the memory of its
-    longest turn.  An empty table gives no rows.
+    first.  An empty table gives no rows.
+
+    Where the template sees one message at a time, turns are rendered and read back where they are, in
+    parallel; only the digests of a conversation, which are sequential by nature, are one task's work.
+    Any other template streams a conversation through one task in the memory of its longest turn.
     """
     none = -(1 << 63)
     picked = df.select(F.coalesce(F.col("conv_id"), F.lit(none)).alias("conv_id"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def render_turns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        render = compile_template(template)
+        for batch in batches:
+            read = [next(read_back(render([{"role": r, "text": t}]))) for r, t in zip(batch["role"], batch["text"], strict=True)]
+            roles, texts, masked, lengths = zip(*read, strict=True) if read else ((),) * 4
+            masked = [None if m == t else m for m, t in zip(masked, texts, strict=True)]
+            yield batch[["conv_id", "turn"]].assign(role=roles, text=texts, masked=masked, length=lengths)
+
+    def fold_turns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for b in batches for row in zip(b["conv_id"].tolist(), b["role"], b["text"], b["masked"], b["length"].tolist(), strict=True))
+        yield from framed(_digests(rows))
+
+    def render_and_fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         render = compile_template(template)
-        rows = (row for batch in batches for row in zip(batch["conv_id"].tolist(), batch["role"], batch["text"], strict=True))
-        ahead: list = [next(rows, None)]
-
-        def turns(conv: int) -> Iterator[dict]:
-            while ahead[0] is not None and ahead[0][0] == conv:
-                yield {"role": ahead[0][1], "text": ahead[0][2]}
-                ahead[0] = next(rows, None)
-
-        out = []
-        while ahead[0] is not None:
-            conv = ahead[0][0]
-            n = loss_chars = chars = 0
-            whole, loss = hashlib.sha256(), hashlib.sha256()
-            for role, text, masked, length in read_back(render(turns(conv))):
-                n, chars, loss_chars = n + 1, chars + length, loss_chars + len(masked)
-                whole.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
-                loss.update(masked.encode("utf-8", "replace"))
-            out.append((conv, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars))
-            if len(out) == 5000:
-                yield pd.DataFrame(out, columns=columns)
-                out = []
-        yield pd.DataFrame(out, columns=columns)
+        rows = (row for b in batches for row in zip(b["conv_id"].tolist(), b["role"], b["text"], strict=True))
+
+        def turns() -> Iterator[tuple]:
+            for conv, mine in groupby(rows, key=lambda row: row[0]):
+                for role, text, masked, length in read_back(render({"role": r, "text": t} for _, r, t in mine)):
+                    yield conv, role, text, masked, length
+
+        yield from framed(_digests(turns()))
+
+    def framed(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        while part := list(islice(rows, 5000)):
+            yield pd.DataFrame(part, columns=columns)
 
     columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return dealt.mapInPandas(run, schema).withColumn("conv_id", F.nullif("conv_id", F.lit(none)))
+    alone = separable(template)
+    if alone:
+        kind = dict(picked.dtypes)["turn"]
+        picked = picked.mapInPandas(thrifty(render_turns), f"conv_id long, turn {kind}, role string, text string, masked string, length long")
+    dealt = picked.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
+    return dealt.mapInPandas(thrifty(fold_turns if alone else render_and_fold), schema).withColumn("conv_id", F.nullif("conv_id", F.lit(none)))
 
 
 def format_tables(df: DataFrame, template: str = TEMPLATE) -> DataFrame:
