@@ -11,15 +11,15 @@ abandoned once every lane is over the radius.  A bucket emits a spanning forest,
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_in, id_out
+from .common import checkpointed, id_in, id_out, thrifty
 from .components import connected_components
 
 SEED = 42
@@ -58,7 +58,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = np.fromiter((fingerprint(t, width) for t in batch["text"]), np.uint64, len(batch))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps.view(np.int64)})
 
-    return id_out(df.select(id_in(id_col), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long"))
+    return id_out(df.select(id_in(id_col), F.col(text_col).alias("text")).mapInPandas(thrifty(run), "doc_id long, fp long"))
 
 
 def planes_of(values: np.ndarray) -> list[int]:
@@ -163,11 +163,42 @@ def dealt(keyed: DataFrame, item: str, block: int) -> DataFrame:
     return keyed.join(large, "key", "left").select("key", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(mates)).alias("part"), item)
 
 
+PAIRS = tuple(combinations(range(4), 2))
+
+
+def _bits(low: int, width: int) -> Column:
+    return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def refined(keyed: DataFrame, block: int) -> DataFrame:
+    """(key, fp): a bucket of more than ``block`` fingerprints becomes 36 tables of smaller ones.
+
+    Its members agree on two blocks of 16 bits, so what differs is in the other two.  Each of those is cut
+    in four, and fingerprints that differ in two bits at most agree on two quarters of either.
+    """
+    large = checkpointed(keyed.groupBy("key").count().filter(F.col("count") > block).select("key", F.lit(True).alias("large")))
+    if large.isEmpty():
+        return keyed
+    marked = keyed.join(large, "key", "left")
+    table = F.shiftrightunsigned("key", 32)
+    keys = F.array().cast("array<long>")
+    for t, pair in enumerate(PAIRS):
+        rest = [k for k in range(4) if k not in pair]
+        parts = []
+        for n, ((a, b), (c, d)) in enumerate(product(PAIRS, PAIRS)):
+            quarters = (_bits(16 * rest[0] + 4 * a, 4), _bits(16 * rest[0] + 4 * b, 4), _bits(16 * rest[1] + 4 * c, 4), _bits(16 * rest[1] + 4 * d, 4))
+            parts.append(F.xxhash64("key", F.lit(n), *quarters))
+        keys = F.when(table == t, F.array(*parts)).otherwise(keys)
+    return marked.filter("large is null").select("key", "fp").unionByName(marked.filter("large").select(F.explode(keys).alias("key"), "fp"))
+
+
 def link_edges(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(src, dst) edges over distinct fingerprints (column fp) whose components are those of all links."""
-    blocks = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    keys = [F.lit(t << 32).bitwiseOR(F.shiftleft(blocks[a], 16)).bitwiseOR(blocks[b]) for t, (a, b) in enumerate(combinations(range(4), 2))]
-    keyed = checkpointed(distinct.select("fp", F.explode(F.array(*keys)).alias("key")))
+    if not 0 <= radius <= 2:
+        raise ValueError("the radius is 0, 1 or 2")
+    blocks = [_bits(16 * k, 16) for k in range(4)]
+    keys = [F.lit(t << 32).bitwiseOR(F.shiftleft(blocks[a], 16)).bitwiseOR(blocks[b]) for t, (a, b) in enumerate(PAIRS)]
+    keyed = refined(checkpointed(distinct.select("fp", F.explode(F.array(*keys)).alias("key"))), block)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _whole_groups(batches, block):
@@ -186,7 +217,7 @@ def link_edges(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
                     if len(member):
                         yield pd.DataFrame({"src": member.view(np.int64), "dst": root.view(np.int64)})
 
-    return dealt(keyed, "fp", block).repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInPandas(compare, "src long, dst long")
+    return dealt(keyed, "fp", block).repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInPandas(thrifty(compare), "src long, dst long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS, hot_share: int = 64) -> DataFrame:
