@@ -21,13 +21,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out
+from .common import id_in, id_out, thrifty
 
 #: Unicode white space as the tokenizer's pattern sees it.
-WHITE = "\\t-\\r" + "".join(map(chr, (0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+WIDE_SPACES = tuple(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+WHITE = "\\t-\\r " + "".join(WIDE_SPACES)
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Fragments that are remembered; beyond that, and at the end of a task, the memory starts anew.
-REMEMBER = 200_000
+#: Bytes that remembered fragments may take; beyond that, and at the end of a task, the memory starts anew.
+REMEMBER = 24 << 20
+#: What a remembered fragment takes besides its bytes and ids, and the longest that is worth it.
+ENTRY, WORTH = 160, 256
 #: Bytes of text whose fragments are encoded together.
 TOGETHER = 1 << 21
 #: Pieces above this many bytes are merged with a heap instead of in numpy rounds.
@@ -74,14 +77,16 @@ class ByteBPE:
         self.cut = self._forced_cuts(token for i, token in enumerate(self.token_bytes) if i not in self.special.values())
         self.memory: dict[bytes, tuple[int, ...]] = {}
         self.sizes: dict[bytes, int] = {}
+        self.held = 0  # bytes that either of them takes
 
     @staticmethod
     def _forced_cuts(tokens: Iterable[bytes]) -> np.ndarray:
         """Table over byte pairs: True where a cut is certain for merges and for the piece pattern alike.
 
-        The pattern is safe when the left byte is a visible ASCII character (no white space, whose runs
-        look ahead) and the right one starts a character and is no apostrophe (which could open a
-        contraction): both sides then match as they do in the whole text.
+        The pattern is safe when the left byte ends a character that is no white space (whose runs look
+        ahead) and the right one starts a character and is no apostrophe (which could open a
+        contraction): both sides then match as they do in the whole text.  So the left byte is visible
+        ASCII, or one of 0x80 and up that ends no Unicode space; a lead byte has no start after it.
         """
         inside = np.zeros(65_536, bool)
         for token in tokens:
@@ -89,7 +94,8 @@ class ByteBPE:
                 b = np.frombuffer(token, np.uint8).astype(np.int64)
                 inside[b[:-1] * 256 + b[1:]] = True
         a, b = np.divmod(np.arange(65_536), 256)
-        return ~inside & (a > 0x20) & (a < 0x7F) & ((b < 0x80) | (b >= 0xC0)) & (b != 0x27)
+        ends_space = np.isin(a, [c.encode()[-1] for c in WIDE_SPACES])
+        return ~inside & (a > 0x20) & (a != 0x7F) & ~ends_space & ((b < 0x80) | (b >= 0xC0)) & (b != 0x27)
 
     def fragments(self, text: bytes) -> list[bytes]:
         if len(text) < 2:
@@ -181,10 +187,15 @@ class ByteBPE:
         flat, offsets = self.merge_pieces(pieces)
         return flat, offsets[starts]
 
-    def _learn(self, wanted: list[bytes]) -> None:
+    def _learn(self, wanted: list[bytes]) -> dict[bytes, tuple[int, ...]]:
+        """Ids of the fragments; those worth it are remembered."""
         flat, offsets = self._merge_fragments(wanted)
         flat, offsets = flat.tolist(), offsets.tolist()
-        self.memory.update(zip(wanted, [tuple(flat[s:e]) for s, e in zip(offsets, offsets[1:], strict=False)], strict=True))
+        new = dict(zip(wanted, [tuple(flat[s:e]) for s, e in zip(offsets, offsets[1:], strict=False)], strict=True))
+        kept = {p: ids for p, ids in new.items() if len(p) <= WORTH} if max(map(len, wanted), default=0) > WORTH else new
+        self.memory.update(kept)
+        self.held += len(kept) * ENTRY + sum(map(len, kept)) + 8 * sum(map(len, kept.values()))
+        return new
 
     def count_batch(self, texts: Iterable[str | None]) -> Iterator[int]:
         """The number of tokens of each text, as ordinary text."""
@@ -192,13 +203,16 @@ class ByteBPE:
         size = 0
 
         def resolve() -> list[int]:
-            if len(self.sizes) > REMEMBER:
-                self.sizes.clear()
+            if self.held > REMEMBER:
+                self.forget()
             known = self.sizes.get
             found = [list(map(known, parts)) for parts in held]
             new = list({p for parts, got in zip(held, found, strict=True) if None in got for p, g in zip(parts, got, strict=True) if g is None})
-            self.sizes.update(zip(new, np.diff(self._merge_fragments(new)[1]).tolist(), strict=True))
-            return [sum(map(known, parts)) if None in got else sum(got) for parts, got in zip(held, found, strict=True)]
+            fresh = dict(zip(new, np.diff(self._merge_fragments(new)[1]).tolist(), strict=True))
+            kept = {p: n for p, n in fresh.items() if len(p) <= WORTH} if max(map(len, new), default=0) > WORTH else fresh
+            self.sizes.update(kept)
+            self.held += len(kept) * ENTRY + sum(map(len, kept))
+            return [sum(fresh[p] if g is None else g for p, g in zip(parts, got, strict=True)) if None in got else sum(got) for parts, got in zip(held, found, strict=True)]
 
         for text in texts:
             held.append(self.fragments((text or "").encode("utf-8", "replace")))
@@ -213,6 +227,7 @@ class ByteBPE:
         """Gives the memory back: Python workers live on after a task and may next run something else."""
         self.memory.clear()
         self.sizes.clear()
+        self.held = 0
 
     def _segments(self, text: str, special: bool) -> list[bytes | int]:
         if special and self.special_split and any(t in text for t in self.special):
@@ -238,17 +253,17 @@ class ByteBPE:
         yield from self._resolve(held)
 
     def _resolve(self, held: list[list]) -> Iterator[list[tuple[int, ...]]]:
-        if len(self.memory) > REMEMBER:
-            self.memory.clear()
+        if self.held > REMEMBER:
+            self.forget()
         collecting = gc.isenabled()
         gc.disable()  # many small tuples without cycles are made here
         known = self.memory.get
         found = [list(map(known, parts)) for parts in held]
         gaps = [(parts, got, [i for i, g in enumerate(got) if g is None]) for parts, got in zip(held, found, strict=True) if None in got]
-        self._learn(list({p for parts, _, at in gaps for i in at if type(p := parts[i]) is bytes}))
+        fresh = self._learn(list({p for parts, _, at in gaps for i in at if type(p := parts[i]) is bytes}))
         for parts, got, at in gaps:
             for i in at:
-                got[i] = self.memory[p] if type(p := parts[i]) is bytes else p
+                got[i] = fresh[p] if type(p := parts[i]) is bytes else p
         if collecting:
             gc.enable()
         yield from found
@@ -277,7 +292,7 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
         bpe.forget()
 
-    return id_out(df.select(id_in(id_col), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, ids array<int>"))
+    return id_out(df.select(id_in(id_col), F.col(text_col).alias("text")).mapInPandas(thrifty(run), "doc_id long, ids array<int>"))
 
 
 def decode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -288,7 +303,7 @@ def decode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [bpe.decode(i if i is not None else ()) for i in batch["ids"]]})
 
-    return id_out(df.select(id_in(id_col), F.col(ids_col).alias("ids")).mapInPandas(run, "doc_id long, text string"))
+    return id_out(df.select(id_in(id_col), F.col(ids_col).alias("ids")).mapInPandas(thrifty(run), "doc_id long, text string"))
 
 
 def token_lengths(df: DataFrame, tokenizer: str, text_col: str = "text", name: str = "n_tokens", keep: Sequence[str] = ()) -> DataFrame:
@@ -301,7 +316,7 @@ def token_lengths(df: DataFrame, tokenizer: str, text_col: str = "text", name: s
         bpe.forget()
 
     schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + f", `{name}` long"
-    return df.select(*keep, F.col(text_col).alias("_text")).mapInPandas(run, schema)
+    return df.select(*keep, F.col(text_col).alias("_text")).mapInPandas(thrifty(run), schema)
 
 
 def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,4 +342,4 @@ def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         bpe.forget()
 
     picked = df.select(id_in(id_col), F.col(text_col).alias("text"))
-    return id_out(picked.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return id_out(picked.mapInPandas(thrifty(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
