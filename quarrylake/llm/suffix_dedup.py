@@ -20,14 +20,14 @@ entry per batch.  Exact copies of an earlier document skip all this.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, checkpointed, id_in, id_out, shuffle_width
+from .common import NO_ID, checkpointed, give_back, id_in, id_out, shuffle_width
 
 LENGTH, GRAM = 50, 26
 #: Bytes of text in a batch, of the contexts in one transform, and of a chunk that is hashed at once.
@@ -239,6 +239,22 @@ def resolve(texts: list[bytes], anchors: np.ndarray, owner: np.ndarray, length:
     return out
 
 
+def sparing(work: Callable[..., pd.DataFrame]) -> Callable[..., pd.DataFrame]:
+    """A function for applyInPandas that gives its memory back after each group."""
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        out = work(group)
+        give_back()
+        return out
+
+    def two(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = work(left, right)
+        give_back()
+        return out
+
+    return one if work.__code__.co_argcount == 1 else two
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, spans (array of start, end), kept (binary), ``keep`` as strings.
 
@@ -248,10 +264,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = df.sparkSession
     docs = df.select(id_in(id_col), *[F.col(c).cast("string").alias(f"_{c}") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    facts = checkpointed(docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")))
+    dealt_by = F.xxhash64("doc_id", "text").alias("_hash")  # not by the id alone: null and repeated ids are spread too
+    facts = checkpointed(docs.select("doc_id", dealt_by, F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")))
     total, rows = facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     batches = max(1, -(-total // batch_bytes))
-    batch_of = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
+    batch_of = F.pmod("_hash", F.lit(batches))
     width = max(shuffle_width(spark), batches // TASK_BATCHES)
     first = facts.groupBy("sha").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).filter("n > 1")
     hot = checkpointed(first.filter(F.col("n") >= F.lit(max(2, -(-rows // HOT_SHARE)))))  # HOT_SHARE of them at most
@@ -259,7 +276,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of_hot = later(facts.join(F.broadcast(hot), "sha"))
     of_rest = later(facts.join(F.broadcast(hot), "sha", "left_anti").join(first.join(F.broadcast(hot), "sha", "left_anti"), "sha"))
     copies = checkpointed(of_hot.unionByName(of_rest))
-    dealt = docs.select(batch_of.alias("batch"), *docs.columns).repartition(width, "batch")
+    dealt = docs.withColumn("_hash", dealt_by).select(batch_of.alias("batch"), *docs.columns).repartition(width, "batch")
 
     def load(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """Ids, texts and which of them are copies; sorted by id."""
@@ -413,10 +430,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     side = "batch long, kind int, number long, payload binary"
     with_copies = lambda more: copies.unionByName(more).repartition(width, "batch").groupBy("batch")
     texts = dealt.groupBy("batch")
-    sent = texts.cogroup(copies.repartition(width, "batch").groupBy("batch")).applyInPandas(send_anchors, "bucket long, batch long, anchors binary, several binary")
-    shared = sent.groupBy("bucket").applyInPandas(find_shared, side)
+    sent = texts.cogroup(copies.repartition(width, "batch").groupBy("batch")).applyInPandas(sparing(send_anchors), "bucket long, batch long, anchors binary, several binary")
+    shared = sent.repartition(width, "bucket").groupBy("bucket").applyInPandas(sparing(find_shared), side)
     columns = "bucket long, batch long, anchors binary, digests binary, low binary, high binary, counts binary, strings binary"
-    met = texts.cogroup(with_copies(shared)).applyInPandas(send_contexts, columns)
-    answers = met.groupBy("bucket").applyInPandas(answer, side)
-    out = texts.cogroup(with_copies(answers)).applyInPandas(apply, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary" + "".join(f", `{c}` string" for c in keep))
+    met = texts.cogroup(with_copies(shared)).applyInPandas(sparing(send_contexts), columns)
+    answers = met.repartition(width, "bucket").groupBy("bucket").applyInPandas(sparing(answer), side)
+    out = texts.cogroup(with_copies(answers)).applyInPandas(sparing(apply), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary" + "".join(f", `{c}` string" for c in keep))
     return id_out(out)
