@@ -6,7 +6,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels", "pages", "conversations")
 
@@ -31,3 +32,43 @@ def sql_query(name: str, text: str, oracle: str | None = None) -> Query:
         return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
     return Query(name, run, plain(oracle or text))
+
+
+def literal(value: object) -> str:
+    """A value as SQL text."""
+    if isinstance(value, bool) or value is None:
+        return "NULL" if value is None else str(value).lower()
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
+#: Stands for the row's key in a worked case.
+KEY = "«key»"
+
+
+def worked(name: str, source: str, key: str, inputs: tuple[str, ...], outputs: tuple[str, ...], cases: list[tuple], make: Callable[..., Column]) -> Query:
+    """A text operator over every row of a table, each row with one of some worked cases around its key.
+
+    A case has the inputs and then the outputs that were worked out by hand; row n takes case n modulo
+    their number, and ``KEY`` in a text stands for n.  ``make`` takes the inputs as columns and gives one
+    column, or a struct where there are several outputs.  The SQL looks the outputs up.
+    """
+    width = len(cases)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, source).select(key)
+        at = F.pmod(F.col(key), F.lit(width)).cast("int") + 1
+        for k, column in enumerate(inputs):
+            value = F.element_at(F.array(*[F.lit(c[k]).cast("string") for c in cases]), at)
+            rows = rows.withColumn(column, F.replace(value, F.lit(KEY), F.col(key).cast("string")))
+        made = rows.withColumn("_made", make(*map(F.col, inputs)))
+        if len(outputs) == 1:
+            return made.select(key, F.col("_made").alias(outputs[0]))
+        return made.select(key, *[F.col(f"_made.{o}").alias(o) for o in outputs])
+
+    def shown(column: str, values: list) -> str:
+        text = any(isinstance(v, str) for v in values)
+        return f"replace(c.{column}, '{KEY}', {key}::VARCHAR) AS {column}" if text else f"c.{column}"
+
+    values = ", ".join(f"({k}, {', '.join(literal(v) for v in c[len(inputs):])})" for k, c in enumerate(cases))
+    picked = ", ".join(shown(o, [c[len(inputs) + k] for c in cases]) for k, o in enumerate(outputs))
+    return Query(name, run, f"SELECT {key}, {picked} FROM {source} JOIN (VALUES {values}) c(case_no, {', '.join(outputs)}) ON {key} % {width} = c.case_no")

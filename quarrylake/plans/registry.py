@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import contexts, events, graph, joins, records, resolution, windows, wording
+from ..operators import code_queries, contexts, events, graph, imports, joins, records, resolution, rulebook, windows, wording
 from ..streaming import queries as streams
 
-MODULES = (events, joins, windows, wording, records, resolution, contexts, graph, streams)
+#: Where a name stands in two modules, the later one is meant.
+MODULES = (events, joins, windows, wording, records, resolution, contexts, graph, streams, code_queries, imports, rulebook)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,49 +1,100 @@
-"""Code facts: Python files through the standard parser, hunks of unified diffs, file listings."""
+"""Code facts: Python files through the standard parser, hunks of unified diffs, file listings and inventories."""
 
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed as X
+
 FACTS = (
-    "path string, error string, syms array<struct<name:string,kind:string,parent:int,line:int,end:int>>, "
-    "refs array<struct<source:int,name:string,kind:string,line:int>>, imps array<struct<module:string,name:string,alias:string>>"
+    "path string, error string, syms array<struct<name:string,kind:string,parent:int,line:int,end:int,returns:string>>, "
+    "refs array<struct<source:int,name:string,kind:string,line:int,recv:string>>, imps array<struct<kind:string,module:string,name:string,alias:string>>, "
+    "vars array<struct<scope:int,name:string,type:string,call:string,field:boolean>>"
 )
 
 
-def facts_of(source: str) -> tuple[list[dict], list[dict], list[dict]]:
-    """Symbols (with the index of what holds them), calls and bases (with the symbol they stand in), imports."""
-    syms: list[dict] = []
-    refs: list[dict] = []
-    imps: list[dict] = []
+def dotted(node: ast.AST | None) -> str:
+    """``a.b.c`` of a chain of names; a type given as text counts as its name."""
+    if isinstance(node, ast.Attribute):
+        return f"{head}.{node.attr}" if (head := dotted(node.value)) else ""
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        return node.value
+    return node.id if isinstance(node, ast.Name) else ""
+
+
+def receiver(node: ast.AST) -> str | None:
+    """How a member is reached: this, super, f:field, v:name; none where it is the value of an expression."""
+    if isinstance(node, ast.Call) and dotted(node.func) == "super":
+        return "super"
+    head, _, rest = dotted(node).partition(".")
+    return None if not head else "this" if (head, rest) == ("self", "") else f"f:{rest}" if head == "self" else f"v:{dotted(node)}"
+
+
+class FactReader(ast.NodeVisitor):
+    """Collects the facts of one file; ``holder`` is the index of the symbol around a node."""
+
+    def __init__(self) -> None:
+        self.syms: list[dict] = []
+        self.refs: list[dict] = []
+        self.imps: list[dict] = []
+        self.vars: list[dict] = []
+        self.holder = -1
+
+    def _symbol(self, node: ast.AST, kind: str, returns: str = "") -> None:
+        self.syms.append({"name": node.name, "kind": kind, "parent": self.holder, "line": node.lineno, "end": node.end_lineno, "returns": returns})
+        outer, self.holder = self.holder, len(self.syms) - 1
+        for base in getattr(node, "bases", []):
+            qualifier, _, name = dotted(base).rpartition(".")
+            if name:
+                self.refs.append({"source": self.holder, "name": name, "kind": "inherit", "line": node.lineno, "recv": f"v:{qualifier}" if qualifier else ""})
+        for child in ast.iter_child_nodes(node):
+            if child not in getattr(node, "bases", []):
+                self.visit(child)
+        self.holder = outer
+
+    def visit_ClassDef(self, node: ast.ClassDef) -> None:
+        self._symbol(node, "class")
 
-    def name_of(node: ast.AST) -> str | None:
-        return node.id if isinstance(node, ast.Name) else node.attr if isinstance(node, ast.Attribute) else None
+    def visit_FunctionDef(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
+        inside = self.holder >= 0 and self.syms[self.holder]["kind"] == "class"
+        self._symbol(node, "method" if inside else "function", dotted(node.returns))
 
-    def visit(node: ast.AST, holder: int) -> None:
-        for child in ast.iter_child_nodes(node):
-            inside = holder
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                kind = "class" if isinstance(child, ast.ClassDef) else "method" if holder >= 0 and syms[holder]["kind"] == "class" else "function"
-                syms.append({"name": child.name, "kind": kind, "parent": holder, "line": child.lineno, "end": child.end_lineno})
-                inside = len(syms) - 1
-                for base in getattr(child, "bases", []):
-                    if name := name_of(base):
-                        refs.append({"source": inside, "name": name, "kind": "inherit", "line": child.lineno})
-            elif isinstance(child, ast.Call) and (name := name_of(child.func)):
-                refs.append({"source": holder, "name": name, "kind": "call", "line": child.lineno})
-            elif isinstance(child, ast.Import):
-                imps.extend({"module": a.name, "name": "", "alias": a.asname or a.name} for a in child.names)
-            elif isinstance(child, ast.ImportFrom):
-                imps.extend({"module": "." * child.level + (child.module or ""), "name": a.name, "alias": a.asname or a.name} for a in child.names)
-            visit(child, inside)
-
-    visit(ast.parse(source), -1)
-    return syms, refs, imps
+    visit_AsyncFunctionDef = visit_FunctionDef
+
+    def visit_Call(self, node: ast.Call) -> None:
+        name, recv = (node.func.id, "") if isinstance(node.func, ast.Name) else (node.func.attr, receiver(node.func.value)) if isinstance(node.func, ast.Attribute) else ("", None)
+        if name and name != "super":
+            self.refs.append({"source": self.holder, "name": name, "kind": "call", "line": node.lineno, "recv": "?" if recv is None else recv})
+        self.generic_visit(node)
+
+    def visit_Import(self, node: ast.Import) -> None:
+        self.imps += [{"kind": "module", "module": a.name, "name": "", "alias": a.asname or a.name} for a in node.names]
+
+    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
+        module = "." * node.level + (node.module or "")
+        self.imps += [{"kind": "wild" if a.name == "*" else "named", "module": module, "name": a.name, "alias": a.asname or a.name} for a in node.names]
+
+    def _variable(self, target: ast.AST, kind: str, value: ast.AST | None) -> None:
+        called = dotted(value.func) if isinstance(value, ast.Call) else ""
+        head, _, rest = dotted(target).partition(".")
+        if head and (kind or called) and (not rest or head == "self" and "." not in rest):
+            scope = self.syms[self.holder]["parent"] if rest else self.holder
+            self.vars.append({"scope": scope, "name": rest or head, "type": kind, "call": called, "field": bool(rest)})
+
+    def visit_Assign(self, node: ast.Assign) -> None:
+        for target in node.targets:
+            self._variable(target, "", node.value)
+        self.generic_visit(node)
+
+    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
+        self._variable(node.target, dotted(node.annotation), node.value)
+        self.generic_visit(node)
 
 
 def extract_facts(files: DataFrame, path_col: str = "path", text_col: str = "value") -> DataFrame:
@@ -53,47 +104,39 @@ def extract_facts(files: DataFrame, path_col: str = "path", text_col: str = "val
         for batch in batches:
             rows = []
             for path, text in zip(batch["path"], batch["text"], strict=True):
+                reader, error = FactReader(), None
                 try:
-                    rows.append((path, None, *facts_of(text or "")))
+                    reader.visit(ast.parse(text or ""))
                 except (SyntaxError, ValueError, RecursionError) as e:
-                    rows.append((path, type(e).__name__, [], [], []))
+                    reader, error = FactReader(), type(e).__name__
+                rows.append((path, error, reader.syms, reader.refs, reader.imps, reader.vars))
             if rows:
-                yield pd.DataFrame(rows, columns=["path", "error", "syms", "refs", "imps"], dtype=object)
+                yield pd.DataFrame(rows, columns=["path", "error", "syms", "refs", "imps", "vars"], dtype=object)
 
     return files.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).mapInPandas(run, FACTS)
 
 
-def symbols(facts: DataFrame) -> DataFrame:
-    """(path, sym, name, qname, kind, line, end): symbols with the names of what holds them in front."""
-    each = facts.select("path", F.posexplode("syms").alias("sym", "s")).select("path", "sym", "s.*").withColumn("qname", F.col("name"))
-    up = each.select("path", F.col("sym").alias("up"), F.col("name").alias("up_name"), F.col("parent").alias("up_parent"))
-    each = each.withColumn("up", F.col("parent"))
-    for _ in range(8):  # levels of nesting
-        each = each.join(up, ["path", "up"], "left").withColumn("qname", F.coalesce(F.concat("up_name", F.lit("."), "qname"), F.col("qname"))).withColumn("up", F.coalesce("up_parent", F.lit(-1))).drop("up_name", "up_parent")
-    return each.select("path", "sym", "name", "qname", "kind", "line", "end")
+def facts_table(facts: DataFrame, which: str) -> DataFrame:
+    """One of the nested tables as rows: path, its position and its fields."""
+    return facts.select("path", F.posexplode(which).alias("pos", "x")).select("path", "pos", "x.*")
 
 
-def call_edges(facts: DataFrame) -> DataFrame:
-    """(path, source, kind, target_path, target, weak): references resolved by the first rule that has a target.
+def symbols(facts: DataFrame, depth: int = 8) -> DataFrame:
+    """(sid, path, sym, name, qname, kind, parent, owner, line, end, returns): symbols with the names of what holds them in front.
 
-    1. a symbol of the same file, 2. a symbol that an import of the file names, 3. the only symbol of
-    that name anywhere (weak).  Four targets at most per reference.
+    ``owner`` is the sid of what holds the symbol.  Names climb by doubling: each round reaches twice as
+    far up, so ``depth`` levels take three rounds.
     """
-    syms = symbols(facts).select(F.col("path").alias("target_path"), F.col("sym").alias("target"), "name")
-    refs = facts.select("path", F.posexplode("refs").alias("ref", "r")).select("path", "ref", "r.source", "r.name", "r.kind")
-    imps = facts.select("path", F.explode("imps").alias("i")).select("path", F.col("i.alias").alias("name"), F.col("i.name").alias("imported"), F.regexp_replace(F.col("i.module"), r"^\.+", "").alias("module"))
-    own = refs.join(syms, (refs["path"] == syms["target_path"]) & (refs["name"] == syms["name"])).select("path", "ref", "target_path", "target", F.lit(1).alias("priority"))
-    module = F.regexp_replace(F.regexp_replace(F.regexp_extract("target_path", r"([^/]+)\.py$", 1), "/", "."), "^$", "?")
-    named = syms.withColumn("stem", module).withColumnRenamed("name", "imported")
-    through = refs.join(imps, ["path", "name"]).withColumn("stem", F.element_at(F.split("module", r"\."), -1)).join(named, ["imported", "stem"])
-    through = through.select("path", "ref", "target_path", "target", F.lit(2).alias("priority"))
-    only = syms.groupBy("name").agg(F.count("*").alias("n"), F.min("target_path").alias("target_path"), F.min("target").alias("target")).filter("n = 1")
-    weak = refs.join(only, "name").select("path", "ref", "target_path", "target", F.lit(3).alias("priority"))
-    order = Window.partitionBy("path", "ref").orderBy("target_path", "target")
-    every = own.unionByName(through).unionByName(weak)
-    best = every.groupBy("path", "ref").agg(F.min("priority").alias("priority"))
-    picked = every.join(best, ["path", "ref", "priority"]).withColumn("n", F.row_number().over(order)).filter("n <= 4")
-    return picked.join(refs, ["path", "ref"]).select("path", "source", "kind", "target_path", "target", (F.col("priority") == 3).alias("weak"))
+    each = facts_table(facts, "syms").withColumnRenamed("pos", "sym").withColumn("sid", F.concat_ws("#", "path", "sym"))
+    owner = F.when(F.col("parent") >= 0, F.concat_ws("#", "path", "parent"))
+    each = each.withColumn("owner", owner).withColumn("qname", F.col("name")).withColumn("up", F.col("owner"))
+    for _ in range((depth - 1).bit_length()):
+        above = each.select(F.col("sid").alias("up"), F.col("qname").alias("_q"), F.col("up").alias("_u"))
+        each = each.join(above, "up", "left").withColumn("qname", F.coalesce(F.concat("_q", F.lit("."), "qname"), F.col("qname"))).withColumn("up", F.col("_u")).drop("_q", "_u")
+    return each.select("sid", "path", "sym", "name", "qname", "kind", "parent", "owner", "line", "end", "returns")
+
+
+# ---- diffs ---------------------------------------------------------------------------------------
 
 
 def diff_hunks(lines: DataFrame) -> DataFrame:
@@ -106,14 +149,79 @@ def diff_hunks(lines: DataFrame) -> DataFrame:
 
 
 def changed_symbols(hunks: DataFrame, syms: DataFrame) -> DataFrame:
-    """Symbols whose lines a hunk touches, without those that hold another touched one."""
-    hit = hunks.join(syms, (hunks["file"] == syms["path"]) & (F.col("line") < F.col("start") + F.greatest("count", F.lit(1))) & (F.col("end") >= F.col("start"))).select("path", "sym", "line", "end").distinct()
-    inner = hit.select("path", F.col("sym").alias("other"), F.col("line").alias("l2"), F.col("end").alias("e2"))
-    holds = (hit["path"] == inner["path"]) & (hit["sym"] != inner["other"]) & (hit["line"] <= inner["l2"]) & (hit["end"] >= inner["e2"])
-    return hit.join(inner, holds, "left_anti")
+    """(path, sym) of symbols whose lines a hunk touches, without those that hold another touched one.
+
+    ``hunks`` has file, start and count, ``syms`` path, sym, line and end.
+    """
+    touches = (F.col("line") < F.col("start") + F.greatest("count", F.lit(1))) & (F.greatest("end", "line") >= F.col("start"))
+    hit = hunks.join(syms, (hunks["file"] == syms["path"]) & touches).select("path", "sym", "line", "end").distinct()
+    inner = hit.select(F.col("path").alias("p2"), F.col("sym").alias("other"), F.col("line").alias("l2"), F.col("end").alias("e2"))
+    holds = (F.col("path") == F.col("p2")) & (F.col("line") <= F.col("l2")) & (F.col("end") >= F.col("e2"))
+    return hit.join(inner, holds & ((F.col("line") < F.col("l2")) | (F.col("end") > F.col("e2"))), "left_anti").select("path", "sym")
+
 
+def change_set(status: DataFrame, counts: DataFrame) -> DataFrame:
+    """(path, status, added, removed): lines of a name-status listing with those of a numstat listing.
+
+    Both have a column line; a binary file's counts, written as dashes, are null.
+    """
+    pattern = r"^([A-Z])\d*\t(.+)$"
+    named = status.filter(F.col("line").rlike(pattern)).select(F.regexp_extract("line", pattern, 2).alias("path"), F.regexp_extract("line", pattern, 1).alias("status"))
+    pattern = r"^(\S+)\t(\S+)\t(.+)$"
+    number = lambda k: F.try_to_number(F.nullif(F.regexp_extract("line", pattern, k), F.lit("-")), F.lit("999999999")).cast("int")
+    sized = counts.filter(F.col("line").rlike(pattern)).select(F.regexp_extract("line", pattern, 3).alias("path"), number(1).alias("added"), number(2).alias("removed"))
+    return named.join(sized, "path", "left")
 
-def list_files(spark: SparkSession, folder: str, skip: tuple[str, ...] = (".git", "node_modules", "dist", "build")) -> DataFrame:
-    """(path, size, mtime) below a folder, without those in skipped folders; contents are not read."""
+
+def work_state(status: Column) -> Column:
+    """Branch, head, changed paths (20 at most) and their number in a NUL-separated porcelain status, version 2.
+
+    An entry has its path after a fixed number of fields; a renamed file is followed by where it was.
+    """
+    entries = F.split(F.coalesce(status, F.lit("")), "\0")
+    told = lambda name: F.element_at(F.filter(entries, lambda e: e.startswith(f"# branch.{name} ")), 1)
+    path = lambda e, fields: F.regexp_extract(e, r"^\S+" + r" \S+" * (fields - 1) + r" (.*)$", 1)
+    held = F.transform(entries, lambda e, i: F.when(i.cast("int") == 0, F.lit("")).otherwise(F.element_at(entries, F.greatest(i, F.lit(1)).cast("int"))))
+    rows = F.zip_with(entries, held, lambda e, before: F.when(before.startswith("2 "), F.lit("")).otherwise(e))
+    named = F.transform(rows, lambda e: F.when(e.startswith("1 "), path(e, 8)).when(e.startswith("2 "), path(e, 9)).when(e.startswith("u "), path(e, 10)).when(e.startswith("? "), F.substring(e, 3, 1 << 20)).otherwise(F.lit("")))
+    dirty = F.filter(named, lambda p: p != "")
+    return F.struct(
+        F.coalesce(F.substring(told("head"), 15, 1 << 20), F.lit("?")).alias("branch"),
+        F.coalesce(F.substring(told("oid"), 14, 7), F.lit("?")).alias("head"),
+        F.slice(dirty, 1, 20).alias("dirty"),
+        F.size(dirty).alias("changed"),
+    )
+
+
+# ---- inventories ---------------------------------------------------------------------------------
+
+
+def list_files(spark: SparkSession, folder: str, skip: tuple[str, ...] = X.SKIPPED_FOLDERS, limit: int | None = None) -> DataFrame:
+    """(path, size, mtime) below a folder, without those in skipped or hidden folders; contents are not read.
+
+    ``limit`` keeps the first so many by path, as an inventory with a cap does.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    return found.filter(~F.col("path").rlike("/(" + "|".join(s.replace(".", r"\.") for s in skip) + ")/"))
+    rel = F.regexp_extract("path", r"^.*?" + re.escape(folder.split("://")[-1].rstrip("/").lstrip("/")) + r"/(.*)$", 1)
+    kept = found.withColumn("path", rel).filter(~F.concat(F.lit("/"), "path").rlike("/(" + "|".join(s.replace(".", r"\.") for s in skip) + r"|\.[^/]+)/"))
+    return kept if limit is None else kept.orderBy("path").limit(limit)
+
+
+def languages(spark: SparkSession) -> DataFrame:
+    """(kind, pattern, language, family): file names and endings of each language; under a hundred rows."""
+    rows = [("ending", e, lang, family) for lang, family, endings in X.LANGUAGES for e in endings.split()]
+    family = {lang: f for lang, f, _ in X.LANGUAGES}
+    rows += [("name", name, lang, family[lang]) for name, lang in X.LANGUAGE_FILES.items()]
+    return spark.createDataFrame(rows, "kind string, pattern string, language string, family string")
+
+
+def with_language(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """Adds language and family: by the exact file name, else by its ending, else by the ending in lower case."""
+    known = languages(files.sparkSession)
+    base = F.element_at(F.split(path_col, "/"), -1)
+    ending = F.regexp_extract(base, r"^.+(\.[^.]+)$", 1)
+    side = lambda kind, n: F.broadcast(known.filter(F.col("kind") == kind).select(F.col("pattern").alias(f"_k{n}"), F.col("language").alias(f"_l{n}"), F.col("family").alias(f"_f{n}")))
+    out = files.withColumn("_k1", base).withColumn("_k2", ending).withColumn("_k3", F.lower(ending))
+    out = out.join(side("name", 1), "_k1", "left").join(side("ending", 2), "_k2", "left").join(side("ending", 3), "_k3", "left")
+    pick = lambda c: F.coalesce(f"_{c}1", f"_{c}2", f"_{c}3")
+    return out.select(*files.columns, pick("l").alias("language"), pick("f").alias("family"))
