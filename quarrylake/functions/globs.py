@@ -22,7 +22,7 @@ def glob_pattern(glob: str) -> str:
         kind = m.lastgroup
         if kind == "set":
             body = m[0][1:-1]
-            return "[" + ("^" + body[1:] if body[0] == "!" else body).replace("\\", "\\\\") + "]"
+            return "[" + ("^" + body[1:] if body[0] == "!" else body).replace("\\", "\\\\").replace("[", "\\[") + "]"
         if kind == "open":
             depth += 1
         elif kind == "close" and depth:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fixed import ACK
+
 # Patterns and words that results depend on.
 WORD_RUN = r"[A-Za-z0-9_]+"
 HANGUL_RUN = r"[가-힣]{2,}"
@@ -93,11 +95,6 @@ def truncate(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("…"))).otherwise(text)
 
 
-def redact(text: Column) -> Column:
-    """Assigned secrets (key = value) become typed placeholders; a second pass changes nothing."""
-    return F.regexp_replace(text, r"(?i)\b(token|secret|password|passwd|api_key|apikey)(\s*[=:]\s*)\"?[A-Za-z0-9_\-]{16,}\"?", "$1$2[REDACTED]")
-
-
 def path_hints(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(PATH_HINT), F.lit(0))
     bare = F.transform(found, lambda h: F.regexp_replace(h, "^[./]+", ""))
@@ -106,7 +103,7 @@ def path_hints(text: Column) -> Column:
 
 def prompt_kind(text: Column) -> Column:
     trimmed = F.trim(text)
-    return F.when(trimmed.rlike("^[/!]"), "command").when((F.length(trimmed) == 0) | F.lower(trimmed).rlike(r"^(ok|okay|yes|y|sure|continue|go on|thanks)[.! ]*$"), "ack").otherwise("normal")
+    return F.when(trimmed.rlike("^[/!]"), "command").when((F.length(trimmed) == 0) | F.lower(trimmed).rlike("(?i)" + ACK), "ack").otherwise("normal")
 
 
 def is_question(sentence: Column) -> Column:

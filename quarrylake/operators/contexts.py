@@ -84,39 +84,9 @@ CT05 = """
 """
 
 
-def work_state(status: str) -> dict:
-    """Branch, head and changed paths of a NUL-separated porcelain status, version 2."""
-    out = {"branch": "?", "head": "?", "dirty": []}
-    entries = iter(status.split("\0"))
-    #: Fields before the path, by the kind of entry.
-    skip = {"1": 8, "2": 9, "u": 10, "?": 1}
-    for entry in entries:
-        kind, _, rest = entry.partition(" ")
-        if kind == "#" and rest.startswith("branch.oid "):
-            out["head"] = rest[11:18]
-        elif kind == "#" and rest.startswith("branch.head "):
-            out["branch"] = rest[12:]
-        elif kind in skip:
-            out["dirty"].append(entry.split(" ", skip[kind])[-1])
-            if kind == "2":
-                next(entries, None)  # where a renamed file was
-    return out
-
-
-def work_states(df: DataFrame, status_col: str = "status") -> DataFrame:
-    """Adds branch, head and dirty to rows that hold a status text; a null one is read as empty."""
-    read = F.udf(lambda s: work_state(s or ""), "struct<branch:string,head:string,dirty:array<string>>")
-    return df.withColumn("_w", read(F.col(status_col))).select(*df.columns, "_w.branch", "_w.head", "_w.dirty")
-
-
 QUERIES = [
     Query("ct03_session_blocks", ct03_session_blocks, CT03),
     Query("ct05_handoff_lines", ct05_handoff_lines, CT05),
-    sql_query(
-        "ad08_history_target",
-        "SELECT s.o_custkey, CASE WHEN c.o_custkey IS NULL THEN s.latest ELSE s.latest + 1000000 END AS target, c.o_custkey IS NOT NULL AS continued FROM (SELECT o_custkey, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS latest FROM {orders} GROUP BY o_custkey) s LEFT JOIN (SELECT DISTINCT o_custkey, o_orderkey FROM {orders} WHERE o_orderstatus = 'F') c ON c.o_custkey = s.o_custkey AND c.o_orderkey = s.latest",
-        "SELECT s.o_custkey, CASE WHEN c.o_custkey IS NULL THEN s.latest ELSE s.latest + 1000000 END AS target, c.o_custkey IS NOT NULL AS continued FROM (SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY o_custkey) s LEFT JOIN (SELECT DISTINCT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F') c ON c.o_custkey = s.o_custkey AND c.o_orderkey = s.latest",
-    ),
     sql_query("er03_rejudge_pending", "SELECT a.o_orderkey, CASE WHEN b.n IS NULL THEN 'new' WHEN b.n > 1 THEN 'conflict' ELSE 'refine' END AS verdict FROM {orders} a LEFT JOIN (SELECT o_custkey, o_orderpriority, count(*) AS n FROM {orders} WHERE o_orderstatus = 'F' GROUP BY o_custkey, o_orderpriority) b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority WHERE a.o_orderstatus = 'P'"),
     sql_query("ad17_diagnostics", "SELECT 'documents' AS part, count(*) AS n, count(CASE WHEN text IS NULL OR length(text) = 0 THEN 1 END) AS bad FROM {documents} UNION ALL SELECT 'events', count(*), count(CASE WHEN event_type = 'error' THEN 1 END) FROM {events} UNION ALL SELECT 'labels', count(*), count(CASE WHEN quality IS NULL THEN 1 END) FROM {labels}"),
 ]

@@ -94,9 +94,7 @@ QUERIES = [
     with_k("dm03_timed_expiry", "SELECT event_id, CASE WHEN event_type <> 'view' THEN 'done' WHEN ts < TIMESTAMP '2024-01-29 12:00:00' THEN 'expired' ELSE 'open' END AS state FROM {events}"),
     with_k("dm04_retention", "SELECT event_id, ts FROM {events} WHERE NOT (ts < TIMESTAMP '2024-01-08 00:00:00' OR (event_type <> 'view' AND ts < TIMESTAMP '2024-01-15 00:00:00'))"),
     with_k("dm05_purge_personal_text", "SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN NULL ELSE text END AS text FROM {conversations}"),
-    with_k("dm06_insert_logs", "SELECT user_id, sha2(concat_ws('|', CAST(event_id AS STRING), event_type), 256) AS op_id, 'reinforce' AS relation FROM {events} WHERE event_type = 'click'", "SELECT user_id, sha256(concat_ws('|', CAST(event_id AS VARCHAR), event_type)) AS op_id, 'reinforce' AS relation FROM events WHERE event_type = 'click'"),
     with_k("dm07_tombstones", "SELECT e.event_id FROM {events} e LEFT ANTI JOIN (SELECT user_id, max(ts) AS cut FROM {events} WHERE event_type = 'signup' GROUP BY user_id) t ON e.user_id = t.user_id AND e.ts <= t.cut", "SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id, max(ts) AS cut FROM events WHERE event_type = 'signup' GROUP BY user_id) t WHERE e.user_id = t.user_id AND e.ts <= t.cut)"),
-    with_k("dm08_replace_by_key", "SELECT doc_id, source, n_chars FROM {documents} WHERE doc_id NOT IN (SELECT doc_id FROM {labels} WHERE doc_id IS NOT NULL) UNION ALL SELECT d.doc_id, 'replaced', CAST(l.quality AS BIGINT) FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id".replace("WHERE doc_id NOT IN (SELECT doc_id FROM {labels} WHERE doc_id IS NOT NULL)", "d0 WHERE NOT EXISTS (SELECT 1 FROM {labels} l0 WHERE l0.doc_id = d0.doc_id)")),
     # streaming-like, batch form
     with_k("sm07_session_gap", "SELECT user_id, session_window.start AS started, count(*) AS n FROM {events} GROUP BY user_id, session_window(ts, '6 hours')", "SELECT user_id, min(ts) AS started, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, island"),
     with_k("sm08_cursor_overlap", "SELECT e.event_id FROM {events} e JOIN (SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN ts END) - INTERVAL '6' HOUR AS floor FROM {events} GROUP BY user_id) c ON e.user_id = c.user_id WHERE e.ts >= c.floor"),

@@ -53,28 +53,20 @@ QUERIES = [
     sql_query("jn01_supersede_edges", "SELECT s.o_orderkey AS source_id, t.o_orderkey AS target_id FROM (SELECT o_orderkey, o_custkey, o_orderdate, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS supersedes FROM {orders}) s JOIN {orders} t ON s.supersedes = t.o_orderkey WHERE t.o_orderdate < s.o_orderdate OR (t.o_orderdate = s.o_orderdate AND t.o_orderkey < s.o_orderkey)"),
     sql_query("jn02_counters", "SELECT p.p_partkey, coalesce(s.reinforced, 0) AS reinforced, coalesce(s.violations, 0) AS violations FROM {part} p LEFT JOIN (SELECT l_partkey, count(*) AS reinforced, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS violations FROM {lineitem} GROUP BY l_partkey) s ON p.p_partkey = s.l_partkey"),
     sql_query("jn03_conflict_pairs", "SELECT DISTINCT a.o_orderkey AS left_id, b.o_orderkey AS right_id FROM {orders} a JOIN {orders} b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.o_orderkey < b.o_orderkey"),
-    sql_query("jn07_stale_cases", "SELECT c.event_id FROM {events} c LEFT ANTI JOIN (SELECT user_id, event_type, max(ts) AS last FROM {events} GROUP BY user_id, event_type) e ON e.user_id = c.user_id AND e.event_type = 'purchase' AND e.last >= c.ts WHERE c.event_type = 'error'", "SELECT c.event_id FROM events c WHERE c.event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = c.user_id AND e.event_type = 'purchase' AND e.ts >= c.ts)"),
     sql_query("jn08_call_result", "SELECT o.o_orderkey AS call_id, l.lines, l.ok FROM {orders} o LEFT JOIN (SELECT l_orderkey, count(*) AS lines, bool_and(l_returnflag <> 'R') AS ok FROM {lineitem} GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey"),
     sql_query("jn09_orphan_counters", "SELECT DISTINCT d.doc_id FROM {documents} d LEFT ANTI JOIN {labels} l ON l.doc_id = d.doc_id", "SELECT DISTINCT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)"),
     sql_query("jn10_failure_counter", "SELECT o.o_orderkey, coalesce(r.n, 0) AS returns FROM {orders} o LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} WHERE l_returnflag = 'R' GROUP BY l_orderkey) r ON o.o_orderkey = r.l_orderkey"),
     sql_query("jn11_ended_sessions", "SELECT s.user_id, s.ended, t.transcript FROM (SELECT user_id, max(ts) AS ended FROM {events} GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-10 00:00:00') s JOIN (SELECT user_id, max_by(event_id, struct(ts, event_id)) AS transcript FROM {events} WHERE event_type = 'click' GROUP BY user_id) t ON s.user_id = t.user_id WHERE t.transcript IS NOT NULL", "SELECT s.user_id, s.ended, t.transcript FROM (SELECT user_id, max(ts) AS ended FROM events GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-10 00:00:00') s JOIN (SELECT user_id, max_by(event_id, (ts, event_id)) AS transcript FROM events WHERE event_type = 'click' GROUP BY user_id) t ON s.user_id = t.user_id WHERE t.transcript IS NOT NULL"),
     sql_query("jn12_suppressed_turns", "SELECT c.conv_id, c.turn FROM {conversations} c LEFT ANTI JOIN (SELECT DISTINCT lower(trim(text)) AS t FROM {benchmark}) b ON lower(trim(c.text)) = b.t", "SELECT c.conv_id, c.turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE lower(trim(c.text)) = lower(trim(b.text)))"),
-    sql_query("jn13_file_language", r"SELECT p.page_id, coalesce(m.language, 'other') AS language FROM (SELECT page_id, regexp_extract(url, 'example[.]([a-z]+)', 1) AS ext FROM {pages}) p LEFT JOIN (SELECT * FROM VALUES ('com', 'commercial'), ('org', 'organisation'), ('net', 'network') AS m(ext, language)) m ON p.ext = m.ext", r"SELECT p.page_id, coalesce(m.language, 'other') AS language FROM (SELECT page_id, regexp_extract(url, 'example[.]([a-z]+)', 1) AS ext FROM pages) p LEFT JOIN (VALUES ('com', 'commercial'), ('org', 'organisation'), ('net', 'network')) m(ext, language) ON p.ext = m.ext"),
     sql_query("jn14_scope_globs", r"SELECT p.page_id, g.scope FROM {pages} p JOIN (SELECT * FROM VALUES ('^https?://[^/]*/(?:en|fr)/.*$'), ('^https://.*$'), ('^[^?]*[?]page=[0-9]+.*$') AS g(scope)) g ON p.url RLIKE g.scope", r"SELECT p.page_id, g.scope FROM pages p JOIN (VALUES ('^https?://[^/]*/(?:en|fr)/.*$'), ('^https://.*$'), ('^[^?]*[?]page=[0-9]+.*$')) g(scope) ON regexp_matches(p.url, g.scope)"),
-    sql_query("jn15_interval_overlap", "WITH h AS (SELECT l_orderkey AS f, min(l_linenumber) AS lo, max(l_linenumber) AS hi FROM {lineitem} WHERE l_returnflag = 'R' GROUP BY l_orderkey) SELECT h.f, l.l_linenumber AS line, count(*) AS hits FROM h JOIN {lineitem} l ON l.l_orderkey = h.f AND l.l_linenumber <= h.hi AND l.l_linenumber + 1 >= h.lo GROUP BY h.f, l.l_linenumber"),
     sql_query("jn16_interval_stabbing", "WITH s AS (SELECT l_orderkey AS f, l_linenumber AS lo, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS hi, l_partkey FROM {lineitem}) SELECT o.o_orderkey, max(s.lo) AS innermost FROM {orders} o JOIN s ON s.f = o.o_orderkey AND s.lo <= 3 AND s.hi >= 3 GROUP BY o.o_orderkey"),
     sql_query("jn20_containment", "SELECT m.l_suppkey AS struct_id, i.p_brand AS interface FROM (SELECT DISTINCT l_suppkey, p_brand, p_type FROM {lineitem} JOIN {part} ON l_partkey = p_partkey) m JOIN (SELECT p_brand, p_type, count(*) OVER (PARTITION BY p_brand) AS n FROM (SELECT DISTINCT p_brand, p_type FROM {part})) i ON m.p_brand = i.p_brand AND m.p_type = i.p_type GROUP BY m.l_suppkey, i.p_brand, i.n HAVING count(DISTINCT m.p_type) = i.n"),
-    sql_query("jn21_symbol_hints", "SELECT p_partkey, name FROM (SELECT p_partkey, lower(p_brand) AS name, count(*) OVER (PARTITION BY lower(p_brand)) AS n FROM {part}) WHERE n <= 90"),
     sql_query("jn22_expected_existing", "SELECT coalesce(d.doc_id, l.doc_id) AS path, CASE WHEN l.doc_id IS NULL THEN 'new' WHEN d.doc_id IS NULL THEN 'removed' WHEN l.quality = 0 THEN 'changed' ELSE 'unchanged' END AS state FROM {documents} d FULL OUTER JOIN {labels} l ON d.doc_id = l.doc_id"),
-    sql_query("jn23_leftover_uses", "SELECT DISTINCT l.l_orderkey, l.l_partkey FROM {lineitem} l JOIN (SELECT p_partkey FROM {part} WHERE p_size > 45) gone ON l.l_partkey = gone.p_partkey LEFT ANTI JOIN (SELECT DISTINCT l_orderkey FROM {lineitem} WHERE l_returnflag = 'A') kept ON l.l_orderkey = kept.l_orderkey", "SELECT DISTINCT l.l_orderkey, l.l_partkey FROM lineitem l JOIN (SELECT p_partkey FROM part WHERE p_size > 45) gone ON l.l_partkey = gone.p_partkey WHERE NOT EXISTS (SELECT 1 FROM lineitem kept WHERE kept.l_returnflag = 'A' AND kept.l_orderkey = l.l_orderkey)"),
     sql_query("jn24_audit_log", "SELECT l.l_orderkey, l.l_linenumber, p.p_name AS summary, o.o_orderstatus AS status FROM {lineitem} l LEFT JOIN {part} p ON l.l_partkey = p.p_partkey LEFT JOIN {orders} o ON l.l_orderkey = o.o_orderkey"),
     sql_query("jn25_conflict_partners", "SELECT DISTINCT a, b FROM (SELECT l_partkey AS a, l_suppkey AS b FROM {lineitem} UNION ALL SELECT l_suppkey AS a, l_partkey AS b FROM {lineitem}) JOIN {part} ON a = p_partkey"),
     # incremental synchronisation and set operations
     sql_query("sc11_pending_changes", "SELECT count(CASE WHEN l.doc_id IS NULL THEN 1 END) AS added, count(CASE WHEN d.doc_id IS NULL THEN 1 END) AS removed, count(CASE WHEN d.doc_id = l.doc_id AND l.quality = 0 THEN 1 END) AS changed FROM {documents} d FULL OUTER JOIN {labels} l ON d.doc_id = l.doc_id"),
-    sql_query("sc12_incremental_sync", "SELECT d.doc_id, sha1(d.text) AS hash FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id AND l.quality = 1", None),
     sql_query("sc13_latest_file_rows", "SELECT l_orderkey, l_linenumber, max_by(l_partkey, struct(l_shipdate, l_partkey)) AS part FROM {lineitem} GROUP BY l_orderkey, l_linenumber", "SELECT l_orderkey, l_linenumber, max_by(l_partkey, (l_shipdate, l_partkey)) AS part FROM lineitem GROUP BY l_orderkey, l_linenumber"),
-    sql_query("sc03_rule_files", "SELECT d.doc_id, CASE WHEN length(d.text) < 40 THEN 'unreadable' WHEN d.doc_id = f.first THEN 'ok' ELSE 'duplicate' END AS state FROM {documents} d JOIN (SELECT sha2(text, 256) AS h, min(doc_id) AS first FROM {documents} GROUP BY sha2(text, 256)) f ON sha2(d.text, 256) = f.h", "SELECT doc_id, CASE WHEN length(text) < 40 THEN 'unreadable' WHEN doc_id = min(doc_id) OVER (PARTITION BY text) THEN 'ok' ELSE 'duplicate' END AS state FROM documents"),
-    sql_query("sc32_drift", "SELECT state, count(*) AS files FROM (SELECT CASE WHEN l.l_partkey IS NULL THEN 'removed' WHEN p.p_partkey IS NULL THEN 'new' WHEN p.p_retailprice > l.price THEN 'changed' ELSE 'unchanged' END AS state FROM {part} p FULL OUTER JOIN (SELECT l_partkey, max(l_extendedprice) AS price FROM {lineitem} GROUP BY l_partkey) l ON p.p_partkey = l.l_partkey) GROUP BY state"),
     sql_query("st01_union_of_sources", "SELECT kind, count(*) AS docs FROM (SELECT 'history' AS kind, text FROM {documents} UNION ALL SELECT 'turn', text FROM {conversations} UNION ALL SELECT 'case', props FROM {events} UNION ALL SELECT 'decision', text FROM {benchmark}) GROUP BY kind"),
     sql_query("st02_union_dedup_cap", "SELECT p_partkey, array_join(slice(array_union(split(p_name, ' '), array(p_brand, p_type)), 1, 8), ',') AS topics FROM {part}", "SELECT p_partkey, array_to_string(string_split(p_name, ' ') || [p_brand, p_type], ',') AS topics FROM part"),
     sql_query("st03_jaccard", "SELECT a.p_partkey AS l, b.p_partkey AS r, round(size(array_intersect(split(a.p_name, ' '), split(b.p_name, ' '))) / size(array_union(split(a.p_name, ' '), split(b.p_name, ' '))), 6) AS jaccard FROM {part} a JOIN {part} b ON a.p_partkey + 1 = b.p_partkey", "SELECT a.p_partkey AS l, b.p_partkey AS r, round(len(list_intersect(string_split(a.p_name, ' '), string_split(b.p_name, ' '))) / len(list_distinct(string_split(a.p_name, ' ') || string_split(b.p_name, ' '))), 6) AS jaccard FROM part a JOIN part b ON a.p_partkey + 1 = b.p_partkey"),

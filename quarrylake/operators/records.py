@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.screening import redact_secrets
 from ..plans.query import Query, sql_query, table
 from ..sources import code, rules
 from . import asof
-from .wording import AG16, REDACTED, D, ag16_weighted_overlap
+from .wording import D
 
 
 def sc05_parse_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,15 +106,6 @@ def er04_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return marked.withColumn("place", F.row_number().over(order)).filter("place <= 3").select("doc_id", "place", F.sha2("s", 256).alias("sentence"))
 
 
-ER04 = r"""
-    SELECT doc_id, place, sha256(s) AS sentence FROM (
-        SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place
-        FROM (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?]\s+') AS p FROM documents))
-        WHERE regexp_matches(lower(s), '(^|[^a-z])(always|never|must|should|token|for)([^a-z]|$)'))
-    WHERE place <= 3
-"""
-
-
 def tx11_unsupported_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Key terms of a reply that its prompt does not have."""
     said = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
@@ -125,25 +115,6 @@ def tx11_unsupported_terms(spark: SparkSession, sf: str) -> DataFrame:
     return replies.select("conv_id", "turn", F.size(missing).alias("unsupported"))
 
 
-TX11 = r"""
-    SELECT r.conv_id, r.turn, len(list_filter(list_distinct(list_transform(regexp_extract_all(r.text, '[A-Za-z][A-Za-z0-9]*(?:[._+#-][A-Za-z0-9]+)*[+#]*|\d+(?:\.\d+)*'), lambda x: lower(x))), lambda t: NOT contains(lower(p.text), t))) AS unsupported
-    FROM conversations r JOIN conversations p ON r.conv_id = p.conv_id AND r.turn = p.turn + 1 WHERE r.role = 'assistant'
-"""
-
-
-def pf21_continues(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompts that share two salient words or more with the reply before them."""
-    said = table(spark, sf, "conversations").select("conv_id", "turn", "role", T.tokens(F.col("text")).alias("t"))
-    before = said.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("t").alias("b"))
-    shared = F.size(F.filter(F.array_intersect("t", "b"), lambda w: F.length(w) >= 5))
-    return said.filter("role = 'user'").join(before, ["conv_id", "turn"]).select("conv_id", "turn", (shared >= 2).alias("continues"))
-
-
-PF21 = f"""
-    SELECT a.conv_id, a.turn, len(list_filter(list_intersect({D.replace('text', 'a.text')}, {D.replace('text', 'b.text')}), lambda w: length(w) >= 5)) >= 2 AS continues
-    FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 WHERE a.role = 'user'
-"""
-
 def er02_relations(spark: SparkSession, sf: str) -> DataFrame:
     """Orders of a customer applied one after another to the live one; the priority is the authority."""
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", (6 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("authority"))
@@ -166,8 +137,7 @@ def sc07_serialize_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as rule rows, written as file text, and read again: what comes back is what was written."""
     files = table(spark, sf, "documents").select(F.concat(F.lit("facts/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("value"))
     parsed = rules.parse_rules(files).filter("error is null")
-    write = F.udf(lambda r: rules.serialize(r.asDict(recursive=True)), "string")
-    again = rules.parse_rules(parsed.select("path", write(F.struct(*parsed.columns)).alias("value")))
+    again = rules.parse_rules(rules.file_texts(parsed, "path"))
     return again.select("path", "id", "type", F.sha2("summary", 256).alias("summary"))
 
 
@@ -184,50 +154,20 @@ def tx24_pending_work(spark: SparkSession, sf: str) -> DataFrame:
     return replies.select("conv_id", "turn", F.length(last).alias("size"))
 
 
-TX24 = r"""
-    SELECT conv_id, turn, length(trim(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?。])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: length(trim(s)) > 0)[-1])) AS size
-    FROM conversations WHERE role = 'assistant'
-"""
-
 QUERIES = [
     Query("er02_relation_application", er02_relations, ER02),
     Query("sc07_serialize_rules", sc07_serialize_rules, SC07),
-    Query("tx24_pending_work", tx24_pending_work, TX24),
     Query("sc05_parse_rules", sc05_parse_rules, SC05),
     Query("sc25_diff_hunks", sc25_diff_hunks, SC25),
     Query("sm10_turn_states", sm10_turn_states, SM10),
-    Query("sm11_case_machine", sm11_case_machine, SM11),
-    Query("so08_prompt_selection", so08_prompt_selection, f"SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM ({AG16})) WHERE place <= 8"),
     Query("ag17_coverage", ag17_coverage, AG17),
-    Query("er04_candidates", er04_candidates, ER04),
-    Query("tx11_unsupported_terms", tx11_unsupported_terms, TX11),
-    Query("pf21_continues_session", pf21_continues, PF21),
-    Query("sc01_append_redacted", lambda s, sf: table(s, sf, "documents").select("doc_id", F.sha2(redact_secrets(F.col("text")), 256).alias("stored")), f"SELECT doc_id, sha256({REDACTED}) AS stored FROM documents"),
-    sql_query("sc09_file_listing", r"SELECT page_id, url FROM {pages} WHERE NOT (url RLIKE '/(node_modules|dist|build)/') AND NOT (url RLIKE '[?&]ref=')", r"SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '/(node_modules|dist|build)/') AND NOT regexp_matches(url, '[?&]ref=')"),
-    sql_query("sc10_wanted_files", r"SELECT p.page_id, m.language FROM (SELECT page_id, url, regexp_extract(url, 'example[.][a-z]+/([a-z]+)/', 1) AS ext FROM {pages}) p JOIN (SELECT * FROM VALUES ('en', 'english'), ('de', 'german'), ('fr', 'french') AS m(ext, language)) m ON p.ext = m.ext WHERE NOT startswith(p.url, 'https://m.')", r"SELECT p.page_id, m.language FROM (SELECT page_id, url, regexp_extract(url, 'example[.][a-z]+/([a-z]+)/', 1) AS ext FROM pages) p JOIN (VALUES ('en', 'english'), ('de', 'german'), ('fr', 'french')) m(ext, language) ON p.ext = m.ext WHERE NOT starts_with(p.url, 'https://m.')"),
     sql_query("sc15_stable_ids", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS local_id FROM {part}"),
-    sql_query("sc16_newest_generation", "SELECT o_orderkey, o_orderstatus FROM {orders} JOIN (SELECT max(year(o_orderdate)) AS generation FROM {orders}) ON year(o_orderdate) = generation"),
-    sql_query("sc17_transcript_tail", "SELECT doc_id, element_at(split(text, '\\n'), -1) AS last_line FROM {documents}", "SELECT doc_id, string_split(text, chr(10))[-1] AS last_line FROM documents"),
-    sql_query("sc18_turn_bounded_read", "SELECT p.event_id, count(c.event_id) AS commands FROM {events} p LEFT JOIN {events} c ON c.user_id = p.user_id AND c.event_type = 'click' AND c.ts >= p.ts AND c.ts < p.ts + INTERVAL '2' HOUR WHERE p.event_type = 'view' GROUP BY p.event_id"),
-    sql_query("sc20_call_result_pairs", "SELECT c.l_orderkey, c.lines, o.o_orderstatus AS outcome FROM (SELECT l_orderkey, count(*) AS lines FROM {lineitem} GROUP BY l_orderkey) c LEFT JOIN {orders} o ON c.l_orderkey = o.o_orderkey"),
-    sql_query("sc23_history_entries", "SELECT conv_id, turn, concat('## ', turn + 1, '. ', role) AS head, length(text) AS size FROM {conversations} WHERE role <> 'system'"),
-    sql_query("sc24_monthly_partitions", "SELECT date_format(o_orderdate, 'yyyy-MM') AS month, count(*) AS entries FROM {orders} GROUP BY date_format(o_orderdate, 'yyyy-MM')", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS entries FROM orders GROUP BY 1"),
-    sql_query("sc26_two_tree_changes", "SELECT coalesce(a.k, b.k) AS path, CASE WHEN a.k IS NULL THEN 'A' WHEN b.k IS NULL THEN 'D' WHEN a.n <> b.n THEN 'M' ELSE '=' END AS state FROM (SELECT l_partkey AS k, count(*) AS n FROM {lineitem} WHERE l_linestatus = 'F' GROUP BY l_partkey) a FULL OUTER JOIN (SELECT l_partkey AS k, count(*) AS n FROM {lineitem} WHERE l_linestatus = 'O' GROUP BY l_partkey) b ON a.k = b.k"),
-    sql_query("sc27_vocabulary", "SELECT DISTINCT name FROM (SELECT lower(p_brand) AS name FROM {part} UNION ALL SELECT lower(p_type) FROM {part} UNION ALL SELECT lower(n_name) FROM {nation})"),
-    sql_query("sc31_last_json_answer", r"SELECT event_id, element_at(regexp_extract_all(concat('noise ', props, ' or ', props), '[\x7B][^\x7D]*[\x7D]', 0), -1) AS answer FROM {events}".replace("\\x", "\\\\x"), r"SELECT event_id, regexp_extract_all(concat('noise ', props, ' or ', props), '[\x7B][^\x7D]*[\x7D]')[-1] AS answer FROM events"),
     sql_query("sc33_recent_errors", "SELECT event_id, user_id, ts FROM {events} WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 20"),
     sql_query("so01_score_threshold", "SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM {orders} WHERE o_totalprice >= 100000) WHERE place <= 3"),
-    sql_query("tx08_strip_quotes", r"SELECT doc_id, sha2(regexp_replace(text, '(?m)^(>|    ).*$', ''), 256) AS kept FROM {documents}", r"SELECT doc_id, sha256(regexp_replace(text, '(?m)^(>|    ).*$', '', 'g')) AS kept FROM documents"),
-    sql_query("tx15_outcome", "SELECT event_id, CASE WHEN event_type = 'error' THEN false WHEN event_type = 'purchase' THEN true END AS ok FROM {events}"),
-    sql_query("tx16_known_anchors", "SELECT p.p_partkey, count(v.name) AS known FROM (SELECT p_partkey, explode(split(p_name, ' ')) AS term FROM {part}) p LEFT JOIN (SELECT DISTINCT substring_index(p_name, ' ', 1) AS name FROM {part} WHERE p_size > 25) v ON p.term = v.name GROUP BY p.p_partkey", "SELECT p.p_partkey, count(v.name) AS known FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS term FROM part) p LEFT JOIN (SELECT DISTINCT string_split(p_name, ' ')[1] AS name FROM part WHERE p_size > 25) v ON p.term = v.name GROUP BY p.p_partkey"),
-    sql_query("tx18_code_names", "SELECT doc_id, size(array_distinct(regexp_extract_all(text, '[a-z]+[A-Z][A-Za-z]*|[a-z]+_[a-z_]+', 0))) AS names FROM {documents}", "SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[a-z]+[A-Z][A-Za-z]*|[a-z]+_[a-z_]+'))) AS names FROM documents"),
     sql_query("sm05_dedup_in_window", "SELECT user_id, event_type, window_start, min(event_id) AS first, count(*) AS seen FROM (SELECT *, date_trunc('hour', ts) AS window_start FROM {events}) GROUP BY user_id, event_type, window_start"),
     sql_query("sm06_session_state", "SELECT user_id, count(DISTINCT event_type) AS kinds, count(CASE WHEN event_type = 'view' THEN 1 END) AS prompts, max(ts) + INTERVAL '2' HOUR AS expires FROM {events} GROUP BY user_id"),
     sql_query("sm09_late_rows", "SELECT e.event_id, e.ts < f.floor AS late FROM {events} e JOIN (SELECT user_id, max(ts) - INTERVAL '6' HOUR AS floor FROM {events} GROUP BY user_id) f ON e.user_id = f.user_id"),
     sql_query("er06_lenient_records", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k, get_json_object(props, '$.none') IS NULL AS partial FROM {events}", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, json_extract_string(props, '$.none') IS NULL AS partial FROM events"),
     sql_query("er07_lookup_by_affix", "SELECT c_custkey FROM {customer} WHERE c_name LIKE 'Customer#0000000%' OR c_name LIKE '%77'"),
-    sql_query("ct02_selection_outcomes", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unknown' WHEN l.toxic = 1 THEN 'held' WHEN l.quality = 0 THEN 'below-threshold' WHEN d.n_chars > 5000 THEN 'over-budget' ELSE 'sent' END AS outcome FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id"),
-    sql_query("ct04_explain", "SELECT o_orderkey, round(o_totalprice / 262144, 4) AS lexical, CASE WHEN o_orderpriority = '1-URGENT' THEN 15 ELSE 0 END AS topics, o_totalprice > 262144 OR o_orderpriority = '1-URGENT' AS chosen FROM {orders}"),
-    sql_query("ad07_summary_facts", "SELECT conv_id, count(*) AS turns, sum(length(text)) AS size, count(DISTINCT role) AS roles FROM {conversations} GROUP BY conv_id", "SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS size, count(DISTINCT role) AS roles FROM conversations GROUP BY conv_id"),
     sql_query("ad16_three_blocks", "SELECT block, count(*) AS n FROM (SELECT 'personal' AS block FROM {orders} WHERE o_orderpriority = '5-LOW' UNION ALL SELECT 'conflict' FROM {orders} WHERE o_orderstatus = 'P' UNION ALL SELECT 'recent' FROM {orders} WHERE o_orderdate >= TIMESTAMP '1998-07-01 00:00:00') GROUP BY block"),
 ]

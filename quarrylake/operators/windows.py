@@ -110,18 +110,13 @@ QUERIES = [
     Query("wn01_throttle", wn01_throttle, WN01),
     Query("wn02_dedup_key", wn02_dedup_key, WN02),
     Query("wn11_budget_packing", wn11_budget_packing, WN11),
-    Query("wn13_best_sentence", wn13_best_sentence, WN13),
     Query("so02_recall_rank", so02_recall_rank, SO02),
     sql_query("wn03_first_and_last_prompts", "SELECT user_id, event_id, first_place, last_place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first_place, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS last_place FROM {events} WHERE event_type = 'view') WHERE first_place <= 3 OR last_place <= 3"),
-    sql_query("wn04_previous_session", "SELECT user_id, max(ts) AS ended, min(ts) AS started, count(CASE WHEN event_type = 'view' THEN 1 END) AS prompts FROM {events} WHERE user_id <> 3 AND ts >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY user_id ORDER BY ended DESC, user_id LIMIT 1"),
-    sql_query("wn05_session_by_look_back", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '2' HOUR PRECEDING AND CURRENT ROW) AS recent FROM {events}"),
     sql_query("wn06_newest_per_signature", "SELECT signature, max_by(event_id, struct(resolved, ts, event_id)) AS case_id FROM (SELECT concat(event_type, ':', props) AS signature, CASE WHEN value > 50 THEN 1 ELSE 0 END AS resolved, ts, event_id FROM {events}) GROUP BY signature", "SELECT concat(event_type, ':', props) AS signature, max_by(event_id, (CASE WHEN value > 50 THEN 1 ELSE 0 END, ts, event_id)) AS case_id FROM events GROUP BY signature"),
     sql_query("wn07_seniority", "SELECT s.o_orderkey AS younger, t.o_orderkey AS elder FROM (SELECT o_orderkey, o_orderdate, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS other FROM {orders}) s JOIN {orders} t ON s.other = t.o_orderkey WHERE (t.o_orderdate, t.o_orderkey) < (s.o_orderdate, s.o_orderkey)", None),
-    sql_query("wn08_first_occurrence", "SELECT o_orderkey, CASE WHEN first = o_orderkey THEN 'active' ELSE 'superseded' END AS status, CASE WHEN first = o_orderkey THEN NULL ELSE first END AS superseded_by FROM (SELECT o_orderkey, first_value(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS first FROM {orders})"),
     sql_query("wn09_latest_open", "SELECT o_custkey, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS latest FROM {orders} WHERE o_orderstatus = 'O' GROUP BY o_custkey", "SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey"),
     sql_query("wn10_core_priority", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderstatus = 'O' ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, o_totalprice DESC, o_orderdate DESC, o_orderkey LIMIT 40"),
     sql_query("wn12_recent_supersedes", "SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT o_custkey, o_orderkey, o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM {orders}) WHERE before >= o_orderdate - INTERVAL '7' DAY ORDER BY o_orderdate DESC, o_orderkey LIMIT 5"),
-    sql_query("so03_symbol_search", "SELECT p_partkey, p_name, score FROM (SELECT p_partkey, p_name, CASE WHEN p_name = 'red widget' THEN 110 WHEN lower(p_name) = 'red widget' THEN 100 WHEN p_name LIKE '%widget' THEN 90 WHEN p_name LIKE 'red%' THEN 70 WHEN p_name LIKE '%dget%' THEN 50 ELSE 0 END AS score FROM {part}) WHERE score > 0 ORDER BY score DESC, p_name, p_partkey LIMIT 100"),
     sql_query("so04_neighbour_bonus", "SELECT l_orderkey, l_partkey, l_linenumber, round(score + CASE WHEN l_returnflag = 'A' THEN 0.2 ELSE 0 END, 6) AS final FROM (SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag, l_discount * 5 AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_partkey, l_linenumber, l_suppkey) AS r FROM {lineitem}) WHERE r <= 6 AND score >= 0.15"),
     sql_query("so06_model_ranking", "SELECT l_returnflag, l_linestatus, count(*) AS calls FROM {lineitem} GROUP BY l_returnflag, l_linestatus ORDER BY CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END, count(*), l_linestatus LIMIT 3"),
     sql_query("so07_pair_overlap", "SELECT a.l_suppkey AS left_id, b.l_suppkey AS right_id, count(*) AS shared FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM {lineitem} WHERE l_returnflag = 'R') a JOIN (SELECT DISTINCT l_suppkey, l_orderkey FROM {lineitem} WHERE l_returnflag = 'R') b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY a.l_suppkey, b.l_suppkey ORDER BY shared DESC, left_id, right_id LIMIT 10"),

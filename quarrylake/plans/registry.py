@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import code_queries, contexts, events, graph, imports, joins, records, resolution, rulebook, windows, wording
+from ..operators import code_queries, contexts, events, graph, histories, imports, joins, records, resolution, rulebook, sinks, windows, wording, wordings
 from ..streaming import queries as streams
 
 #: Where a name stands in two modules, the later one is meant.
-MODULES = (events, joins, windows, wording, records, resolution, contexts, graph, streams, code_queries, imports, rulebook)
+MODULES = (events, joins, windows, wording, records, resolution, contexts, graph, streams, code_queries, imports, rulebook, wordings, histories, sinks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -179,9 +179,9 @@ def work_state(status: Column) -> Column:
     An entry has its path after a fixed number of fields; a renamed file is followed by where it was.
     """
     entries = F.split(F.coalesce(status, F.lit("")), "\0")
-    told = lambda name: F.element_at(F.filter(entries, lambda e: e.startswith(f"# branch.{name} ")), 1)
+    told = lambda name: F.get(F.filter(entries, lambda e: e.startswith(f"# branch.{name} ")), 0)
     path = lambda e, fields: F.regexp_extract(e, r"^\S+" + r" \S+" * (fields - 1) + r" (.*)$", 1)
-    held = F.transform(entries, lambda e, i: F.when(i.cast("int") == 0, F.lit("")).otherwise(F.element_at(entries, F.greatest(i, F.lit(1)).cast("int"))))
+    held = F.concat(F.array(F.lit("")), F.slice(entries, 1, F.size(entries) - 1))  # what stands before each entry
     rows = F.zip_with(entries, held, lambda e, before: F.when(before.startswith("2 "), F.lit("")).otherwise(e))
     named = F.transform(rows, lambda e: F.when(e.startswith("1 "), path(e, 8)).when(e.startswith("2 "), path(e, 9)).when(e.startswith("u "), path(e, 10)).when(e.startswith("? "), F.substring(e, 3, 1 << 20)).otherwise(F.lit("")))
     dirty = F.filter(named, lambda p: p != "")

@@ -5,8 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from quarrylake.functions import globs
 from quarrylake.functions import text as T
-from quarrylake.operators import asof, contexts, graph, resolution
+from quarrylake.operators import asof, codegraph, contexts, graph, resolution, rulebook
+from quarrylake.sources import code
 
 
 def seconds(*values):
@@ -72,12 +74,6 @@ def test_sizes_and_wording(spark):
     assert one(spark, lambda c: T.truncate(c, 4), "abcd", "abcde") == ["abcd", "abc…"]
 
 
-def test_redaction_is_idempotent(spark):
-    secret = 'token = "0123456789abcdef0123456789abcdef01234567" end'
-    assert one(spark, T.redact, secret, "token = short") == ["token = [REDACTED] end", "token = short"]
-    assert one(spark, lambda c: T.redact(T.redact(c)), secret) == ["token = [REDACTED] end"]
-
-
 @pytest.mark.parametrize("a, b, same", [
     ("Use tabs for indentation in all files", "use tabs, for indentation in all files.", True),
     ("Use Node 18 for all of the services", "Use Node 20 for all of the services", False),
@@ -121,10 +117,56 @@ def test_consolidate_in_order(spark):
 
 
 def test_resolution_takes_the_first_rule_with_a_target(spark):
-    refs = spark.createDataFrame([(1,), (2,), (3,)], "ref long")
-    found = spark.createDataFrame([(1, 9, 2), (1, 8, 1), (1, 7, 1), (2, 5, 3), *[(2, k, 3) for k in range(10, 20)]], "ref long, target long, priority int")
-    got = graph.resolve_names(refs, found, "ref").collect()
-    assert sorted((r["ref"], r["target"] or 0) for r in got) == [(1, 7), (1, 8), (2, 5), (2, 10), (2, 11), (2, 12), (3, 0)]
+    found = spark.createDataFrame([(1, 9, 2), (1, 8, 1), (1, 7, 1), (2, 5, 3), *[(2, k, 3) for k in range(10, 20)]], "ref long, target long, rule int")
+    got = codegraph.first_rule(found, "ref").collect()
+    assert sorted((r["ref"], r["rule"], r["target"]) for r in got) == [(1, 1, 7), (1, 1, 8), (2, 3, 5), (2, 3, 10), (2, 3, 11), (2, 3, 12)]
+
+
+def test_heads_of_circles_and_forks(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (4, 6), (7, 8), (8, 7), (9, 10)], "src long, dst long")
+    heads = graph.live_heads(edges, spark.createDataFrame([(5,), (6,)], "node long")).collect()
+    assert {(r["node"], r["head"]) for r in heads} == {(n, h) for n in (1, 2, 3, 4) for h in (5, 6)}
+
+
+def test_closest_files_and_members(spark):
+    wanted = spark.createDataFrame([(1, "src/a/x.py", "k"), (2, "lib/z.py", "k"), (3, "q.py", "none")], "ref long, path string, name string")
+    offered = spark.createDataFrame([(10, "src/a/y.py", "k"), (11, "src/b/y.py", "k"), (12, "src/a/w.py", "k")], "target long, path string, name string")
+    assert {tuple(r) for r in codegraph.closest(wanted, offered, "name").collect()} == {(1, 10), (1, 12), (2, 10), (2, 11), (2, 12)}
+    bases = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 4)], "src long, dst long")  # a circle must not loop
+    members = spark.createDataFrame([(3, "m", 30), (4, "m", 40), (9, "m", 90)], "cls long, name string, target long")
+    asked = spark.createDataFrame([(1, 1, "m"), (2, 2, "m"), (3, 1, "n")], "ref long, cls long, name string")
+    assert {tuple(r) for r in codegraph.nearest_member(asked, members, bases).collect()} == {(1, 40, 1), (2, 30, 1)}
+
+
+def test_trace_spends_its_budget_level_by_level(spark):
+    edges = spark.createDataFrame([(0, k) for k in range(1, 6)] + [(k, k + 10) for k in range(1, 6)] + [(11, 0)], "src long, dst long")
+    seeds = spark.createDataFrame([(7, 0)], "root long, node long")
+    got = [tuple(r)[1:] for r in codegraph.trace(edges, seeds, 5, 7).orderBy("level", "parent", "node").collect()]
+    assert got == [(1, 0, k) for k in range(1, 6)] + [(2, 1, 11), (2, 2, 12)]
+
+
+def test_status_of_linked_rules(spark):
+    from datetime import date, datetime
+
+    at = lambda d: datetime(2024, 1, d)
+    none = []
+    rows = [  # id, captured, status, text, until, reinforced, supersedes, conflict_with, review
+        (1, at(1), "active", "a", None, 0, none, none, none), (2, at(2), "active", "b", None, 0, [1], none, none), (3, at(3), "active", "c", None, 0, [1, 4], none, [6]),  # 4 is newer: no link
+        (4, at(4), "active", "d", None, 0, none, none, none), (5, at(5), "active", "d", None, 0, none, none, none), (6, at(2), "active", "e", None, 0, none, none, none),
+        (7, at(7), "active", "f", date(2024, 1, 9), 0, none, none, none), (8, at(8), "proposed", "g", None, 0, none, none, none), (9, at(9), "active", "h", None, 0, none, [1], none), (10, at(10), "conflict", "i", None, 0, none, none, none),
+    ]
+    schema = "id long, captured timestamp_ntz, status string, text_key string, valid_until date, reinforced int, supersedes array<long>, conflict_with array<long>, review array<long>"
+    got = {r["id"]: r for r in rulebook.derive_status(spark.createDataFrame(rows, schema), "2024-03-01", 30).collect()}
+    assert {i: r["status"] for i, r in got.items()} == {1: "superseded", 2: "conflict", 3: "conflict", 4: "active", 5: "superseded", 6: "active", 7: "retired", 8: "retired", 9: "conflict", 10: "active"}
+    assert (got[1]["superseded_by"], got[5]["superseded_by"], got[8]["archived"]) == (2, 4, True)
+    assert (got[2]["conflict_with"], got[9]["conflict_with"]) == ("3,9", "2,3") and got[6]["needs_review"] and not got[4]["needs_review"]
+
+
+@pytest.mark.parametrize("glob, path, ok", [("src/**/*.ts", "src/a/b.ts", True), ("*.md", "a/b.md", True), ("a**b", "x/a/y/b", False), ("a/[!b].c", "a/c.c", True), ("{a,b}/c", "b/c", True), ("", "x", False)])
+def test_globs(glob, path, ok):
+    import re
+
+    assert (re.search(globs.path_regex(glob), path) is not None) is ok
 
 
 def test_blocks_share_a_shrinking_budget(spark):
@@ -136,9 +178,9 @@ def test_blocks_share_a_shrinking_budget(spark):
 
 def test_work_state(spark):
     text = "# branch.oid abcdef1234\0# branch.head main\x001 .M N... 1 1 1 a b src/x y.py\x002 R. N... 1 1 1 a b R100 new.py\0old.py\0? extra.txt\0"
-    assert contexts.work_state(text) == {"branch": "main", "head": "abcdef1", "dirty": ["src/x y.py", "new.py", "extra.txt"]}
-    got = contexts.work_states(spark.createDataFrame([(1, None)], "i int, status string")).first()
-    assert (got["branch"], got["dirty"]) == ("?", [])
+    got = spark.createDataFrame([(text,), (None,)], "status string").select(code.work_state(F.col("status")).alias("w")).select("w.*").collect()
+    assert tuple(got[0]) == ("main", "abcdef1", ["src/x y.py", "new.py", "extra.txt"], 3)
+    assert (got[1]["branch"], got[1]["dirty"], got[1]["changed"]) == ("?", [], 0)
 
 
 def test_chase_stops_at_the_first_definition(spark):

@@ -5,6 +5,8 @@ import json
 
 import pytest
 
+from quarrylake.functions import signals
+from quarrylake.operators import codegraph
 from quarrylake.sources import code, rules, transcripts
 from quarrylake.streaming import sessions
 
@@ -68,7 +70,7 @@ def test_transcript_runs_and_cases(spark):
         call(3, "npm test", "t5"), result(3, "12 tests passed", "t6", False),
         call(4, "ls", "t7"), "{broken", "", None,
     ]
-    df = spark.createDataFrame([("s", x) for x in lines], "session string, value string")
+    df = transcripts.objects(spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "session string, line long, value string"))
     runs = {r["at"]: r for r in transcripts.command_runs(df).collect()}
     assert {k: (r["command"], r["ok"], r["seen"], r["signature"]) for k, r in runs.items()} == {
         "t1": ("npm test", False, False, "TS2345"), "t3": ("npm test", None, False, None), "t5": ("npm test", True, True, None)}
@@ -81,12 +83,13 @@ def test_transcript_runs_and_cases(spark):
     ("TypeError: x", None), ("MyCustomException at", "MyCustomException"), ("all fine", None),
 ])
 def test_signature(text, want):
-    assert transcripts.signature(text) == want
+    assert signals.signature(text) == want
 
 
 def test_commands_anywhere_in_json():
     value = {"a": [{"cmd": ["ls", "-l"]}], "arguments": '{"command": "pwd"}', "b": {"command": 3}}
-    assert list(transcripts.commands_in(value)) == ["ls -l", "pwd"]
+    assert transcripts.commands_in(value) == ["ls -l", "pwd"]
+    assert transcripts.commands_in({"cmd": ["bash", "-lc", "npm test"]}) == ["npm test"]
 
 
 PY = {
@@ -100,8 +103,8 @@ def test_code_facts_and_edges(spark):
     facts = code.extract_facts(spark.createDataFrame(list(PY.items()), "path string, value string"))
     assert {r["path"]: r["error"] for r in facts.collect()} == {"/r/base.py": None, "/r/app.py": None, "/r/bad.py": "SyntaxError"}
     assert {r["qname"] for r in code.symbols(facts).collect()} == {"Base", "Base.run", "helper", "App", "App.go"}
-    edges = {(r["path"], r["source"], r["kind"], r["target_path"], r["target"], r["weak"]) for r in code.call_edges(facts).collect()}
-    assert edges == {("/r/base.py", 1, "call", "/r/base.py", 2, False), ("/r/app.py", 0, "inherit", "/r/base.py", 0, False), ("/r/app.py", 1, "call", "/r/base.py", 1, True)}
+    edges = {(r["sid"], r["kind"], r["target"], r["weak"]) for r in codegraph.Project(facts).edges.collect()}
+    assert edges == {("/r/base.py#1", "call", "/r/base.py#2", False), ("/r/app.py#0", "inherit", "/r/base.py#0", False), ("/r/app.py#1", "call", "/r/base.py#1", False)}
 
 
 def test_diff_hunks_and_innermost_symbols(spark):
@@ -116,7 +119,8 @@ def test_file_listing(spark, tmp_path):
     for name in ("a.py", "node_modules/x.js", "src/b.ts"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("x")
-    assert sorted(r["path"].rsplit("/", 1)[1] for r in code.list_files(spark, str(tmp_path)).collect()) == ["a.py", "b.ts"]
+    assert sorted(r["path"] for r in code.list_files(spark, str(tmp_path)).collect()) == ["a.py", "src/b.ts"]
+    assert [r["path"] for r in code.list_files(spark, str(tmp_path), limit=1).collect()] == ["a.py"]
 
 
 def stream(spark, tmp_path, batches, schema):
