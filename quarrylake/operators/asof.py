@@ -109,6 +109,36 @@ def rolling_count(df: DataFrame, key: str, ts: str, tie: str, hours: int, name:
     return copies.withColumn(name, F.count("*").over(inside)).filter("_b = _own").drop("_us", "_own", "_b")
 
 
+def send_batches(df: DataFrame, key: str, ts: str, tie: str, kind: str, most: int, seconds: float) -> DataFrame:
+    """(key, tie, reason, n): when what is pending of each key is sent on, and how much that is.
+
+    ``kind`` is implicit, explicit, boundary or anything else.  Explicit rows are sent at once with all that
+    waits; implicit ones wait for ``most`` of them, a boundary, or until the oldest is ``seconds`` old, which
+    the next row of the key notices.  Rows are streamed in order.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, oldest = None, 0, None
+        for batch in batches:
+            out = []
+            for k, t, i, what in zip(batch[key].tolist(), batch[ts], batch[tie].tolist(), batch[kind], strict=True):
+                if k != at:
+                    at, held, oldest = k, 0, None
+                if held and (t - oldest).total_seconds() >= seconds:
+                    out.append((k, i, "time", held))
+                    held, oldest = 0, None
+                if what in ("implicit", "explicit"):
+                    held, oldest = held + 1, oldest if held else t
+                reason = "explicit" if what == "explicit" else "full" if held >= most else "boundary" if what == "boundary" and held else None
+                if reason:
+                    out.append((k, i, reason, held))
+                    held, oldest = 0, None
+            yield pd.DataFrame(out, columns=[key, tie, "reason", "n"])
+
+    kinds = dict(df.dtypes)
+    return df.repartition(key).sortWithinPartitions(key, ts, tie).mapInPandas(run, f"`{key}` {kinds[key]}, `{tie}` {kinds[tie]}, reason string, n int")
+
+
 def consolidate(df: DataFrame, key: str, order: list[str], content: str, authority: str) -> DataFrame:
     """Adds ``relation`` and ``target``: how each candidate changes the live record of its pool, in order.
 

@@ -79,13 +79,10 @@ QUERIES = [
     with_k("ag24_mean_known_cost", "SELECT l_returnflag, round(avg(CASE WHEN l_tax > 0 THEN l_extendedprice END), 4) AS mean_cost FROM {lineitem} GROUP BY l_returnflag"),
     with_k("ag25_precision_recall", "SELECT round(sum(hit) / greatest(1, sum(picked)), 6) AS precision, round(sum(hit) / greatest(1, sum(relevant)), 6) AS recall FROM (SELECT CASE WHEN d.n_chars > 500 THEN 1 ELSE 0 END AS picked, l.quality AS relevant, CASE WHEN d.n_chars > 500 THEN l.quality ELSE 0 END AS hit FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id)"),
     # queues, counters, logs
-    with_k("ad02_counter_snapshot", "SELECT user_id, k, n FROM (SELECT user_id, $K AS k, count(*) AS n, max(ts) AS at FROM {events} GROUP BY user_id, $K) WHERE k IS NOT NULL"),
     with_k("ad03_distinct_items_last_host", "SELECT user_id, count(DISTINCT $K) AS items, max_by(event_type, struct(ts, event_id)) AS last_host FROM {events} GROUP BY user_id", "SELECT user_id, count(DISTINCT $K) AS items, max_by(event_type, (ts, event_id)) AS last_host FROM events GROUP BY user_id"),
     with_k("ad04_failure_counters", "SELECT e.event_id, coalesce(f.n, 0) AS failures FROM {events} e LEFT JOIN (SELECT user_id, $K AS k, count(*) AS n FROM {events} WHERE event_type = 'error' GROUP BY user_id, $K) f ON e.user_id = f.user_id AND $EK = f.k WHERE e.event_type = 'view'".replace("$EK", "CAST(get_json_object(e.props, '$.k') AS BIGINT)"), "SELECT e.event_id, coalesce(f.n, 0) AS failures FROM events e LEFT JOIN (SELECT user_id, $K AS k, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id, $K) f ON e.user_id = f.user_id AND CAST(json_extract_string(e.props, '$.k') AS BIGINT) = f.k WHERE e.event_type = 'view'"),
     with_k("ad09_index_status", "SELECT (SELECT count(*) FROM {pages}) AS files, (SELECT count(DISTINCT lang) FROM {documents}) AS languages, (SELECT sum(n_chars) FROM {documents}) AS size, (SELECT count(*) FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id) AS stale", "SELECT (SELECT count(*) FROM pages) AS files, (SELECT count(DISTINCT lang) FROM documents) AS languages, (SELECT CAST(sum(n_chars) AS BIGINT) FROM documents) AS size, (SELECT count(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE d.doc_id = l.doc_id)) AS stale"),
     with_k("ad11_switch_resolution", "SELECT d.doc_id, coalesce(CAST(l.quality AS INT), CASE WHEN d.source = 'src0' THEN 1 END, 0) AS enabled FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id"),
-    with_k("ad12_provider_order", "SELECT s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN 'cost' ELSE 'default' END AS policy FROM {supplier} WHERE s_nationkey < 20 ORDER BY s_acctbal DESC, s_suppkey LIMIT 20"),
-    with_k("ad13_strike_demotion", "SELECT user_id, sum(strike) >= 2 AS demoted FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS strike, count(CASE WHEN event_type = 'purchase' THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS later_passes FROM {events}) WHERE later_passes = 0 GROUP BY user_id"),
     with_k("ad14_suite_evaluation", "SELECT l_partkey AS model, bool_and(l_discount >= 0.02) AS passed, min(CASE WHEN l_discount < 0.02 THEN l_orderkey END) AS first_failing_run FROM {lineitem} GROUP BY l_partkey"),
     with_k("ad15_stale_anchors", "SELECT p.p_partkey, p.p_name, s.last_ship < TIMESTAMP '2001-01-01 00:00:00' AS stale FROM {part} p LEFT JOIN (SELECT l_partkey, max(l_shipdate) AS last_ship FROM {lineitem} GROUP BY l_partkey) s ON p.p_partkey = s.l_partkey"),
     # mutations as derived tables
@@ -97,8 +94,5 @@ QUERIES = [
     with_k("dm07_tombstones", "SELECT e.event_id FROM {events} e LEFT ANTI JOIN (SELECT user_id, max(ts) AS cut FROM {events} WHERE event_type = 'signup' GROUP BY user_id) t ON e.user_id = t.user_id AND e.ts <= t.cut", "SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id, max(ts) AS cut FROM events WHERE event_type = 'signup' GROUP BY user_id) t WHERE e.user_id = t.user_id AND e.ts <= t.cut)"),
     # streaming-like, batch form
     with_k("sm07_session_gap", "SELECT user_id, session_window.start AS started, count(*) AS n FROM {events} GROUP BY user_id, session_window(ts, '6 hours')", "SELECT user_id, min(ts) AS started, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, island"),
-    with_k("sm08_cursor_overlap", "SELECT e.event_id FROM {events} e JOIN (SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN ts END) - INTERVAL '6' HOUR AS floor FROM {events} GROUP BY user_id) c ON e.user_id = c.user_id WHERE e.ts >= c.floor"),
-    with_k("sm12_batching_policy", "SELECT user_id, day, count(*) AS waiting, count(*) >= 5 OR max(event_type = 'purchase') AS flush FROM (SELECT user_id, CAST(ts AS DATE) AS day, event_type FROM {events}) GROUP BY user_id, day", "SELECT user_id, day, count(*) AS waiting, count(*) >= 5 OR bool_or(event_type = 'purchase') AS flush FROM (SELECT user_id, CAST(ts AS DATE) AS day, event_type FROM events) GROUP BY user_id, day"),
     Query("sm13_rate_limit", lambda s, sf: asof.rolling_count(table(s, sf, "events"), "user_id", "ts", "event_id", 1, "calls").selectExpr("event_id", "calls > 2 AS over_budget"), f"SELECT event_id, {HOUR} > 2 AS over_budget FROM events"),
-    with_k("sm14_retention_classes", "SELECT event_id, CASE WHEN event_type = 'view' THEN ts + INTERVAL '180' DAY ELSE ts + INTERVAL '90' DAY END AS keep_until FROM {events}"),
 ]

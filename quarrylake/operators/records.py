@@ -155,7 +155,6 @@ def tx24_pending_work(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = [
-    Query("er02_relation_application", er02_relations, ER02),
     Query("sc07_serialize_rules", sc07_serialize_rules, SC07),
     Query("sc05_parse_rules", sc05_parse_rules, SC05),
     Query("sc25_diff_hunks", sc25_diff_hunks, SC25),
@@ -165,9 +164,5 @@ QUERIES = [
     sql_query("sc33_recent_errors", "SELECT event_id, user_id, ts FROM {events} WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 20"),
     sql_query("so01_score_threshold", "SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM {orders} WHERE o_totalprice >= 100000) WHERE place <= 3"),
     sql_query("sm05_dedup_in_window", "SELECT user_id, event_type, window_start, min(event_id) AS first, count(*) AS seen FROM (SELECT *, date_trunc('hour', ts) AS window_start FROM {events}) GROUP BY user_id, event_type, window_start"),
-    sql_query("sm06_session_state", "SELECT user_id, count(DISTINCT event_type) AS kinds, count(CASE WHEN event_type = 'view' THEN 1 END) AS prompts, max(ts) + INTERVAL '2' HOUR AS expires FROM {events} GROUP BY user_id"),
-    sql_query("sm09_late_rows", "SELECT e.event_id, e.ts < f.floor AS late FROM {events} e JOIN (SELECT user_id, max(ts) - INTERVAL '6' HOUR AS floor FROM {events} GROUP BY user_id) f ON e.user_id = f.user_id"),
-    sql_query("er06_lenient_records", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k, get_json_object(props, '$.none') IS NULL AS partial FROM {events}", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, json_extract_string(props, '$.none') IS NULL AS partial FROM events"),
     sql_query("er07_lookup_by_affix", "SELECT c_custkey FROM {customer} WHERE c_name LIKE 'Customer#0000000%' OR c_name LIKE '%77'"),
-    sql_query("ad16_three_blocks", "SELECT block, count(*) AS n FROM (SELECT 'personal' AS block FROM {orders} WHERE o_orderpriority = '5-LOW' UNION ALL SELECT 'conflict' FROM {orders} WHERE o_orderstatus = 'P' UNION ALL SELECT 'recent' FROM {orders} WHERE o_orderdate >= TIMESTAMP '1998-07-01 00:00:00') GROUP BY block"),
 ]

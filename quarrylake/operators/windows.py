@@ -118,7 +118,5 @@ QUERIES = [
     sql_query("wn10_core_priority", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderstatus = 'O' ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, o_totalprice DESC, o_orderdate DESC, o_orderkey LIMIT 40"),
     sql_query("wn12_recent_supersedes", "SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT o_custkey, o_orderkey, o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM {orders}) WHERE before >= o_orderdate - INTERVAL '7' DAY ORDER BY o_orderdate DESC, o_orderkey LIMIT 5"),
     sql_query("so04_neighbour_bonus", "SELECT l_orderkey, l_partkey, l_linenumber, round(score + CASE WHEN l_returnflag = 'A' THEN 0.2 ELSE 0 END, 6) AS final FROM (SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag, l_discount * 5 AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_partkey, l_linenumber, l_suppkey) AS r FROM {lineitem}) WHERE r <= 6 AND score >= 0.15"),
-    sql_query("so06_model_ranking", "SELECT l_returnflag, l_linestatus, count(*) AS calls FROM {lineitem} GROUP BY l_returnflag, l_linestatus ORDER BY CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END, count(*), l_linestatus LIMIT 3"),
-    sql_query("so07_pair_overlap", "SELECT a.l_suppkey AS left_id, b.l_suppkey AS right_id, count(*) AS shared FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM {lineitem} WHERE l_returnflag = 'R') a JOIN (SELECT DISTINCT l_suppkey, l_orderkey FROM {lineitem} WHERE l_returnflag = 'R') b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY a.l_suppkey, b.l_suppkey ORDER BY shared DESC, left_id, right_id LIMIT 10"),
 ]
 QUERIES = [q if q.name != "wn07_seniority" else sql_query(q.name, "SELECT s.o_orderkey AS younger, t.o_orderkey AS elder FROM (SELECT o_orderkey, o_orderdate, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS other FROM {orders}) s JOIN {orders} t ON s.other = t.o_orderkey WHERE t.o_orderdate < s.o_orderdate OR (t.o_orderdate = s.o_orderdate AND t.o_orderkey < s.o_orderkey)") for q in QUERIES]

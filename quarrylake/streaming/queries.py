@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import ensure_checkpoint_dir
+from ..functions import fixed as X
+from ..operators import asof
+from ..operators.sinks import shared_folder
 from ..plans.query import Query, table
 from . import sessions
 
@@ -15,8 +15,7 @@ from . import sessions
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what there is and returns what it wrote, one partition for each batch."""
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, name)
     sink = sessions.write_once(f"{folder}/out", lambda batch: batch)
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -41,8 +40,7 @@ def sm05_throttle(spark: SparkSession, sf: str) -> DataFrame:
 def sm02_micro_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Good rows and dead letters of every batch, each batch written twice as after a crash; one copy stays."""
     rows = log(spark, sf).select("event_id", F.when(F.col("value") < 5, "dead").otherwise("done").alias("state"))
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/batches-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "batches")
     sink = sessions.write_once(f"{folder}/out", lambda batch: batch)
 
     def crashing(batch: DataFrame, number: int) -> None:
@@ -62,7 +60,154 @@ SM05 = """
     SELECT x[2] AS event_id FROM a WHERE x IS NOT NULL
 """
 
+
+def sm03_retried(spark: SparkSession, sf: str) -> DataFrame:
+    """Events tried again until done or given up: three failed writes or five failed model calls make a dead letter."""
+    folder = shared_folder(spark, "retries")
+    rows = log(spark, sf).select("event_id", F.expr("cast(get_json_object(props, '$.k') AS int) % 10").alias("form"))
+
+    def work(pending: DataFrame, attempt: int) -> DataFrame:
+        form = F.col("form")
+        return pending.withColumn("failure", F.when(form == 0, "write").when(form == 1, "model").when((form == 2) & F.lit(attempt <= 2), "model").when((form == 3) & F.lit(attempt == 1), "write").when((form == 4) & F.lit(attempt <= 4), F.lit("write" if attempt % 2 else "model")))
+
+    sink = sessions.with_retries(f"{folder}/out", work, {"write": 3, "model": 5})
+    rows.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, form int, state string, attempts int").parquet(f"{folder}/out").select("event_id", "state", "attempts")
+
+
+SM03 = "SELECT event_id, CASE WHEN f < 2 THEN 'dead' ELSE 'done' END AS state, (CASE f WHEN 0 THEN 3 WHEN 1 THEN 5 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 5 ELSE 1 END)::INT AS attempts FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS f FROM events)"
+
+
+def sm04_replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """Operations of events written by two streams that overlap, each batch delivered twice: every operation is there once."""
+    folder = shared_folder(spark, "replay")
+    k = F.expr("cast(get_json_object(props, '$.k') AS int)")
+    for label, part in (("a", k < 60), ("b", F.lit(True))):
+        sink = sessions.write_new(f"{folder}/out", ["event_id", "item"], label)
+
+        def twice(batch: DataFrame, number: int, sink=sink) -> None:
+            sink(batch, number)
+            sink(batch, number)
+
+        rows = log(spark, sf).filter(part).select("event_id", k.alias("item"))
+        rows.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/state-{label}").trigger(availableNow=True).start().awaitTermination()
+    back = spark.read.option("basePath", f"{folder}/out").schema("event_id long, item int, batch string").parquet(f"{folder}/out")
+    return back.select("event_id", "item", F.substring("batch", 1, 1).alias("stream"))
+
+
+SM04 = "SELECT event_id, k AS item, CASE WHEN k < 60 THEN 'a' ELSE 'b' END AS stream FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"
+
+
+def sm06_state(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "view", "prompt").when(F.col("event_type") == "click", "given").otherwise("other")
+    rows = log(spark, sf).select("user_id", "event_id", "ts", kind.alias("kind"), F.expr("cast(get_json_object(props, '$.k') AS long) % 7").alias("item"))
+    return drained(sessions.session_state(rows, "user_id", 48 * 3600), "state").select("event_id", "prompts", "given", "known")
+
+
+SM06 = """
+    WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS item, CASE WHEN ts - lag(ts) OVER w > INTERVAL '48 hours' THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    i AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM e),
+    g AS (SELECT *, count(*) FILTER (event_type = 'view') OVER w AS prompts, list_distinct(coalesce(list(item) FILTER (event_type = 'click') OVER w, [])) AS had FROM i WINDOW w AS (PARTITION BY user_id, island ORDER BY ts, event_id))
+    SELECT event_id, prompts::INT AS prompts, len(had)::INT AS given, list_contains(had, item) AS known FROM g WHERE event_type = 'view'
+"""
+
+
+def due_reads(ended: DataFrame, cursors: DataFrame, cursor: str, hours: int = X.CASE_QUIET_HOURS) -> DataFrame:
+    """(session, since, until): from where each session's transcript is read on.
+
+    ``ended`` has session and last_end, ``cursors`` session and done.  Sessions overlap, so those that ended
+    from a little before the global cursor on are looked at; each goes on after its own cursor.
+    """
+    floor = F.lit(cursor).cast("timestamp_ntz") - F.expr(f"INTERVAL {hours} HOURS")
+    both = ended.filter(F.col("last_end") > floor).join(cursors, "session", "left").filter("done IS NULL OR done < last_end")
+    return both.select("session", F.coalesce(F.col("done") + F.expr("INTERVAL 1 MILLISECOND"), floor).alias("since"), F.col("last_end").alias("until"))
+
+
+def kept_cursors(cursors: DataFrame, cursor: str, now: str, hours: int = X.CASE_QUIET_HOURS) -> DataFrame:
+    """Cursors that a later read can still need: those from a week ago or from the overlap before the global cursor on, whichever is earlier."""
+    floor = F.least(F.lit(now).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS"), F.lit(cursor).cast("timestamp_ntz") - F.expr(f"INTERVAL {hours} HOURS"))
+    return cursors.filter(F.col("done") >= floor)
+
+
+CURSOR, NOW = "2024-01-20 00:00:00", "2024-01-31 00:00:00"
+
+
+def session_cursors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf, "events")
+    ended = e.filter("event_type = 'purchase'").groupBy(F.col("user_id").alias("session")).agg(F.max("ts").alias("last_end"))
+    cursors = e.filter("user_id % 3 < 2").groupBy(F.col("user_id").alias("session")).agg(F.max(F.when((F.col("user_id") % 3 == 0) | (F.col("ts") < F.lit("2024-01-18 00:00:00").cast("timestamp_ntz")), F.col("ts"))).alias("done"))
+    return ended, cursors.filter("done IS NOT NULL")
+
+
+def sm08_due(spark: SparkSession, sf: str) -> DataFrame:
+    """What is read of each session, and how many events that is."""
+    ended, cursors = session_cursors(spark, sf)
+    due = due_reads(ended, cursors, CURSOR)
+    inside = table(spark, sf, "events").join(due, F.col("user_id") == F.col("session")).filter("ts >= since AND ts <= until").groupBy("session").agg(F.count("*").alias("events"))
+    return due.join(inside, "session", "left").select("session", "since", "until", F.coalesce("events", F.lit(0)).alias("events"))
+
+
+CURSORS = """
+    ended AS (SELECT user_id AS session, max(ts) AS last_end FROM events WHERE event_type = 'purchase' GROUP BY 1),
+    cursors AS (SELECT user_id AS session, max(ts) AS done FROM events WHERE user_id % 3 = 0 OR (user_id % 3 = 1 AND ts < TIMESTAMP '2024-01-18') GROUP BY 1)
+"""
+SM08 = f"""
+    WITH {CURSORS}, d AS (SELECT session, coalesce(done + INTERVAL '1 millisecond', TIMESTAMP '2024-01-19 18:00:00') AS since, last_end AS until FROM ended LEFT JOIN cursors USING (session) WHERE last_end > TIMESTAMP '2024-01-19 18:00:00' AND coalesce(done < last_end, true))
+    SELECT session, since, until, (SELECT count(*) FROM events e WHERE e.user_id = d.session AND e.ts BETWEEN d.since AND d.until) AS events FROM d
+"""
+
+
+def sm09_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that a resumed session would bring again: those up to the cursor that is kept for it count as late."""
+    _, cursors = session_cursors(spark, sf)
+    kept = kept_cursors(cursors, CURSOR, NOW)
+    return table(spark, sf, "events").join(kept, F.col("user_id") == F.col("session"), "left").select("event_id", F.coalesce(F.col("ts") <= F.col("done"), F.lit(False)).alias("late"))
+
+
+SM09 = f"WITH {CURSORS} SELECT event_id, EXISTS (SELECT 1 FROM cursors c WHERE c.session = e.user_id AND c.done >= TIMESTAMP '2024-01-19 18:00:00' AND e.ts <= c.done) AS late FROM events e"
+
+
+def sm12_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """When prompts of a session are sent on: at once with an explicit one, else five together, at a boundary, or after a day."""
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") == "view", "implicit").when(F.col("event_type") == "error", "explicit").when(F.col("event_type") == "signup", "boundary").otherwise("other").alias("kind"))
+    return asof.send_batches(e, "user_id", "ts", "event_id", "kind", 5, 24 * 3600)
+
+
+SM12 = """
+    WITH RECURSIVE r AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 'implicit' WHEN 'error' THEN 'explicit' WHEN 'signup' THEN 'boundary' ELSE 'other' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    f AS (
+        SELECT user_id, n, event_id, kind IN ('implicit', 'explicit') AS mine, CASE WHEN kind = 'explicit' THEN 0 WHEN kind = 'implicit' THEN 1 ELSE 0 END AS held, CASE WHEN kind = 'implicit' THEN ts END AS oldest, NULL::VARCHAR AS timed, 0 AS timed_n, CASE WHEN kind = 'explicit' THEN 'explicit' END AS sent, 1 AS sent_n FROM r WHERE n = 1
+        UNION ALL
+        SELECT user_id, n, event_id, kind IN ('implicit', 'explicit'), CASE WHEN kind = 'explicit' THEN 0 WHEN kind = 'boundary' THEN 0 WHEN kind = 'implicit' THEN CASE WHEN kept + 1 >= 5 THEN 0 ELSE kept + 1 END ELSE kept END,
+            CASE WHEN kind IN ('explicit', 'boundary') OR (kind = 'implicit' AND kept + 1 >= 5) THEN NULL WHEN kind = 'implicit' AND kept = 0 THEN ts ELSE old END, CASE WHEN over THEN 'time' END, CASE WHEN over THEN held ELSE 0 END,
+            CASE WHEN kind = 'explicit' THEN 'explicit' WHEN kind = 'implicit' AND kept + 1 >= 5 THEN 'full' WHEN kind = 'boundary' AND kept > 0 THEN 'boundary' END, CASE WHEN kind = 'boundary' THEN kept ELSE kept + 1 END
+        FROM (SELECT r.*, f.held, over, CASE WHEN over THEN 0 ELSE f.held END AS kept, CASE WHEN over THEN NULL ELSE f.oldest END AS old FROM (SELECT f.*, (r.ts - f.oldest >= INTERVAL '24 hours') IS TRUE AND f.held > 0 AS over FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1) f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1))
+    SELECT user_id, event_id, timed AS reason, timed_n AS n FROM f WHERE timed IS NOT NULL UNION ALL SELECT user_id, event_id, sent, sent_n FROM f WHERE sent IS NOT NULL
+"""
+
+
+def retained(rows: DataFrame, at: str, kind: str, days: dict[str, int], now: str) -> DataFrame:
+    """Rows that their class still keeps; classes without a limit keep all."""
+    limit = F.create_map(*[F.lit(x) for pair in days.items() for x in pair])[F.col(kind)]
+    age = F.timestamp_diff("SECOND", F.col(at), F.lit(now).cast("timestamp_ntz"))
+    return rows.filter(limit.isNull() | (age <= limit * 86_400))
+
+
+def sm14_retained(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("kind", F.when(F.col("event_type") == "view", "unprocessed").when(F.col("event_type") == "error", "case").when(F.col("event_type") == "signup", "session").when(F.col("event_type") == "click", "processed").otherwise("kept"))
+    return retained(e, "ts", "kind", {"processed": 10, "unprocessed": 20, "case": 15, "session": 7}, NOW).select("event_id", "kind")
+
+
+SM14 = "SELECT event_id, kind FROM (SELECT *, ['unprocessed', 'case', 'session', 'processed', 'kept'][list_position(['view', 'error', 'signup', 'click', 'purchase'], event_type)] AS kind FROM events) JOIN (VALUES ('unprocessed', 20), ('case', 15), ('session', 7), ('processed', 10), ('kept', 999)) d(kind2, days) ON kind = kind2 WHERE epoch_us(TIMESTAMP '2024-01-31') // 1000000 - epoch_us(ts) // 1000000 <= days * 86400"
+
 QUERIES = [
+    Query("sm03_offsets_and_dead_letters", sm03_retried, SM03),
+    Query("sm04_idempotent_replay", sm04_replayed, SM04),
+    Query("sm06_session_state", sm06_state, SM06),
+    Query("sm08_cursor_overlap", sm08_due, SM08),
+    Query("sm09_late_rows", sm09_late, SM09),
+    Query("sm12_batching_policy", sm12_batches, SM12),
+    Query("sm14_retention_classes", sm14_retained, SM14),
     Query("sm02_micro_batches", sm02_micro_batches, "SELECT event_id, CASE WHEN value < 5 THEN 'dead' ELSE 'done' END AS state FROM events"),
     Query("sm01_ingest_stream", sm01_ingest, "SELECT event_id, user_id, sha256(props) AS props, event_type = 'purchase' AS candidate FROM events"),
     Query("sm05_throttle_stream", sm05_throttle, SM05),

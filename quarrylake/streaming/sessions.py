@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.graph import checkpointed
+
 
 def throttle_stream(events: DataFrame, key: str, seconds: float) -> DataFrame:
     """(key, event_id, ts) of events that come more than ``seconds`` after the last accepted one of their key.
@@ -79,6 +82,86 @@ def session_windows(events: DataFrame, key: str, gap: str = "6 hours", lateness:
     return counted.select("key", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
+def session_state(events: DataFrame, key: str, ttl_seconds: int = 7200, most: int = 500) -> DataFrame:
+    """(key, event_id, prompts, given, known): what a session's state says at each of its prompts.
+
+    ``events`` has key, event_id, ts, kind (prompt, given or anything else) and item.  The state counts
+    prompts and keeps the last ``most`` items given; it is forgotten after ``ttl_seconds`` without an event.
+    ``known`` tells whether the prompt's own item was given before.
+    """
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, prompts, given = state.get if state.exists else (None, 0, [])
+        given = dict.fromkeys(given)
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        out = []
+        for event, at, kind, item in zip(rows["event_id"].tolist(), rows["ts"], rows["kind"], rows["item"].tolist(), strict=True):
+            now = at.timestamp()
+            if last is not None and now - last > ttl_seconds:
+                prompts, given = 0, {}
+            last = now
+            if kind == "prompt":
+                prompts += 1
+                out.append((keys[0], event, prompts, len(given), item in given))
+            elif kind == "given":
+                given.pop(item, None)
+                given[item] = None
+                if len(given) > most:
+                    del given[next(iter(given))]
+        state.update((last, prompts, list(given)))
+        yield pd.DataFrame(out, columns=["key", "event_id", "prompts", "given", "known"])
+
+    picked = events.select(F.col(key).alias("key"), "event_id", "ts", "kind", "item")
+    return picked.groupBy("key").applyInPandasWithState(step, "key long, event_id long, prompts int, given int, known boolean", "last double, prompts int, given array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def with_retries(out: str, work: Callable[[DataFrame, int], DataFrame], limits: dict[str, int]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that tries rows again until they are done or given up.
+
+    ``work`` adds ``failure``, null or one of the kinds in ``limits``; a row that has failed as often as its
+    kind allows is a dead letter.  A batch's outcome replaces what an earlier try of it has written.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        counters = [f"failed_{k}" for k in limits]
+        pending = checkpointed(batch.select("*", *[F.lit(0).alias(c) for c in counters]))
+        settled: list[DataFrame] = []
+        for attempt in range(1, sum(limits.values()) + 1):
+            tried = work(pending, attempt)
+            for kind, c in zip(limits, counters, strict=True):
+                tried = tried.withColumn(c, F.col(c) + F.when(F.col("failure") == kind, 1).otherwise(0))
+            gone = F.lit(False)
+            for (_, most), c in zip(limits.items(), counters, strict=True):
+                gone = gone | (F.col(c) >= most)
+            tried = checkpointed(tried.withColumn("state", F.when(F.col("failure").isNull(), "done").when(gone, "dead")).withColumn("attempts", F.lit(attempt)))
+            settled.append(tried.filter("state IS NOT NULL").select(*batch.columns, "state", "attempts"))
+            pending = tried.filter("state IS NULL").select(*batch.columns, *counters)
+            if pending.isEmpty():
+                break
+        every = settled[0]
+        for more in settled[1:]:
+            every = every.unionByName(more)
+        every.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return sink
+
+
+def write_new(out: str, keys: list[str], label: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that leaves out rows whose keys another batch has written; a replayed batch replaces itself."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        own = f"{label}-{number}"
+        rows = batch.dropDuplicates(keys)
+        try:
+            there = batch.sparkSession.read.option("basePath", out).parquet(out).filter(F.col("batch") != own).select(*keys)
+            rows = checkpointed(rows.join(there, keys, "left_anti"))
+        except AnalysisException:  # nothing has been written yet
+            pass
+        rows.write.mode("overwrite").parquet(f"{out}/batch={own}")
+
+    return sink
+
+
 def write_once(out: str, work: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink whose replay of a batch leaves one copy: each batch owns its partition."""
 
