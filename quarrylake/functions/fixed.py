@@ -79,7 +79,6 @@ GENERIC_TERMS = (
     "api apis ui ux ci cd pr prs id ids url urls uri http https json yaml yml xml csv sql db dto orm sdk cli ide test tests code file files log logs error errors bug fix class type types function "
     "method module package repo git commit branch main master merge dev prod build run script config env ok true false null none utf utc"
 ).split()
-NEGATION = r"\b(not|never|no|don't|dont|without|avoid|stop)\b|않|말고|말아|말라|마라|금지|없이|지 마|하지마|쓰지마|안 "
 # How a rule names what is to be left.
 NEGATIVE_NAME = (
     r"([A-Za-z][\w.+#@/-]*)\s*(?:을|를|은|는|이|가|로|으로|와|과)?\s*(?:대신|말고|빼고|금지|쓰지|사용하지|사용 금지|쓰면 안|제외)",

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import checkpointed
 from .fixed import ACK
 
 # Patterns and words that results depend on.
-WORD_RUN = r"[A-Za-z0-9_]+"
 HANGUL_RUN = r"[가-힣]{2,}"
 CASE_BREAKS = (("([a-z0-9])([A-Z])", "$1 $2"), ("([A-Z]+)([A-Z][a-z])", "$1 $2"))
 KEY_TERM = r"[A-Za-z][A-Za-z0-9]*(?:[._+#-][A-Za-z0-9]+)*[+#]*|\d+(?:\.\d+)*"
@@ -18,7 +20,6 @@ QUOTE_SIGNS = r"[`\"'“”‘’()\[\]{}]"
 POINTS = r"[.,;:!?。、]+"
 NEGATIONS = ("not", "never", "no", "don't", "dont", "without", "avoid", "stop")
 QUESTION_WORDS = ("what", "why", "how", "where", "when", "which", "who", "whose")
-ROLE_TAG = r"\[/?\s*(system|sys|inst|assistant|developer)\s*\]|<\|(im_start|im_end|system|assistant|user|endoftext)\|>"
 ASCII_PER_TOKEN, OTHER_PER_TOKEN = 4, 1.3
 
 #: Tokens of column {c} in DuckDB: word runs, their parts and themselves, of two letters at least.
@@ -34,18 +35,32 @@ def nfkc(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(changed)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A value that is worked out once and used several times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column) -> Column:
-    """Distinct tokens: ASCII words with their camel-case and underscore parts, and Hangul bigrams."""
-    text = nfkc(F.coalesce(text, F.lit("")))
+    """Distinct tokens: ASCII words with their camel-case and underscore parts, and Hangul bigrams.
+
+    The text is cleaned and split as a whole, not word by word: everything but word characters becomes a
+    blank, camel case is broken only where there is any, and both forms are split at blanks.
+    """
+
+    def of_ascii(words: Column) -> Column:
+        parted = F.when(words.rlike("[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"), F.regexp_replace(F.regexp_replace(words, *CASE_BREAKS[0]), *CASE_BREAKS[1])).otherwise(words)
+        parts = F.when(parted.contains("_") | (parted != words), F.split(F.translate(F.lower(parted), "_", " "), " ")).otherwise(F.array().cast("array<string>"))
+        return F.filter(F.array_distinct(F.concat(F.split(F.lower(words), " "), parts)), lambda t: F.length(t) >= 2)
 
-    def spaced(word: Column) -> Column:
-        for pattern, parted in CASE_BREAKS:
-            word = F.regexp_replace(word, pattern, parted)
-        return F.regexp_replace(word, "_+", " ")
+    def bigrams(whole: Column) -> Column:
+        runs = F.regexp_extract_all(whole, F.lit(HANGUL_RUN), F.lit(0))
+        return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
 
-    words = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(WORD_RUN), F.lit(0)), lambda w: F.concat(F.split(F.lower(spaced(w)), " "), F.array(F.lower(w)))))
-    hangul = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(HANGUL_RUN), F.lit(0)), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.array_distinct(F.concat(F.filter(words, lambda t: F.length(t) >= 2), hangul))
+    def of(whole: Column) -> Column:
+        latin = bound(F.regexp_replace(whole, r"[^A-Za-z0-9_]+", " "), of_ascii)
+        return F.when(whole.rlike(HANGUL_RUN), F.concat(latin, bigrams(whole))).otherwise(latin)
+
+    return bound(nfkc(F.coalesce(text, F.lit(""))), of)
 
 
 def approx_tokens(text: Column) -> Column:
@@ -139,14 +154,28 @@ def idf(posted: DataFrame, n: int) -> DataFrame:
     return posted.groupBy("tok").agg(F.count("*").alias("df")).withColumn("w", F.log(1 + F.lit(max(1, n)) / F.col("df")))
 
 
-def overlap_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(query, doc, inter): weights of the tokens that a query shares with a document.
+def shared_tokens(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc, tok) of the tokens that some query has, and (query, tok, df) with df null where no document has it.
 
-    The query set is stated and small; documents keep only tokens that some query has before they meet
-    the queries, and the sums are pre-aggregated on the map side.
+    The query set is stated and small.  Documents are tokenised once, and only the tokens that queries ask
+    for leave them.
     """
-    posted = postings(docs, doc_id, text_col)
-    asked = postings(queries, query_id, text_col)
-    weights = idf(posted, docs.count())
-    wanted = asked.join(weights.select("tok", "w"), "tok")
-    return posted.join(wanted, "tok").groupBy(query_id, doc_id).agg(F.sum("w").alias("inter"))
+    asked = checkpointed(postings(queries, query_id, text_col))
+    posted = checkpointed(postings(docs, doc_id, text_col).join(asked.select("tok").distinct(), "tok", "left_semi"))
+    return posted, asked.join(posted.groupBy("tok").agg(F.count("*").alias("df")), "tok", "left")
+
+
+def overlap_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(query, doc, inter): weights of the tokens that a query shares with a document."""
+    posted, asked = shared_tokens(docs, queries, doc_id, query_id, text_col)
+    weighted = asked.filter("df IS NOT NULL").select(query_id, "tok", F.log(1 + F.lit(max(1, docs.count())) / F.col("df")).alias("w"))
+    return posted.join(weighted, "tok").groupBy(query_id, doc_id).agg(F.sum("w").alias("inter"))
+
+
+def coverage(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(query, doc, coverage): the share of a query's token weight that a document has; unknown tokens weigh most."""
+    posted, asked = shared_tokens(docs, queries, doc_id, query_id, text_col)
+    weighted = checkpointed(asked.select(query_id, "tok", F.log(1 + F.lit(max(1, docs.count())) / F.coalesce(F.col("df"), F.lit(0.5))).alias("w")))
+    total = weighted.groupBy(query_id).agg(F.sum("w").alias("total"))
+    hit = posted.join(weighted, "tok").groupBy(query_id, doc_id).agg(F.sum("w").alias("hit"))
+    return hit.join(total, query_id).select(query_id, doc_id, F.round(F.col("hit") / F.col("total"), 5).alias("coverage"))

@@ -155,14 +155,6 @@ def overridden(members: DataFrame, bases: DataFrame, depth: int = 8) -> DataFram
     return union(*found) if found else members.select(F.col("target").alias("member"), F.col("target").alias("base"), F.lit(0).alias("depth")).limit(0)
 
 
-def satisfied(members: DataFrame, interfaces: DataFrame) -> DataFrame:
-    """(cls, interface): classes that have every member name of an interface; both sides have cls and name."""
-    wanted = interfaces.select(F.col("cls").alias("interface"), "name").distinct()
-    need = wanted.groupBy("interface").agg(F.count("*").alias("need"))
-    have = members.select("cls", "name").distinct().join(wanted, "name").groupBy("cls", "interface").agg(F.count("*").alias("have"))
-    return have.join(need, "interface").filter((F.col("have") == F.col("need")) & (F.col("cls") != F.col("interface"))).select("cls", "interface")
-
-
 def attach_owners(methods: DataFrame, types: DataFrame) -> DataFrame:
     """(method, target, rule): the type a method declared outside belongs to.
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import checkpointed
 from ..plans.query import Query, sql_query, table
 
 #: Orders of a customer form a chain: a newer order replaces the one before it.
@@ -14,21 +13,6 @@ CHAIN = "SELECT o_orderkey AS src, lag(o_orderkey) OVER (PARTITION BY o_custkey
 DUCK_CHAIN = CHAIN.replace("{orders}", "orders")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Takes the shared folder named in ``spark.checkpoint.dir``; a folder of its own only where that is unset and the master is local."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="quarrylake-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(node, level) of everything within ``depth`` steps of the seeds; level is that of the first reach.
 

@@ -9,8 +9,6 @@ from ..functions import text as T
 from ..plans.query import Query, sql_query, table
 from . import asof
 
-K = "CAST(get_json_object(props, '$.k') AS BIGINT)"
-
 
 def jn04_reply_before(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -55,37 +55,9 @@ SM10 = """
 """
 
 
-def sm11_case_machine(spark: SparkSession, sf: str) -> DataFrame:
-    """Failures of a session up to the pass that resolves them: first failure, number of failures, resolving event."""
-    runs = table(spark, sf, "events").filter("event_type in ('error', 'purchase')")
-    passed, failed = F.col("event_type") == "purchase", F.col("event_type") == "error"
-    counted = asof.running_count(runs, "user_id", "ts", "event_id", passed, "passes").withColumn("island", F.col("passes") - F.when(passed, 1).otherwise(0))
-    at = F.struct("ts", "event_id")
-    folded = counted.groupBy("user_id", "island").agg(F.min(F.when(failed, at))["event_id"].alias("failed_id"), F.count(F.when(failed, 1)).alias("failures"), F.min(F.when(passed, at))["event_id"].alias("resolved_id"))
-    return folded.filter("failures > 0").select("user_id", "failed_id", "failures", "resolved_id", F.when(F.col("resolved_id").isNull(), "failed").otherwise("resolved").alias("state"))
-
-
-SM11 = """
-    WITH r AS (SELECT *, coalesce(count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM events WHERE event_type IN ('error', 'purchase')),
-    g AS (SELECT user_id, island, arg_min(event_id, (ts, event_id)) FILTER (WHERE event_type = 'error') AS failed_id, count(*) FILTER (WHERE event_type = 'error') AS failures, arg_min(event_id, (ts, event_id)) FILTER (WHERE event_type = 'purchase') AS resolved_id FROM r GROUP BY ALL)
-    SELECT user_id, failed_id, failures, resolved_id, CASE WHEN resolved_id IS NULL THEN 'failed' ELSE 'resolved' END AS state FROM g WHERE failures > 0
-"""
-
-
-def so08_prompt_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """The eight best documents of each prompt above the threshold."""
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return ag16_weighted_overlap(spark, sf).withColumn("place", F.row_number().over(order)).filter("place <= 8")
-
-
 def ag17_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Share of each prompt's token weight that a document covers, where it is half or more."""
-    docs, asked = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    df = T.postings(docs, "doc_id", "text").groupBy("tok").agg(F.count("*").alias("df"))
-    want = T.postings(asked, "item_id", "text").join(df, "tok", "left").withColumn("w", F.log(1 + F.lit(max(1, docs.count())) / F.coalesce(F.col("df"), F.lit(0.5))))
-    total = want.groupBy("item_id").agg(F.sum("w").alias("total"))
-    hit = T.postings(docs, "doc_id", "text").join(want.select("item_id", "tok", "w"), "tok").groupBy("item_id", "doc_id").agg(F.sum("w").alias("hit"))
-    return hit.join(total, "item_id").select("item_id", "doc_id", F.round(F.col("hit") / F.col("total"), 5).alias("coverage")).filter("coverage >= 0.5")
+    return T.coverage(table(spark, sf, "documents"), table(spark, sf, "benchmark")).filter("coverage >= 0.5")
 
 
 AG17 = f"""
@@ -98,41 +70,6 @@ AG17 = f"""
 """
 
 
-def er04_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """The first three marker sentences of each document."""
-    said = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"[.!?]\s+")).alias("pos", "s"))
-    marked = said.filter(F.lower("s").rlike("(^|[^a-z])(always|never|must|should|token|for)([^a-z]|$)"))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    return marked.withColumn("place", F.row_number().over(order)).filter("place <= 3").select("doc_id", "place", F.sha2("s", 256).alias("sentence"))
-
-
-def tx11_unsupported_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """Key terms of a reply that its prompt does not have."""
-    said = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    before = said.select("conv_id", (F.col("turn") + 1).alias("turn"), F.lower("text").alias("prompt"))
-    replies = said.filter("role = 'assistant'").join(before, ["conv_id", "turn"])
-    missing = F.filter(T.key_terms(F.col("text")), lambda t: ~F.contains(F.col("prompt"), t))
-    return replies.select("conv_id", "turn", F.size(missing).alias("unsupported"))
-
-
-def er02_relations(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders of a customer applied one after another to the live one; the priority is the authority."""
-    orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", (6 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("authority"))
-    return asof.consolidate(orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderstatus", "authority").select("o_orderkey", "relation", "target")
-
-
-ER02 = """
-    WITH RECURSIVE r AS (SELECT o_custkey, o_orderkey, o_orderstatus AS c, 6 - CAST(substr(o_orderpriority, 1, 1) AS INT) AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
-    f AS (
-        SELECT o_custkey, n, o_orderkey, 'new' AS relation, NULL::BIGINT AS target, o_orderkey AS live, c AS lc, a AS la FROM r WHERE n = 1
-        UNION ALL
-        SELECT r.o_custkey, r.n, r.o_orderkey, CASE WHEN r.c = f.lc THEN 'duplicate' WHEN r.a >= f.la THEN 'supersede' ELSE 'conflict' END, f.live,
-            CASE WHEN r.c <> f.lc AND r.a >= f.la THEN r.o_orderkey ELSE f.live END, CASE WHEN r.c <> f.lc AND r.a >= f.la THEN r.c ELSE f.lc END, CASE WHEN r.c <> f.lc AND r.a >= f.la THEN r.a ELSE f.la END
-        FROM f JOIN r ON r.o_custkey = f.o_custkey AND r.n = f.n + 1)
-    SELECT o_orderkey, relation, target FROM f
-"""
-
-
 def sc07_serialize_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as rule rows, written as file text, and read again: what comes back is what was written."""
     files = table(spark, sf, "documents").select(F.concat(F.lit("facts/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("value"))
@@ -147,13 +84,6 @@ SC07 = r"""
 """
 
 
-def tx24_pending_work(spark: SparkSession, sf: str) -> DataFrame:
-    """The part of each reply from its last sentence on, where that names what is left to do."""
-    replies = table(spark, sf, "conversations").filter("role = 'assistant'")
-    last = F.element_at(T.sentences(F.col("text")), -1)
-    return replies.select("conv_id", "turn", F.length(last).alias("size"))
-
-
 QUERIES = [
     Query("sc07_serialize_rules", sc07_serialize_rules, SC07),
     Query("sc05_parse_rules", sc05_parse_rules, SC05),

@@ -6,13 +6,15 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.query import Query, table
 from ..sources import rules, transcripts
-from .graph import DUCK_CHAIN, chain, ensure_checkpoint_dir
+from ..lineage import checkpointed
+from ..lineage import ensure_checkpoint_dir
+from .graph import DUCK_CHAIN, chain
 from .wording import D
 
 
@@ -32,39 +34,6 @@ def chase(links: DataFrame, starts: DataFrame, defined: DataFrame, hops: int) ->
     return out
 
 
-GR07 = f"""
-    WITH RECURSIVE e AS (SELECT * FROM ({DUCK_CHAIN}) WHERE dst IS NOT NULL),
-    w AS (
-        SELECT o_orderkey AS node, o_orderkey AS here, 0 AS hops, false AS ok FROM orders WHERE o_orderstatus = 'O'
-        UNION ALL SELECT w.node, e.dst, w.hops + 1, o.o_orderstatus = 'F' FROM w JOIN e ON e.src = w.here JOIN orders o ON o.o_orderkey = e.dst WHERE NOT w.ok AND w.hops < 4)
-    SELECT node, here AS target, hops FROM w WHERE ok
-"""
-
-
-GR08 = """
-    WITH p AS (SELECT DISTINCT p_type AS package FROM part UNION SELECT p_type || '.' || p_brand FROM part WHERE p_size > 25)
-    SELECT p_partkey, arg_max(package, length(package)) AS package FROM part JOIN p ON package = p_type OR package = p_type || '.' || p_brand GROUP BY p_partkey
-"""
-
-
-def gr10_receiver_types(spark: SparkSession, sf: str) -> DataFrame:
-    """What kind of part a supplier's lines return: its own urgent lines say, else its nation, else its region."""
-    lines, part, supplier, nation = (table(spark, sf, t) for t in ("lineitem", "part", "supplier", "nation"))
-    typed = lines.filter("l_discount >= 0.09 and l_quantity > 45").join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    best = lambda key: typed.groupBy(key).agg(F.min("p_type").alias(f"by_{key}"))
-    known = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(best("s_suppkey"), "s_suppkey", "left").join(best("s_nationkey"), "s_nationkey", "left").join(best("n_regionkey"), "n_regionkey", "left")
-    rule = F.when(F.col("by_s_suppkey").isNotNull(), 1).when(F.col("by_s_nationkey").isNotNull(), 2).when(F.col("by_n_regionkey").isNotNull(), 3)
-    return known.select("s_suppkey", F.coalesce("by_s_suppkey", "by_s_nationkey", "by_n_regionkey").alias("type"), rule.alias("rule"))
-
-
-GR10 = """
-    WITH t AS (SELECT s_suppkey, s_nationkey, n_regionkey, p_type FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_discount >= 0.09 AND l_quantity > 45),
-    a AS (SELECT s_suppkey, min(p_type) AS x FROM t GROUP BY 1), b AS (SELECT s_nationkey, min(p_type) AS x FROM t GROUP BY 1), c AS (SELECT n_regionkey, min(p_type) AS x FROM t GROUP BY 1)
-    SELECT s.s_suppkey, coalesce(a.x, b.x, c.x) AS type, CASE WHEN a.x IS NOT NULL THEN 1 WHEN b.x IS NOT NULL THEN 2 WHEN c.x IS NOT NULL THEN 3 END AS rule
-    FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN a ON a.s_suppkey = s.s_suppkey LEFT JOIN b ON b.s_nationkey = s.s_nationkey LEFT JOIN c ON c.n_regionkey = n.n_regionkey
-"""
-
-
 def save_snapshot(df: DataFrame, folder: str, generation: int) -> None:
     """One folder for each generation; an existing one is an error, so two writers cannot both win."""
     df.write.mode("errorifexists").parquet(f"{folder}/generation={generation}")
@@ -90,7 +59,8 @@ def gr29_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 def jn18_pair_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of the rule pool whose weighted overlap is 0.1 or more, each pair once."""
     pool = table(spark, sf, "benchmark")
-    posted = T.postings(pool, "item_id", "text").join(T.idf(T.postings(pool, "item_id", "text"), pool.count()).select("tok", "w"), "tok")
+    bare = checkpointed(T.postings(pool, "item_id", "text"))
+    posted = checkpointed(bare.join(T.idf(bare, pool.count()).select("tok", "w"), "tok"))
     size = posted.groupBy("item_id").agg(F.sum("w").alias("n"))
     a, b = posted.withColumnRenamed("item_id", "a"), posted.select(F.col("item_id").alias("b"), "tok")
     inter = a.join(b, "tok").filter("a < b").groupBy("a", "b").agg(F.sum("w").alias("inter"))
@@ -107,32 +77,6 @@ JN18 = f"""
 """
 
 
-def ad05_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents and turns of both kinds together: the five that cover each query best, from 0.3 up."""
-    docs = table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("part"), "text")
-    turns = table(spark, sf, "conversations").select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").cast("long").alias("part"), "text")
-    pool = docs.unionByName(turns)
-    posted = pool.select("kind", "id", "part", F.explode(T.tokens(F.col("text"))).alias("tok"))
-    df = posted.groupBy("tok").agg(F.count("*").alias("df"))
-    want = T.postings(table(spark, sf, "benchmark"), "item_id", "text").join(df, "tok", "left").withColumn("w", F.log(1 + F.lit(max(1, pool.count())) / F.coalesce(F.col("df"), F.lit(0.5))))
-    total = want.groupBy("item_id").agg(F.sum("w").alias("total"))
-    hit = posted.join(want.filter("df is not null").select("item_id", "tok", "w"), "tok").groupBy("item_id", "kind", "id", "part").agg(F.sum("w").alias("hit"))
-    scored = hit.join(total, "item_id").withColumn("coverage", F.round(F.col("hit") / F.col("total"), 5)).filter("coverage >= 0.3")
-    order = Window.partitionBy("item_id").orderBy(F.desc("coverage"), "kind", "id", "part")
-    return scored.withColumn("place", F.row_number().over(order)).filter("place <= 5").select("item_id", "kind", "id", "part", "coverage", "place")
-
-
-AD05 = f"""
-    WITH pool AS (SELECT 'document' AS kind, doc_id AS id, 0::BIGINT AS part, text FROM documents UNION ALL SELECT 'turn', conv_id, turn::BIGINT, text FROM conversations),
-    d AS (SELECT kind, id, part, unnest({D}) AS tok FROM pool), q AS (SELECT DISTINCT item_id, tok FROM (SELECT item_id, unnest({D}) AS tok FROM benchmark)),
-    f AS (SELECT tok, count(*) AS df FROM d GROUP BY tok),
-    w AS (SELECT item_id, q.tok, ln(1 + (SELECT count(*) FROM pool) / coalesce(f.df, 0.5)) AS w FROM q LEFT JOIN f ON q.tok = f.tok),
-    t AS (SELECT item_id, sum(w) AS total FROM w GROUP BY item_id),
-    c AS (SELECT item_id, kind, id, part, round(sum(w.w) / any_value(total), 5) AS coverage FROM w JOIN d USING (tok) JOIN t USING (item_id) GROUP BY item_id, kind, id, part)
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC, kind, id, part) AS place FROM c WHERE coverage >= 0.3) WHERE place <= 5
-"""
-
-
 def sc06_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Bodies with three headings, split into their sections."""
     body = F.concat(F.lit("# Title\n## Rule\n"), "text", F.lit("\n## Why\nsafety\n## Odd heading\n"), F.col("item_id").cast("string"))

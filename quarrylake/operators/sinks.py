@@ -15,7 +15,8 @@ from ..functions.screening import redact_secrets
 from ..functions.signals import column
 from ..plans.query import KEY, Query, table, worked
 from ..sources import code, rules
-from .graph import chain, checkpointed, ensure_checkpoint_dir
+from ..lineage import checkpointed, ensure_checkpoint_dir
+from .graph import chain
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

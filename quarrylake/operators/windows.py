@@ -59,32 +59,9 @@ WN11 = """
 """
 
 
-def wn13_best_sentence(spark: SparkSession, sf: str) -> DataFrame:
-    """Where the sentence with most words of the fixed query stands, in every document; the first wins a tie."""
-    words = F.array(*map(F.lit, ("the", "that", "der", "que", "la")))
-    said = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"[.!?]\s+")).alias("pos", "s"))
-    score = F.size(F.array_intersect(F.array_distinct(F.split(F.lower("s"), "[^a-z]+")), words))
-    return said.withColumn("score", score).groupBy("doc_id").agg(F.max_by("pos", F.struct("score", -F.col("pos"))).alias("best"), F.max("score").alias("score"))
-
-
-WN13 = r"""
-    SELECT doc_id, arg_max(pos, (score, -pos)) AS best, max(score) AS score FROM (
-        SELECT doc_id, pos - 1 AS pos, len(list_intersect(regexp_split_to_array(lower(s), '[^a-z]+'), ['the', 'that', 'der', 'que', 'la'])) AS score
-        FROM (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?]\s+') AS p FROM documents)))
-    GROUP BY doc_id
-"""
-
-
 def so02_recall_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Coverage of a query by each document plus a bonus for young ones; the five best per query."""
-    docs, asked = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    n = max(1, docs.count())
-    want = T.postings(asked, "item_id", "text")
-    df = T.postings(docs, "doc_id", "text").groupBy("tok").agg(F.count("*").alias("df"))
-    weighted = want.join(df, "tok", "left").withColumn("w", F.log(1 + F.lit(n) / F.coalesce(F.col("df"), F.lit(0.5))))
-    total = weighted.groupBy("item_id").agg(F.sum("w").alias("total"))
-    hits = T.postings(docs, "doc_id", "text").join(weighted.filter("df is not null").select("item_id", "tok", "w"), "tok").groupBy("item_id", "doc_id").agg(F.sum("w").alias("hit"))
-    scored = hits.join(total, "item_id").withColumn("coverage", F.round(F.col("hit") / F.col("total"), 5))
+    scored = T.coverage(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     age = F.col("doc_id") % 90
     ranked = scored.filter("coverage >= 0.3").withColumn("score", F.round(F.col("coverage") + 0.1 * F.exp(-age / 30), 5))
     from pyspark.sql import Window

@@ -8,15 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..lineage import checkpointed
 from ..plans.query import Query, table
 
 D = T.DUCK_TOKENS.format(c="text")
 #: Canonical wording in DuckDB (the fixture tables hold no compatibility characters).
 CANON = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(translate(text, '‘’“”', '''''""'), '\s+', ' ', 'g'))), '[`"''“”‘’()\[\]{}]', '', 'g'), '[.,;:!?。、]+', ' ', 'g'), '\s+', ' ', 'g'))"""
 
-#: Redaction in DuckDB: what the tables hold of credentials are assigned tokens.
-REDACTED = r"""regexp_replace(text, '\b(token\s*=\s*")[0-9a-f]{40}(")', '\1{token}\2', 'g')"""
-
 
 def per_row(name: str, source: str, key: str, columns: dict[str, Callable[[Column], Column]], oracle: str | None, text: str = "text") -> Query:
     """A projection of one text column."""
@@ -64,11 +62,11 @@ def ag15_document_frequency(spark: SparkSession, sf: str) -> DataFrame:
 def ag16_weighted_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """inter / sqrt(query weight * document weight) of the query set with every document, from 0.12 up."""
     docs, asked = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    posted, n = T.postings(docs, "doc_id", "text"), docs.count()
-    w = T.idf(posted, n)
+    posted, n = checkpointed(T.postings(docs, "doc_id", "text")), docs.count()
+    w = checkpointed(T.idf(posted, n).select("tok", "w"))
     top = F.log(1 + F.lit(float(max(1, n))))
     dn = posted.join(w, "tok").groupBy("doc_id").agg(F.sum("w").alias("dn"))
-    want = T.postings(asked, "item_id", "text").join(w.select("tok", "w"), "tok", "left").withColumn("w", F.coalesce("w", top))
+    want = checkpointed(T.postings(asked, "item_id", "text").join(w, "tok", "left").withColumn("w", F.coalesce("w", top)))
     qn = want.groupBy("item_id").agg(F.sum("w").alias("qn"))
     inter = posted.join(want, "tok").groupBy("item_id", "doc_id").agg(F.sum("w").alias("inter"))
     score = F.round(F.col("inter") / F.sqrt(F.col("qn") * F.col("dn")), 5)
