@@ -17,7 +17,7 @@ DUCK_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
 def with_k(name: str, text: str, oracle: str | None = None):
-    return sql_query(name, text.replace("$K", K), (oracle or text).replace("$K", DUCK_K))
+    return sql_query(name, text.replace("$K", K), oracle and oracle.replace("$K", DUCK_K))
 
 
 #: Events of the same session in the hour up to a row.

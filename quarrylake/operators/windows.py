@@ -90,10 +90,9 @@ QUERIES = [
     Query("so02_recall_rank", so02_recall_rank, SO02),
     sql_query("wn03_first_and_last_prompts", "SELECT user_id, event_id, first_place, last_place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first_place, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS last_place FROM {events} WHERE event_type = 'view') WHERE first_place <= 3 OR last_place <= 3"),
     sql_query("wn06_newest_per_signature", "SELECT signature, max_by(event_id, struct(resolved, ts, event_id)) AS case_id FROM (SELECT concat(event_type, ':', props) AS signature, CASE WHEN value > 50 THEN 1 ELSE 0 END AS resolved, ts, event_id FROM {events}) GROUP BY signature", "SELECT concat(event_type, ':', props) AS signature, max_by(event_id, (CASE WHEN value > 50 THEN 1 ELSE 0 END, ts, event_id)) AS case_id FROM events GROUP BY signature"),
-    sql_query("wn07_seniority", "SELECT s.o_orderkey AS younger, t.o_orderkey AS elder FROM (SELECT o_orderkey, o_orderdate, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS other FROM {orders}) s JOIN {orders} t ON s.other = t.o_orderkey WHERE (t.o_orderdate, t.o_orderkey) < (s.o_orderdate, s.o_orderkey)", None),
+    sql_query("wn07_seniority", "SELECT s.o_orderkey AS younger, t.o_orderkey AS elder FROM (SELECT o_orderkey, o_orderdate, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS other FROM {orders}) s JOIN {orders} t ON s.other = t.o_orderkey WHERE t.o_orderdate < s.o_orderdate OR (t.o_orderdate = s.o_orderdate AND t.o_orderkey < s.o_orderkey)"),
     sql_query("wn09_latest_open", "SELECT o_custkey, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS latest FROM {orders} WHERE o_orderstatus = 'O' GROUP BY o_custkey", "SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey"),
     sql_query("wn10_core_priority", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderstatus = 'O' ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, o_totalprice DESC, o_orderdate DESC, o_orderkey LIMIT 40"),
     sql_query("wn12_recent_supersedes", "SELECT o_custkey, o_orderkey, o_orderdate FROM (SELECT o_custkey, o_orderkey, o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM {orders}) WHERE before >= o_orderdate - INTERVAL '7' DAY ORDER BY o_orderdate DESC, o_orderkey LIMIT 5"),
     sql_query("so04_neighbour_bonus", "SELECT l_orderkey, l_partkey, l_linenumber, round(score + CASE WHEN l_returnflag = 'A' THEN 0.2 ELSE 0 END, 6) AS final FROM (SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag, l_discount * 5 AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_partkey, l_linenumber, l_suppkey) AS r FROM {lineitem}) WHERE r <= 6 AND score >= 0.15"),
 ]
-QUERIES = [q if q.name != "wn07_seniority" else sql_query(q.name, "SELECT s.o_orderkey AS younger, t.o_orderkey AS elder FROM (SELECT o_orderkey, o_orderdate, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS other FROM {orders}) s JOIN {orders} t ON s.other = t.o_orderkey WHERE t.o_orderdate < s.o_orderdate OR (t.o_orderdate = s.o_orderdate AND t.o_orderkey < s.o_orderkey)") for q in QUERIES]

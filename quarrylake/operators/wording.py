@@ -85,6 +85,8 @@ AG16 = f"""
     SELECT * FROM (SELECT item_id, doc_id, round(inter / sqrt(qn * dn), 5) AS score FROM i JOIN qn USING (item_id) JOIN dn USING (doc_id)) WHERE score >= 0.12
 """
 
+TX13 = "SELECT doc_id, sha256(coalesce(array_to_string(u[1:5], chr(10)), '')) AS excerpt FROM (SELECT doc_id, list(s ORDER BY p) FILTER (WHERE s IS NOT NULL) AS u FROM (SELECT doc_id, s, min(p) AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents) WHERE regexp_matches(lower(s), 'error|fail|token') GROUP BY doc_id, s) RIGHT JOIN (SELECT doc_id FROM documents) USING (doc_id) GROUP BY doc_id)"
+
 QUERIES = [
     per_row("tx01_normalise", "documents", "doc_id", {"digest": lambda t: F.sha2(T.collapse(t), 256)}, r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents"),
     per_row("tx02_tokens", "documents", "doc_id", {"n": lambda t: F.size(T.tokens(t)), "digest": lambda t: F.sha2(F.concat_ws(" ", F.array_sort(T.tokens(t))), 256)}, f"SELECT doc_id, len({D}) AS n, sha256(array_to_string(list_sort({D}), ' ')) AS digest FROM documents"),
@@ -95,7 +97,7 @@ QUERIES = [
     per_row("tx09_canonical", "documents", "doc_id", {"digest": lambda t: F.sha2(T.canonical(t), 256), "negated": T.negated}, f"SELECT doc_id, sha256({CANON}) AS digest, regexp_matches(lower(text), '(^|[^a-z0-9_])(not|never|no|don''t|dont|without|avoid|stop)([^a-z0-9_]|$)') AS negated FROM documents"),
     per_row("tx09_key_terms", "documents", "doc_id", {"n": lambda t: F.size(T.key_terms(t))}, r"SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]*(?:[._+#-][A-Za-z0-9]+)*[+#]*|\d+(?:\.\d+)*'), lambda x: lower(x)))) AS n FROM documents"),
     Query("tx10_same_rule", tx10_same_rule, TX10),
-    per_row("tx13_error_excerpt", "documents", "doc_id", {"excerpt": lambda t: F.sha2(F.array_join(F.slice(F.array_distinct(F.filter(F.split(t, "\n"), lambda s: F.lower(s).rlike("error|fail|token"))), 1, 5), "\n"), 256)}, None),
+    per_row("tx13_error_excerpt", "documents", "doc_id", {"excerpt": lambda t: F.sha2(F.array_join(F.slice(F.array_distinct(F.filter(F.split(t, "\n"), lambda s: F.lower(s).rlike("error|fail|token"))), 1, 5), "\n"), 256)}, TX13),
     per_row("tx20_rule_line", "documents", "doc_id", {"line": lambda t: F.regexp_replace(F.concat(F.lit("- "), F.when(F.length(t) > 2000, "(must) ").otherwise(""), F.substring(t, 1, 40)), r"[\r\n]+", " ")}, r"SELECT doc_id, regexp_replace('- ' || CASE WHEN length(text) > 2000 THEN '(must) ' ELSE '' END || substr(text, 1, 40), '[\r\n]+', ' ', 'g') AS line FROM documents"),
     per_row("pf18_path_hints", "pages", "page_id", {"hints": lambda t: F.array_join(T.path_hints(t), "|")}, r"SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(url, '[A-Za-z0-9_@.\-/]*/[A-Za-z0-9_@.\-/]+|[A-Za-z0-9_-]+\.[A-Za-z][A-Za-z0-9_]{0,7}\b'), lambda h: regexp_replace(h, '^[./]+', '')), lambda h: length(h) >= 3 AND NOT regexp_matches(h, '^\d+(\.\d+)*$')))), '|') AS hints FROM pages", "url"),
     per_row("pf19_topic_named", "documents", "doc_id", {"named": lambda t: T.names_word(t, F.lit("the"))}, "SELECT doc_id, contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' the ') AS named FROM documents"),
@@ -103,4 +105,3 @@ QUERIES = [
     Query("ag16_weighted_overlap", ag16_weighted_overlap, AG16),
     Query("ag26_topic_frequency", ag26_topic_frequency, "SELECT doc_id, word, n, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS place FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents) GROUP BY doc_id, word)) WHERE place <= 4"),
 ]
-QUERIES = [Query(q.name, q.run, "SELECT doc_id, sha256(coalesce(array_to_string(u[1:5], chr(10)), '')) AS excerpt FROM (SELECT doc_id, list(s ORDER BY p) FILTER (WHERE s IS NOT NULL) AS u FROM (SELECT doc_id, s, min(p) AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents) WHERE regexp_matches(lower(s), 'error|fail|token') GROUP BY doc_id, s) RIGHT JOIN (SELECT doc_id FROM documents) USING (doc_id) GROUP BY doc_id)") if q.name == "tx13_error_excerpt" else q for q in QUERIES]

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLES
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels", "pages", "conversations")
 
 
@@ -24,14 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sql_query(name: str, text: str, oracle: str | None = None) -> Query:
-    """A query in SQL over ``{table}`` placeholders; the oracle is the same text unless given."""
+    """A query in SQL over ``{table}`` placeholders; its oracle is given here or among the second forms, never its own text."""
+    oracle = oracle or ORACLES.get(name)
+    if oracle is None:
+        raise ValueError(f"{name} has nothing to be held against")
     used = [t for t in TABLES if "{" + t + "}" in text]
     plain = lambda s: re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in TABLES else m[0], s)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
-    return Query(name, run, plain(oracle or text))
+    return Query(name, run, plain(oracle))
 
 
 def literal(value: object) -> str:
