@@ -14,7 +14,9 @@ context.  Three passes over the documents, all keyed by the same batches:
 3. each batch applies the answers to its own documents.
 
 A batch sends one entry for each kind, so a passage that a third of all documents share costs one
-entry per batch.  Exact copies of an earlier document skip all this.
+entry per batch.  An anchor that very many batches have, such as a common line in ever new
+surroundings, would gather all of them in one place: its strings travel one by one under their own
+hashes instead.  Exact copies of an earlier document skip all this.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ BATCH, TRANSFORM, CHUNK = 8 << 20, 1 << 20, 48 << 10
 HOT_SHARE = 256
 #: Batches of one task at most, on average.
 TASK_BATCHES = 4
+#: An anchor that so many batches have is hot: its strings are dealt one by one.
+HOT_BATCHES = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,6 +122,38 @@ class Contexts:
         digest = _mix(_mix((sums[end] - sums[start]) * DOWN[start]) + strings.astype(np.uint64) * _ODD)
         return docs[piece].astype(np.int32), start - begins[piece] + offsets[piece], strings.astype(np.int32), own[first] >> np.uint64(16), digest
 
+    def split_hot(self, hot: np.ndarray) -> np.ndarray:
+        """Contexts whose anchor is in ``hot`` (sorted) become one context for each string, anchored by its digest; returns those anchors."""
+        at = np.searchsorted(hot, self.anchor)
+        pick = np.flatnonzero(hot[np.minimum(at, len(hot) - 1)] == self.anchor) if len(hot) else np.zeros(0, np.int64)
+        if not len(pick):
+            return np.zeros(0, np.uint64)
+        strings = self.strings[pick].astype(np.int64)
+        edges, digests = np.cumsum(strings + self.length - 1), []
+        first = 0
+        while first < len(pick):  # as many contexts as the tables of powers reach
+            last = max(first + 1, int(np.searchsorted(edges, (edges[first - 1] if first else 0) + CHUNK, "right")))
+            part = pick[first:last].tolist()
+            data = np.frombuffer(b"".join(map(self.text, part)), np.uint8)
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(VALUES[data] * UP[: len(data)], out=sums[1:])
+            size = self.strings[part].astype(np.int64)
+            begin = np.cumsum(size + self.length - 1) - size - self.length + 1
+            s = np.repeat(begin, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            digests.append(_mix(_mix((sums[s + self.length] - sums[s]) * DOWN[s]) + _ODD))
+            first = last
+        own = np.concatenate(digests)
+        offset = np.arange(len(own)) - np.repeat(np.cumsum(strings) - strings, strings)
+        rest = np.ones(len(self.doc), bool)
+        rest[pick] = False
+        doc = np.concatenate([self.doc[rest], np.repeat(self.doc[pick], strings)])
+        start = np.concatenate([self.start[rest], np.repeat(self.start[pick], strings) + offset])
+        count = np.concatenate([self.strings[rest], np.ones(len(own), self.strings.dtype)])
+        anchor, digest = np.concatenate([self.anchor[rest], own >> np.uint64(16)]), np.concatenate([self.digest[rest], own])
+        order = np.lexsort((start, doc))
+        self.doc, self.start, self.strings, self.anchor, self.digest = doc[order], start[order], count[order], anchor[order], digest[order]
+        return np.unique(own >> np.uint64(16))
+
     def text(self, i: int) -> bytes:
         s = int(self.start[i])
         return self.texts[self.doc[i]][s : s + int(self.strings[i]) + self.length - 1]
@@ -255,7 +291,7 @@ def sparing(work: Callable[..., pd.DataFrame]) -> Callable[..., pd.DataFrame]:
     return one if work.__code__.co_argcount == 1 else two
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH, keep: tuple[str, ...] = (), hot_batches: int = HOT_BATCHES) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, spans (array of start, end), kept (binary), ``keep`` as strings.
 
     Null text counts as empty.  A null id sorts below every other id; rows with the same id remove
@@ -332,6 +368,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             s += len(p)
             if bits.any():
                 rows.append((batch, 1, int(group["bucket"].iloc[0]), np.packbits(bits).tobytes()))
+            if (hot := p[count[inverse[s - len(p) : s]] >= hot_batches]).size:
+                rows.append((batch, 3, 0, hot.tobytes()))
         return pd.DataFrame(rows, columns=["batch", "kind", "number", "payload"])
 
     def send_contexts(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -340,11 +378,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if len(left) and marks:
             ids, texts, is_copy = load(left, right)
             c = contexts_of(texts, is_copy)
+            hot = hot_anchors(right)
             kinds = np.unique(c.anchor)
             shared = np.zeros(len(kinds), bool)
             for bucket, at in by_bucket(kinds):
                 if bucket in marks:
                     shared[at] = np.unpackbits(np.frombuffer(marks[bucket], np.uint8), count=len(at)) > 0
+            if len(hot):
+                batch = int(left["batch"].iloc[0])
+                rows.append((-1 - batch, batch, hot.tobytes(), b"", b"", b"", b"", b""))
+                known = np.union1d(kinds[shared & ~np.isin(kinds, hot)], c.split_hot(hot))
+                kinds = np.unique(c.anchor)
+                shared = np.isin(kinds, known)
             at = np.flatnonzero(shared[np.searchsorted(kinds, c.anchor)])
             digests, first, inverse = np.unique(c.digest[at], return_index=True, return_inverse=True)
             high = np.full(len(digests), NO_ID)
@@ -356,7 +401,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rows.append((bucket, int(left["batch"].iloc[0]), c.anchor[own].tobytes(), digests[pick].tobytes(), low[pick].tobytes(), high[pick].tobytes(), c.strings[own].astype("<i4").tobytes(), strings))
         return pd.DataFrame(rows, columns=["bucket", "batch", "anchors", "digests", "low", "high", "counts", "strings"])
 
+    def hot_anchors(right: pd.DataFrame) -> np.ndarray:
+        found = [np.frombuffer(p, np.uint64) for k, p in zip(right["kind"], right["payload"], strict=True) if k == 3]
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
     def answer(group: pd.DataFrame) -> pd.DataFrame:
+        if group["bucket"].iloc[0] < 0:  # a batch's note to itself on its hot anchors
+            return pd.DataFrame([(b, 3, 0, raw) for b, raw in zip(group["batch"].tolist(), group["anchors"], strict=True)], columns=["batch", "kind", "number", "payload"])
         number: dict[bytes, int] = {}
         anchor_of: list[int] = []
         owner: list[int] = []
@@ -405,6 +456,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         removed: dict[int, list[tuple[int, int]]] = {}
         if len(digest):
             c = contexts_of(texts, is_copy)
+            c.split_hot(hot_anchors(right))
             at = np.minimum(np.searchsorted(digest, c.digest, sorter=order), len(order) - 1)
             hit = np.flatnonzero(digest[order[at]] == c.digest)
             entry = order[at[hit]]
