@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import chain
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,27 +24,60 @@ from .common import checkpointed, id_in, id_out, thrifty
 
 #: Bytes of one block.
 BLOCK_BYTES = 1 << 18
+#: Bytes that one task reads of a file, and the stores whose files it opens itself.
+RANGE_BYTES, REACHED = 64 << 20, ("file", "hdfs", "s3", "gs")
 #: Blocks of one chunk of the prefix scan.
 CHUNK = 1024
 
 
-def read_token_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file, block_no, data) of flat token files; a file is held by one task, so keep files below some 100 MB."""
-    whole = spark.read.format("binaryFile").load(path)
+def read_token_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(file, block_no, data) of flat token files; an empty file gives no block.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only names and sizes are listed; each task opens a file at its own range and reads that, so files may
+    be of any size.  Stores that neither ``open`` nor pyarrow reaches are read as whole files by Spark,
+    where a file is held by one task.
+    """
+    found = spark.read.format("binaryFile").load(path)
+    size = max(block_bytes, range_bytes // block_bytes * block_bytes)
+
+    def in_blocks(name: str, first: int, content: bytes) -> Iterator[pd.DataFrame]:
+        for k, s in enumerate(range(0, len(content), block_bytes)):
+            yield pd.DataFrame({"file": [name], "block_no": [first // block_bytes + k], "data": [content[s : s + block_bytes]]})
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
-                for k, s in enumerate(range(0, len(content), block_bytes)):
-                    yield pd.DataFrame({"file": [name], "block_no": [k], "data": [content[s : s + block_bytes]]})
+                yield from in_blocks(name, 0, content)
+
+    def ranged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, start in zip(batch["path"], batch["start"].tolist(), strict=True):
+                yield from in_blocks(name, start, read_range(name, start, size))
+
+    schema = "file string, block_no long, data binary"
+    schemes = [r[0] for r in found.select(F.regexp_extract("path", "^([a-z0-9]+):", 1)).distinct().collect()]  # a few at most
+    if not all(s in REACHED for s in schemes):
+        return found.select("path", "content").mapInPandas(thrifty(whole), schema)
+    ranges = found.filter("length > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("start"))
+    return ranges.repartition("path", "start").mapInPandas(thrifty(ranged), schema)
+
 
-    return whole.select("path", "content").mapInPandas(thrifty(cut), "file string, block_no long, data binary")
+def read_range(name: str, start: int, size: int) -> bytes:
+    """At most ``size`` bytes of a file from ``start`` on."""
+    if name.startswith("file:"):
+        with open(unquote(urlsplit(name).path), "rb") as f:
+            f.seek(start)
+            return f.read(size)
+    store, path = FileSystem.from_uri(name)
+    with store.open_input_file(path) as f:
+        return f.read_at(min(size, f.size() - start), start)
 
 
 def token_blocks(df: DataFrame, tokenizer: str, separator: int, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, width: int = 4) -> DataFrame:
     """(file, block_no, data, doc_ids): one flat token stream per partition, cut at fixed byte offsets.
 
-    doc_ids lists the documents that end in the block, in stream order.  It stands beside the stream
+    Null and empty texts are documents of no token; an empty table gives no blocks.  doc_ids lists the
+    documents that end in the block, in stream order.  It stands beside the stream
     and is not looked at by the scan.  Strings of special tokens in a text are encoded as ordinary
     text, so the separator is never part of a document.
     """

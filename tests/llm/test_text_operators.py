@@ -77,7 +77,8 @@ def test_token_counts(awkward, library, block):
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got.collect()) == want
 
 
-def test_scan_of_flat_files(spark, tmp_path):
+@pytest.mark.parametrize("range_bytes", [1, 200, 1 << 20])
+def test_scan_of_flat_files(spark, tmp_path, range_bytes):
     rng = np.random.default_rng(5)
     want = {}
     for name, n, sizes in (("a", 700, 40), ("b", 1, 3000), ("c", 50, 1), ("d", 0, 0)):
@@ -85,7 +86,7 @@ def test_scan_of_flat_files(spark, tmp_path):
         flat = [t for k in lengths for t in [*rng.integers(0, 9, k), 50_256]]
         np.array([*flat, 1, 2], "<u2").tofile(tmp_path / f"{name}.bin")
         want[name] = lengths.tolist()
-    blocks = token_scan.read_token_files(spark, str(tmp_path), 64)
+    blocks = token_scan.read_token_files(spark, str(tmp_path), 64, range_bytes)
     rows = token_scan.scan(blocks, 50_256, width=2, chunk=3).orderBy("file", "block_no").collect()
     got = {}
     for r in rows:
