@@ -58,33 +58,6 @@ CT03 = """
 """
 
 
-def spend(costs: Column, budget: int, cap: int) -> Column:
-    """(left, shown): lines cut to a cap and to what is left, each with one sign more for its break."""
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.lit(0).cast("long").alias("shown"))
-
-    def take(state: Column, cost: Column) -> Column:
-        size = F.greatest(F.least(cost, F.lit(cap), state["left"]), F.lit(0))
-        return F.struct((state["left"] - size - F.when(size > 0, 1).otherwise(0)).cast("long").alias("left"), (state["shown"] + F.when(size > 0, 1).otherwise(0)).cast("long").alias("shown"))
-
-    return F.aggregate(costs, start, take)
-
-
-def ct05_handoff_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """The seven kinds of line of each order (the costliest of a kind), cut to 20 each under a budget of 90."""
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("long").alias("cost"))
-    costs = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "cost")))["cost"].alias("costs"))
-    return costs.select("l_orderkey", spend(F.col("costs"), 90, 20).alias("s")).select("l_orderkey", "s.left", "s.shown")
-
-
-CT05 = """
-    WITH g AS (SELECT l_orderkey, l_linenumber, max(l_quantity)::BIGINT AS cost FROM lineitem GROUP BY ALL),
-    f AS (SELECT l_orderkey, list_reduce(list_prepend({'l': 90::BIGINT, 's': 0::BIGINT}, list({'l': cost, 's': 0::BIGINT} ORDER BY l_linenumber)),
-        lambda a, x: {'l': a.l - greatest(least(x.l, 20, a.l), 0) - CASE WHEN greatest(least(x.l, 20, a.l), 0) > 0 THEN 1 ELSE 0 END, 's': a.s + CASE WHEN greatest(least(x.l, 20, a.l), 0) > 0 THEN 1 ELSE 0 END}) AS r FROM g GROUP BY l_orderkey)
-    SELECT l_orderkey, r.l AS "left", r.s AS shown FROM f
-"""
-
-
 QUERIES = [
     Query("ct03_session_blocks", ct03_session_blocks, CT03),
-    Query("ct05_handoff_lines", ct05_handoff_lines, CT05),
 ]

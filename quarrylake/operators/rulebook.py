@@ -230,6 +230,21 @@ def rule_line(summary: Column, must: Column, until: Column, paths: Column, stale
     return F.regexp_replace(F.concat(F.lit("- "), F.when(must, "(must) ").otherwise(""), summary, end, scope, gone), r"[\r\n\x{2028}\x{2029}]+", " ")
 
 
+def tx20_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as rules, one line each."""
+    o, key = table(spark, sf, "orders"), F.col("o_orderkey")
+    until = F.when(key % 4 == 0, F.to_date("o_orderdate"))
+    summary = F.when(key % 8 == 0, F.concat(F.lit("Use it until "), F.to_date("o_orderdate").cast("string"))).otherwise(F.concat(F.lit("Use order\n"), key))
+    paths = F.when(key % 3 == 0, F.array(F.concat(F.lit("src/"), key, F.lit("/**")), F.lit("*.md"))).otherwise(F.array().cast("array<string>"))
+    return o.select("o_orderkey", rule_line(summary, F.col("o_totalprice") > 350000, until, paths, F.when(key % 11 == 0, F.lit("check needed")), True).alias("line"))
+
+
+TX20 = r"""
+    SELECT o_orderkey, '- ' || CASE WHEN o_totalprice > 350000 THEN '(must) ' ELSE '' END || CASE WHEN o_orderkey % 8 = 0 THEN 'Use it until ' || strftime(o_orderdate, '%Y-%m-%d') ELSE 'Use order ' || o_orderkey END || CASE WHEN o_orderkey % 8 = 4 THEN ' (until ' || strftime(o_orderdate, '%Y-%m-%d') || ')' ELSE '' END
+        || CASE WHEN o_orderkey % 3 = 0 THEN ' (applies to: `src/' || o_orderkey || '/**`, `*.md`)' ELSE '' END || CASE WHEN o_orderkey % 11 = 0 THEN ' (check needed)' ELSE '' END AS line FROM orders
+"""
+
+
 def plan_tiers(rules: DataFrame, core_budget: int, scoped_budget: int) -> DataFrame:
     """(pool, id, tier, overflow, in_session): how each deliverable rule of a pool is delivered.
 
@@ -449,6 +464,7 @@ QUERIES = [
     Query("gr27_conflict_propagation", gr27_conflicts, GR27),
     Query("gr28_status_derivation", gr28_status, GR28),
     Query("wn08_first_occurrence", wn08_first_texts, WN08),
+    Query("tx20_rule_line", tx20_lines, TX20),
     Query("ct01_tier_plan", ct01_tiers, CT01),
     Query("ct02_selection_outcomes", ct02_outcomes, f"{SELECTION} SELECT pid, id, outcome, score FROM o"),
     Query("so08_prompt_selection", so08_selected, f"{SELECTION} SELECT pid, id, score FROM o WHERE outcome = 'injected'"),

@@ -98,7 +98,6 @@ QUERIES = [
     per_row("tx09_key_terms", "documents", "doc_id", {"n": lambda t: F.size(T.key_terms(t))}, r"SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]*(?:[._+#-][A-Za-z0-9]+)*[+#]*|\d+(?:\.\d+)*'), lambda x: lower(x)))) AS n FROM documents"),
     Query("tx10_same_rule", tx10_same_rule, TX10),
     per_row("tx13_error_excerpt", "documents", "doc_id", {"excerpt": lambda t: F.sha2(F.array_join(F.slice(F.array_distinct(F.filter(F.split(t, "\n"), lambda s: F.lower(s).rlike("error|fail|token"))), 1, 5), "\n"), 256)}, TX13),
-    per_row("tx20_rule_line", "documents", "doc_id", {"line": lambda t: F.regexp_replace(F.concat(F.lit("- "), F.when(F.length(t) > 2000, "(must) ").otherwise(""), F.substring(t, 1, 40)), r"[\r\n]+", " ")}, r"SELECT doc_id, regexp_replace('- ' || CASE WHEN length(text) > 2000 THEN '(must) ' ELSE '' END || substr(text, 1, 40), '[\r\n]+', ' ', 'g') AS line FROM documents"),
     per_row("pf18_path_hints", "pages", "page_id", {"hints": lambda t: F.array_join(T.path_hints(t), "|")}, r"SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(url, '[A-Za-z0-9_@.\-/]*/[A-Za-z0-9_@.\-/]+|[A-Za-z0-9_-]+\.[A-Za-z][A-Za-z0-9_]{0,7}\b'), lambda h: regexp_replace(h, '^[./]+', '')), lambda h: length(h) >= 3 AND NOT regexp_matches(h, '^\d+(\.\d+)*$')))), '|') AS hints FROM pages", "url"),
     per_row("pf19_topic_named", "documents", "doc_id", {"named": lambda t: T.names_word(t, F.lit("the"))}, "SELECT doc_id, contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' the ') AS named FROM documents"),
     Query("ag15_document_frequency", ag15_document_frequency, f"SELECT tok, count(*) AS df, round(ln(1 + (SELECT count(*) FROM documents) / count(*)), 5) AS w FROM (SELECT DISTINCT doc_id, tok FROM (SELECT doc_id, unnest({D}) AS tok FROM documents)) GROUP BY tok"),

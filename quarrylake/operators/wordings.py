@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import globs, models
+from ..functions import globs, handover, models
 from ..functions import signals as S
 from ..functions.screening import injected, redact_secrets
 from ..functions.signals import column
@@ -204,6 +204,27 @@ def ulid_case(ulid: Column, day: Column) -> Column:
     return F.struct(F.when(valid, F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss.SSS")).alias("made"), F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(day, "yyyy-MM-dd").cast("string")).alias("valid"))
 
 
+#: prompts, reply, checks, budget -> lines of a hand-over.
+HANDOVERS = [
+    (f"fix the cart {KEY}", "Done.", "", "200", f"Session|Request: fix the cart {KEY}|Reply: Done."), (f"build the cart {KEY};ok;add tests", "Added.\n\nTODO: docs", "npm test:pass", "200", f"Session|Request: build the cart {KEY}|Last request: add tests|Reply: Added.|Left to do: docs|Checks: `npm test` passed"),
+    ("ok", "", "tsc:fail:TS1,ls:?", "100", "Session|Request: ok|Checks: `tsc` failed (TS1), `ls` not known"), ("use token: abc123def4567", "x", "", "100", "Session|Request: use token: {token}|Reply: x"), ("fix it", "y", "", "3", ""), ("", "", "", "100", ""),
+    ("word " * 80, "", "", "30", "Session|Request: " + ("word " * 80)[:83].rstrip() + "…"),
+]
+
+
+def hand_over_case(prompts: str, reply: str, checks: str, budget: str) -> list[str]:
+    asked = [p for p in prompts.split(";") if p]
+    parts = [c.split(":") for c in checks.split(",") if c]
+    ran = [(c[0], {"pass": True, "fail": False}.get(c[1]), c[2] if len(c) > 2 else None) for c in parts]
+    return handover.hand_over(asked, [], len(asked), reply, ran, "", [], "Session", int(budget))
+
+
+#: reply, files, commands -> kind, summary of a turn without a model.
+SUMMARIES = [
+    (f"Did {KEY}.\n```js\nx\n```\nBye", "2", "0", "change", f"Reply (first part, not summarised): Did {KEY}. [code] Bye"), ("Looked  around", "0", "3", "investigation", "Reply (first part, not summarised): Looked around"), ("It is so", "0", "0", "answer", "Reply (first part, not summarised): It is so"), ("", "0", "0", "none", "No summary (no model was available and no reply was recorded)."), ("a" * 800, "0", "0", "answer", "Reply (first part, not summarised): " + "a" * 699 + "…"),
+]
+
+
 def struct(**columns: Column) -> Column:
     return F.struct(*[c.alias(k) for k, c in columns.items()])
 
@@ -233,6 +254,8 @@ QUERIES = [
     worked("tx23_dates", "events", "event_id", ("ulid", "day"), ("made", "valid"), ULIDS, ulid_case),
     worked("tx24_pending_work", "events", "event_id", ("reply",), ("pending",), PENDING, column(S.pending_work, "string")),
     worked("er04_candidates", "events", "event_id", ("message",), ("sentences",), CANDIDATES, joined(S.candidates)),
+    worked("ct05_handoff_lines", "events", "event_id", ("prompts", "reply", "checks", "budget"), ("lines",), HANDOVERS, joined(hand_over_case)),
+    worked("ad07_fallback_summary", "events", "event_id", ("reply", "files", "commands"), ("kind", "summary"), SUMMARIES, pair(lambda r, f, c: dict(zip(("kind", "summary"), handover.fallback_summary(r, int(f), int(c)), strict=True)), kind="string", summary="string")),
     worked("ad07_summary_facts", "events", "event_id", ("summary", "facts"), ("invented",), INVENTED, joined(S.invented_paths)),
     worked("ad10_working_tree", "events", "event_id", ("status",), ("branch", "head", "dirty"), STATES, state_case),
     worked("ad12_provider_order", "events", "event_id", ("policy", "host", "allowed", "targets"), ("providers",), PROVIDERS, provider_order),
