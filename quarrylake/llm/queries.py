@@ -1,4 +1,9 @@
-"""The registered queries of this subpackage: each applies its operator to its whole table."""
+"""The registered queries of this subpackage: each applies its operator to its whole table.
+
+All of them read whole texts of any length, name the columns they need and leave others alone, whatever
+these are called, and give no rows for an empty table.  What nulls, empty texts, ties and repeated rows
+come to is said at each.
+"""
 
 from __future__ import annotations
 
@@ -21,14 +26,21 @@ def tokenizer_path() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document; a null or empty text has no ids, a null id stays null, repeated rows come as often as they are there."""
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by scanning token streams; a null or empty text has none, a null id stays null, repeated rows are counted each."""
     return token_scan.document_token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path(), SEPARATOR)
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted and read back, with one more, numbered -7.
+
+    Turns that tie are in the order of role and text, repeated rows are turns of their own, null roles and
+    texts are empty, rows without a conversation form one without an id.
+    """
     odd = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     table = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -36,20 +48,30 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and wordless texts have fingerprint zero, null ids name a component only where no other id is in it, repeated rows come as often as they are there."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences; see ``pack_documents``."""
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
+    """Pieces of every document in sequences that hold no source and no text twice.
+
+    ``docs`` has doc_id, text and source.  Clusters are exact copies (letter case apart); near copies would
+    take a fingerprint of every text beside its tokens.  A null text is empty and takes one token, its
+    separator; a null source meets any other; ties are packed in the order of id, source and cluster;
+    repeated rows are packed each.
+    """
     cluster = F.xxhash64(ascii_lower(F.coalesce("text", F.lit("")))).alias("cluster")
     sized = bpe.token_lengths(docs.select(id_in("doc_id"), "source", cluster, "text"), tokenizer_path(), keep=("doc_id", "source", "cluster"))
     return id_out(packing.pack(sized.withColumn("n_tokens", F.col("n_tokens") + 1), cluster=F.col("cluster")))  # one for the separator
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; null, empty and letterless texts are ``und`` with score 0, equal scores go to the language that sorts first, a null id is in no held-out fold, repeated rows come as often as they are there."""
     docs = read_table(spark, sf_dir, "documents")
     third = langid.fold("doc_id", 3)
     out = langid.identify(docs, third != 1)
@@ -57,20 +79,24 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without passages that an earlier one has; a null text is empty, a null id comes before all others, rows of one id take nothing from each other, texts under 50 bytes lose nothing."""
     out = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text; a null text is empty, a null id comes after all others, rows of one id follow each other in descending order of a hash of their texts, each with a row of its own."""
     return doc_fingerprint.edit_sensitivity(read_table(spark, sf_dir, "documents"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; null and empty texts are scored like others, a label given twice counts as the larger, a null id is in the held-out fold, repeated rows come as often as they are there."""
     out = quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), langid.fold("doc_id", 5) != 0)
     return out.select("doc_id", (langid.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of equal documents stays; a null text is empty, a null id loses to every other, of rows equal in id and text one stays."""
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylake.llm import bpe, chat_template, langid, quality, queries, token_scan
+from quarrylake.llm import bpe, chat_template, doc_fingerprint, exact_dedup, langid, near_copies, quality, queries, simhash, token_scan
 
 SF = "/root/testdata/sf0.001"
 
@@ -254,3 +254,52 @@ def test_quality_edge_cases(spark, make):
     assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
     assert {r["score"] for r in quality.classify(df, labels.limit(0), F.lit(True)).collect()} == {0.5}
     assert quality.classify(df.limit(0), labels, F.lit(True)).count() == 0
+
+
+def test_internal_names_as_columns_of_the_input(spark, make):
+    """Columns called like internal ones neither break an operator nor get into its result."""
+    rows = [(1, "the quick brown fox jumps"), (2, "the quick brown fox jumps"), (3, "something else entirely here"), (None, None)]
+    df = make(rows)
+    for name in ("fp", "key", "part", "batch", "kind", "shard", "_text", "cluster", "size", "node", "root", "h", "t", "l", "n", "low"):
+        df = df.withColumn(name, F.lit("clash"))
+    plain = make(rows)
+    asked = {
+        "bpe": lambda d: bpe.round_trip(d, queries.tokenizer_path()), "simhash": simhash.near_duplicates, "exact": exact_dedup.exact_dedup, "language": lambda d: langid.identify(d, F.lit(True)),
+        "fingerprint": doc_fingerprint.edit_sensitivity, "pack": queries.pack_documents, "near": lambda d: near_copies.near_copies(d).drop("root"),
+    }
+    for name, run in asked.items():
+        shown = [sorted(map(str, run(d).collect())) for d in (df, plain)]
+        assert shown[0] == shown[1] and "clash" not in "".join(shown[0]), name
+    assert sorted(r["doc_id"] or 0 for r in exact_dedup.keep_first_copies(df).collect()) == [0, 2, 3]
+
+
+def test_very_long_turns(spark):
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", "word ### </turn> " * 60_000) for k in range(3)]
+    got = chat_template.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    assert (got["n_turns"], got["loss_chars"]) == (3, len(rows[1][3])) and got["loss_sha256"] == sha(rows[1][3])
+
+
+def test_templates_that_look_beyond_a_turn(spark):
+    """They stream a conversation through one task and give what rendering it at once gives."""
+    other = "{% for m in messages %}" + "{{ '###' ~ ' ' }}{{ m.role | escape_role }}: {% if first %}{{ '' }}{% endif %}{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}{{ ' </turn>' ~ '\\n' }}{% endfor %}"
+    assert chat_template.separable() and not chat_template.separable(other) and not chat_template.separable("{{ messages }}")
+    df = spark.createDataFrame([(c, k, "assistant" if k % 2 else "user", f"text {k} ###") for c in (1, 2) for k in range(5)], "conv_id long, turn long, role string, text string")
+    want, got = (sorted(map(str, chat_template.format_conversations(df, t).collect())) for t in (chat_template.TEMPLATE, other))
+    assert want == got
+
+
+@pytest.mark.parametrize("text", ["日本語テキスト の　文章 です 123", "Это русский текст — с «кавычками»", "نص عربي قصير", "naïve café\u00a0x\u2003y\u3000z", "é" * 5000 + " 字" * 3000, "中文's test'll"])
+def test_forced_cuts_beyond_ascii(library, text):
+    encoder = bpe.encoder(queries.tokenizer_path())
+    assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert b"".join(encoder.fragments(text.encode())) == text.encode()
+
+
+def test_remembered_fragments_are_bounded(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBER", 2000)
+    encoder = bpe.ByteBPE(queries.tokenizer_path())
+    texts = [f"word{k} other{k * 7} " + "x" * (k % 400) for k in range(300)]
+    monkeypatch.setattr(bpe, "TOGETHER", 200)
+    got = [[i for part in parts for i in part] for parts in encoder.encode_batch(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(encoder.count_batch(texts)) == list(map(len, got)) and encoder.held < 40_000
