@@ -6,7 +6,7 @@ equality, tagged with the number of their rule, and the least rule that has any
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -171,7 +171,7 @@ def attach_owners(methods: DataFrame, types: DataFrame) -> DataFrame:
 
 
 class Project:
-    """Resolved facts of Python files; every table is cut off once and used several times."""
+    """Resolved facts of Python files; every table is worked out when it is asked for, cut off once and used several times."""
 
     def __init__(self, facts: DataFrame, rounds: int = 3):
         facts = checkpointed(facts)
@@ -186,10 +186,23 @@ class Project:
         self.imps = checkpointed(imps.select("ref", "path", F.col("kind").alias("imp"), "module", F.col("name").alias("imported"), "alias"))
         self.modules = checkpointed(python_modules(self.imps, self.files).withColumnRenamed("target", "file"))
         self.vars = facts_table(facts, "vars").withColumn("sid", F.concat_ws("#", "path", "scope")).withColumn("var", F.concat_ws("$", "path", "pos"))
-        self.bound = checkpointed(self._bound())
-        self.bases = checkpointed(self._bases())
-        self.types = self._types(rounds)
-        self.edges = checkpointed(self._edges())
+        self.rounds = rounds
+
+    @cached_property
+    def bound(self) -> DataFrame:
+        return checkpointed(self._bound())
+
+    @cached_property
+    def bases(self) -> DataFrame:
+        return checkpointed(self._bases())
+
+    @cached_property
+    def types(self) -> DataFrame:
+        return self._types(self.rounds)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return checkpointed(self._edges())
 
     def _bound(self) -> DataFrame:
         """(path, name, rule, target, kind): what a bare name means in a file: its own, imported, of a wild import."""

@@ -112,6 +112,22 @@ SM06 = """
 """
 
 
+def sm10_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as the stream closes them: by a reply, by the next prompt, or half a day after a prompt that nothing follows."""
+    kind = F.when(F.col("event_type") == "view", "prompt").when(F.col("event_type") == "purchase", "reply").otherwise("other")
+    rows = log(spark, sf).select("user_id", "ts", kind.alias("kind"))
+    micros = lambda c: F.round(F.col(c) * 1_000_000).cast("long").alias(c)
+    return drained(sessions.turns_stream(rows, "user_id", X.OPEN_TURN_HOURS * 3600), "turns").select("key", micros("prompt_at"), micros("reply_at"), "state")
+
+
+SM10 = """
+    WITH w AS (SELECT max(ts) - INTERVAL '10 minutes' AS mark FROM events),
+    t AS (SELECT user_id, ts, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS kind FROM events WHERE event_type IN ('view', 'purchase'))
+    SELECT user_id AS key, epoch_us(ts) AS prompt_at, CASE WHEN next - ts <= INTERVAL '12 hours' AND kind = 'purchase' THEN epoch_us(next) END AS reply_at, CASE WHEN next - ts <= INTERVAL '12 hours' THEN 'ready' ELSE 'expired' END AS state
+    FROM t, w WHERE event_type = 'view' AND (next IS NOT NULL OR ts + INTERVAL '12 hours' < mark)
+"""
+
+
 def due_reads(ended: DataFrame, cursors: DataFrame, cursor: str, hours: int = X.CASE_QUIET_HOURS) -> DataFrame:
     """(session, since, until): from where each session's transcript is read on.
 
@@ -204,6 +220,7 @@ QUERIES = [
     Query("sm03_offsets_and_dead_letters", sm03_retried, SM03),
     Query("sm04_idempotent_replay", sm04_replayed, SM04),
     Query("sm06_session_state", sm06_state, SM06),
+    Query("sm10_turns_stream", sm10_turns, SM10),
     Query("sm08_cursor_overlap", sm08_due, SM08),
     Query("sm09_late_rows", sm09_late, SM09),
     Query("sm12_batching_policy", sm12_batches, SM12),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylake.functions import globs
 from quarrylake.functions import text as T
-from quarrylake.operators import asof, codegraph, contexts, graph, resolution, rulebook
+from quarrylake.operators import asof, codegraph, contexts, graph, rulebook
 from quarrylake.sources import code
 
 
@@ -181,10 +181,3 @@ def test_work_state(spark):
     got = spark.createDataFrame([(text,), (None,)], "status string").select(code.work_state(F.col("status")).alias("w")).select("w.*").collect()
     assert tuple(got[0]) == ("main", "abcdef1", ["src/x y.py", "new.py", "extra.txt"], 3)
     assert (got[1]["branch"], got[1]["dirty"], got[1]["changed"]) == ("?", [], 0)
-
-
-def test_chase_stops_at_the_first_definition(spark):
-    links = spark.createDataFrame([(k, k + 1) for k in range(10)], "src long, dst long")
-    node = lambda *v: spark.createDataFrame([(x,) for x in v], "node long")
-    got = resolution.chase(links, node(0, 3, 5), node(2, 4), 4).collect()
-    assert sorted((r["node"], r["target"], r["hops"]) for r in got) == [(0, 2, 2), (3, 4, 1)]
