@@ -77,7 +77,8 @@ class ByteBPE:
         self.cut = self._forced_cuts(token for i, token in enumerate(self.token_bytes) if i not in self.special.values())
         self.memory: dict[bytes, tuple[int, ...]] = {}
         self.sizes: dict[bytes, int] = {}
-        self.held = 0  # bytes that either of them takes
+        self.short_keys, self.short_sizes = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        self.held = 0  # bytes that these take
 
     @staticmethod
     def _forced_cuts(tokens: Iterable[bytes]) -> np.ndarray:
@@ -199,34 +200,69 @@ class ByteBPE:
 
     def count_batch(self, texts: Iterable[str | None]) -> Iterator[int]:
         """The number of tokens of each text, as ordinary text."""
-        held: list[list[bytes]] = []
+        held: list[bytes] = []
         size = 0
-
-        def resolve() -> list[int]:
-            if self.held > REMEMBER:
-                self.forget()
-            known = self.sizes.get
-            found = [list(map(known, parts)) for parts in held]
-            new = list({p for parts, got in zip(held, found, strict=True) if None in got for p, g in zip(parts, got, strict=True) if g is None})
-            fresh = dict(zip(new, np.diff(self._merge_fragments(new)[1]).tolist(), strict=True))
-            kept = {p: n for p, n in fresh.items() if len(p) <= WORTH} if max(map(len, new), default=0) > WORTH else fresh
-            self.sizes.update(kept)
-            self.held += len(kept) * ENTRY + sum(map(len, kept))
-            return [sum(fresh[p] if g is None else g for p, g in zip(parts, got, strict=True)) if None in got else sum(got) for parts, got in zip(held, found, strict=True)]
-
         for text in texts:
-            held.append(self.fragments((text or "").encode("utf-8", "replace")))
-            size += len(text or "")
+            held.append((text or "").encode("utf-8", "replace"))
+            size += len(held[-1])
             if size >= TOGETHER:
-                yield from resolve()
-                held.clear()
-                size = 0
-        yield from resolve()
+                yield from self._counts(held)
+                held, size = [], 0
+        yield from self._counts(held)
+
+    def _counts(self, texts: list[bytes]) -> list[int]:
+        """Token numbers of the texts, whose fragments are looked up together.
+
+        A fragment of up to seven bytes is its own key, bytes and length in one integer, so that these,
+        the most by far, are sorted and looked up in numpy; Python sees only the new ones and longer ones.
+        """
+        text = b"".join(texts)
+        if not text:
+            return [0] * len(texts)
+        if self.held > REMEMBER:
+            self.forget()
+        bounds = np.r_[0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]
+        b = np.frombuffer(text, np.uint8)
+        start = np.zeros(len(b) + 1, bool)
+        start[1:-1] = self.cut[(b[:-1].astype(np.uint16) << 8) | b[1:]]
+        start[bounds] = True
+        starts = np.flatnonzero(start[:-1])
+        lengths = np.diff(starts, append=len(b))
+        short = lengths <= 7
+        words = np.ndarray((len(b),), "<u8", text + bytes(8), 0, (1,))  # the eight bytes from each place on
+        n = lengths[short].astype(np.uint64)
+        keys = (words[starts[short]] & ((np.uint64(1) << (n << np.uint64(3))) - np.uint64(1))) | (n << np.uint64(56))
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+        distinct = keys[first]
+        at = np.searchsorted(self.short_keys, distinct)
+        absent = np.r_[self.short_keys, np.uint64(0)][at] != distinct
+        fresh, raw = distinct[absent], distinct[absent].tobytes()
+        parts = [text[s:e] for s, e in zip(starts[~short].tolist(), (starts + lengths)[~short].tolist(), strict=True)]
+        new = list(set(parts).difference(self.sizes))
+        wanted = [raw[8 * i : 8 * i + k] for i, k in enumerate((fresh >> np.uint64(56)).tolist())] + new
+        found = np.diff(self._merge_fragments(wanted)[1]) if wanted else np.zeros(0, np.int64)
+        self.short_keys = np.insert(self.short_keys, at[absent], fresh)
+        self.short_sizes = np.insert(self.short_sizes, at[absent], found[: len(fresh)])
+        self.sizes.update(zip(new, found[len(fresh) :].tolist(), strict=True))
+        tokens = np.empty(len(starts), np.int64)
+        tokens[~short] = np.fromiter(map(self.sizes.__getitem__, parts), np.int64, len(parts))
+        sizes = self.short_sizes[np.searchsorted(self.short_keys, distinct)]
+        tokens[np.flatnonzero(short)[order]] = sizes[np.cumsum(first) - 1]
+        for p in new:
+            if len(p) > WORTH:
+                del self.sizes[p]
+            else:
+                self.held += ENTRY + len(p)
+        self.held += 9 * len(fresh)
+        return np.diff(np.r_[0, np.cumsum(tokens)][np.searchsorted(starts, bounds)]).tolist()
 
     def forget(self) -> None:
         """Gives the memory back: Python workers live on after a task and may next run something else."""
         self.memory.clear()
         self.sizes.clear()
+        self.short_keys, self.short_sizes = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
         self.held = 0
 
     def _segments(self, text: str, special: bool) -> list[bytes | int]:

@@ -303,3 +303,16 @@ def test_remembered_fragments_are_bounded(library, monkeypatch):
     got = [[i for part in parts for i in part] for parts in encoder.encode_batch(texts)]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert list(encoder.count_batch(texts)) == list(map(len, got)) and encoder.held < 40_000
+
+
+def test_counts_of_texts_counted_together(library, monkeypatch):
+    """Fragments of up to seven bytes are keyed by their bytes: zero bytes, lengths about seven and neighbouring texts keep apart."""
+    path = queries.tokenizer_path()
+    library.encode_special_tokens = True
+    texts = [None, "", "a", "\0", "\0\0", "a\0", "abcdefg", "abcdefgh", "abcdef", " abcdef", " abcdefg", "", "é" * 3, "é" * 4, "日本語", "x" * 300, " " * 9, "'", "s", "'s", None, "<|endoftext|>"] * 3
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    library.encode_special_tokens = False
+    for together in (1, 30, 1 << 21):
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        encoder = bpe.ByteBPE(path)
+        assert list(encoder.count_batch(texts)) == list(encoder.count_batch(texts)) == want
