@@ -48,9 +48,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or "file://" + quote(tempfile.mkdtemp(prefix="quarrylake-")))
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: Python workers live on after a task and wait beside others."""
-    gc.collect()
+def give_back(cycles: bool = True) -> None:
+    """Returns freed memory to the system: Python workers live on after a task and wait beside others.
+
+    Looking for cycles takes long where many objects are alive; inside a task it can be left out.
+    """
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

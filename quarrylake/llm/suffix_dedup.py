@@ -14,7 +14,7 @@ context.  Three passes over the documents, all keyed by the same batches:
 3. each batch applies the answers to its own documents.
 
 A batch sends one entry for each kind, so a passage that a third of all documents share costs one
-entry per batch.  An anchor that very many batches have, such as a common line in ever new
+entry per batch.  An anchor with very many contexts, such as a common line in ever new
 surroundings, would gather all of them in one place: its strings travel one by one under their own
 hashes instead.  Exact copies of an earlier document skip all this.
 """
@@ -38,8 +38,8 @@ BATCH, TRANSFORM, CHUNK = 8 << 20, 1 << 20, 48 << 10
 HOT_SHARE = 256
 #: Batches of one task at most, on average.
 TASK_BATCHES = 4
-#: An anchor that so many batches have is hot: its strings are dealt one by one.
-HOT_BATCHES = 64
+#: An anchor is hot from so many contexts on, counted once in each batch: its strings are dealt one by one.
+HOT_CONTEXTS = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -280,18 +280,18 @@ def sparing(work: Callable[..., pd.DataFrame]) -> Callable[..., pd.DataFrame]:
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         out = work(group)
-        give_back()
+        give_back(cycles=False)
         return out
 
     def two(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = work(left, right)
-        give_back()
+        give_back(cycles=False)
         return out
 
     return one if work.__code__.co_argcount == 1 else two
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH, keep: tuple[str, ...] = (), hot_batches: int = HOT_BATCHES) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH, keep: tuple[str, ...] = (), hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, spans (array of start, end), kept (binary), ``keep`` as strings.
 
     Null text counts as empty.  A null id sorts below every other id; rows with the same id remove
@@ -346,10 +346,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             last = np.r_[new[1:], len(anchors)] - 1 if len(new) else new
             several = docs_of[new] != docs_of[last]
             kinds = anchors[new]
+            kind = np.repeat(np.arange(len(new)), last - new + 1)
+            kind, digest = kind[several[kind]], c.digest[order][several[kind]]
+            by = np.lexsort((digest, kind))
+            other = np.r_[True, (np.diff(kind[by]) != 0) | (digest[by][1:] != digest[by][:-1])][: len(by)]
+            contexts = np.bincount(kind[by][other], minlength=len(new)).astype("<i4")
             for bucket, at in by_bucket(kinds):
                 raw = kinds[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                rows.append((bucket, int(left["batch"].iloc[0]), raw, np.packbits(several[at]).tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "batch", "anchors", "several"])
+                rows.append((bucket, int(left["batch"].iloc[0]), raw, np.packbits(several[at]).tobytes(), contexts[at[several[at]]].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "batch", "anchors", "several", "contexts"])
 
     def find_shared(group: pd.DataFrame) -> pd.DataFrame:
         def wide(raw: bytes) -> np.ndarray:
@@ -360,15 +365,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         parts = [wide(raw) for raw in group["anchors"]]
         several = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(p)) for f, p in zip(group["several"], parts, strict=True)])
         _, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        shared = count > 1
+        contexts = np.ones(len(several))
+        contexts[several > 0] = np.frombuffer(b"".join(group["contexts"]), "<i4")
+        shared, many = count > 1, np.bincount(inverse, contexts) >= hot_contexts
         shared[inverse[several > 0]] = True
         rows, s = [], 0
         for batch, p in zip(group["batch"].tolist(), parts, strict=True):
-            bits = shared[inverse[s : s + len(p)]]
+            own = inverse[s : s + len(p)]
+            bits = shared[own]
             s += len(p)
             if bits.any():
                 rows.append((batch, 1, int(group["bucket"].iloc[0]), np.packbits(bits).tobytes()))
-            if (hot := p[count[inverse[s - len(p) : s]] >= hot_batches]).size:
+            if (hot := p[many[own]]).size:
                 rows.append((batch, 3, 0, hot.tobytes()))
         return pd.DataFrame(rows, columns=["batch", "kind", "number", "payload"])
 
@@ -482,7 +490,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     side = "batch long, kind int, number long, payload binary"
     with_copies = lambda more: copies.unionByName(more).repartition(width, "batch").groupBy("batch")
     texts = dealt.groupBy("batch")
-    sent = texts.cogroup(copies.repartition(width, "batch").groupBy("batch")).applyInPandas(sparing(send_anchors), "bucket long, batch long, anchors binary, several binary")
+    sent = texts.cogroup(copies.repartition(width, "batch").groupBy("batch")).applyInPandas(sparing(send_anchors), "bucket long, batch long, anchors binary, several binary, contexts binary")
     shared = sent.repartition(width, "bucket").groupBy("bucket").applyInPandas(sparing(find_shared), side)
     columns = "bucket long, batch long, anchors binary, digests binary, low binary, high binary, counts binary, strings binary"
     met = texts.cogroup(with_copies(shared)).applyInPandas(sparing(send_contexts), columns)

@@ -154,7 +154,7 @@ def removal(df, **options):
 @pytest.mark.parametrize(("batch", "hot"), [(20_000, 64), (20_000, 1), (20_000, 3), (8 << 20, 64)])
 def test_passages(request, which, batch, hot):
     df, rows = request.getfixturevalue(which)
-    assert removal(df, batch_bytes=batch, hot_batches=hot) == plain_removal(rows)
+    assert removal(df, batch_bytes=batch, hot_contexts=hot) == plain_removal(rows)
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
@@ -173,7 +173,7 @@ def test_passages_planted(make, monkeypatch, share, hot):
             parts += [p[s : s + rng.integers(30, 200)], " ".join(rng.choice(words, rng.integers(0, 9)))]
         rows.append((i * 7, "|".join(parts)))
     rows += [(5000, rows[3][1]), (5000, rows[4][1]), (5001, "ab" * 400), (5002, "ab" * 300), (None, passages[0])]
-    assert removal(make(rows), batch_bytes=9000, hot_batches=hot) == plain_removal(rows)
+    assert removal(make(rows), batch_bytes=9000, hot_contexts=hot) == plain_removal(rows)
 
 
 def test_passages_over_chunks(make, monkeypatch):
@@ -182,14 +182,14 @@ def test_passages_over_chunks(make, monkeypatch):
     base = bytes(rng.integers(97, 101, 3000)).decode()
     rows = [(1, base), (2, base[500:1900] + "q" + base[700:]), (3, "z" * 11 + base), (4, base[::-1])]
     assert sum(c.strings.sum() for c in [suffix_dedup.Contexts([t.encode() for _, t in rows])]) == sum(len(t) - 49 for _, t in rows)
-    assert removal(make(rows)) == removal(make(rows), batch_bytes=2000, hot_batches=1) == plain_removal(rows)
+    assert removal(make(rows)) == removal(make(rows), batch_bytes=2000, hot_contexts=1) == plain_removal(rows)
 
 
 def test_passages_with_clashing_columns_and_null_ids(make):
     passage = "the same long passage that stands in many documents without an id of their own, word for word"
     rows = [(None, f"{k} {passage}") for k in range(40)] + [(1, passage), (2, f"x {passage}")]
     df = make(rows).withColumn("batch", F.lit("b")).withColumn("kind", F.lit("k")).withColumn("_hash", F.lit("h")).withColumn("payload", F.lit("p"))
-    assert removal(df, batch_bytes=300, hot_batches=2) == plain_removal(rows)
+    assert removal(df, batch_bytes=300, hot_contexts=2) == plain_removal(rows)
     assert sorted(r["batch"] for r in suffix_dedup.remove_repeats(df, keep=("batch", "kind")).collect()) == ["b"] * len(rows)
 
 
