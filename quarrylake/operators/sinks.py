@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.globs import match_any
 from ..functions.screening import redact_secrets
 from ..functions.signals import column
+from ..functions.terminal import display_width, last_answer
 from ..lineage import checkpointed, ensure_checkpoint_dir
 from ..plans.query import KEY, Query, table, worked
 from ..sources import code, rules
@@ -295,22 +296,20 @@ VOCABULARY = [
 ]
 
 
-def last_answer(text: str) -> str | None:
-    """The last JSON object in a noisy text that is one, in its own spelling of keys and values."""
-    decoder, found, at = json.JSONDecoder(), None, 0
-    while (at := text.find("{", at)) >= 0:
-        try:
-            value, at = decoder.raw_decode(text, at)
-            found = value if isinstance(value, dict) else found
-        except ValueError:
-            at += 1
-    return None if found is None else json.dumps(found, sort_keys=True, ensure_ascii=False)
-
-
 ANSWERS = [
     (f'noise {{"a": {KEY}}} or {{"b": 2}}', '{"b": 2}'), (f'{{"a": {KEY}}} then {{broken', f'{{"a": {KEY}}}'), ("no json", None), ('```json\n{"x": {"y": [1, "}"]}}\n```', '{"x": {"y": [1, "}"]}}'), ('{"a": 1', None), ('[1] {"k": null}', '{"k": null}'), ("", None),
 ]
 
+#: Output of a terminal of 60 columns: a word wider than a line is cut, any other break was a space.
+WRAPPED = [
+    (f'{{"id": {KEY}, "b": "short"}}', f'{{"b": "short", "id": {KEY}}}'),
+    ('say:\n{"a": "' + "x" * 53 + "\n" + "y" * 60 + '\nzz", "id": ' + KEY + "}", '{"a": "' + "x" * 53 + "y" * 60 + 'zz", "id": ' + KEY + "}"),
+    ('{"a": "' + "one two " * 6 + "four\r\nfive six\", \"id\": " + KEY + "}", '{"a": "' + "one two " * 6 + 'four five six", "id": ' + KEY + "}"),
+    ('{"a": "' + "한" * 27 + "\n" + "글" * 26 + '",\n"id": ' + KEY + "}", '{"a": "' + "한" * 27 + " " + "글" * 26 + '", "id": ' + KEY + "}"),
+    ("a log with {braces\nand } no answer", None),
+]
+WIDTHS = [("", 0), ("plain é", 7), ("한글 ok", 7), ("ｆｕｌｌ", 8), ("〿x", 2), ("\U0001f600!", 3), ("𠀀", 2), ("half ﾊﾝ", 7)]
+
 QUERIES = [
     Query("sc01_append_redacted", sc01_append, SC01),
     Query("sc03_rule_files", sc03_rules, SC03),
@@ -325,4 +324,6 @@ QUERIES = [
     Query("dm08_replace_by_key", dm08_replaced, DM08),
     worked("sc27_vocabulary", "events", "event_id", ("path", "text"), ("names",), VOCABULARY, lambda p, t: F.array_join(column(manifest_names, "array<string>")(p, t), "|")),
     worked("sc31_last_json_answer", "events", "event_id", ("text",), ("answer",), ANSWERS, column(last_answer, "string")),
+    worked("tx25_unwrapped_answer", "events", "event_id", ("text",), ("answer",), WRAPPED, column(last_answer, "string")),
+    worked("tx25_display_width", "events", "event_id", ("text",), ("columns",), WIDTHS, display_width),
 ]
