@@ -261,11 +261,16 @@ WN05 = "SELECT event_id, event_type, ended FROM (SELECT *, max(ts) OVER (PARTITI
 
 def snippet(said: Column, wanted: Column, most: int) -> Column:
     """The sentence with most wanted tokens, the first of them, and the two after it, cut to ``most`` signs."""
-    parts = T.sentences(said)
-    scores = F.transform(parts, lambda s: F.size(F.array_intersect(T.tokens(s), wanted)))
-    best = F.array_position(scores, F.array_max(scores)).cast("int")
-    picked = F.array_join(F.slice(parts, F.greatest(best, F.lit(1)), 3), " ")
-    return F.when(F.size(parts) == 0, "").otherwise(T.truncate(F.concat(F.when(best > 1, "… ").otherwise(""), picked), most))
+
+    def cut(parts: Column, best: Column) -> Column:
+        picked = F.array_join(F.slice(parts, F.greatest(best, F.lit(1)), 3), " ")
+        return F.when(F.size(parts) == 0, "").otherwise(T.truncate(F.concat(F.when(best > 1, "… ").otherwise(""), picked), most))
+
+    def chosen(parts: Column) -> Column:
+        scores = F.transform(parts, lambda s: F.size(F.array_intersect(T.tokens(s), wanted)))
+        return T.bound(scores, lambda n: T.bound(F.array_position(n, F.array_max(n)).cast("int"), lambda best: cut(parts, best)))
+
+    return T.bound(T.sentences(said), chosen)
 
 
 def recall(sources: DataFrame, asked: DataFrame, limit: int = 5, least: float = 0.3) -> DataFrame:
@@ -273,7 +278,8 @@ def recall(sources: DataFrame, asked: DataFrame, limit: int = 5, least: float =
 
     ``sources`` has kind, id, part, age (days), key, text, body; ``asked`` qid and text.  A turn whose request
     is that of a history entry is left out.  Tokens are weighted over all documents; only those that a
-    query has leave their document.
+    query has leave their document.  A query's lightest tokens that together stay below the least
+    coverage bring up no document: words that all documents have would pair each with every query.
     """
     told = sources.filter("kind = 'history'").select("key").distinct()
     kept = sources.filter("kind <> 'turn'").unionByName(sources.filter("kind = 'turn'").join(told, "key", "left_anti").select(*sources.columns))
@@ -283,9 +289,14 @@ def recall(sources: DataFrame, asked: DataFrame, limit: int = 5, least: float =
     posted = checkpointed(T.postings(pool, "row", "text").join(want.select("tok").distinct(), "tok", "left_semi"))
     df = posted.groupBy("tok").agg(F.count("*").alias("df"))
     weighted = want.join(df, "tok", "left").withColumn("w", F.log(1 + F.lit(max(1, n)) / F.coalesce(F.col("df"), F.lit(0.5))))
-    total = weighted.groupBy("qid").agg(F.sum("w").alias("total"), F.array_sort(F.collect_list("tok")).alias("wanted"))
-    hit = posted.join(weighted.select("qid", "tok", "w"), "tok").groupBy("qid", "row").agg(F.sum("w").alias("hit"))
-    scored = hit.join(total, "qid").withColumn("coverage", F.round(F.col("hit") / F.col("total"), 5)).filter(F.col("coverage") >= least)
+    of_query = checkpointed(weighted.groupBy("qid").agg(F.sum("w").alias("total"), F.array_sort(F.collect_list(F.struct("tok", "w"))).alias("wanted")))
+    lighter = F.sum("w").over(Window.partitionBy("qid").orderBy("w", "tok").rowsBetween(Window.unboundedPreceding, 0))
+    bringing = weighted.withColumn("lighter", lighter).join(of_query.select("qid", "total"), "qid").filter(F.col("lighter") >= (least - 1e-5) * F.col("total"))
+    met = posted.join(bringing.select("qid", "tok"), "tok").select("qid", "row").distinct()
+    held = posted.groupBy("row").agg(F.collect_list("tok").alias("held"))
+    hit = F.aggregate("wanted", F.lit(0.0), lambda s, t: s + F.when(F.array_contains("held", t["tok"]), t["w"]).otherwise(0.0))
+    scored = met.join(held, "row").join(of_query, "qid").select("qid", "row", F.round(hit / F.col("total"), 5).alias("coverage"), F.transform("wanted", lambda t: t["tok"]).alias("wanted"))
+    scored = scored.filter(F.col("coverage") >= least)
     ranked = scored.join(pool.drop("text", "body"), "row").withColumn("rank", F.round(F.col("coverage") + 0.1 * F.exp(-F.col("age") / 30), 5))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rank"), "kind", "id", "part"))
     best = ranked.withColumn("place", place).filter(F.col("place") <= limit)
