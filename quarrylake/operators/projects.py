@@ -11,13 +11,15 @@ from .codegraph import folder, normal, union
 
 #: How many levels of ``extends`` are followed.
 LEVELS = 3
+#: A string of JSON as the first group, which stays as it is.
+STRING = r'("[^"\\]*+(?:\\[\s\S][^"\\]*+)*+")'
 CONFIG = "name string, extends string, compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>"
 
 
 def plain_json(text: Column) -> Column:
     """JSON text without the comments and trailing commas that configuration files may have."""
-    bare = F.regexp_replace(text, r'("[^"\\]*+(?:\\[\s\S][^"\\]*+)*+")|//[^\n]*|/\*[\s\S]*?\*/', "$1")
-    return F.regexp_replace(bare, r",(\s*[}\]])", "$1")
+    bare = F.regexp_replace(text, STRING + r"|//[^\n]*|/\*[\s\S]*?\*/", "$1")
+    return F.regexp_replace(bare, STRING + r"|,(?=\s*[}\]])", "$1")
 
 
 def configurations(files: DataFrame) -> DataFrame:
