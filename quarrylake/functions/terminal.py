@@ -8,8 +8,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Ranges of code points that take two columns, and the least width taken for a terminal's.
-WIDE_RANGES = ((0x1100, 0x115F), (0x2E80, 0x303E), (0x3040, 0xA4CF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFF60), (0xFFE0, 0xFFE6), (0x1F300, 0x1FAFF), (0x20000, 0x3FFFD))
+# Ranges of code points that take two columns, the one among them that takes one, and the
+# least width taken for a terminal's.
+WIDE_RANGES = ((0x1100, 0x115F), (0x2E80, 0xA4CF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFF60), (0xFFE0, 0xFFE6), (0x1F300, 0x1FAFF), (0x20000, 0x3FFFD))
+NARROW = 0x303F
 LEAST_COLUMNS = 60
 
 WIDE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in WIDE_RANGES) + "]")
@@ -21,12 +23,12 @@ BRACES = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
 
 def width(line: str) -> int:
     """Columns that a line takes."""
-    return len(line) + len(WIDE.findall(line))
+    return len(line) + len(WIDE.findall(line)) - line.count(chr(NARROW))
 
 
 def display_width(text: Column) -> Column:
     """Columns that each text takes on a terminal."""
-    narrow = "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in WIDE_RANGES) + "]"
+    narrow = "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in WIDE_RANGES) + f"]|\\x{{{NARROW:X}}}"
     return F.length(text) + F.length(F.regexp_replace(text, narrow, ""))
 
 
