@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_template, doc_fingerprint, exact_dedup, langid, packing, quality, simhash, suffix_dedup, token_scan
+from . import block_anchors, bpe, chat_template, doc_fingerprint, exact_dedup, filter_audit, langid, packing, quality, simhash, suffix_dedup, token_scan
 from .common import ascii_lower, id_in, id_out, read_table
 
 #: End-of-document id of the vocabulary below.
@@ -100,8 +100,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without words of 20-word windows that occur earlier; a null text has no words, a null id comes before all others, rows of one id take nothing from each other."""
+    out = block_anchors.remove_repeated_windows(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in every order; null texts and sources are empty, a null id is below all others and has no label, a document with several labels has all of them, repeated rows count each."""
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_chat_format, op4_simhash, op5_packing, op6_language_id, op7_suffix_dedup, op8_fingerprint, op9_quality, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_chat_format, op4_simhash, op5_packing, op6_language_id, op7_suffix_dedup, op8_fingerprint, op9_quality, op10_exact_dedup, op12_substring_dedup, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -113,6 +124,42 @@ def oracle_sql() -> dict[str, str]:
                    row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC) = 1 AS kept, text_sha256
             FROM t WINDOW g AS (PARTITION BY text_sha256)
         """,
+        "op12_substring_dedup": r"""
+            WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+            s AS (SELECT doc_id, i, array_to_string(words[i : i + 19], ' ') AS sequence FROM w, unnest(range(1, len(words) - 18)) r(i)),
+            g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY sequence ORDER BY doc_id, i) > 1 AS later FROM s),
+            p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+            c AS (SELECT doc_id, i, word, coalesce(bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM p LEFT JOIN g USING (doc_id, i)),
+            k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+            SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN k USING (doc_id)
+        """,
+        "op13_filter_audit": r"""
+            WITH d AS (
+                SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS low,
+                       regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                       doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+                FROM documents),
+            f AS (
+                SELECT part, good, toxic, count(*) AS n,
+                       CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+                       || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+                       || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > low THEN 'E' ELSE '' END AS fails
+                FROM d GROUP BY ALL),
+            l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+            o AS (
+                SELECT a.x || b.x || c.x || e.x || g.x AS filter_order FROM l a, l b, l c, l e, l g
+                WHERE len(list_distinct([a.x, b.x, c.x, e.x, g.x])) = 5),
+            s AS (SELECT filter_order, step::INT AS step, substr(filter_order, step::INT, 1) AS own, substr(filter_order, 1, step::INT - 1) AS before FROM o, range(1, 6) r(step)),
+            m AS (
+                SELECT part, filter_order, step, own, n, good, toxic, fails = own AS alone, contains(fails, own) AS failing, translate(fails, before, '') = fails AS reached
+                FROM s, f),
+            t AS (
+                SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (reached AND NOT failing), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (reached AND failing), 0)::BIGINT AS removed,
+                       coalesce(sum(n) FILTER (failing AND NOT reached), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+                       coalesce(sum(n) FILTER (reached AND failing AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (reached AND failing AND toxic), 0)::BIGINT AS toxic_lost
+                FROM m GROUP BY ALL)
+            SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM t
+        """,
         "op3_chat_format": r"""
             WITH t AS (
                 SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
