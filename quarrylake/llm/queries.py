@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_anchors, bpe, chat_template, doc_fingerprint, exact_dedup, filter_audit, langid, packing, quality, simhash, suffix_dedup, token_scan
+from . import block_anchors, bpe, chat_template, doc_fingerprint, exact_dedup, filter_audit, langid, packing, quality, ranked_search, simhash, suffix_dedup, token_scan
 from .common import ascii_lower, id_in, id_out, read_table
 
 #: End-of-document id of the vocabulary below.
@@ -100,6 +100,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item; a null text has no terms, equal scores go by id, a null one first, repeated documents are ranked each, rows of one item are one."""
+    return ranked_search.search(ranked_search.build_index(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "benchmark"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without words of 20-word windows that occur earlier; a null text has no words, a null id comes before all others, rows of one id take nothing from each other."""
     out = block_anchors.remove_repeated_windows(read_table(spark, sf_dir, "documents"))
@@ -112,7 +117,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_chat_format, op4_simhash, op5_packing, op6_language_id, op7_suffix_dedup, op8_fingerprint, op9_quality, op10_exact_dedup, op12_substring_dedup, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_chat_format, op4_simhash, op5_packing, op6_language_id, op7_suffix_dedup, op8_fingerprint, op9_quality, op10_exact_dedup, op11_ranked_search, op12_substring_dedup, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -124,6 +129,21 @@ def oracle_sql() -> dict[str, str]:
                    row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC) = 1 AS kept, text_sha256
             FROM t WINDOW g AS (PARTITION BY text_sha256)
         """,
+        "op11_ranked_search": r"""
+            WITH d AS (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+                FROM documents),
+            c AS (SELECT count(*) AS docs, sum(len(words))::BIGINT AS terms FROM d WHERE len(words) > 0),
+            t AS (SELECT doc_id, n, word, count(*) AS tf FROM (SELECT doc_id, len(words) AS n, unnest(words) AS word FROM d) GROUP BY ALL),
+            w AS (SELECT word, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM t, c GROUP BY word, docs),
+            q AS (
+                SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS word
+                FROM benchmark),
+            s AS (
+                SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)))))::BIGINT AS score
+                FROM q JOIN t USING (word) JOIN w USING (word), c GROUP BY ALL)
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50
+        """,
         "op12_substring_dedup": r"""
             WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
             s AS (SELECT doc_id, i, array_to_string(words[i : i + 19], ' ') AS sequence FROM w, unnest(range(1, len(words) - 18)) r(i)),
