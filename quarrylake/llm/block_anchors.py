@@ -11,7 +11,7 @@ Three passes over the documents, which are dealt into batches of bounded text:
 
 1. a batch sends its probes, 32 bits each, to buckets of the index, with a mark at reference blocks; a
    bucket answers which of them are hits.  Few bits lose nothing: a chance hit is only extended;
-2. a batch sends the digests (128 bits) of the windows around its hits, each once and with the least
+2. a batch sends the digests (96 bits) of the windows around its hits, each once and with the least
    document that has it; a bucket answers with the least document of all batches where that is earlier;
 3. a batch applies the answers, and what its own documents repeat themselves, to its documents.
 
@@ -21,6 +21,7 @@ costs one entry for each batch, and nobody ever holds the occurrences of one blo
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,11 +96,24 @@ class Passages:
         return at, _runs(self.hashes, self.block, 0)[at], offset % self.block == 0
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of all windows and the two halves of their digests."""
+        """Positions of all windows and the two parts of their digests, 64 and 32 bits."""
         at = self._starts(self.window)
         if not len(at):
-            return at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return at, _runs(self.hashes, self.window, 0)[at], _runs(self.hashes, self.window, 1)[at]
+            return at, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        return at, _runs(self.hashes, self.window, 0)[at], (_runs(self.hashes, self.window, 1)[at] >> np.uint64(32)).astype(np.uint32)
+
+
+def _packed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Integers byte by byte, all lowest bytes first, so that high bytes that are alike take no room; rising ones as steps."""
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
+
+
+def _unpacked(raw: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    values = np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if rising else values
 
 
 def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +139,7 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     space.  A word goes if one of the windows that cover it also starts in a document with a smaller id, or
     earlier in its own.  A null text has no words; a null id sorts below every other id, and rows that share
     an id take nothing from each other; texts of less than ``window`` words lose nothing.  Windows are
-    equal when their 128-bit digests are.  An empty table gives no rows.
+    equal when their 96-bit digests are.  An empty table gives no rows.
     """
     spark = df.sparkSession
     docs = df.select(id_in(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -154,11 +168,11 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
         several = np.diff(np.r_[first, len(order)]) > 1
         block = np.logical_or.reduceat(is_block[order], first) if len(first) else np.zeros(0, bool)
         for b, s, e in _slices(bucket[order[first]]):
-            rows.append((b, int(left["batch"].iloc[0]), short[order[first[s:e]]].tobytes(), np.packbits(block[s:e]).tobytes(), np.packbits(several[s:e]).tobytes()))
+            rows.append((b, int(left["batch"].iloc[0]), _packed(short[order[first[s:e]]], rising=True), np.packbits(block[s:e]).tobytes(), np.packbits(several[s:e]).tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "batch", "probes", "blocks", "several"])
 
     def find_hits(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(raw, np.uint32) for raw in group["probes"]]
+        parts = [_unpacked(raw, np.uint32, rising=True) for raw in group["probes"]]
         bits = lambda c: np.concatenate([np.unpackbits(np.frombuffer(raw, np.uint8), count=len(p)) for raw, p in zip(group[c], parts, strict=True)]) > 0
         flat, block, several = np.concatenate(parts), bits("blocks"), bits("several")
         order, new = _grouped(flat)
@@ -171,7 +185,7 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
             own = p[marks[s : s + len(p)]]
             s += len(p)
             if len(own):
-                rows.append((batch, int(group["bucket"].iloc[0]), own.tobytes()))
+                rows.append((batch, int(group["bucket"].iloc[0]), _packed(own, rising=True)))
         return pd.DataFrame(rows, columns=["batch", "bucket", "payload"])
 
     def send_windows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -181,7 +195,7 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
             at, hashes, _ = p.probes()
             bucket, short = bucketed(hashes)
             key = (bucket.astype(np.uint64) << np.uint64(32)) | short
-            hits = np.concatenate([np.frombuffer(raw, np.uint32).astype(np.uint64) | (np.uint64(b) << np.uint64(32)) for b, raw in zip(right["bucket"], right["payload"], strict=True)])
+            hits = np.concatenate([_unpacked(raw, np.uint32, rising=True).astype(np.uint64) | (np.uint64(b) << np.uint64(32)) for b, raw in zip(right["bucket"], right["payload"], strict=True)])
             hit = np.zeros(len(p.hashes) + 1, np.int64)
             hit[at[np.isin(key, hits)] + 1] = 1
             seen = np.cumsum(hit)
@@ -195,12 +209,13 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
             first = order[new]
             for b, s, e in _slices(bucket[first]):
                 at = first[s:e]
-                rows.append((b, int(left["batch"].iloc[0]), high[at].tobytes(), low[at].tobytes(), own[at].tobytes()))
+                rows.append((b, int(left["batch"].iloc[0]), _packed(high[at], rising=True), _packed(low[at]), _packed(own[at])))
         return pd.DataFrame(rows, columns=["bucket", "batch", "high", "low", "least"])
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        high, low = (np.concatenate([np.frombuffer(raw, np.uint64) for raw in group[c]]) for c in ("high", "low"))
-        parts = [np.frombuffer(raw, np.int64) for raw in group["least"]]
+        high = np.concatenate([_unpacked(raw, np.uint64, rising=True) for raw in group["high"]])
+        low = np.concatenate([_unpacked(raw, np.uint32) for raw in group["low"]])
+        parts = [_unpacked(raw, np.int64) for raw in group["least"]]
         own = np.concatenate(parts)
         order, new = _grouped(high, low)
         first = np.flatnonzero(new)
@@ -212,8 +227,8 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
             at = s + np.flatnonzero(least[s:e] < own[s:e])
             s = e
             if len(at):
-                rows.append((batch, len(at), high[at].tobytes() + low[at].tobytes() + least[at].tobytes()))
-        return pd.DataFrame(rows, columns=["batch", "number", "payload"])
+                rows.append((batch, _packed(high[at], rising=True), _packed(low[at]), _packed(least[at])))
+        return pd.DataFrame(rows, columns=["batch", "high", "low", "least"])
 
     def apply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
@@ -222,13 +237,13 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
         at, high, low = p.windows()
         doc = p.document_of(at) if len(at) else np.zeros(0, np.int64)
         of = ids[p.doc[doc]] if len(at) else np.zeros(0, np.int64)
-        told = [np.frombuffer(raw, np.uint64).reshape(3, -1) for raw in right["payload"]]
-        told_high, told_low, told_least = np.concatenate(told, axis=1) if told else np.zeros((3, 0), np.uint64)
+        told = lambda c, kind, rising=False: np.concatenate([np.zeros(0, kind), *(_unpacked(raw, kind, rising) for raw in right[c])])
+        told_high, told_low, told_least = told("high", np.uint64, True), told("low", np.uint32), told("least", np.int64)
         order, new = _grouped(np.r_[high, told_high], np.r_[low, told_low])
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
         least = np.full(int(new.sum()), np.iinfo(np.int64).max)
-        np.minimum.at(least, group, np.r_[of, told_least.view(np.int64)])
+        np.minimum.at(least, group, np.r_[of, told_least])
         gone = least[group[: len(at)]] < of
         by, other = _grouped(doc, group[: len(at)])  # a document's own repeats: all but the first of each
         gone[by[~other]] = True
@@ -250,6 +265,6 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     sent = texts.applyInPandas(sparing(send_probes), "bucket long, batch long, probes binary, blocks binary, several binary")
     hits = sent.repartition(width, "bucket").groupBy("bucket").applyInPandas(sparing(find_hits), "batch long, bucket long, payload binary")
     met = texts.cogroup(hits.repartition(width, "batch").groupBy("batch")).applyInPandas(sparing(send_windows), "bucket long, batch long, high binary, low binary, least binary")
-    answers = met.repartition(width, "bucket").groupBy("bucket").applyInPandas(sparing(answer), "batch long, number long, payload binary")
+    answers = met.repartition(width, "bucket").groupBy("bucket").applyInPandas(sparing(answer), "batch long, high binary, low binary, least binary")
     out = texts.cogroup(answers.repartition(width, "batch").groupBy("batch")).applyInPandas(sparing(apply), "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
     return id_out(out)
