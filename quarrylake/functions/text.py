@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import checkpointed
 from .fixed import ACK
 
 # Patterns and words that results depend on.
@@ -152,30 +151,3 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def idf(posted: DataFrame, n: int) -> DataFrame:
     """(tok, df, w): w = ln(1 + n / df)."""
     return posted.groupBy("tok").agg(F.count("*").alias("df")).withColumn("w", F.log(1 + F.lit(max(1, n)) / F.col("df")))
-
-
-def shared_tokens(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc, tok) of the tokens that some query has, and (query, tok, df) with df null where no document has it.
-
-    The query set is stated and small.  Documents are tokenised once, and only the tokens that queries ask
-    for leave them.
-    """
-    asked = checkpointed(postings(queries, query_id, text_col))
-    posted = checkpointed(postings(docs, doc_id, text_col).join(asked.select("tok").distinct(), "tok", "left_semi"))
-    return posted, asked.join(posted.groupBy("tok").agg(F.count("*").alias("df")), "tok", "left")
-
-
-def overlap_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(query, doc, inter): weights of the tokens that a query shares with a document."""
-    posted, asked = shared_tokens(docs, queries, doc_id, query_id, text_col)
-    weighted = asked.filter("df IS NOT NULL").select(query_id, "tok", F.log(1 + F.lit(max(1, docs.count())) / F.col("df")).alias("w"))
-    return posted.join(weighted, "tok").groupBy(query_id, doc_id).agg(F.sum("w").alias("inter"))
-
-
-def coverage(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(query, doc, coverage): the share of a query's token weight that a document has; unknown tokens weigh most."""
-    posted, asked = shared_tokens(docs, queries, doc_id, query_id, text_col)
-    weighted = checkpointed(asked.select(query_id, "tok", F.log(1 + F.lit(max(1, docs.count())) / F.coalesce(F.col("df"), F.lit(0.5))).alias("w")))
-    total = weighted.groupBy(query_id).agg(F.sum("w").alias("total"))
-    hit = posted.join(weighted, "tok").groupBy(query_id, doc_id).agg(F.sum("w").alias("hit"))
-    return hit.join(total, query_id).select(query_id, doc_id, F.round(F.col("hit") / F.col("total"), 5).alias("coverage"))

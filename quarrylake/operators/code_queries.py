@@ -237,7 +237,7 @@ def gr11_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Every class with its supertypes and the steps to them.
-UP = f"e AS ({DUCK_BASES}), up AS (SELECT p_partkey AS cls, p_partkey AS super, 0 AS depth FROM part UNION SELECT up.cls, e.dst, up.depth + 1 FROM up JOIN e ON e.src = up.super WHERE up.depth < 8), near AS (SELECT cls, super, min(depth) AS depth FROM up GROUP BY ALL)"
+UP = f"e AS ({DUCK_BASES}), up AS (SELECT p_partkey AS cls, p_partkey AS super, 0 AS depth FROM part UNION SELECT up.cls, e.dst, up.depth + 1 FROM up JOIN e ON e.src = up.super), near AS (SELECT cls, super, min(depth) AS depth FROM up GROUP BY ALL)"
 GR11 = f"""
     WITH RECURSIVE {UP}, m AS (SELECT p_partkey, {NOUN} AS name, p_size > 25 AS declares FROM part),
     hit AS (SELECT a.p_partkey AS ref, b.p_partkey AS target, near.depth FROM near JOIN m a ON a.p_partkey = near.cls JOIN m b ON b.p_partkey = near.super AND b.declares AND b.name = a.name)

@@ -120,39 +120,35 @@ def normal_module(spec: Column) -> Column:
 # ---- the type graph ------------------------------------------------------------------------------
 
 
-def nearest_member(asked: DataFrame, members: DataFrame, bases: DataFrame, depth: int = 8) -> DataFrame:
-    """(ref, target, depth): members of a name in a class or its nearest supertypes.
+def nearest_member(asked: DataFrame, members: DataFrame, bases: DataFrame) -> DataFrame:
+    """(ref, target, depth): members of a name in a class or its nearest supertypes, however far up.
 
     ``asked`` has ref, cls and name, ``members`` cls, name and target, ``bases`` src and dst.  What has
-    found its member goes no further up; a class is looked at once for each reference.
+    found its member goes no further up; a class is looked at once for each reference, so circles end.
     """
     open_ = checkpointed(asked.select("ref", "name", F.col("cls").alias("at")).distinct())
     held = members.select(F.col("cls").alias("at"), "name", "target")
-    seen, found = open_, []
-    for level in range(depth + 1):
+    seen, found, level = open_, [], 0
+    while not found or not open_.isEmpty():
         hit = checkpointed(open_.join(held, ["at", "name"]).select("ref", "target", F.lit(level).alias("depth")))
         found.append(hit)
         rest = open_.join(hit.select("ref").distinct(), "ref", "left_anti")
         up = rest.join(bases, F.col("at") == F.col("src")).select("ref", "name", F.col("dst").alias("at")).distinct()
         open_ = checkpointed(up.join(seen.select("ref", "at"), ["ref", "at"], "left_anti"))
-        if level == depth or open_.isEmpty():
-            break
-        seen = checkpointed(seen.unionByName(open_))
+        seen, level = checkpointed(seen.unionByName(open_)), level + 1
     return union(*found).distinct()
 
 
-def overridden(members: DataFrame, bases: DataFrame, depth: int = 8) -> DataFrame:
-    """(member, base, depth): members of the same name in all supertypes of the class that declares a member."""
+def overridden(members: DataFrame, bases: DataFrame) -> DataFrame:
+    """(member, base, depth): members of the same name in all supertypes of the class that declares a member, however far up."""
     at = checkpointed(members.select(F.col("target").alias("member"), "name", F.col("cls").alias("at")).distinct())
-    seen, found = at, []
-    for level in range(1, depth + 1):
+    seen, found, level = at, [], 0
+    while not found or not at.isEmpty():
         up = at.join(bases, F.col("at") == F.col("src")).select("member", "name", F.col("dst").alias("at")).distinct()
         at = checkpointed(up.join(seen.select("member", "at"), ["member", "at"], "left_anti"))
-        if at.isEmpty():
-            break
-        seen = checkpointed(seen.unionByName(at))
+        seen, level = checkpointed(seen.unionByName(at)), level + 1
         found.append(at.join(members.select(F.col("cls").alias("at"), "name", F.col("target").alias("base")), ["at", "name"]).select("member", "base", F.lit(level).alias("depth")))
-    return union(*found) if found else members.select(F.col("target").alias("member"), F.col("target").alias("base"), F.lit(0).alias("depth")).limit(0)
+    return union(*found)
 
 
 def attach_owners(methods: DataFrame, types: DataFrame) -> DataFrame:
@@ -332,18 +328,32 @@ def unique_fallback(refs: DataFrame, syms: DataFrame, bases: DataFrame, most: in
     return one.unionByName(alone)
 
 
-def ancestors(edges: DataFrame, seeds: DataFrame | None = None, rounds: int = 10) -> DataFrame:
-    """(node, ancestor): everything that ``edges`` (src, dst) lead to from a node, by doubling: n rounds reach 2**n far."""
-    pairs = edges.select(F.col("src").alias("node"), F.col("dst").alias("ancestor")).filter("node <> ancestor").distinct()
-    pairs = checkpointed(pairs)
-    size = pairs.count()
-    for _ in range(rounds):
-        onward = pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"))
-        pairs = checkpointed(pairs.unionByName(pairs.join(onward, "ancestor").select("node", F.col("further").alias("ancestor")).filter("node <> ancestor")).distinct())
-        before, size = size, pairs.count()
+def ancestors(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """(node, ancestor): everything that ``edges`` (src, dst) lead to from a node, or from the nodes of ``seeds``.
+
+    Round k joins what has been reached with the pairs that exactly 2**k steps connect, so all of a
+    chain of n is there after log n rounds and each pair of a chain is made once; there is no bound on the
+    rounds.  Circles end when a round reaches nothing new.  Where ``seeds`` also has ``floor`` and
+    ``edges`` has ``dst_at``, a walk leaves out what lies below its floor; places must fall along the edges.
+    """
+    bounded = seeds is not None and "floor" in seeds.columns
+    more = ["dst_at"] if bounded else []
+    hops = checkpointed(edges.filter("src <> dst").select("src", "dst", *more).distinct())
+    starts = edges.select(F.col("src").alias("node")) if seeds is None else seeds.select("node", *(["floor"] if bounded else []))
+    own = ["node", "floor"] if bounded else ["node"]
+    reached = checkpointed(starts.distinct().withColumn("at", F.col("node")))
+    size = reached.count()
+    while not hops.isEmpty():
+        step = reached.join(hops, reached["at"] == hops["src"])
+        if bounded:
+            step = step.filter("dst_at >= floor")
+        reached = checkpointed(reached.unionByName(step.select(*own, F.col("dst").alias("at"))).distinct())
+        before, size = size, reached.count()
         if size == before:
             break
-    return pairs if seeds is None else pairs.join(seeds, "node", "left_semi")
+        far = hops.select(F.col("src").alias("dst"), F.col("dst").alias("next"), *[F.col(c).alias("next_at") for c in more])
+        hops = checkpointed(hops.drop(*more).join(far, "dst").select("src", F.col("next").alias("dst"), *[F.col("next_at").alias(c) for c in more]).distinct())
+    return reached.filter("node <> at").select("node", F.col("at").alias("ancestor")).distinct()
 
 
 # ---- questions -----------------------------------------------------------------------------------

@@ -19,6 +19,7 @@ from ..functions import text as T
 from ..functions.globs import path_regex
 from ..functions.signals import column
 from ..plans.query import KEY, Query, table, worked
+from . import overlap
 from .codegraph import union
 from .contexts import pack_blocks
 from .graph import checkpointed
@@ -33,9 +34,9 @@ def neighbours(candidates: DataFrame, pool: DataFrame) -> DataFrame:
     ``candidates`` has pid, text, paths and ``pool`` id, text, paths, topics.
     """
     none = F.array().cast("array<string>")
-    parts = score_parts(pool.withColumn("paths", none), candidates.select("pid", F.regexp_replace("text", r"[/.]", " ").alias("text"), none.alias("code_paths")))
+    parts = score_parts(pool.withColumn("paths", none), candidates.select("pid", F.regexp_replace("text", r"[/.]", " ").alias("text"), none.alias("code_paths")), X.NEIGHBOUR_MIN)
     best = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("score"), "id"))
-    top = parts.filter(F.col("score") >= X.NEIGHBOUR_MIN).withColumn("nth", best).filter(F.col("nth") <= X.NEIGHBOUR_LIMIT)
+    top = parts.withColumn("nth", best).filter(F.col("nth") <= X.NEIGHBOUR_LIMIT)
     both = top.join(candidates.select("pid", F.col("paths").alias("mine")), "pid").join(pool.select("id", F.col("paths").alias("theirs")), "id")
     lifted = both.withColumn("score", F.round(F.col("score") + F.when(F.arrays_overlap("mine", "theirs"), X.NEIGHBOUR_PATH_BONUS).otherwise(0.0), 5))
     place = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("score"), "id"))
@@ -287,27 +288,32 @@ def overlapping(rules: DataFrame, top: int = X.OVERLAP_TOP, least: float = X.OVE
     """(a, b, score): rules worded almost alike that name different things, each pair once, the ``top`` best.
 
     ``rules`` has id and text.  Each rule looks at its three nearest; pairs that nearly share all words are
-    listed even where nothing differs.
+    listed even where nothing differs.  Rules of equal tokens are looked up together: of those that stand
+    for one wording only the first few can be among anyone's nearest.
     """
-    none = F.array().cast("array<string>")
-    pool = checkpointed(rules.select("id", "text", none.alias("topics"), none.alias("paths")))
-    near = score_parts(pool, pool.select(F.col("id").alias("pid"), F.regexp_replace("text", r"[/.]", " ").alias("text"), none.alias("code_paths"))).filter(F.col("pid") != F.col("id")).filter(F.col("score") >= least)
-    nth = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("score"), "id"))
-    few = near.withColumn("nth", nth).filter(F.col("nth") <= X.OVERLAP_PER_RULE)
-    pairs = few.groupBy(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).agg(F.max("score").alias("score"))
-    both = pairs.join(pool.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(pool.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    differs = (T.negated(F.col("ta")) != T.negated(F.col("tb"))) | (T.key_terms(F.col("ta")) != T.key_terms(F.col("tb")))
-    return both.filter((F.col("score") >= strong) | differs).select("a", "b", "score").orderBy(F.desc("score"), "a", "b").limit(top)
+    few = X.OVERLAP_PER_RULE
+    pairs, members = overlap.similar_pairs(rules, least)
+    members = checkpointed(members)
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("member"))
+    first = members.withColumn("nth", nth).filter(F.col("nth") <= few + 1).select(F.col("id").alias("of"), F.col("member").alias("other"))
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("of"), "score").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("of"), "score"))
+    own = members.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.col("id").alias("of"), F.lit(1.0).alias("score"))
+    near = members.join(both.unionByName(own), "id").join(first, "of").filter("member <> other")
+    best = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("score"), "other"))
+    kept = near.withColumn("best", best).filter(F.col("best") <= few)
+    found = kept.groupBy(F.least("member", "other").alias("a"), F.greatest("member", "other").alias("b")).agg(F.max("score").alias("score"))
+    said = rules.select("id", T.negated(F.col("text")).alias("neg"), T.key_terms(F.col("text")).alias("terms"))
+    named = found.join(said.toDF("a", "na", "ta"), "a").join(said.toDF("b", "nb", "tb"), "b")
+    return named.filter((F.col("score") >= strong) | (F.col("na") != F.col("nb")) | (F.col("ta") != F.col("tb"))).select("a", "b", "score").orderBy(F.desc("score"), "a", "b").limit(top)
 
 
 def so07_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten pairs of parts' names and types that overlap most, among parts of the largest size."""
-    rules = table(spark, sf, "part").filter("p_size >= 48").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.lower("p_type"), "p_size").alias("text"))
-    return overlapping(rules)
+    """The ten pairs of parts' names and types that overlap most."""
+    return overlapping(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.lower("p_type"), "p_size").alias("text")))
 
 
 SO07 = f"""
-    WITH r AS (SELECT p_partkey AS id, p_name || ' ' || lower(p_type) || ' ' || p_size AS text FROM part WHERE p_size >= 48), d AS (SELECT DISTINCT id, tok FROM (SELECT id, unnest({T.DUCK_TOKENS.format(c='text')}) AS tok FROM r)), n AS (SELECT greatest(1, count(*)) AS n FROM r),
+    WITH r AS (SELECT p_partkey AS id, p_name || ' ' || lower(p_type) || ' ' || p_size AS text FROM part), d AS (SELECT DISTINCT id, tok FROM (SELECT id, unnest({T.DUCK_TOKENS.format(c='text')}) AS tok FROM r)), n AS (SELECT greatest(1, count(*)) AS n FROM r),
     w AS (SELECT tok, ln(1 + n.n / count(*)) AS w FROM d, n GROUP BY tok, n.n), s AS (SELECT id, sum(w) AS s FROM d JOIN w USING (tok) GROUP BY id),
     p AS (SELECT x.id AS pid, y.id AS id, round(sum(w.w) / sqrt(any_value(a.s) * any_value(b.s)), 5) AS score FROM d x JOIN d y ON x.tok = y.tok AND x.id <> y.id JOIN w ON w.tok = x.tok JOIN s a ON a.id = x.id JOIN s b ON b.id = y.id GROUP BY x.id, y.id),
     t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, id) AS nth FROM p WHERE score >= 0.6) WHERE nth <= 3),

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..plans.query import Query, sql_query, table
 from ..sources import code, rules
 from . import asof
+from .windows import query_coverage
 from .wording import D
 
 
@@ -57,7 +57,7 @@ SM10 = """
 
 def ag17_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Share of each prompt's token weight that a document covers, where it is half or more."""
-    return T.coverage(table(spark, sf, "documents"), table(spark, sf, "benchmark")).filter("coverage >= 0.5")
+    return query_coverage(spark, sf, 0.5)
 
 
 AG17 = f"""

@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..lineage import checkpointed, ensure_checkpoint_dir
 from ..plans.query import Query, table
 from ..sources import rules, transcripts
+from . import overlap
 from .graph import DUCK_CHAIN, chain
 from .wording import D
 
@@ -40,23 +40,19 @@ def gr29_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jn18_pair_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of the rule pool whose weighted overlap is 0.1 or more, each pair once."""
-    pool = table(spark, sf, "benchmark")
-    bare = checkpointed(T.postings(pool, "item_id", "text"))
-    posted = checkpointed(bare.join(T.idf(bare, pool.count()).select("tok", "w"), "tok"))
-    size = posted.groupBy("item_id").agg(F.sum("w").alias("n"))
-    a, b = posted.withColumnRenamed("item_id", "a"), posted.select(F.col("item_id").alias("b"), "tok")
-    inter = a.join(b, "tok").filter("a < b").groupBy("a", "b").agg(F.sum("w").alias("inter"))
-    sized = inter.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    return sized.select("a", "b", F.round(F.col("inter") / F.sqrt(F.col("na") * F.col("nb")), 5).alias("score")).filter("score >= 0.1")
+    """Pairs of documents whose weighted overlap is 0.6 or more, each pair once; one document of each wording, and how many it stands for."""
+    pairs, members = overlap.similar_pairs(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), 0.6)
+    members = checkpointed(members.groupBy("id").agg(F.count("*").alias("n")))
+    return pairs.join(members.toDF("a", "a_stands_for"), "a").join(members.toDF("b", "b_stands_for"), "b").select("a", "b", "score", "a_stands_for", "b_stands_for")
 
 
 JN18 = f"""
-    WITH p AS (SELECT DISTINCT item_id, tok FROM (SELECT item_id, unnest({D}) AS tok FROM benchmark)),
-    w AS (SELECT tok, ln(1 + (SELECT count(*) FROM benchmark) / count(*)) AS w FROM p GROUP BY tok),
-    n AS (SELECT item_id, sum(w) AS n FROM p JOIN w USING (tok) GROUP BY item_id)
-    SELECT * FROM (SELECT a.item_id AS a, b.item_id AS b, round(sum(w) / sqrt(any_value(x.n) * any_value(y.n)), 5) AS score
-        FROM p a JOIN p b ON a.tok = b.tok AND a.item_id < b.item_id JOIN w ON w.tok = a.tok JOIN n x ON x.item_id = a.item_id JOIN n y ON y.item_id = b.item_id GROUP BY a.item_id, b.item_id) WHERE score >= 0.1
+    WITH t AS (SELECT doc_id, list_sort({D}) AS toks FROM documents), x AS (SELECT toks, min(doc_id) AS id, count(*) AS copies FROM t WHERE len(toks) > 0 GROUP BY toks),
+    p AS (SELECT id, copies, unnest(toks) AS tok FROM x),
+    w AS (SELECT tok, ln(1 + (SELECT count(*) FROM documents) / sum(copies)) AS w FROM p GROUP BY tok),
+    n AS (SELECT id, sum(w) AS n FROM p JOIN w USING (tok) GROUP BY id)
+    SELECT s.a, s.b, score, x.copies AS a_stands_for, y.copies AS b_stands_for FROM (SELECT a.id AS a, b.id AS b, round(sum(w) / sqrt(any_value(x.n) * any_value(y.n)), 5) AS score
+        FROM p a JOIN p b ON a.tok = b.tok AND a.id < b.id JOIN w ON w.tok = a.tok JOIN n x ON x.id = a.id JOIN n y ON y.id = b.id GROUP BY a.id, b.id) s JOIN x ON x.id = s.a JOIN x y ON y.id = s.b WHERE score >= 0.6
 """
 
 

@@ -17,7 +17,7 @@ from ..functions import text as T
 from ..functions.globs import path_regex
 from ..functions.signals import column, is_file_path, path_hints
 from ..plans.query import Query, table
-from . import asof
+from . import asof, overlap
 from .codegraph import ancestors, prefixes, union
 from .graph import checkpointed, live_heads
 
@@ -62,6 +62,21 @@ def first_texts(rows: DataFrame) -> DataFrame:
     return dealt.select("key", "id", "status", "superseded_by", "lineage").mapInPandas(run, "id long, superseded_by long")
 
 
+def same_key_ancestors(rules: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, ancestor): what a rule replaces, directly or through others, and has the same text.
+
+    Walks start only from rules whose text there is an older one of, carry the text along, and go no
+    further back than its oldest rule.
+    """
+    place = F.struct("captured", "id")
+    oldest = rules.groupBy("text_key").agg(F.min(place).alias("floor"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    keyed = checkpointed(rules.select("id", "text_key", place.alias("at")).join(oldest, "text_key"))
+    seeds = keyed.filter("at > floor").select(F.col("id").alias("node"), "floor")
+    walked = ancestors(edges.select("src", "dst", "dst_at"), seeds)
+    own = keyed.select(F.col("id").alias("node"), "text_key")
+    return walked.join(own, "node").join(keyed.select(F.col("id").alias("ancestor"), "text_key"), ["ancestor", "text_key"]).select(F.col("node").alias("id"), "ancestor")
+
+
 def conflicting_heads(pairs: DataFrame, nodes: DataFrame, onward: DataFrame) -> DataFrame:
     """(a, b): conflicts carried to the live versions of both sides, in both directions.
 
@@ -97,9 +112,7 @@ def derive_status(rules: DataFrame, day: str, proposed_days: int) -> DataFrame:
     first = edges.groupBy(F.col("dst").alias("id")).agg(F.min("src_at")["id"].alias("by"))
     one = rules.join(first, "id", "left").withColumn("superseded_by", F.when(F.col("status") != "retired", F.col("by")))
     one = checkpointed(one.withColumn("status", F.when(F.col("superseded_by").isNotNull(), "superseded").otherwise(F.col("status"))).drop("by"))
-    keys = rules.select("id", "text_key")
-    same = ancestors(edges).join(keys.withColumnRenamed("id", "node"), "node").join(keys.select(F.col("id").alias("ancestor"), F.col("text_key").alias("other")), "ancestor").filter("text_key = other")
-    lineage = same.groupBy(F.col("node").alias("id")).agg(F.collect_set("ancestor").alias("lineage"))
+    lineage = same_key_ancestors(rules, edges).groupBy("id").agg(F.collect_set("ancestor").alias("lineage"))
     standing = one.filter("status in ('active', 'superseded')").join(lineage, "id", "left").withColumnRenamed("text_key", "key")
     copies = first_texts(standing).withColumnRenamed("superseded_by", "copy_of")
     two = one.join(copies, "id", "left").withColumn("superseded_by", F.coalesce("copy_of", "superseded_by")).withColumn("status", F.when(F.col("copy_of").isNotNull(), "superseded").otherwise(F.col("status")))
@@ -321,20 +334,14 @@ def glob_matches(hints: DataFrame, globs: DataFrame) -> DataFrame:
     return asked.join(keyed, "at").filter("hint RLIKE pattern").select("hint", "glob")
 
 
-def score_parts(rules: DataFrame, prompts: DataFrame) -> DataFrame:
-    """(pid, id, lexical, topics, path, code, off, score) of every pair that has anything in common.
+def score_parts(rules: DataFrame, prompts: DataFrame, least: float) -> DataFrame:
+    """(pid, id, lexical, topics, path, code, score) of every pair that scores ``least`` or more.
 
     ``rules`` has id, text, topics, paths; ``prompts`` pid, text, code_paths.  A rule bound to paths scores
-    nothing where the prompt names files and none of them is among those; off tells so.
+    nothing where the prompt names files and none of them is among those.  Pairs come from common words
+    that weigh enough by themselves, or from a topic or a path that is named.
     """
-    posted = checkpointed(T.postings(rules, "id", "text"))
-    n = rules.count()
-    w = T.idf(posted, n).select("tok", "w")
-    want = T.postings(prompts, "pid", "text").join(w, "tok", "left").withColumn("w", F.coalesce("w", F.log(1 + F.lit(float(max(1, n))))))
-    want = checkpointed(want)
-    qn, dn = want.groupBy("pid").agg(F.sum("w").alias("qn")), posted.join(w, "tok").groupBy("id").agg(F.sum("w").alias("dn"))
-    inter = posted.join(want, "tok").groupBy("pid", "id").agg(F.sum("w").alias("inter"))
-    lexical = inter.join(qn, "pid").join(dn, "id").select("pid", "id", (F.col("inter") / F.sqrt(F.col("qn") * F.col("dn"))).alias("lexical"))
+    asked = overlap.asked_sets(rules.select("id", "text"), prompts.select(F.col("pid").alias("id"), "text"))
     spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), F.lit(" "))
     said = prompts.select("pid", F.explode(F.array_distinct(F.split(F.trim(spaced(F.col("text"))), " "))).alias("word"))
     named = rules.select("id", F.explode("topics").alias("topic")).filter(F.length("topic") >= 2).withColumn("word", F.split(F.trim(spaced(F.col("topic"))), " ")[0])
@@ -346,54 +353,98 @@ def score_parts(rules: DataFrame, prompts: DataFrame) -> DataFrame:
     path = hints.join(matched, "hint").select("pid", "id", F.lit(X.PATH_BONUS).alias("path")).distinct()
     code = codes.join(matched, "hint").select("pid", "id", F.lit(X.CODE_BONUS).alias("code")).distinct()
     files = hints.filter(column(is_file_path, "boolean")(F.col("hint"))).select("pid").unionByName(codes.select("pid")).distinct().withColumn("files", F.lit(True))
-    every = lexical.join(topics, ["pid", "id"], "full").join(path, ["pid", "id"], "full").join(code, ["pid", "id"], "full")
+    bonus = checkpointed(topics.join(path, ["pid", "id"], "full").join(code, ["pid", "id"], "full"))
+    pairs = checkpointed(overlap.alike(asked, least).toDF("pid", "id").unionByName(bonus.select("pid", "id")).distinct())
+    lexical = overlap.cosines(asked, pairs.toDF("l", "r")).select(F.col("l").alias("pid"), F.col("r").alias("id"), F.col("score").alias("lexical"))
+    every = pairs.join(lexical, ["pid", "id"], "left").join(bonus, ["pid", "id"], "left")
     every = every.join(files, "pid", "left").join(rules.select("id", (F.size("paths") > 0).alias("scoped")), "id").na.fill(0.0, ["lexical", "path", "code"]).na.fill(0, ["topics"]).na.fill(False, ["files"])
     every = every.withColumn("topics", F.least(F.lit(X.TOPIC_CAP), F.col("topics") * X.TOPIC_BONUS)).withColumn("code", F.when(F.col("path") > 0, 0.0).otherwise(F.col("code")))
     off = F.col("scoped") & F.col("files") & (F.col("path") == 0) & (F.col("code") == 0)
-    score = F.when(off, 0.0).otherwise(F.round(F.col("lexical") + F.col("topics") + F.col("path") + F.col("code"), 5))
-    return every.select("pid", "id", F.round("lexical", 5).alias("lexical"), F.round("topics", 5).alias("topics"), "path", "code", off.alias("off"), score.alias("score"))
+    score = F.round(F.col("lexical") + F.col("topics") + F.col("path") + F.col("code"), 5)
+    return every.filter(~off).select("pid", "id", F.round("lexical", 5).alias("lexical"), F.round("topics", 5).alias("topics"), "path", "code", score.alias("score")).filter(F.col("score") >= least)
+
+
+def first_fitting(rules: DataFrame, prompts: DataFrame, given: DataFrame, budget: int) -> DataFrame:
+    """(pid, id, captured, cost): what of the new rules can be taken when a budget is filled in order.
+
+    Of the rules of one cost, greedy packing takes the first ones that are new to the prompt, and no more
+    than fit alone: once one is passed over for its cost, so are all later ones.  So for each cost the first
+    ``budget // cost`` rules after the start of a session are enough, and as many more as the session has.
+    Rules that every session loads are one list of that kind, rules since the start another.  ``captured``
+    and ``since`` are days, so what meets the starts is bounded by the days, the costs and the budget.
+    """
+    able = rules.filter(~F.col("conflict") & (F.col("cost") <= budget)).select("id", "captured", "loaded", "cost")
+    asks = checkpointed(prompts.filter("kind <> 'command' AND since IS NOT NULL").select("pid", "since"))
+    had = checkpointed(given.join(able, "id").groupBy("pid", "cost").agg(F.count("*").alias("had")))
+    most = had.groupBy("cost").agg(F.max("had").alias("most"))
+    lists = able.join(most, "cost", "left").withColumn("most", F.coalesce("most", F.lit(0)) + F.floor(F.lit(budget) / F.greatest("cost", F.lit(1))))
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("captured", "id"))
+    loaded = lists.filter("loaded").withColumn("nth", nth("cost")).filter("nth <= most")
+    # the rules since a start are the head of what was captured on its day, then of the days after
+    days = lists.filter("NOT loaded").withColumn("nth", nth("cost", "captured")).filter("nth <= most")
+    of_day = checkpointed(days.select("id", "captured", "cost", "most"))
+    starts = asks.select("since").distinct()
+    since = of_day.join(starts, F.col("captured") >= F.col("since")).withColumn("nth", nth("since", "cost")).filter("nth <= most")
+    found = asks.join(since.select("since", "id", "captured", "cost"), "since").select("pid", "id", "captured", "cost")
+    every = asks.select("pid", F.explode(F.array(F.lit(1))).alias("one")).join(loaded.select("id", "captured", "cost", F.lit(1).alias("one")), "one").select("pid", "id", "captured", "cost")
+    return found.unionByName(every).join(given.select("pid", "id"), ["pid", "id"], "left_anti")
 
 
 def select_context(rules: DataFrame, prompts: DataFrame, given: DataFrame, budget: int, fresh_header: int, related_header: int) -> DataFrame:
-    """(pid, id, outcome and the parts of the score): what becomes of every rule for every prompt.
+    """(pid, id, outcome and the parts of the score) of every rule that has something to do with a prompt.
 
-    ``rules`` also has captured, loaded (given at session start), conflict and cost; ``prompts`` kind and
-    since (start of the session or null); ``given`` pid and id of what the session already has.
-    Outcomes: skipped prompt, fresh, injected, already injected, below threshold, over budget, over limit,
-    always loaded.  New rules go first; the best eight of the others share what is left of the budget.
+    ``rules`` has id, text, topics, paths, captured, loaded (given at session start), conflict and cost;
+    ``prompts`` kind and since (start of the session or null); ``given`` pid and id of what the session
+    already has.  New rules go first; the best eight of the others share what is left of the budget.
+    Outcomes of pairs: fresh, injected, already injected, over budget, over limit.  What is left out here
+    belongs to the prompt or the rule alone, see ``outcome_counts``: nothing is made for each pair.
     """
-    rules, prompts = checkpointed(rules), checkpointed(prompts)
-    asked = [r["pid"] for r in prompts.select("pid").distinct().collect()]  # the stated query set
-    rows = rules.select("id", "captured", "loaded", "conflict", "cost", F.explode(F.array(*map(F.lit, asked))).alias("pid")) if asked else rules.select("id", "captured", "loaded", "conflict", "cost", F.lit(None).cast("long").alias("pid")).limit(0)
-    rows = rows.join(prompts.select("pid", "kind", "since"), "pid").join(given.select("pid", "id", F.lit(True).alias("had")), ["pid", "id"], "left").na.fill(False, ["had"])
-    new = rows.filter("kind <> 'command' AND since IS NOT NULL AND NOT had AND NOT conflict AND (captured >= since OR loaded)")
-    fresh = asof.pack_budget(new.select("pid", "id", "captured", "cost"), "pid", ["captured", "id"], "cost", budget - fresh_header).filter("taken")
+    rules, prompts, given = checkpointed(rules), checkpointed(prompts), checkpointed(given.select("pid", "id").distinct())
+    fresh = asof.pack_budget(first_fitting(rules, prompts, given, budget - fresh_header), "pid", ["captured", "id"], "cost", budget - fresh_header).filter("taken")
     fresh = checkpointed(fresh.select("pid", "id", "cost"))
     spent = fresh.groupBy("pid").agg((F.sum("cost") + fresh_header).alias("spent"))
-    pool = rules.filter("NOT loaded OR conflict")
-    parts = checkpointed(score_parts(pool, prompts.filter("kind = 'normal'")).join(fresh.select("pid", "id"), ["pid", "id"], "left_anti"))
-    scored = rows.join(parts, ["pid", "id"])
-    able = scored.filter((F.col("score") >= X.PROMPT_MIN_SCORE) & ~F.col("had"))
+    pool = checkpointed(rules.filter("NOT loaded OR conflict"))
+    normal = prompts.filter("kind = 'normal'")
+    parts = checkpointed(score_parts(pool, normal, X.PROMPT_MIN_SCORE).join(fresh.select("pid", "id"), ["pid", "id"], "left_anti"))
+    had = given.join(normal.select("pid"), "pid").join(pool.select("id"), "id").join(fresh.select("pid", "id"), ["pid", "id"], "left_anti").withColumn("had", F.lit(True))
+    every = parts.join(had, ["pid", "id"], "full").withColumn("had", F.coalesce("had", F.lit(False))).join(pool.select("id", "cost"), "id")
     place = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("score"), "id"))
-    hits = able.withColumn("place", place).filter(F.col("place") <= X.PROMPT_LIMIT).join(spent, "pid", "left")
+    hits = checkpointed(every.filter("NOT had").withColumn("place", place).filter(F.col("place") <= X.PROMPT_LIMIT)).join(spent, "pid", "left")
     lists = hits.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("place", "cost", "id"))).alias("xs"), F.first(F.lit(budget) - F.coalesce("spent", F.lit(0)) - related_header).alias("left"))
     start = F.struct(F.col("left").cast("long").alias("left"), F.array().cast("array<long>").alias("ids"))
     packed = F.aggregate("xs", start, lambda a, x: F.when(x["cost"] <= a["left"], F.struct((a["left"] - x["cost"]).cast("long").alias("left"), F.concat(a["ids"], F.array(x["id"])).alias("ids"))).otherwise(a))
     chosen = lists.select("pid", F.explode(packed["ids"]).alias("id")).withColumn("chosen", F.lit(True))
-    every = rows.join(parts, ["pid", "id"], "left").join(fresh.select("pid", "id", F.lit(True).alias("is_fresh")), ["pid", "id"], "left").join(hits.select("pid", "id", F.lit(True).alias("hit")), ["pid", "id"], "left").join(chosen, ["pid", "id"], "left")
-    scoring = (F.col("kind") == "normal") & (~F.col("loaded") | F.col("conflict"))
-    outcome = (
-        F.when(F.col("kind") == "command", "skipped prompt").when(F.col("is_fresh"), "fresh").when(~scoring, F.when(F.col("loaded"), "always loaded").otherwise("below threshold")).when(F.col("chosen"), "injected")
-        .when(F.col("had"), "already injected").when(F.coalesce("score", F.lit(0.0)) < X.PROMPT_MIN_SCORE, "below threshold").when(F.col("hit"), "over budget").otherwise("over limit")
-    )
-    return every.select("pid", "id", outcome.alias("outcome"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lexical", "topics", "path", "code", "score")])
+    told = every.join(hits.select("pid", "id", F.lit(True).alias("hit")), ["pid", "id"], "left").join(chosen, ["pid", "id"], "left")
+    outcome = F.when(F.col("chosen"), "injected").when(F.col("had"), "already injected").when(F.col("hit"), "over budget").otherwise("over limit")
+    told = told.select("pid", "id", outcome.alias("outcome"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lexical", "topics", "path", "code", "score")])
+    return told.unionByName(fresh.select("pid", "id", F.lit("fresh").alias("outcome"), *[F.lit(0.0).alias(c) for c in ("lexical", "topics", "path", "code", "score")]))
+
+
+def outcome_counts(rules: DataFrame, prompts: DataFrame, selected: DataFrame) -> DataFrame:
+    """(pid, outcome, rules): how many rules each prompt has of each outcome, those included that need no pair.
+
+    All rules are skipped by a command, an always loaded one is nothing but that, and whatever else is
+    not among the selected pairs scores below the threshold.
+    """
+    total, loaded = rules.agg(F.count("*"), F.count_if(F.col("loaded") & ~F.col("conflict"))).first()
+    found = checkpointed(selected.join(rules.select("id", (F.col("loaded") & ~F.col("conflict")).alias("always")), "id").groupBy("pid", "outcome", "always").agg(F.count("*").alias("rules")))
+    taken = found.groupBy("pid").agg(F.sum("rules").alias("taken"), F.coalesce(F.sum(F.when(F.col("always"), F.col("rules"))), F.lit(0)).alias("always"))
+    rest = prompts.join(taken, "pid", "left").na.fill(0, ["taken", "always"])
+    command = F.col("kind") == "command"
+    kinds = F.array(
+        F.struct(F.lit("skipped prompt").alias("outcome"), F.when(command, F.lit(total)).otherwise(0).alias("rules")),
+        F.struct(F.lit("always loaded").alias("outcome"), F.when(command, 0).otherwise(F.lit(loaded) - F.col("always")).alias("rules")),
+        F.struct(F.lit("below threshold").alias("outcome"), F.when(command, 0).otherwise(F.lit(total - loaded) - F.col("taken") + F.col("always")).alias("rules")),
+    )
+    others = rest.select("pid", F.explode(kinds).alias("k")).select("pid", "k.outcome", "k.rules").filter("rules > 0")
+    return found.groupBy("pid", "outcome").agg(F.sum("rules").alias("rules")).unionByName(others)
 
 
 BUDGET, FRESH_HEADER, RELATED_HEADER = 60, 9, 7
 
 
-def selection(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as rules and benchmark texts as prompts of sessions of their own."""
+def selection_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as rules, benchmark texts as prompts of sessions of their own, and what these have been given: few rules each."""
     docs, asked = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     i, p = F.col("doc_id"), F.col("item_id")
     none = F.array().cast("array<string>")
@@ -403,8 +454,12 @@ def selection(spark: SparkSession, sf: str) -> DataFrame:
     text = F.when(p % 10 == 9, F.concat(F.lit("/run "), "text")).when(p % 10 == 8, "ok").otherwise(F.concat("text", F.lit(" see "), source, F.when(p % 4 == 0, F.concat(F.lit(" in src/"), source, F.lit("/main.py"))).otherwise("")))
     code_paths = F.when(p % 4 == 1, F.array(F.concat(F.lit("src/"), source, F.lit("/other.py")))).otherwise(none)
     prompts = asked.select(p.alias("pid"), text.alias("text"), code_paths.alias("code_paths"), T.prompt_kind(text).alias("kind"), F.when(p % 2 == 0, 363 - p % 3).alias("since"))
-    given = docs.select(i.alias("id"), ((13 - i % 13) % 13).alias("r")).join(prompts.select("pid", (F.col("pid") % 13).alias("r")), "r").select("pid", "id")
-    return select_context(rules, prompts, given, BUDGET, FRESH_HEADER, RELATED_HEADER)
+    given = docs.select(i.alias("id"), ((97 - i % 97) % 97).alias("r")).join(prompts.select("pid", (F.col("pid") % 97).alias("r")), "r").select("pid", "id")
+    return rules, prompts, given
+
+
+def selection(spark: SparkSession, sf: str) -> DataFrame:
+    return select_context(*selection_inputs(spark, sf), BUDGET, FRESH_HEADER, RELATED_HEADER)
 
 
 D = T.DUCK_TOKENS.format(c="text")
@@ -415,7 +470,7 @@ SELECTION = f"""
     q AS (
         SELECT item_id AS pid, 'src' || item_id % 25 AS src, item_id % 4 AS form, CASE item_id % 10 WHEN 9 THEN 'command' WHEN 8 THEN 'ack' ELSE 'normal' END AS kind, CASE WHEN item_id % 2 = 0 THEN 363 - item_id % 3 END AS since,
             CASE WHEN item_id % 10 IN (8, 9) THEN 'ok' ELSE text || ' see src' || item_id % 25 || CASE WHEN item_id % 4 = 0 THEN ' in src/src' || item_id % 25 || '/main.py' ELSE '' END END AS text FROM benchmark),
-    x AS (SELECT q.pid, q.kind, q.since, q.src, q.form, r.*, (r.id + q.pid % 13) % 13 = 0 AS had FROM q CROSS JOIN r),
+    x AS (SELECT q.pid, q.kind, q.since, q.src, q.form, r.*, (r.id + q.pid % 97) % 97 = 0 AS had FROM q CROSS JOIN r),
     fl AS (SELECT pid, list_reduce(list_prepend({{'used': 0::BIGINT, 'ids': []::BIGINT[]}}, list({{'used': cost, 'ids': [id]}} ORDER BY captured, id)),
         lambda a, b: CASE WHEN a.used + b.used <= {BUDGET - FRESH_HEADER} THEN {{'used': a.used + b.used, 'ids': a.ids || b.ids}} ELSE a END) AS f FROM x WHERE kind <> 'command' AND since IS NOT NULL AND NOT had AND NOT conflict AND (captured >= since OR loaded) GROUP BY pid),
     pool AS (SELECT * FROM r WHERE NOT loaded OR conflict), n AS (SELECT greatest(1, count(*)) AS n FROM pool),
@@ -440,9 +495,16 @@ SELECTION = f"""
 
 
 def ct02_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of every rule that is new to a session, given already, or scores enough for a prompt."""
     return selection(spark, sf).select("pid", "id", "outcome", "score")
 
 
+def ct02_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rules each prompt has of each of the eight outcomes."""
+    rules, prompts, given = selection_inputs(spark, sf)
+    return outcome_counts(rules, prompts, select_context(rules, prompts, given, BUDGET, FRESH_HEADER, RELATED_HEADER))
+
+
 def so08_selected(spark: SparkSession, sf: str) -> DataFrame:
     """What is added to each prompt: at most eight rules from the threshold up, as far as the budget goes."""
     return selection(spark, sf).filter("outcome = 'injected'").select("pid", "id", "score")
@@ -451,13 +513,13 @@ def so08_selected(spark: SparkSession, sf: str) -> DataFrame:
 def ct04_explained(spark: SparkSession, sf: str) -> DataFrame:
     """The twelve best rules of each prompt with the parts of their scores, as text."""
     place = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("score"), "id"))
-    shown = selection(spark, sf).filter("outcome NOT IN ('always loaded', 'skipped prompt') AND (score > 0 OR outcome = 'injected')").withColumn("place", place).filter("place <= 12")
+    shown = selection(spark, sf).filter("score > 0").withColumn("place", place).filter("place <= 12")
     more = [F.when(F.col(c) > 0, F.concat(F.lit(f", {c} +"), F.format_string("%.2f", c))).otherwise("") for c in ("topics", "path", "code")]
     return shown.select("pid", "place", "id", F.concat("outcome", F.lit(": "), F.lit("lexical "), F.format_string("%.2f", F.round("lexical", 2)), *more).alias("why"))
 
 
 CT04 = f"""{SELECTION} SELECT pid, place, id, outcome || ': lexical ' || printf('%.2f', round(lexical, 2)) || CASE WHEN topics > 0 THEN ', topics +0.15' ELSE '' END || CASE WHEN path > 0 THEN ', path +0.50' ELSE '' END || CASE WHEN code > 0 THEN ', code +0.35' ELSE '' END AS why
-    FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, id) AS place FROM o WHERE outcome NOT IN ('always loaded', 'skipped prompt') AND (score > 0 OR outcome = 'injected')) WHERE place <= 12"""
+    FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, id) AS place FROM o WHERE score >= 0.12) WHERE place <= 12"""
 
 QUERIES = [
     Query("gr25_ancestor_counts", gr25_ancestors, GR25),
@@ -466,7 +528,8 @@ QUERIES = [
     Query("wn08_first_occurrence", wn08_first_texts, WN08),
     Query("tx20_rule_line", tx20_lines, TX20),
     Query("ct01_tier_plan", ct01_tiers, CT01),
-    Query("ct02_selection_outcomes", ct02_outcomes, f"{SELECTION} SELECT pid, id, outcome, score FROM o"),
+    Query("ct02_selection_outcomes", ct02_outcomes, f"{SELECTION} SELECT pid, id, outcome, CASE WHEN score >= 0.12 THEN score ELSE 0 END AS score FROM o WHERE outcome IN ('fresh', 'injected', 'already injected', 'over budget', 'over limit')"),
+    Query("ct02_outcome_counts", ct02_counts, f"{SELECTION} SELECT pid, outcome, count(*) AS rules FROM o GROUP BY ALL"),
     Query("so08_prompt_selection", so08_selected, f"{SELECTION} SELECT pid, id, score FROM o WHERE outcome = 'injected'"),
     Query("ct04_explain", ct04_explained, CT04),
 ]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.query import Query, sql_query, table
-from . import asof
+from . import asof, overlap
 
 
 def wn01_throttle(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,11 +59,18 @@ WN11 = """
 """
 
 
+def query_coverage(spark: SparkSession, sf: str, least: float) -> DataFrame:
+    """(item_id, doc_id, coverage): the share of a query's token weight that a document has, from ``least`` up; unknown tokens weigh most."""
+    docs, asked = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    found = overlap.covering(docs.select(F.col("doc_id").alias("id"), "text"), asked.select(F.col("item_id").alias("id"), "text"), least)
+    return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), F.round(F.col("inter") / F.col("total"), 5).alias("coverage"))
+
+
 def so02_recall_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Coverage of a query by each document plus a bonus for young ones; the five best per query."""
-    scored = T.coverage(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    scored = query_coverage(spark, sf, 0.3)
     age = F.col("doc_id") % 90
-    ranked = scored.filter("coverage >= 0.3").withColumn("score", F.round(F.col("coverage") + 0.1 * F.exp(-age / 30), 5))
+    ranked = scored.withColumn("score", F.round(F.col("coverage") + 0.1 * F.exp(-age / 30), 5))
     from pyspark.sql import Window
 
     best = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..lineage import checkpointed
 from ..plans.query import Query, table
+from . import overlap
 
 D = T.DUCK_TOKENS.format(c="text")
 #: Canonical wording in DuckDB (the fixture tables hold no compatibility characters).
@@ -62,15 +62,8 @@ def ag15_document_frequency(spark: SparkSession, sf: str) -> DataFrame:
 def ag16_weighted_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """inter / sqrt(query weight * document weight) of the query set with every document, from 0.12 up."""
     docs, asked = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    posted, n = checkpointed(T.postings(docs, "doc_id", "text")), docs.count()
-    w = checkpointed(T.idf(posted, n).select("tok", "w"))
-    top = F.log(1 + F.lit(float(max(1, n))))
-    dn = posted.join(w, "tok").groupBy("doc_id").agg(F.sum("w").alias("dn"))
-    want = checkpointed(T.postings(asked, "item_id", "text").join(w, "tok", "left").withColumn("w", F.coalesce("w", top)))
-    qn = want.groupBy("item_id").agg(F.sum("w").alias("qn"))
-    inter = posted.join(want, "tok").groupBy("item_id", "doc_id").agg(F.sum("w").alias("inter"))
-    score = F.round(F.col("inter") / F.sqrt(F.col("qn") * F.col("dn")), 5)
-    return inter.join(qn, "item_id").join(dn, "doc_id").select("item_id", "doc_id", score.alias("score")).filter("score >= 0.12")
+    found = overlap.matching(docs.select(F.col("doc_id").alias("id"), "text"), asked.select(F.col("item_id").alias("id"), "text"), 0.12)
+    return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), "score")
 
 
 AG16 = f"""
