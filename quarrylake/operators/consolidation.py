@@ -79,104 +79,192 @@ ER01 = """
 
 @dataclass
 class Rule:
-    """A live rule of a pool while candidates are applied."""
+    """A live rule of a pool while candidates are applied, with the rules that it is in conflict with."""
 
     kind: str
     actor: str | None
     status: str
-    local: bool
+    until: str | None
+    partners: set[int]
+
+    @property
+    def local(self) -> bool:
+        return self.status == "proposed"
 
 
 USER_KINDS = ("user-instruction", "user-correction", "human-edit")
+SURE, FIRM = 0.5, 0.6
 
 
 def applied_relation(verdict: str, confidence: float, merged: bool, kind: str, actor: str | None, target: Rule | None) -> str:
-    """What a verdict comes to: someone else's rule is never replaced silently, and weak verdicts are not followed.
+    """What a verdict comes to: the first step of its row below that the candidate may take.
 
-    Authority lets a candidate replace a rule, and so does a person who answers an open conflict.
+    A person who answers an open conflict may settle it whoever made the rules; otherwise the candidate
+    needs the authority, and replaces another person's rule only by way of a conflict.
     """
     if target is None:
         return "new"
-    unsure_copy = verdict == "duplicate" and confidence < 0.5
-    if target.local:
-        return "new" if unsure_copy else verdict
+    people = {a.lower() for a in (actor, target.actor) if a is not None}
+    both = actor is not None and target.actor is not None
     settles = target.status == "conflict" and kind in USER_KINDS
     may = settles or X.AUTHORITY[kind] >= X.AUTHORITY[target.kind]
-    known = actor is not None and target.actor is not None
-    mine, theirs = known and actor.lower() == target.actor.lower(), known and actor.lower() != target.actor.lower()
-    if unsure_copy:
-        return "new"
-    if verdict == "refine" and not (merged and may):
-        return "duplicate" if may else "new"
-    if verdict == "supersede" and (confidence < 0.6 or not may or theirs and not settles):
-        verdict = "conflict"
-    return "supersede" if verdict == "conflict" and may and (settles or mine) else verdict
+    mine, foreign = both and len(people) == 1, both and len(people) == 2
+    sure, stands = confidence >= SURE, ("new", True)
+    if target.local:  # nobody has confirmed it: it is confirmed, or it goes
+        steps = {"duplicate": [("duplicate", sure), stands], "refine": [("refine", True)]}
+    else:
+        clash = [("supersede", may and (settles or mine)), ("conflict", True)]
+        steps = {
+            "duplicate": [("duplicate", sure), stands],
+            "refine": [("refine", merged and may), ("duplicate", may), stands],
+            "supersede": [("supersede", may and confidence >= FIRM and (settles or not foreign)), *clash],
+            "conflict": clash,
+        }
+    return next(step for step, able in steps.get(verdict, [stands]) if able)
 
 
-def apply_candidates(candidates: DataFrame, order: list[str]) -> DataFrame:
-    """(pool, id, relation, target, status): candidates applied one after another to the rules of their pool.
+class Pool:
+    """The live rules of one pool.  Links of conflict are kept on both sides, and go over to what replaces a rule."""
+
+    def __init__(self) -> None:
+        self.live: dict[int, Rule] = {}
+
+    def group(self, rule: int) -> set[int]:
+        """A rule and those it is in conflict with."""
+        return {rule} | self.live[rule].partners
+
+    def active(self, ids: list[int]) -> list[int]:
+        return [i for i in ids if i in self.live and self.live[i].status == "active"]
 
-    ``candidates`` has pool, id, verdict, target, confidence, merged, kind, actor, durability, held.  Each
-    step reads what the one before left, so pools are streamed in order; only a pool's live rules are held.
+    def link(self, a: int, b: int) -> None:
+        for x, y in ((a, b), (b, a)):
+            self.live[x].partners.add(y)
+            self.live[x].status = "conflict"
+
+    def replace(self, gone: set[int], by: int, rule: Rule) -> None:
+        """``by`` stands for the rules that go; what they were in conflict with is in conflict with it."""
+        others = set().union(*(self.live[i].partners for i in gone)) - gone
+        for i in gone:
+            del self.live[i]
+        self.live[by] = rule
+        for i in others:
+            self.live[i].partners -= gone
+            self.link(i, by)
+
+
+APPLIED = "pool long, id long, relation string, target long, status string, supersedes string, conflict_with string, review string, note string"
+
+
+def apply_candidates(candidates: DataFrame, order: list[str]) -> DataFrame:
+    """(pool, id, relation, target, status, supersedes, conflict_with, review, note): candidates applied one after another.
+
+    ``candidates`` has pool, id, verdict, target, confidence, merged, kind, actor, durability, held, until
+    (a new end date or null) and cascade (ids that a change should have looked at again).  Restating or
+    replacing one side of a conflict settles all of it; refining one side settles it only if a person
+    does, and otherwise carries it on.  A restated rule with a new end date gets a successor.  Lists are in
+    the order of ids.  Each step reads what the one before left, so pools are streamed in order; only a
+    pool's live rules are held.
     """
-    names = ["pool", "id", "verdict", "target", "confidence", "merged", "kind", "actor", "durability", "held"]
+    names = ["pool", "id", "verdict", "target", "confidence", "merged", "kind", "actor", "durability", "held", "until", "cascade"]
+    shown = lambda ids: ",".join(map(str, sorted(ids)))
+
+    def one(pool: Pool, i: int, verdict: str, wanted: int | None, confidence: float, merged: bool, kind: str, actor: str | None, durability: str, held: bool, until: str | None, cascade: list[int]) -> tuple:
+        if durability == "one_off":
+            return "dropped", None, None, "", "", "", ""
+        target = None if held else pool.live.get(wanted)
+        relation = applied_relation(verdict, confidence, merged, kind, actor, target)
+        firm = durability == "durable" and confidence >= FIRM and not held
+        gone, note, review = set(), "", []
+        if target is not None and target.local:
+            gone = {wanted}
+            note = "replaced an unconfirmed proposal" if relation == "new" else "confirmed a proposal"
+            firm = firm or relation != "new" or verdict == "supersede"
+            replaced: set[int] = set()  # a proposal was never stored: nothing is superseded
+        elif relation == "duplicate":
+            ends = until is not None and until != target.until
+            if target.status != "conflict" and not ends:
+                return relation, wanted, target.status, "", "", "", ""
+            note = "settled a conflict" if target.status == "conflict" else f"end date {until}"
+            gone = replaced = pool.group(wanted)
+        elif relation in ("refine", "supersede"):
+            settles = relation == "supersede" or kind in USER_KINDS
+            review = pool.active(cascade)
+            gone = replaced = pool.group(wanted) if settles else {wanted}
+        else:
+            replaced = set()
+        ends_at = until if until is not None else target.until if target is not None and relation in ("duplicate", "refine") else None
+        status = "active" if relation in ("duplicate", "refine", "supersede") or firm else "proposed"
+        pool.replace(gone, i, Rule(kind, actor, status, ends_at, set()))
+        if relation == "conflict":
+            pool.link(i, wanted)
+        made = pool.live[i]
+        return relation, None if target is None else wanted, made.status, shown(replaced), shown(made.partners), shown(review), note
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool, live = None, {}
+        current, pool = None, Pool()
         for batch in batches:
             out = []
-            for p, i, verdict, wanted, confidence, merged, kind, actor, durability, held in batch[names].itertuples(index=False, name=None):
-                if p != pool:
-                    pool, live = p, {}
-                wanted = None if pd.isna(wanted) else int(wanted)
-                target = live.get(wanted)
-                if durability == "one_off":
-                    out.append((p, i, "dropped", None, None))
-                    continue
-                relation = "new" if held else applied_relation(verdict, confidence, merged, kind, actor, target)
-                status = "proposed" if held or relation == "new" and not (durability == "durable" and confidence >= 0.6) else "conflict" if relation == "conflict" else "active"
-                if relation == "duplicate" and not target.local:
-                    out.append((p, i, relation, wanted, target.status))
-                    continue
-                if relation in ("supersede", "refine") or relation == "duplicate":
-                    del live[wanted]
-                elif relation == "conflict":
-                    target.status = "conflict"
-                live[i] = Rule(kind, actor, status, status == "proposed")
-                out.append((p, i, relation, None if relation == "new" else wanted, status))
-            yield pd.DataFrame(out, columns=["pool", "id", "relation", "target", "status"]).astype({"target": "Int64"})
+            for p, i, verdict, wanted, *rest, cascade in batch[names].itertuples(index=False, name=None):
+                if p != current:
+                    current, pool = p, Pool()
+                out.append((p, i, *one(pool, i, verdict, None if pd.isna(wanted) else int(wanted), *rest, [int(x) for x in cascade])))
+            yield pd.DataFrame(out, columns=["pool", "id", "relation", "target", "status", "supersedes", "conflict_with", "review", "note"]).astype({"target": "Int64"})
 
     dealt = candidates.repartition("pool").sortWithinPartitions("pool", *order)
-    return dealt.select(*names).mapInPandas(run, "pool long, id long, relation string, target long, status string")
+    return dealt.select(*names).mapInPandas(run, APPLIED)
 
 
 def er02_applied(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders of a customer as candidates, each judged against the one before it."""
+    """Orders of a customer as candidates, each judged against one of the three before it."""
     o, key = table(spark, sf, "orders"), F.col("o_orderkey")
-    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    verdict = F.element_at(F.array(*map(F.lit, ("supersede", "refine", "duplicate", "conflict", "new"))), F.substring("o_orderpriority", 1, 1).cast("int"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    before = [F.lag("o_orderkey", k).over(w) for k in (1, 2, 3)]
+    o = o.withColumns({f"before{k}": b for k, b in enumerate(before, 1)})
+    verdict = F.element_at(F.array(*map(F.lit, ("supersede", "refine", "duplicate", "conflict", "conflict"))), F.substring("o_orderpriority", 1, 1).cast("int"))
+    target = F.when(key % 10 == 7, None).otherwise(F.element_at(F.array("before1", "before2", "before3"), (key % 3 + 1).cast("int")))
     kind = F.element_at(F.array(*map(F.lit, ("user-instruction", "agent-proposal", "pr-review"))), (key % 3 + 1).cast("int"))
     durability = F.when(key % 13 == 0, "one_off").when(key % 4 == 0, "unclear").otherwise("durable")
-    rows = o.select(F.col("o_custkey").alias("pool"), key.alias("id"), "o_orderdate", verdict.alias("verdict"), before.alias("target"), ((key * 7 % 100) / 100).alias("confidence"), (key % 5 != 0).alias("merged"), kind.alias("kind"), F.concat(F.lit("A"), key % 2).alias("actor"), durability.alias("durability"), (key % 11 == 0).alias("held"))
+    until = F.when(key % 6 == 1, F.to_date("o_orderdate").cast("string"))
+    cascade = F.array_compact(F.array("before2", "before3"))
+    rows = o.select(F.col("o_custkey").alias("pool"), key.alias("id"), "o_orderdate", verdict.alias("verdict"), target.alias("target"), ((key * 7 % 100) / 100).alias("confidence"), (key % 5 != 0).alias("merged"), kind.alias("kind"), F.concat(F.lit("A"), key % 2).alias("actor"), durability.alias("durability"), (key % 11 == 0).alias("held"), until.alias("until"), cascade.alias("cascade"))
     return apply_candidates(rows, ["o_orderdate", "id"])
 
 
+#: The fold as a recursion; a pool's live rules are a list of structs.
 ER02 = """
-    WITH RECURSIVE r AS (
-        SELECT o_custkey AS pool, o_orderkey AS id, ['supersede', 'refine', 'duplicate', 'conflict', 'new'][CAST(substr(o_orderpriority, 1, 1) AS INT)] AS verdict, (o_orderkey * 7 % 100) / 100 AS confidence, o_orderkey % 5 <> 0 AS merged, [4, 2, 3][o_orderkey % 3 + 1] AS power,
-            o_orderkey % 3 = 0 AS person, o_orderkey % 2 AS actor, CASE WHEN o_orderkey % 13 = 0 THEN 'one_off' WHEN o_orderkey % 4 = 0 THEN 'unclear' ELSE 'durable' END AS durability, o_orderkey % 11 = 0 AS held, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+    WITH RECURSIVE b AS (
+        SELECT *, lag(o_orderkey) OVER w AS b1, lag(o_orderkey, 2) OVER w AS b2, lag(o_orderkey, 3) OVER w AS b3, row_number() OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+    r AS (
+        SELECT o_custkey AS pool, n, o_orderkey AS id, ['supersede', 'refine', 'duplicate', 'conflict', 'conflict'][CAST(substr(o_orderpriority, 1, 1) AS INT)] AS verdict, CASE WHEN o_orderkey % 10 <> 7 THEN [b1, b2, b3][o_orderkey % 3 + 1] END AS wanted,
+            (o_orderkey * 7 % 100) / 100 AS confidence, o_orderkey % 5 <> 0 AS merged, [4, 2, 3][o_orderkey % 3 + 1] AS power, o_orderkey % 3 = 0 AS person, o_orderkey % 2 AS actor, o_orderkey % 13 = 0 AS oneoff, o_orderkey % 4 <> 0 AS durable, o_orderkey % 11 = 0 AS held,
+            CASE WHEN o_orderkey % 6 = 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS until, list_filter([b2, b3], lambda x: x IS NOT NULL) AS cascade FROM b),
     f AS (
-        SELECT pool, n, id, CASE WHEN durability = 'one_off' THEN 'dropped' ELSE 'new' END AS relation, NULL::BIGINT AS target, CASE WHEN durability = 'one_off' THEN NULL WHEN held OR NOT (durability = 'durable' AND confidence >= 0.6) THEN 'proposed' ELSE 'active' END AS status,
-            durability <> 'one_off' AS made, power, actor FROM r WHERE n = 1
+        SELECT DISTINCT pool, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::VARCHAR AS relation, NULL::BIGINT AS target, NULL::VARCHAR AS status, []::BIGINT[] AS supersedes, []::BIGINT[] AS conflict_with, []::BIGINT[] AS review, '' AS note,
+            []::STRUCT(id BIGINT, power INT, actor BIGINT, status VARCHAR, until VARCHAR, partners BIGINT[])[] AS live FROM r
         UNION ALL
-        SELECT pool, n, id, relation, CASE WHEN relation IN ('new', 'dropped') THEN NULL ELSE before END, CASE WHEN relation = 'dropped' THEN NULL WHEN relation = 'duplicate' AND was <> 'proposed' THEN was WHEN relation = 'new' AND (held OR NOT (durability = 'durable' AND confidence >= 0.6)) THEN 'proposed' WHEN relation = 'conflict' THEN 'conflict' ELSE 'active' END,
-            relation <> 'dropped' AND NOT (relation = 'duplicate' AND was <> 'proposed'), power, actor
+        SELECT pool, n, id, relation, CASE WHEN oneoff OR t IS NULL THEN NULL ELSE wanted END, CASE WHEN oneoff THEN NULL WHEN stays THEN t.status WHEN len(links) > 0 THEN 'conflict' ELSE made END, supersedes, links, review, note,
+            CASE WHEN oneoff OR stays THEN live ELSE list_transform(list_filter(live, lambda x: NOT list_contains(gone, x.id)),
+                lambda x: {'id': x.id, 'power': x.power, 'actor': x.actor, 'status': CASE WHEN list_contains(links, x.id) THEN 'conflict' ELSE x.status END, 'until': x.until,
+                    'partners': CASE WHEN list_contains(links, x.id) THEN list_distinct(list_filter(x.partners, lambda y: NOT list_contains(gone, y)) || [id]) ELSE x.partners END})
+                || [{'id': id, 'power': power, 'actor': actor, 'status': CASE WHEN len(links) > 0 THEN 'conflict' ELSE made END, 'until': coalesce(until, CASE WHEN relation IN ('duplicate', 'refine') THEN t.until END), 'partners': links}] END
         FROM (
-            SELECT *, CASE WHEN durability = 'one_off' THEN 'dropped' WHEN held OR NOT there THEN 'new' WHEN verdict = 'duplicate' AND confidence < 0.5 THEN 'new' WHEN was = 'proposed' THEN verdict
-                WHEN verdict = 'refine' AND NOT (merged AND may) THEN CASE WHEN may THEN 'duplicate' ELSE 'new' END
-                WHEN verdict = 'conflict' OR (verdict = 'supersede' AND (confidence < 0.6 OR NOT may OR (actor <> theirs AND NOT settles))) THEN CASE WHEN may AND (settles OR actor = theirs) THEN 'supersede' ELSE 'conflict' END ELSE verdict END AS relation
-            FROM (SELECT r.*, f.id AS before, f.made AS there, f.status AS was, f.actor AS theirs, f.status = 'conflict' AND r.person AS settles, (f.status = 'conflict' AND r.person) OR r.power >= f.power AS may FROM f JOIN r ON r.pool = f.pool AND r.n = f.n + 1)))
-    SELECT pool, id, relation, target, status FROM f
+            SELECT *, CASE WHEN oneoff OR stays THEN []::BIGINT[] ELSE list_sort(list_distinct(list_filter(flatten(list_transform(list_filter(live, lambda x: list_contains(gone, x.id)), lambda x: x.partners)) || CASE WHEN relation = 'conflict' THEN [wanted] ELSE [] END, lambda y: NOT list_contains(gone, y)))) END AS links
+            FROM (
+                SELECT *, CASE WHEN oneoff OR stays OR t IS NULL OR relation = 'conflict' OR (relation = 'new' AND t.status <> 'proposed') THEN []::BIGINT[] WHEN t.status = 'proposed' OR (relation = 'refine' AND NOT person) THEN [wanted] ELSE list_sort([wanted] || t.partners) END AS gone,
+                    CASE WHEN oneoff OR stays OR t IS NULL OR t.status = 'proposed' OR relation IN ('conflict', 'new') THEN []::BIGINT[] WHEN relation = 'refine' AND NOT person THEN [wanted] ELSE list_sort([wanted] || t.partners) END AS supersedes,
+                    CASE WHEN relation IN ('duplicate', 'refine', 'supersede') OR (durable AND confidence >= 0.6 AND NOT held) OR (t.status = 'proposed' AND verdict = 'supersede') THEN 'active' ELSE 'proposed' END AS made,
+                    CASE WHEN oneoff OR t IS NULL OR t.status = 'proposed' OR relation NOT IN ('refine', 'supersede') THEN []::BIGINT[] ELSE list_sort(list_filter(cascade, lambda y: len(list_filter(live, lambda x: x.id = y AND x.status = 'active')) > 0)) END AS review,
+                    CASE WHEN oneoff OR t IS NULL OR stays THEN '' WHEN t.status = 'proposed' THEN CASE WHEN relation = 'new' THEN 'replaced an unconfirmed proposal' ELSE 'confirmed a proposal' END WHEN relation <> 'duplicate' THEN '' WHEN t.status = 'conflict' THEN 'settled a conflict' ELSE 'end date ' || until END AS note
+                FROM (
+                    SELECT *, coalesce(NOT oneoff AND relation = 'duplicate' AND t.status = 'active' AND (until IS NULL OR until IS NOT DISTINCT FROM t.until), false) AS stays
+                    FROM (
+                        SELECT *, CASE WHEN oneoff THEN 'dropped' WHEN t IS NULL THEN 'new' WHEN verdict = 'duplicate' AND confidence < 0.5 THEN 'new' WHEN t.status = 'proposed' THEN CASE WHEN verdict IN ('duplicate', 'refine') THEN verdict ELSE 'new' END
+                            WHEN verdict = 'duplicate' THEN 'duplicate' WHEN verdict = 'refine' THEN CASE WHEN may AND merged THEN 'refine' WHEN may THEN 'duplicate' ELSE 'new' END
+                            WHEN may AND (settles OR actor = t.actor OR (verdict = 'supersede' AND confidence >= 0.6 AND actor = t.actor)) THEN 'supersede' ELSE 'conflict' END AS relation
+                        FROM (
+                            SELECT *, t.status = 'conflict' AND person AS settles, (t.status = 'conflict' AND person) OR power >= t.power AS may
+                            FROM (SELECT f.live, r.*, CASE WHEN held THEN NULL ELSE list_filter(f.live, lambda x: x.id = r.wanted)[1] END AS t FROM f JOIN r ON r.pool = f.pool AND r.n = f.n + 1)))))))
+    SELECT pool, id, relation, target, status, array_to_string(supersedes, ',') AS supersedes, array_to_string(conflict_with, ',') AS conflict_with, array_to_string(review, ',') AS review, note FROM f WHERE n > 0
 """
 
 
