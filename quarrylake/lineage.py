@@ -20,3 +20,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name in whatever store it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

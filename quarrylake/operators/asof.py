@@ -7,6 +7,7 @@ only one row per bucket takes part in the second level.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -139,34 +140,31 @@ def send_batches(df: DataFrame, key: str, ts: str, tie: str, kind: str, most: in
     return df.repartition(key).sortWithinPartitions(key, ts, tie).mapInPandas(run, f"`{key}` {kinds[key]}, `{tie}` {kinds[tie]}, reason string, n int")
 
 
-def consolidate(df: DataFrame, key: str, order: list[str], content: str, authority: str) -> DataFrame:
-    """Adds ``relation`` and ``target``: how each candidate changes the live record of its pool, in order.
+def admit(df: DataFrame, key: str, kind: str, at: str, tie: str, most: dict[str, int], seconds: int) -> DataFrame:
+    """Adds ``admitted`` and ``waited``: when each call of a key is made under a sliding budget.
 
-    The first is new; equal content is a duplicate; one of at least the live record's authority
-    supersedes it; any other is a conflict, which leaves the live record as it is.  Each step reads what
-    the one before it left, so pools are streamed in order.
+    ``at`` is in microseconds; a key has one kind, which may make ``most`` calls in any ``seconds``.  Only calls
+    that were made count.  One that finds no room waits, with those after it, and is tried again when the
+    oldest call that counts is too old; a kind without a budget never calls (null).  A key's state is the
+    times of its last calls, as many as its budget.
     """
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", relation string, target long"
-    ident = order[-1]
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", admitted long, waited boolean"
+    span = seconds * 1_000_000
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool, live = None, None
+        last, made = None, deque()
         for batch in batches:
-            out = []
-            for k, i, c, a in zip(batch[key].tolist(), batch[ident].tolist(), batch[content].tolist(), batch[authority].tolist(), strict=True):
-                if k != pool:
-                    pool, live = k, None
-                if live is None:
-                    out.append(("new", None))
-                    live = (i, c, a)
-                elif c == live[1]:
-                    out.append(("duplicate", live[0]))
-                elif a >= live[2]:
-                    out.append(("supersede", live[0]))
-                    live = (i, c, a)
-                else:
-                    out.append(("conflict", live[0]))
-            relation, target = zip(*out, strict=True) if out else ((), ())
-            yield batch.assign(relation=list(relation), target=pd.array(list(target), dtype="Int64"))
-
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+            admitted: list[int | None] = []
+            for k, what, t in zip(batch[key].tolist(), batch[kind].tolist(), batch[at].tolist(), strict=True):
+                if k != last:
+                    last, made = k, deque(maxlen=max(1, most.get(what, 0)))
+                if most.get(what, 0) < 1:
+                    admitted.append(None)
+                    continue
+                full = len(made) == made.maxlen
+                made.append(max(t, made[-1] if made else t, made[0] + span + 1 if full else t))
+                admitted.append(made[-1])
+            times = pd.array(admitted, dtype="Int64")
+            yield batch.assign(admitted=times, waited=[a is None or a > t for a, t in zip(admitted, batch[at].tolist(), strict=True)])
+
+    return df.repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(run, schema)

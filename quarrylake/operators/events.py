@@ -94,5 +94,4 @@ QUERIES = [
     with_k("dm07_tombstones", "SELECT e.event_id FROM {events} e LEFT ANTI JOIN (SELECT user_id, max(ts) AS cut FROM {events} WHERE event_type = 'signup' GROUP BY user_id) t ON e.user_id = t.user_id AND e.ts <= t.cut", "SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id, max(ts) AS cut FROM events WHERE event_type = 'signup' GROUP BY user_id) t WHERE e.user_id = t.user_id AND e.ts <= t.cut)"),
     # streaming-like, batch form
     with_k("sm07_session_gap", "SELECT user_id, session_window.start AS started, count(*) AS n FROM {events} GROUP BY user_id, session_window(ts, '6 hours')", "SELECT user_id, min(ts) AS started, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, island"),
-    Query("sm13_rate_limit", lambda s, sf: asof.rolling_count(table(s, sf, "events"), "user_id", "ts", "event_id", 1, "calls").selectExpr("event_id", "calls > 2 AS over_budget"), f"SELECT event_id, {HOUR} > 2 AS over_budget FROM events"),
 ]

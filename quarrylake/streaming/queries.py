@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..operators import asof
 from ..operators.sinks import shared_folder
 from ..plans.query import Query, table
-from . import sessions
+from . import sessions, stateful
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
@@ -18,7 +18,7 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(spark, name)
     sink = sessions.write_once(f"{folder}/out", lambda batch: batch)
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
 
 
 def log(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,6 +28,25 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def arriving(spark: SparkSession, sf: str, days: int = 3, late: bool = False) -> DataFrame:
+    """The event log as it arrives, ``days`` by ``days``, one stretch for each micro-batch.
+
+    With ``late`` every tenth event comes a stretch after its time.
+    """
+    folder = shared_folder(spark, "arriving")
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last, rows = events.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
+    stretch = F.floor(F.timestamp_diff("SECOND", F.lit(first), F.col("ts")) / (days * 86_400)).cast("int")
+    dealt = events.withColumn("_part", stretch + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0) if late else stretch)
+    parts = 0 if first is None else (last - first).days // days + 1 + late
+    files = max(1, rows // max(1, parts) // 1_000_000)
+    for part in range(parts):  # in this order: a file source reads by time of change
+        dealt.filter(F.col("_part") == part).drop("_part").repartition(files).write.mode("append").parquet(folder)
+    if not parts:
+        events.write.parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
 def sm01_ingest(spark: SparkSession, sf: str) -> DataFrame:
     rows = log(spark, sf).select("event_id", "user_id", F.sha2("props", 256).alias("props"), (F.col("event_type") == "purchase").alias("candidate"))
     return drained(rows, "ingest").select("event_id", "user_id", "props", "candidate")
@@ -38,8 +57,11 @@ def sm05_throttle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sm02_micro_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Good rows and dead letters of every batch, each batch written twice as after a crash; one copy stays."""
-    rows = log(spark, sf).select("event_id", F.when(F.col("value") < 5, "dead").otherwise("done").alias("state"))
+    """Good rows and dead letters in rounds of one stretch of the log: ten rounds a run, then the rest in a second run.
+
+    Each batch is written twice as after a crash; one copy stays.  ``round`` counts from the first batch on.
+    """
+    rows = arriving(spark, sf, 2).select("event_id", F.when(F.col("value") < 5, "dead").otherwise("done").alias("state"))
     folder = shared_folder(spark, "batches")
     sink = sessions.write_once(f"{folder}/out", lambda batch: batch)
 
@@ -47,9 +69,14 @@ def sm02_micro_batches(spark: SparkSession, sf: str) -> DataFrame:
         sink(batch, number)
         sink(batch, number)
 
-    stream = rows.writeStream.foreachBatch(crashing).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    stream.start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/out").select("event_id", "state")
+    run, more = 0, True
+    while more:
+        run, (_, more) = run + 1, sessions.run_rounds(rows, crashing, f"{folder}/state", 10)
+    back = spark.read.option("basePath", f"{folder}/out").schema("event_id long, state string, batch int").parquet(f"{folder}/out")
+    return back.select("event_id", "state", F.col("batch").alias("round"), (F.floor(F.col("batch") / 10) + 1).cast("int").alias("run"))
+
+
+SM02 = "SELECT event_id, CASE WHEN value < 5 THEN 'dead' ELSE 'done' END AS state, (epoch(ts - first)::BIGINT // 172800)::INT AS round, (epoch(ts - first)::BIGINT // 1728000 + 1)::INT AS run FROM (SELECT *, date_trunc('second', ts) AS cut, min(ts) OVER () AS first FROM events)"
 
 
 SM05 = """
@@ -83,29 +110,48 @@ def sm04_replayed(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark, "replay")
     k = F.expr("cast(get_json_object(props, '$.k') AS int)")
     for label, part in (("a", k < 60), ("b", F.lit(True))):
-        sink = sessions.write_new(f"{folder}/out", ["event_id", "item"], label)
+        sink = sessions.write_new(f"{folder}/out", ["event_id", "item"], label, F.date_format("ts", "yyyyMMdd"))
 
         def twice(batch: DataFrame, number: int, sink=sink) -> None:
             sink(batch, number)
             sink(batch, number)
 
-        rows = log(spark, sf).filter(part).select("event_id", k.alias("item"))
+        rows = arriving(spark, sf).filter(part).select("event_id", k.alias("item"), "ts")
         rows.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/state-{label}").trigger(availableNow=True).start().awaitTermination()
-    back = spark.read.option("basePath", f"{folder}/out").schema("event_id long, item int, batch string").parquet(f"{folder}/out")
+    back = spark.read.option("basePath", f"{folder}/out").schema("event_id long, item int, ts timestamp, bucket int, batch string").parquet(f"{folder}/out")
     return back.select("event_id", "item", F.substring("batch", 1, 1).alias("stream"))
 
 
 SM04 = "SELECT event_id, k AS item, CASE WHEN k < 60 THEN 'a' ELSE 'b' END AS stream FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"
 
 
+#: Events that the last watermark of a stream has passed, by its lateness.
+SEEN = "SELECT * FROM events WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM events) - {ms}"
+SOON, LATER = 600_000, 4 * 86_400_000
+
+
+def kinds(**names: str) -> Column:
+    """The kind of an event: a name for some event types, otherwise other."""
+    kind = F.lit("other")
+    for name, event_type in names.items():
+        kind = F.when(F.col("event_type") == event_type, name).otherwise(kind)
+    return kind
+
+
+def folded(rows: DataFrame, processor: stateful.InOrder, name: str, kind: Column, item: Column | None = None, lateness: str = "10 minutes") -> DataFrame:
+    """Runs a processor over all batches of the log, keyed by session, and reads back what it gave."""
+    item = F.lit(None).cast("long") if item is None else item
+    return drained(stateful.folded(rows.withColumn("kind", kind).withColumn("item", item), "user_id", processor, lateness), name)
+
+
 def sm06_state(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "view", "prompt").when(F.col("event_type") == "click", "given").otherwise("other")
-    rows = log(spark, sf).select("user_id", "event_id", "ts", kind.alias("kind"), F.expr("cast(get_json_object(props, '$.k') AS long) % 7").alias("item"))
-    return drained(sessions.session_state(rows, "user_id", 48 * 3600), "state").select("event_id", "prompts", "given", "known")
+    """What a session's state says at its prompts; two days without an event and a timer forgets it."""
+    item = F.expr("cast(get_json_object(props, '$.k') AS long) % 7")
+    return folded(arriving(spark, sf), stateful.SessionState(48 * 3600), "state", kinds(prompt="view", given="click"), item).select(F.col("id").alias("event_id"), "prompts", "given", "known")
 
 
-SM06 = """
-    WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS item, CASE WHEN ts - lag(ts) OVER w > INTERVAL '48 hours' THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+SM06 = f"""
+    WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS item, CASE WHEN ts - lag(ts) OVER w > INTERVAL '48 hours' THEN 1 ELSE 0 END AS cut FROM ({SEEN.format(ms=SOON)}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     i AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM e),
     g AS (SELECT *, count(*) FILTER (event_type = 'view') OVER w AS prompts, list_distinct(coalesce(list(item) FILTER (event_type = 'click') OVER w, [])) AS had FROM i WINDOW w AS (PARTITION BY user_id, island ORDER BY ts, event_id))
     SELECT event_id, prompts::INT AS prompts, len(had)::INT AS given, list_contains(had, item) AS known FROM g WHERE event_type = 'view'
@@ -113,21 +159,63 @@ SM06 = """
 
 
 def sm10_turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns as the stream closes them: by a reply, by the next prompt, or half a day after a prompt that nothing follows."""
-    kind = F.when(F.col("event_type") == "view", "prompt").when(F.col("event_type") == "purchase", "reply").otherwise("other")
-    rows = log(spark, sf).select("user_id", "ts", kind.alias("kind"))
-    micros = lambda c: F.round(F.col(c) * 1_000_000).cast("long").alias(c)
-    return drained(sessions.turns_stream(rows, "user_id", X.OPEN_TURN_HOURS * 3600), "turns").select("key", micros("prompt_at"), micros("reply_at"), "state")
+    """Turns as the stream closes them: by a reply, by the next prompt, or by a timer half a day after a prompt that nothing follows."""
+    return folded(arriving(spark, sf), stateful.Turns(X.OPEN_TURN_HOURS * 3600), "turns", kinds(prompt="view", reply="purchase"))
 
 
-SM10 = """
-    WITH w AS (SELECT max(ts) - INTERVAL '10 minutes' AS mark FROM events),
-    t AS (SELECT user_id, ts, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS kind FROM events WHERE event_type IN ('view', 'purchase'))
+SM10 = f"""
+    WITH s AS ({SEEN.format(ms=SOON)}), w AS (SELECT max(ts) - INTERVAL '10 minutes' AS mark FROM events),
+    t AS (SELECT user_id, ts, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS kind FROM s WHERE event_type IN ('view', 'purchase'))
     SELECT user_id AS key, epoch_us(ts) AS prompt_at, CASE WHEN next - ts <= INTERVAL '12 hours' AND kind = 'purchase' THEN epoch_us(next) END AS reply_at, CASE WHEN next - ts <= INTERVAL '12 hours' THEN 'ready' ELSE 'expired' END AS state
     FROM t, w WHERE event_type = 'view' AND (next IS NOT NULL OR ts + INTERVAL '12 hours' < mark)
 """
 
 
+def sm07_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions that six hours of silence end, every tenth event coming days after its time."""
+    windows = sessions.session_windows(arriving(spark, sf, late=True), "user_id", lateness="4 days")
+    micros = lambda c: F.unix_micros(c).alias(c)
+    return drained(windows, "windows").select(F.col("key").alias("user_id"), micros("started"), micros("ended"), "n")
+
+
+SM07W = f"""
+    WITH i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events)),
+    g AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL '6 hours' AS ended, count(*) AS n FROM i GROUP BY user_id, island)
+    SELECT user_id, epoch_us(started) AS started, epoch_us(ended) AS ended, n FROM g WHERE epoch_ms(ended) <= (SELECT epoch_ms(max(ts)) FROM events) - {LATER}
+"""
+
+
+def sm07_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases of sessions over late rows: opened, left unresolved after six quiet hours, opened again, resolved."""
+    item = F.expr("cast(get_json_object(props, '$.k') AS long) % 2")
+    return folded(arriving(spark, sf, late=True), stateful.Cases(X.CASE_QUIET_HOURS * 3600), "cases", kinds(failed="error", passed="purchase"), item, "4 days")
+
+
+#: Each session's open cases are a list of structs; quiet hours are seen at the next row or at the end.
+SM07C = f"""
+    WITH RECURSIVE s AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 AS item, epoch_us(ts) AS us FROM ({SEEN.format(ms=LATER)})),
+    r AS (SELECT user_id, event_id, us, item, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'passed' ELSE 'other' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM s),
+    m AS (SELECT (SELECT epoch_ms(max(ts)) FROM events) - {LATER} AS mark),
+    z AS (SELECT * FROM r UNION ALL SELECT user_id, NULL, (SELECT mark * 1000 + 999 FROM m), NULL, 'end', max(n) + 1 FROM r GROUP BY user_id),
+    f AS (
+        SELECT DISTINCT user_id, 0::BIGINT AS n, 0::BIGINT AS last, []::STRUCT(item BIGINT, id BIGINT, open BOOLEAN)[] AS cases, []::STRUCT(command BIGINT, opened BIGINT, moment BIGINT, state VARCHAR)[] AS told FROM r
+        UNION ALL
+        SELECT user_id, n, us,
+            CASE WHEN kind = 'failed' AND mine IS NULL THEN held || [{{'item': item, 'id': event_id, 'open': true}}] WHEN kind = 'failed' THEN list_transform(held, lambda c: {{'item': c.item, 'id': c.id, 'open': c.open OR c.item = item}})
+                WHEN kind = 'passed' THEN list_filter(held, lambda c: c.item <> item) ELSE held END,
+            CASE WHEN quiet THEN list_transform(list_filter(cases, lambda c: c.open), lambda c: {{'command': c.item, 'opened': c.id, 'moment': last + 21600000000, 'state': 'unresolved'}}) ELSE [] END
+                || CASE WHEN kind = 'failed' AND mine IS NULL THEN [{{'command': item, 'opened': event_id, 'moment': us, 'state': 'opened'}}] WHEN kind = 'failed' AND NOT mine.open THEN [{{'command': item, 'opened': mine.id, 'moment': us, 'state': 'reopened'}}]
+                    WHEN kind = 'passed' AND mine IS NOT NULL THEN [{{'command': item, 'opened': mine.id, 'moment': us, 'state': 'resolved'}}] ELSE [] END
+        FROM (
+            SELECT *, list_filter(held, lambda c: c.item = item)[1] AS mine
+            FROM (
+                SELECT z.*, f.last, f.cases, f.last > 0 AND z.us >= f.last + 21600000000 AS quiet,
+                    CASE WHEN f.last > 0 AND z.us >= f.last + 21600000000 THEN list_transform(f.cases, lambda c: {{'item': c.item, 'id': c.id, 'open': false}}) ELSE f.cases END AS held
+                FROM f JOIN z ON z.user_id = f.user_id AND z.n = f.n + 1)))
+    SELECT user_id AS key, t.command AS command, t.opened AS opened, t.moment AS at, t.state AS state FROM (SELECT user_id, unnest(told) AS t FROM f)
+"""
+
+
 def due_reads(ended: DataFrame, cursors: DataFrame, cursor: str, hours: int = X.CASE_QUIET_HOURS) -> DataFrame:
     """(session, since, until): from where each session's transcript is read on.
 
@@ -202,6 +290,51 @@ SM12 = """
 """
 
 
+def sm12_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stream in ten batches: a session that falls silent is sent by its timer."""
+    kind = kinds(implicit="view", explicit="error", boundary="signup")
+    return folded(arriving(spark, sf), stateful.SendBatches(5, 24 * 3600), "sending", kind)
+
+
+SM12S = f"""
+    WITH RECURSIVE r AS (SELECT user_id, epoch_us(ts) AS us, CASE event_type WHEN 'view' THEN 'implicit' WHEN 'error' THEN 'explicit' WHEN 'signup' THEN 'boundary' ELSE 'other' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ({SEEN.format(ms=SOON)})),
+    z AS (SELECT * FROM r UNION ALL SELECT user_id, (SELECT (epoch_ms(max(ts)) - {SOON}) * 1000 + 999 FROM events), 'end', max(n) + 1 FROM r GROUP BY user_id),
+    f AS (
+        SELECT DISTINCT user_id, 0::BIGINT AS n, 0 AS held, NULL::BIGINT AS oldest, NULL::BIGINT AS over_at, 0 AS over_n, NULL::BIGINT AS sent_at, NULL::VARCHAR AS reason, 0 AS sent_n FROM r
+        UNION ALL
+        SELECT user_id, n, CASE WHEN why IS NULL THEN now_held ELSE 0 END, CASE WHEN why IS NULL AND now_held > 0 THEN coalesce(left_oldest, us) END, CASE WHEN over THEN oldest + 86400000000 END, held, CASE WHEN why IS NOT NULL THEN us END, why, now_held
+        FROM (
+            SELECT *, CASE WHEN kind = 'explicit' THEN 'explicit' WHEN now_held >= 5 THEN 'full' WHEN kind = 'boundary' AND now_held > 0 THEN 'boundary' END AS why
+            FROM (
+                SELECT *, CASE WHEN over THEN 0 ELSE held END + CASE WHEN kind IN ('implicit', 'explicit') THEN 1 ELSE 0 END AS now_held, CASE WHEN NOT over THEN oldest END AS left_oldest
+                FROM (SELECT z.*, f.held, f.oldest, f.held > 0 AND z.us >= f.oldest + 86400000000 AS over FROM f JOIN z ON z.user_id = f.user_id AND z.n = f.n + 1))))
+    SELECT user_id AS key, over_at AS at, 'time' AS reason, over_n::INT AS n FROM f WHERE over_at IS NOT NULL UNION ALL SELECT user_id, sent_at, reason, sent_n::INT FROM f WHERE sent_at IS NOT NULL
+"""
+
+
+#: Calls an hour that each budget allows.
+HOURLY = {"history": 1, "decisions": 2, "evaluation": 3}
+
+
+def sm13_admitted(spark: SparkSession, sf: str) -> DataFrame:
+    """When each call is made: groups of sessions with an hourly budget for summaries, decisions and evaluations."""
+    task = F.when(F.col("event_type") == "purchase", "history").when(F.col("event_type") == "signup", "evaluation").otherwise("decisions")
+    calls = table(spark, sf, "events").select("event_id", F.concat_ws("/", F.col("user_id") % 5, task).alias("budget"), task.alias("task"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return asof.admit(calls, "budget", "task", "at", "event_id", HOURLY, 3600).select("event_id", "admitted", "waited")
+
+
+SM13 = """
+    WITH RECURSIVE t AS (SELECT event_id, epoch_us(ts) AS at_, user_id % 5 AS pool, CASE event_type WHEN 'purchase' THEN 'history' WHEN 'signup' THEN 'evaluation' ELSE 'decisions' END AS task FROM events),
+    r AS (SELECT *, CASE task WHEN 'history' THEN 1 WHEN 'decisions' THEN 2 ELSE 3 END AS most, row_number() OVER (PARTITION BY pool, task ORDER BY at_, event_id) AS n FROM t),
+    f AS (
+        SELECT pool, task, n, event_id, at_, at_ AS admitted, [at_] AS made FROM r WHERE n = 1
+        UNION ALL
+        SELECT pool, task, n, event_id, at_, a, made || [a] FROM (
+            SELECT r.*, f.made[-2:] AS made, greatest(r.at_, f.admitted, CASE WHEN len(f.made) >= r.most THEN f.made[-r.most] + 3600000001 ELSE 0 END) AS a FROM f JOIN r ON r.pool = f.pool AND r.task = f.task AND r.n = f.n + 1))
+    SELECT event_id, admitted, admitted > at_ AS waited FROM f
+"""
+
+
 def retained(rows: DataFrame, at: str, kind: str, days: dict[str, int], now: str) -> DataFrame:
     """Rows that their class still keeps; classes without a limit keep all."""
     limit = F.create_map(*[F.lit(x) for pair in days.items() for x in pair])[F.col(kind)]
@@ -225,7 +358,11 @@ QUERIES = [
     Query("sm09_late_rows", sm09_late, SM09),
     Query("sm12_batching_policy", sm12_batches, SM12),
     Query("sm14_retention_classes", sm14_retained, SM14),
-    Query("sm02_micro_batches", sm02_micro_batches, "SELECT event_id, CASE WHEN value < 5 THEN 'dead' ELSE 'done' END AS state FROM events"),
+    Query("sm02_micro_batches", sm02_micro_batches, SM02),
+    Query("sm07_session_windows", sm07_windows, SM07W),
+    Query("sm07_cases_stream", sm07_cases, SM07C),
+    Query("sm12_batching_stream", sm12_stream, SM12S),
+    Query("sm13_rate_limit", sm13_admitted, SM13),
     Query("sm01_ingest_stream", sm01_ingest, "SELECT event_id, user_id, sha256(props) AS props, event_type = 'purchase' AS candidate FROM events"),
     Query("sm05_throttle_stream", sm05_throttle, SM05),
 ]

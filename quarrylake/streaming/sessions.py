@@ -1,80 +1,40 @@
-"""Structured Streaming forms: throttling, turns with a time-out, idempotent batches."""
+"""Structured Streaming forms: throttling, session windows, bounded rounds, idempotent batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.graph import checkpointed
+from ..lineage import checkpointed, exists
 
 
 def throttle_stream(events: DataFrame, key: str, seconds: float) -> DataFrame:
     """(key, event_id, ts) of events that come more than ``seconds`` after the last accepted one of their key.
 
-    ``events`` has key, event_id and ts.  The state of a key is one time; within a batch rows are taken
-    in the order of ts.
+    ``events`` has key, event_id and ts.  The state of a key is one time; of a batch the times and ids of
+    a key are held, in the order of ts.
     """
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        keep = []
-        for at in rows["ts"]:
-            ok = last is None or (at.timestamp() - last) > seconds
-            last = at.timestamp() if ok else last
-            keep.append(ok)
+        rows = sorted(row for frame in frames for row in zip(frame["ts"], frame["event_id"].tolist(), strict=True))
+        kept = []
+        for at, event in rows:
+            if last is None or at.timestamp() - last > seconds:
+                last = at.timestamp()
+                kept.append((keys[0], event, at))
         state.update((last,))
-        yield rows[keep]
+        yield pd.DataFrame(kept, columns=["key", "event_id", "ts"])
 
     picked = events.select(F.col(key).alias("key"), "event_id", "ts")
     return picked.groupBy("key").applyInPandasWithState(step, "key long, event_id long, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def turns_stream(events: DataFrame, key: str, expire_seconds: int, lateness: str = "10 minutes") -> DataFrame:
-    """(key, prompt_at, reply_at, state): turns as they close.
-
-    ``events`` has key, ts and kind; a ``prompt`` opens a turn, a ``reply`` or the next prompt closes it,
-    and one that stays open for ``expire_seconds`` of event time is closed as expired.
-    """
-
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        opened = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            out.append((keys[0], opened, None, "expired"))
-            state.remove()
-        else:
-            rows = pd.concat(list(frames)).sort_values("ts")
-            for at, kind in zip(rows["ts"], rows["kind"], strict=True):
-                now = at.timestamp()
-                if opened is not None and now - opened > expire_seconds:
-                    out.append((keys[0], opened, None, "expired"))
-                    opened = None
-                if kind == "prompt":
-                    if opened is not None:
-                        out.append((keys[0], opened, None, "ready"))
-                    opened = now
-                elif kind == "reply" and opened is not None:
-                    out.append((keys[0], opened, now, "ready"))
-                    opened = None
-            if opened is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((opened,))
-                state.setTimeoutTimestamp(max(int((opened + expire_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["key", "prompt_at", "reply_at", "state"])
-
-    picked = events.select(F.col(key).alias("key"), "ts", "kind").withWatermark("ts", lateness)
-    return picked.groupBy("key").applyInPandasWithState(step, "key long, prompt_at double, reply_at double, state string", "opened double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def session_windows(events: DataFrame, key: str, gap: str = "6 hours", lateness: str = "6 hours") -> DataFrame:
     """(key, started, ended, n): sessions that ``gap`` of silence ends."""
     window = F.session_window("ts", gap).alias("w")
@@ -82,39 +42,6 @@ def session_windows(events: DataFrame, key: str, gap: str = "6 hours", lateness:
     return counted.select("key", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
-def session_state(events: DataFrame, key: str, ttl_seconds: int = 7200, most: int = 500) -> DataFrame:
-    """(key, event_id, prompts, given, known): what a session's state says at each of its prompts.
-
-    ``events`` has key, event_id, ts, kind (prompt, given or anything else) and item.  The state counts
-    prompts and keeps the last ``most`` items given; it is forgotten after ``ttl_seconds`` without an event.
-    ``known`` tells whether the prompt's own item was given before.
-    """
-
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, prompts, given = state.get if state.exists else (None, 0, [])
-        given = dict.fromkeys(given)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event, at, kind, item in zip(rows["event_id"].tolist(), rows["ts"], rows["kind"], rows["item"].tolist(), strict=True):
-            now = at.timestamp()
-            if last is not None and now - last > ttl_seconds:
-                prompts, given = 0, {}
-            last = now
-            if kind == "prompt":
-                prompts += 1
-                out.append((keys[0], event, prompts, len(given), item in given))
-            elif kind == "given":
-                given.pop(item, None)
-                given[item] = None
-                if len(given) > most:
-                    del given[next(iter(given))]
-        state.update((last, prompts, list(given)))
-        yield pd.DataFrame(out, columns=["key", "event_id", "prompts", "given", "known"])
-
-    picked = events.select(F.col(key).alias("key"), "event_id", "ts", "kind", "item")
-    return picked.groupBy("key").applyInPandasWithState(step, "key long, event_id long, prompts int, given int, known boolean", "last double, prompts int, given array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
 def with_retries(out: str, work: Callable[[DataFrame, int], DataFrame], limits: dict[str, int]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that tries rows again until they are done or given up.
 
@@ -146,22 +73,56 @@ def with_retries(out: str, work: Callable[[DataFrame, int], DataFrame], limits:
     return sink
 
 
-def write_new(out: str, keys: list[str], label: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that leaves out rows whose keys another batch has written; a replayed batch replaces itself."""
+def write_new(out: str, keys: list[str], label: str, bucket: Column) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that leaves out rows whose keys another batch has written; a replayed batch replaces itself.
+
+    What has been written is a ledger in buckets, and a batch looks up the buckets of its own rows only.
+    Where ``bucket`` goes with time (the day of an event, say) these are few, and what is read does not
+    grow with what was written before.  The same key always has the same bucket.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
-        own = f"{label}-{number}"
-        rows = batch.dropDuplicates(keys)
-        try:
-            there = batch.sparkSession.read.option("basePath", out).parquet(out).filter(F.col("batch") != own).select(*keys)
-            rows = checkpointed(rows.join(there, keys, "left_anti"))
-        except AnalysisException:  # nothing has been written yet
-            pass
-        rows.write.mode("overwrite").parquet(f"{out}/batch={own}")
+        spark, own = batch.sparkSession, f"{label}-{number}"
+        rows = checkpointed(batch.withColumn("bucket", bucket).dropDuplicates(keys))
+        mine = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # as many as a batch spans
+        there = [path for path in (f"{out}/bucket={b}" for b in mine) if exists(spark, path)]
+        if there:
+            earlier = spark.read.option("basePath", out).parquet(*there).filter(F.col("batch") != own).select(*keys)
+            rows = checkpointed(rows.join(earlier, keys, "left_anti"))
+        written = rows.withColumn("batch", F.lit(own)).repartition("bucket").write.partitionBy("bucket", "batch")
+        written.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(out)
 
     return sink
 
 
+class RoundsSpent(Exception):
+    """A run has made as many rounds as it may; the next one goes on from there."""
+
+
+def run_rounds(stream: DataFrame, sink: Callable[[DataFrame, int], None], state: str, most: int) -> tuple[int, bool]:
+    """Runs a stream for ``most`` batches at most: how many it made, and whether anything may be left.
+
+    The batch after the last one is given back before anything of it is written, so that the next run
+    begins with it; the checkpoint keeps the place and, beside it, one run at a time.
+    """
+    done: list[int] = []
+
+    def bounded(batch: DataFrame, number: int) -> None:
+        if len(done) == most:
+            raise RoundsSpent
+        sink(batch, number)
+        done.append(number)
+
+    query = stream.writeStream.foreachBatch(bounded).option("checkpointLocation", state).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if "RoundsSpent" not in str(e):
+            raise
+        return len(done), True
+    return len(done), False
+
+
 def write_once(out: str, work: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink whose replay of a batch leaves one copy: each batch owns its partition."""
 
