@@ -56,22 +56,20 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     and text exactly one is kept.  An empty table gives no rows.
     """
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    base = checkpointed(df.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("text_sha256")))
+    base = checkpointed(df.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("text_sha256"))).withColumn("_row", F.monotonically_increasing_id())
     total = base.count()
     floor = max(1.0, total / hot_share - total / (counters + 1))
     candidates = misra_gries(base, "text_sha256", counters).filter(F.col("est") >= F.lit(floor)).select("text_sha256")
     verified = (
         base.join(F.broadcast(candidates), "text_sha256")
         .groupBy("text_sha256")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        .agg(F.max("doc_id").alias("keep_id"), F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), F.col("doc_id"), F.col("_row")))["_row"].alias("_keep"), F.count("*").alias("group_size"))
         .filter(F.col("group_size") >= F.lit(max(2, -(-total // hot_share))))
     )
     winners = checkpointed(verified.repartition(1))  # at most hot_share rows
     split = base.join(F.broadcast(winners), "text_sha256", "left")
     hot = split.filter(F.col("group_size").isNotNull())
-    losing = hot.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False))
-    first = F.row_number().over(Window.partitionBy("text_sha256").orderBy("doc_id"))
-    winning = hot.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("kept", first == 1)
+    decided = hot.withColumn("kept", F.col("_row") == F.col("_keep"))
     group = Window.partitionBy("text_sha256")
     rest = (
         split.filter(F.col("group_size").isNull())
@@ -80,7 +78,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         .withColumn("kept", F.row_number().over(group.orderBy(F.col("doc_id").desc_nulls_last())) == 1)
     )
     columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
-    return losing.select(*columns).unionByName(winning.select(*columns)).unionByName(rest.select(*columns))
+    return decided.select(*columns).unionByName(rest.select(*columns))
 
 
 def keep_first_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: int = HOT_SHARE) -> DataFrame:

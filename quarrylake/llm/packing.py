@@ -1,6 +1,6 @@
 """Conflict-constrained best-fit packing of documents into training sequences.
 
-Documents are dealt to shards by a hash, so that hot sources and clusters are spread evenly, and each
+Documents are dealt to shards by a hash of their place in the table, so that hot sources and clusters are spread evenly, and each
 shard is packed by best fit in order of decreasing length.  Bins are kept in order of what is left in
 them and carry a bitmap of their sources and one of their duplicate clusters; the search starts at the
 tightest bin that is large enough and goes on to its successors until a bin shares neither.
@@ -95,7 +95,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", sour
     # the sizes may be costly to work out, and they are read twice: for the number of shards and for packing
     picked = checkpointed(df.select(id_in(id_col), size.alias("size"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster")))
     shards = max(1, -(-picked.count() // shard_rows))
-    dealt = picked.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)))
+    # by the place of a row, not by its id: rows without one, or with the same, are spread like others
+    dealt = picked.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     schema = "doc_id long, piece long, start_token long, n_tokens long, shard long, bin long, bin_offset long"
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:

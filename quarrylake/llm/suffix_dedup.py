@@ -275,6 +275,15 @@ def resolve(texts: list[bytes], anchors: np.ndarray, owner: np.ndarray, length:
     return out
 
 
+def inside_characters(text: bytes, start: int, end: int) -> tuple[int, int]:
+    """The part of a span that holds whole characters of UTF-8 only."""
+    while start < end and text[start] & 0xC0 == 0x80:
+        start += 1
+    while end > start and end < len(text) and text[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
+
+
 def sparing(work: Callable[..., pd.DataFrame]) -> Callable[..., pd.DataFrame]:
     """A function for applyInPandas that gives its memory back after each group."""
 
@@ -291,12 +300,13 @@ def sparing(work: Callable[..., pd.DataFrame]) -> Callable[..., pd.DataFrame]:
     return one if work.__code__.co_argcount == 1 else two
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH, keep: tuple[str, ...] = (), hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH, keep: tuple[str, ...] = (), hot_contexts: int = HOT_CONTEXTS, whole_characters: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, spans (array of start, end), kept (binary), ``keep`` as strings.
 
     Null text counts as empty.  A null id sorts below every other id; rows with the same id remove
     nothing from each other, and texts shorter than ``length`` bytes lose nothing.  Strings are judged
-    on the input and never go over the end of a document.  An empty table gives no rows.
+    on the input and never go over the end of a document.  With ``whole_characters`` a character that is
+    only partly covered stays, so what is kept is valid UTF-8.  An empty table gives no rows.
     """
     spark = df.sparkSession
     docs = df.select(id_in(id_col), *[F.col(c).cast("string").alias(f"_{c}") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -483,6 +493,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = []
         for x, t in enumerate(texts):
             spans = [(0, len(t))] if is_copy[x] and len(t) >= length else removed.get(x, [])
+            if whole_characters:
+                spans = [(a, b) for a, b in (inside_characters(t, *span) for span in spans) if a < b]
             kept = t if not spans else b"".join([t[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(t)], strict=True)])
             rows.append((int(ids[x]), len(t), len(t) - len(kept), [{"start": a, "end": b} for a, b in spans], kept))
         return pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"]).assign(**{c: left[f"_{c}"].to_numpy() for c in keep})

@@ -333,3 +333,25 @@ def test_packing_edge_cases(spark):
     got = packing.pack(df, cluster=F.col("cluster"), capacity=10).collect()
     assert Counter(str(r["doc_id"]) for r in got) == {"1": 1, "2": 1, "3": 1, "None": 1, "4": 6}
     assert packing.pack(df.limit(0), cluster=F.col("cluster")).count() == 0
+
+
+def test_packing_of_rows_without_an_id_is_spread(spark):
+    df = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(5).alias("n_tokens"), F.lit("s").alias("source"))
+    shards = packing.pack(df, capacity=10).groupBy("shard").count().collect()
+    assert len(shards) == -(-40_000 // packing.SHARD_ROWS) and max(r["count"] for r in shards) < 2 * packing.SHARD_ROWS
+
+
+def test_exact_keeps_one_of_equal_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "same")] * 50 + [(1, "other"), (1, "other")], "doc_id long, text string")
+    got = exact_dedup.exact_dedup(df, hot_share=4).collect()
+    assert sum(r["kept"] for r in got) == 2 and len(got) == 52
+
+
+def test_whole_characters_stay(make):
+    shared = "é" * 40
+    rows = [(1, shared), (2, "x" + shared[:30] + "è" + shared[:10]), (3, "aé" + "é" * 24 + "zz")]
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(make(rows), whole_characters=True).collect()}
+    for i, text in rows:
+        kept = bytes(got[i]["kept"]).decode()  # valid
+        assert "�" not in kept and all(c in text for c in kept)
+    assert got[2]["n_removed"] > 0

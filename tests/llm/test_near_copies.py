@@ -88,3 +88,29 @@ def test_stage_tells_rows_that_share_an_id_apart(spark, make, tmp_path):
     rows = [(3, copied), (5, copied + " more"), (5, clean), (None, copied), (None, alone), (None, alone), (7, clean + " end")]
     kept = corpus_pipeline.near_stage(spark, make(rows), str(tmp_path)).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(3, copied), (5, clean), (None, alone)], key=str)
+
+
+def test_rounds_after_failed_edges(spark, make, monkeypatch):
+    """With one pair of each text and group in a round, groups that only a later pair links are still found."""
+    monkeypatch.setattr(near_copies, "FIRST_PAIRS", 2)
+    rows = edited()
+    groups = {}
+    for (i, _), g in zip(rows, plain_groups(rows), strict=True):
+        groups.setdefault(g, set()).add(i)
+    got = {}
+    for r in near_copies.near_copies(make(rows)).collect():
+        got.setdefault(r["root"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_band_key_of_very_many_nodes(spark):
+    """A key that 100,000 nodes share is counted and dealt without being gathered."""
+    from pyspark.sql import functions as F
+
+    from quarrylake.llm.simhash import dealt
+
+    nodes = spark.range(100_000).select(F.col("id").alias("node"), F.struct(F.array(F.lit(7).cast("long"), F.lit(9).cast("long"), F.col("id") + 100).alias("keys")).alias("sketch"))
+    shared = near_copies._shared_buckets(nodes)
+    assert shared.count() == 100_000 and shared.select("key").distinct().count() == 1  # keys 7 and 9 have the same members
+    parts = dealt(shared, "node", 16_384).groupBy("key", "part").count()
+    assert parts.agg(F.max("count")).first()[0] <= 2 * 16_384
