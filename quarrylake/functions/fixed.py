@@ -177,3 +177,11 @@ CASE_QUIET_HOURS, CASE_RETENTION_DAYS, FIRST_SCAN_DAYS, OPEN_TURN_HOURS = 6, 90,
 ULID_DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 SKIPPED_FOLDERS = (".git", "node_modules", "dist", "build", "out", "target", ".next", ".venv", "venv", "__pycache__", ".gradle", ".idea")
 # fmt: on
+# Names of standard libraries, which link nothing by themselves.
+COMMON_NAMES = """
+    get set add put remove delete push pop shift unshift map filter find findIndex forEach reduce some every includes indexOf join split slice splice concat keys values entries has clear size length
+    toString valueOf equals hashCode compareTo then catch finally apply call bind log error warn info debug trace print println printf format sprintf append len cap close open read write flush next
+    iterator stream collect toList of from subscribe pipe json text trim replace replaceAll match test exec sort reverse copy clone isEmpty isNotEmpty contains containsKey getOrDefault first last lower
+    upper strip startswith endswith startsWith endsWith items update setdefault encode decode lock unlock wait notify sleep run Error New String Sprintf Println Printf Errorf Is As Unwrap invoke let also
+    with takeIf use forEachIndexed mapNotNull
+""".split()

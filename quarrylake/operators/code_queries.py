@@ -10,6 +10,7 @@ from ..plans.query import Query, literal, table
 from ..sources import code
 from . import codegraph as G
 from .graph import checkpointed, reach
+from .text_search import index_lines, search_lines
 
 # ---- a project generated from the suppliers ------------------------------------------------------
 
@@ -520,7 +521,58 @@ def sc26_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 SC26 = "SELECT 'src/a b/' || p_partkey || '.bin' AS path, CASE WHEN p_size > 40 THEN 'A' WHEN p_size < 5 THEN 'D' ELSE 'M' END AS status, CASE WHEN p_size <> 25 THEN p_size END AS added, CASE WHEN p_size <> 25 THEN (p_partkey % 9)::INT END AS removed FROM part"
 
+def gr23_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of documents and pages that hold what the benchmark items ask for: two words as they are, in any case, or as a pattern, some in one folder only."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("docs/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id")).alias("path"), "text")
+    pages = table(spark, sf, "pages").select(F.concat(F.lit("pages/"), F.col("page_id"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
+    words, i = F.split("text", r"[^a-zA-Z]+"), F.col("item_id")
+    two = F.concat_ws(" ", F.element_at(words, 2), F.element_at(words, 3))
+    pattern = F.when(i % 4 == 3, F.concat(F.element_at(words, 2), F.lit("[^a-z]+"), F.element_at(words, 3))).when(i % 4 == 2, F.upper(two)).otherwise(two)
+    asked = table(spark, sf, "benchmark").filter(F.size(words) > 3).select(pattern.alias("pattern"), (i % 4 == 3).alias("regex"), (i % 4 == 2).alias("ignore_case"), F.when(i % 4 == 1, F.concat(F.lit("docs/src"), i % 20)).alias("under"))
+    return search_lines(index_lines(docs.unionByName(pages)), asked, 20).select("pattern", "path", "line", F.sha2("text", 256).alias("text"), "total").distinct()
+
+
+GR23L = r"""
+    WITH f AS (SELECT 'docs/' || coalesce(source, 'none') || '/' || doc_id AS path, text FROM documents UNION ALL SELECT 'pages/' || page_id || '.html', html FROM pages),
+    l AS (SELECT path, unnest(string_split(regexp_replace(text, '
+$', ''), chr(10))) AS line_text, generate_subscripts(string_split(regexp_replace(text, '
+$', ''), chr(10)), 1) AS line FROM f WHERE text <> ''),
+    t AS (SELECT path, line, regexp_replace(line_text, '
+$', '') AS text FROM l),
+    w AS (SELECT item_id, string_split_regex(text, '[^a-zA-Z]+') AS words FROM benchmark),
+    q AS (SELECT DISTINCT CASE item_id % 4 WHEN 3 THEN words[2] || '[^a-z]+' || words[3] WHEN 2 THEN upper(words[2] || ' ' || words[3]) ELSE words[2] || ' ' || words[3] END AS pattern, item_id % 4 AS form, CASE WHEN item_id % 4 = 1 THEN 'docs/src' || item_id % 20 END AS under FROM w WHERE len(words) > 3),
+    h AS (SELECT q.*, path, line, text FROM q JOIN t ON (under IS NULL OR path = under OR starts_with(path, under || '/')) AND CASE form WHEN 3 THEN regexp_matches(text, pattern) WHEN 2 THEN contains(lower(text), lower(pattern)) ELSE contains(text, pattern) END),
+    r AS (SELECT *, row_number() OVER (PARTITION BY pattern, form, under ORDER BY path, line) AS place, count(*) OVER (PARTITION BY pattern, form, under) AS total FROM h)
+    SELECT DISTINCT pattern, path, line, sha256(CASE WHEN length(text) > 240 THEN substr(text, 1, 239) || '…' ELSE text END) AS text, total FROM r WHERE place <= 20
+"""
+
+
+def gr12_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """References made from order lines, linked by name alone: parts are the symbols, three to a name, some of common or short names."""
+    p = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, ("function", "method", "class", "component"))), (F.floor(p / 3) % 4 + 1).cast("int"))
+    name = F.when(p % 11 == 0, "toString").when(p % 11 == 1, "ab").when(p % 5 == 0, F.concat(F.lit("only"), p)).otherwise(F.concat(F.lit("name"), F.floor(p / 3)))
+    syms = table(spark, sf, "part").select(p.alias("sid"), name.alias("name"), kind.alias("kind"), F.when(p % 2 == 0, F.floor(p / 2)).alias("owner"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    use = F.when(F.col("l_linenumber") % 3 == 0, "new").otherwise("call")
+    refs = lines.join(syms.select(F.col("sid").alias("l_partkey"), "name"), "l_partkey").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ref"), "name", (F.col("l_partkey") + F.col("l_linenumber") % 2).alias("sid"), F.when(F.col("l_linenumber") == 4, "v:x").otherwise("").alias("recv"), use.alias("kind"))
+    return G.unique_fallback(refs, syms, part_bases(spark, sf)).select("ref", "target")
+
+
+GR12 = f"""
+    WITH RECURSIVE {UP}, s AS (
+        SELECT p_partkey AS sid, CASE WHEN p_partkey % 11 = 0 THEN 'toString' WHEN p_partkey % 11 = 1 THEN 'ab' WHEN p_partkey % 5 = 0 THEN 'only' || p_partkey ELSE 'name' || (p_partkey // 3) END AS name, ['function', 'method', 'class', 'component'][(p_partkey // 3) % 4 + 1] AS kind, CASE WHEN p_partkey % 2 = 0 THEN p_partkey // 2 END AS owner FROM part),
+    r AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS ref, s.name, l_partkey + l_linenumber % 2 AS sid, l_linenumber = 4 AS member, l_linenumber % 3 = 0 AS makes FROM lineitem JOIN s ON s.sid = l_partkey),
+    c AS (SELECT r.ref, s.sid AS target, s.owner FROM r JOIN s ON s.name = r.name AND s.sid <> r.sid AND (NOT r.member OR s.owner IS NOT NULL) AND CASE WHEN r.makes THEN s.kind IN ('class', 'component') ELSE s.kind IN ('function', 'method', 'component') END WHERE length(r.name) >= 3 AND r.name <> 'toString'),
+    n AS (SELECT ref, count(*) AS n FROM c GROUP BY ref HAVING count(*) <= 6),
+    d AS (SELECT DISTINCT a.ref, a.target FROM c a JOIN c b ON a.ref = b.ref AND a.target <> b.target AND a.owner <> b.owner JOIN near ON near.cls = a.owner AND near.super = b.owner AND near.depth > 0),
+    k AS (SELECT c.ref, c.target FROM c JOIN n USING (ref) ANTI JOIN d ON d.ref = c.ref AND d.target = c.target)
+    SELECT ref, min(target) AS target FROM k GROUP BY ref HAVING count(*) = 1
+"""
+
 QUERIES = [
+    Query("gr23_text_search", gr23_lines, GR23L),
+    Query("gr12_unique_name_fallback", gr12_fallback, GR12),
     Query("gr01_facts_to_members", gr01_members, GR01),
     Query("gr02_qualified_names", gr02_qualified, GR02),
     Query("gr03_owner_attachment", gr03_owners, GR03),

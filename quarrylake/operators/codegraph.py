@@ -277,7 +277,7 @@ class Project:
 
     def _edges(self) -> DataFrame:
         """(ref, path, sid, kind, line, target, weak): the links of all references, inheritance among them."""
-        refs = self.refs.filter("kind <> 'inherit'").drop("kind")
+        refs = self.refs.filter("kind <> 'inherit'").withColumnRenamed("kind", "use")
         owner = self.syms.select("sid", F.col("owner").alias("own")).filter("own is not null")
         enclosing = owner.join(self.classes, F.col("own") == F.col("cls")).select("sid", "cls")
         bare = refs.filter("recv = ''").join(self.bound, ["path", "name"]).select("ref", F.lit(1).alias("rule"), "target")
@@ -289,7 +289,7 @@ class Project:
         through = self._through_module(qualified).select("ref", F.lit(1).alias("rule"), "target")
         member = nearest_member(on_type, self.members, self.bases).select("ref", F.lit(2).alias("rule"), "target")
         settled = union(on_type.select("ref"), bare.select("ref"), through.select("ref")).distinct()
-        weak = unique_fallback(refs.join(settled, "ref", "left_anti").filter("recv not in ('this', 'super')"), self.syms, self.bases).select("ref", F.lit(3).alias("rule"), "target")
+        weak = unique_fallback(refs.withColumnRenamed("use", "kind").join(settled, "ref", "left_anti").filter("recv not in ('this', 'super')"), self.syms, self.bases).select("ref", F.lit(3).alias("rule"), "target")
         picked = first_rule(union(bare, through, member, weak), "ref")
         kinds = self.syms.select(F.col("sid").alias("target"), F.col("kind").alias("of"))
         kind = F.when(F.col("of").isin(*X.CLASS_LIKE), "new").otherwise("call")
@@ -305,14 +305,18 @@ class Project:
 
 
 def unique_fallback(refs: DataFrame, syms: DataFrame, bases: DataFrame, most: int = 6) -> DataFrame:
-    """(ref, target): the only callable symbol of a name, or of a few the one whose class the others' derive from.
+    """(ref, target): the only symbol of a name that a reference can mean, or of a few the one whose class the others' derive from.
 
-    A call through a receiver reaches members only; names of under three letters and the caller itself do
-    not count.  Names with more than ``most`` symbols are ambiguous.
+    ``refs`` has ref, name, sid, recv and kind: a call means something callable, anything else (new, render,
+    type) a class or component.  A call through a receiver reaches members only; common names of standard
+    libraries, names of under three letters and the caller itself do not count.  Names with more than
+    ``most`` symbols are ambiguous.
     """
-    able = syms.filter(F.col("kind").isin(*X.CALLABLE)).select("name", F.col("sid").alias("target"), "owner")
+    use = F.array_compact(F.array(F.when(F.col("kind").isin(*X.CALLABLE), "call"), F.when(F.col("kind").isin(*X.CLASS_LIKE, "component"), "make")))
+    asked_use = F.when(F.col("kind") == "call", "call").otherwise("make")
+    able = syms.select("name", F.explode(use).alias("use"), F.col("sid").alias("target"), "owner").select(F.concat_ws(" ", "use", "name").alias("name"), "target", "owner")
     few = able.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") <= most + 1).select("name")  # the caller may be one
-    asked = refs.filter(F.length("name") >= 3).select("ref", "name", "sid", "recv")
+    asked = refs.filter((F.length("name") >= 3) & ~F.col("name").isin(*X.COMMON_NAMES)).select("ref", F.concat_ws(" ", asked_use, "name").alias("name"), "sid", "recv")
     found = asked.join(able.join(few, "name", "left_semi"), "name").filter("NOT target <=> sid AND (recv = '' OR owner IS NOT NULL)")
     found = checkpointed(found.select("ref", "target", "owner"))
     sized = found.groupBy("ref").agg(F.count("*").alias("n")).filter(F.col("n") <= most)

@@ -89,6 +89,4 @@ QUERIES = [
     Query("gr17_change_impact", gr17_change_impact, walk_sql(f"SELECT dst AS src, src AS dst FROM ({DUCK_CHAIN})", "SELECT o_orderkey AS node FROM orders WHERE o_totalprice < 10000", 4)),
     Query("gr26_live_heads", gr26_live_heads, f"WITH RECURSIVE e AS (SELECT dst AS src, src AS dst FROM ({DUCK_CHAIN}) WHERE dst IS NOT NULL), w AS (SELECT src AS node, dst AS head FROM e UNION SELECT w.node, e.dst FROM w JOIN orders o ON o.o_orderkey = w.head AND o.o_orderstatus <> 'O' JOIN e ON e.src = w.head) SELECT w.node, w.head FROM w JOIN orders o ON o.o_orderkey = w.head AND o.o_orderstatus = 'O'"),
     sql_query("gr04_namespaced_index", "SELECT concat(p_brand, '::', p_name) AS qname, count(*) AS declarations, min(p_partkey) AS first FROM {part} GROUP BY concat(p_brand, '::', p_name)"),
-    sql_query("gr12_unique_name_fallback", "SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, u.target FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey LEFT JOIN (SELECT p_name, p_brand, min(p_partkey) AS target FROM {part} GROUP BY p_name, p_brand HAVING count(*) = 1) u ON u.p_name = p.p_name AND u.p_brand = p.p_brand"),
-    sql_query("gr23_text_search", "SELECT doc_id, instr(text, 'token') AS at FROM {documents} WHERE contains(text, 'token') ORDER BY doc_id LIMIT 100"),
 ]

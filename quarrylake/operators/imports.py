@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..plans.query import Query, table
-from .codegraph import closest, first_rule, folder, normal, normal_module, path_candidates, prefixes, suffixes, union
+from .codegraph import closest, first_rule, folder, nearest_member, normal, normal_module, path_candidates, prefixes, suffixes, union
 from .graph import checkpointed
 
 # ---- JavaScript and TypeScript -------------------------------------------------------------------
@@ -132,19 +132,34 @@ def module_keys(path: Column, lang: Column, flags: Column) -> Column:
     return F.array_distinct(F.when(F.array_contains(flags, "target"), F.array(target)).otherwise(dashed))
 
 
-def generic_names(asked: DataFrame, files: DataFrame, tops: DataFrame, imports: DataFrame) -> DataFrame:
+def generic_names(asked: DataFrame, files: DataFrame, tops: DataFrame, imports: DataFrame, members: DataFrame | None = None, bases: DataFrame | None = None) -> DataFrame:
     """(ref, rule, target): what a bare name means in a file, by the rules of its language.
 
-    0 the file's own, 1 a named import, 2 the file's package and, where nesting counts, those around it,
+    -1 a member of the class around it or of its nearest supertype, where a language leaves the receiver
+    out (``asked`` then has cls, ``members`` cls, name, target and path, ``bases`` src and dst), 0 the file's own, 1 a named import, 2 the file's package and, where nesting counts, those around it,
     3 wild imports, 4 included files, as far as eight steps, 5 the build target, 6 the folder, 7 the only
     global name.  ``asked`` has ref, path, name; ``files`` path, lang, pkg; ``tops`` path, name, target,
-    kind; ``imports`` path, imp (named, wild, file), module, name, alias.
+    kind; ``imports`` path, imp (named, wild, file), module, name, alias.  Members of type classes count as
+    names of their file where the language says so, a module may be all files of a folder, and a name is
+    looked up in the schema of the object that uses it (``user`` in ``asked``, by its qualified name) first.
     """
+    if "user" not in asked.columns:
+        asked = asked.withColumn("user", F.lit(None).cast("string"))
+    if "cls" not in asked.columns:
+        asked = asked.withColumn("cls", F.lit(None).cast("long"))
+    classes, asked = asked.select("ref", "path", "name", "cls"), asked.drop("cls")
     known = files.join(F.broadcast(rules_table(files.sparkSession)), "lang")
     known = checkpointed(known.withColumn("keys", module_keys(F.col("path"), F.col("lang"), F.col("flags"))).withColumn("dir", folder(F.col("path"))).withColumn("pkg", normal_module(F.coalesce("pkg", F.lit("")))))
     has = lambda flag: F.array_contains("flags", flag)
     namespace = F.when(has("prefix"), F.when((F.col("pkg") == "") & has("pathpkg"), F.element_at("keys", 1)).otherwise(F.col("pkg"))).otherwise("")
     known = known.withColumn("space", namespace)
+    inherited = None
+    if members is not None:
+        flagged = lambda flag: known.filter(has(flag)).select("path")
+        held = members.select("cls", "name", "target")
+        around_it = classes.filter("cls IS NOT NULL").join(flagged("members"), "path").select("ref", "cls", "name")
+        inherited = nearest_member(around_it, held, bases).select("ref", F.lit(-1).alias("rule"), "target")
+        tops = tops.unionByName(members.join(flagged("top"), "path").select("path", "name", "target", F.lit("method").alias("kind")))
     syms = tops.join(known.select("path", "family", "dir", "keys", "space", "flags"), "path")
     full = syms.select("family", F.concat_ws(".", F.nullif("space", F.lit("")), "name").alias("full"), "target")
     here = asked.join(known.select("path", "family", "dir", "keys", "space", "flags", "endings", "lang"), "path")
@@ -160,7 +175,10 @@ def generic_names(asked: DataFrame, files: DataFrame, tops: DataFrame, imports:
     near = closest(missing, tails.select("target", "path", F.concat_ws("|", "family", "tried").alias("key")), "key")
     by_module = specs.filter(~has("paths") & (F.col("imp") != "file")).select(F.col("spec").alias("ref"), "path", F.concat_ws("|", "family", normal_module(F.col("module"))).alias("key")).distinct()
     answering = known.select(F.col("path").alias("target"), "path", F.explode(F.array_distinct(F.concat("keys", F.filter(F.array("pkg"), lambda p: p != "")))).alias("k"), "family").select("target", "path", F.concat_ws("|", "family", "k").alias("key"))
-    behind = checkpointed(union(exact.select(F.col("spec").alias("ref"), F.col("file").alias("target")), near, closest(by_module, answering, "key")).select(F.col("ref").alias("spec"), F.col("target").alias("file")).distinct())
+    folders = specs.filter(has("dirmodules") & (F.col("imp") != "file")).select("spec", "path", "module", F.array().cast("array<string>").alias("endings"), "family").distinct()
+    in_folder = path_candidates(folders, F.col("module"), F.col("endings")).join(known.select(F.col("dir").alias("tried"), "family", F.col("path").alias("file")), ["tried", "family"])
+    in_folder = in_folder.select(F.col("spec").alias("ref"), F.col("file").alias("target")).distinct()
+    behind = checkpointed(union(exact.select(F.col("spec").alias("ref"), F.col("file").alias("target")), near, closest(by_module, answering, "key"), in_folder).select(F.col("ref").alias("spec"), F.col("target").alias("file")).distinct())
 
     named = asked.join(specs.filter("imp = 'named'").select("path", "spec", "module", "family", "flags", F.col("name").alias("imported"), F.col("alias").alias("name")), ["path", "name"])
     everywhere = ~has("paths") | has("global")
@@ -168,6 +186,7 @@ def generic_names(asked: DataFrame, files: DataFrame, tops: DataFrame, imports:
     from_files = named.join(behind, "spec").select("ref", "file", F.col("imported").alias("name")).join(top, ["file", "name"]).select("ref", F.lit(1).alias("rule"), "target")
     around = F.when(has("parents"), F.filter(prefixes(F.col("space"), "\\."), lambda p: p != "")).otherwise(F.filter(F.array("space"), lambda p: p != ""))
     scoped = here.filter(everywhere).select("ref", "family", "name", F.explode(F.transform(around, lambda p: F.replace(p, F.lit("\\."), F.lit(".")))).alias("at")).select("ref", "family", F.concat_ws(".", "at", "name").alias("full"), F.length("at").alias("size")).join(full, ["family", "full"])
+    of_schema = here.filter(has("schemas") & F.col("user").contains(".")).select("ref", "family", F.concat_ws(".", F.regexp_replace("user", r"\.[^.]+$", ""), "name").alias("full")).join(full, ["family", "full"]).select("ref", F.lit(2).alias("rule"), "target")
     inner = scoped.groupBy("ref").agg(F.max("size").alias("size"))
     scoped = scoped.join(inner, ["ref", "size"]).select("ref", F.lit(2).alias("rule"), "target")
     wild = here.join(specs.filter("imp = 'wild'").select("path", "spec", "module"), "path")
@@ -186,7 +205,8 @@ def generic_names(asked: DataFrame, files: DataFrame, tops: DataFrame, imports:
     beside = here.filter(has("dir")).select("ref", "family", "dir", "name").join(syms.select("family", "dir", "name", "target"), ["family", "dir", "name"]).select("ref", F.lit(6).alias("rule"), "target")
     spread = syms.filter(has("global") & (has("functions") | F.col("kind").isin(*X.CLASS_LIKE)) & (F.col("space") == "")).groupBy("family", "name").agg(F.count("*").alias("n"), F.min("target").alias("target")).filter("n = 1")
     alone = here.filter(has("global")).select("ref", "family", "name").join(spread, ["family", "name"]).select("ref", F.lit(7).alias("rule"), "target")
-    return first_rule(union(own, by_name, from_files, scoped, of_space, of_files, included, target, beside, alone), "ref")
+    inherited = own.limit(0) if inherited is None else inherited
+    return first_rule(union(inherited, own, by_name, from_files, scoped, of_schema, of_space, of_files, included, target, beside, alone), "ref")
 
 
 # ---- queries -------------------------------------------------------------------------------------
@@ -279,6 +299,39 @@ def gr09_generic(spark: SparkSession, sf: str) -> DataFrame:
 GR09 = "SELECT p_partkey AS ref, (CASE p_partkey % 6 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 7 WHEN 3 THEN 1 WHEN 4 THEN 5 ELSE 6 END)::INT AS rule, p_partkey - CASE WHEN p_partkey % 6 = 5 THEN 24 ELSE 6 END AS target FROM part WHERE p_partkey - CASE WHEN p_partkey % 6 = 5 THEN 24 ELSE 6 END >= 0"
 
 
+def gr09_member_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of four languages made from parts, each using an earlier one by a rule of its own.
+
+    Ruby calls a method of the superclass without a receiver, Haskell a method of an imported type class,
+    Terraform names what is in a folder, SQL an object of the schema it is in (another has one of that name).
+    """
+    p = F.col("p")
+    lang = F.element_at(F.array(*map(F.lit, ("ruby", "haskell", "hcl", "sql"))), (p % 4 + 1).cast("int"))
+    parts = checkpointed(table(spark, sf, "part").select(F.col("p_partkey").alias("p")).withColumn("lang", lang).withColumn("t", p - 24))
+    path = lambda n: F.concat(F.lit("gen/"), "lang", F.lit("/d"), n % 8, F.lit("/f"), n, F.lit("."), "lang")
+    files = parts.select(path(p).alias("path"), "lang", F.when(F.col("lang") == "haskell", F.concat(F.lit("Mod"), p)).alias("pkg"))
+    name = lambda n: F.when(F.col("lang") == "sql", F.concat(F.lit("s"), F.floor(n / 4) % 3, F.lit(".o"), F.floor(n / 12))).otherwise(F.concat(F.lit("N"), n))
+    is_class = F.col("lang").isin("ruby", "haskell")
+    tops = parts.select(path(p).alias("path"), name(p).alias("name"), p.alias("target"), F.when(is_class, "class").otherwise("table").alias("kind"))
+    members = parts.filter(is_class).select(p.alias("cls"), F.concat(F.lit("m"), p).alias("name"), (p + 1_000_000_000).alias("target"), path(p).alias("path"))
+    bases = parts.filter("lang = 'ruby' AND t >= 0").select(p.alias("src"), F.col("t").alias("dst"))
+    uses = parts.filter("t >= 0")
+    wanted = F.when(is_class, F.concat(F.lit("m"), "t")).when(F.col("lang") == "sql", F.concat(F.lit("o"), F.floor(F.col("t") / 12))).otherwise(F.concat(F.lit("N"), "t"))
+    asked = uses.select(p.alias("ref"), path(p).alias("path"), wanted.alias("name"), F.when(F.col("lang") == "ruby", p).alias("cls"), F.when(F.col("lang") == "sql", name(p)).alias("user"))
+    imports = uses.filter("lang IN ('haskell', 'hcl')").select(
+        path(p).alias("path"), F.when(F.col("lang") == "hcl", "named").otherwise("wild").alias("imp"),
+        F.when(F.col("lang") == "hcl", F.concat(F.lit("../d"), F.col("t") % 8)).otherwise(F.concat(F.lit("Mod"), "t")).alias("module"),
+        F.when(F.col("lang") == "hcl", F.concat(F.lit("N"), "t")).otherwise("").alias("name"), F.when(F.col("lang") == "hcl", F.concat(F.lit("N"), "t")).otherwise("").alias("alias"),
+    )
+    return generic_names(asked, files, tops, imports, members, bases).select("ref", "rule", "target")
+
+
+#: By hand: what is meant is the part 24 before; other schemas have objects of its name.
+GR09M = """
+    SELECT p_partkey AS ref, [-1, 3, 1, 2][p_partkey % 4 + 1]::INT AS rule, p_partkey - 24 + CASE WHEN p_partkey % 4 < 2 THEN 1000000000 ELSE 0 END AS target FROM part WHERE p_partkey >= 24
+"""
+
+
 def tx22_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Specifications made from parts: as a dotted module, the keys of the file they stand in, and the paths they may mean."""
     form, n = F.col("p_partkey") % 5, F.col("p_partkey").cast("string")
@@ -304,5 +357,6 @@ QUERIES = [
     Query("gr07_js_imports", gr07_js, GR07),
     Query("gr08_language_resolvers", gr08_resolvers, GR08),
     Query("gr09_generic_resolver", gr09_generic, GR09),
+    Query("gr09_member_rules", gr09_member_rules, GR09M),
     Query("tx22_path_candidates", tx22_candidates, TX22),
 ]

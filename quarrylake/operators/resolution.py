@@ -13,30 +13,19 @@ from ..lineage import checkpointed, ensure_checkpoint_dir
 from ..plans.query import Query, table
 from ..sources import rules, transcripts
 from . import overlap
+from .generations import load_generation, save_if_current
 from .graph import DUCK_CHAIN, chain
 from .wording import D
 
 
-def save_snapshot(df: DataFrame, folder: str, generation: int) -> None:
-    """One folder for each generation; an existing one is an error, so two writers cannot both win."""
-    df.write.mode("errorifexists").parquet(f"{folder}/generation={generation}")
-
-
-def load_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest generation."""
-    every = spark.read.option("basePath", folder).parquet(folder)
-    newest = every.agg(F.max("generation").alias("generation"))
-    return every.join(F.broadcast(newest), "generation").drop("generation")
-
-
 def gr29_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """The chain of orders as saved in its second generation, read back."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/snapshot-{uuid.uuid4().hex}"
     edges = chain(spark, sf)
-    save_snapshot(edges.filter("src < 0"), folder, 1)
-    save_snapshot(edges, folder, 2)
-    return load_snapshot(spark, folder)
+    save_if_current({"edges": edges.filter("src < 0")}, folder, 0)
+    save_if_current({"edges": edges}, folder, 1)
+    return load_generation(spark, folder, "edges")
 
 
 def jn18_pair_overlap(spark: SparkSession, sf: str) -> DataFrame:

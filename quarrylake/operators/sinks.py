@@ -17,6 +17,7 @@ from ..functions.terminal import display_width, last_answer
 from ..lineage import checkpointed, ensure_checkpoint_dir
 from ..plans.query import KEY, Query, table, worked
 from ..sources import code, rules
+from .generations import bring_up_to_date, load_generation, newest_generation, save_if_current
 from .graph import chain
 
 
@@ -32,11 +33,12 @@ def append_events(events: DataFrame, folder: str, text: str) -> None:
 
 
 def sc01_append(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as prompts of events, appended in two batches and read back."""
+    """Documents as prompts of events, appended in two batches and read back; rows without an id are in one of them too."""
     folder = shared_folder(spark, "events")
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    for batch in (docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")):
-        append_events(batch, folder, "text")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    for nth in range(2):
+        append_events(docs.filter(half == nth), folder, "text")
     return spark.read.schema(docs.schema).parquet(folder).select("doc_id", F.sha2("text", 256).alias("stored"))
 
 
@@ -193,35 +195,53 @@ SC12 = "SELECT doc_id AS path, ['new', 'same', 'touched', 'parse', 'same'][doc_i
 # ---- snapshots -----------------------------------------------------------------------------------
 
 
-def newest_generation(spark: SparkSession, folder: str) -> int:
-    """The newest generation of a snapshot folder, 0 where there is none."""
-    try:
-        return spark.read.option("basePath", folder).parquet(folder).agg(F.max("generation")).first()[0] or 0
-    except AnalysisException:
-        return 0
-
-
-def save_if_current(df: DataFrame, folder: str, built_from: int) -> bool:
-    """Saves a generation after the one it was built from; where another has come in between it is not saved."""
-    if newest_generation(df.sparkSession, folder) != built_from:
-        return False
-    try:
-        df.write.mode("errorifexists").parquet(f"{folder}/generation={built_from + 1}")  # two writers cannot both make the folder
-    except AnalysisException:
-        return False
-    return True
-
-
 def sc16_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """The chain of orders in its second generation; a writer that knows only the first comes too late."""
     folder, edges = shared_folder(spark, "generations"), checkpointed(chain(spark, sf))
-    saved = [save_if_current(edges.filter("src % 2 = 0"), folder, 0), save_if_current(edges, folder, 1), save_if_current(edges.limit(0), folder, 1)]
-    every = spark.read.option("basePath", folder).parquet(folder)
-    return every.filter(F.col("generation") == newest_generation(spark, folder)).select("src", "dst", "generation", F.lit(",".join(map(str, saved))).alias("saved"))
+    tables = lambda df: {"edges": df, "nodes": df.select(F.col("src").alias("node")).distinct()}
+    saved = [save_if_current(tables(df), folder, at) for df, at in ((edges.filter("src % 2 = 0"), 0), (edges, 1), (edges.limit(0), 1))]
+    number = newest_generation(spark, folder)
+    kept = load_generation(spark, folder, "edges").join(load_generation(spark, folder, "nodes"), F.col("src") == F.col("node"), "left_semi")
+    return kept.select("src", "dst", F.lit(number).alias("generation"), F.lit(",".join(map(str, saved))).alias("saved"))
 
 
 SC16 = "SELECT o_orderkey AS src, before AS dst, 2 AS generation, 'True,True,False' AS saved FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders) WHERE before IS NOT NULL"
 
+
+def sc12_reparsed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files in the folders of their sources, synchronised twice; in between files of two sources change.
+
+    Of these some are edited, some only touched, some go and some come; ``run`` is the run that parsed
+    what the store has in the end, ``rewritten`` whether the second run wrote the file's bucket.
+    """
+    folder, i = shared_folder(spark, "parsed"), F.col("doc_id")
+    docs = table(spark, sf, "documents").withColumn("moving", F.coalesce(F.col("source").isin("src3", "src7"), F.lit(False)))
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), i, F.lit(".md"))
+
+    def files(second: bool) -> DataFrame:
+        form = F.when(F.col("moving"), F.pmod(i, F.lit(5))).otherwise(4)
+        rows = docs.withColumn("form", form).filter(F.col("form") != (1 if second else 0))
+        text = F.when((F.col("form") == 2) & F.lit(second), F.concat("text", F.lit("\nedited"))).otherwise(F.col("text"))
+        time = i % 7 + F.when((F.col("form") == 3) & F.lit(second), 1).otherwise(0)
+        return rows.withColumn("text", text).select(path.alias("path"), F.octet_length("text").cast("long").alias("size"), time.alias("mtime"), "text")
+
+    def parse(texts: DataFrame) -> DataFrame:
+        return rules.parse_rules(texts.withColumnRenamed("text", "value")).select("path", "error", F.sha2("summary", 256).alias("summary"))
+
+    bring_up_to_date(files(False), folder, parse, 1)
+    told = checkpointed(bring_up_to_date(files(True), folder, parse, 2))
+    dirty = told.filter("action <> 'same'").select("bucket").distinct().withColumn("rewritten", F.lit(True))
+    stored = spark.read.option("basePath", folder).parquet(folder).select("path", "run", "error", "summary")
+    return told.join(dirty, "bucket", "left").join(stored, "path", "left").select("path", "action", F.coalesce("rewritten", F.lit(False)).alias("rewritten"), "run", "error", "summary")
+
+
+_BUCKET = "(('0x' || substr(md5(regexp_replace(path, '[^/]*$', '')), 1, 6))::BIGINT % 64)::VARCHAR || '-' || (('0x' || substr(md5(path), 1, 6))::BIGINT % 4)::VARCHAR"
+SC12P = f"""
+    WITH d AS (SELECT *, CASE WHEN coalesce(source IN ('src3', 'src7'), false) THEN doc_id % 5 ELSE 4 END AS form, coalesce(source, 'none') || '/' || doc_id || '.md' AS path FROM documents),
+    t AS (SELECT path, {_BUCKET} AS bucket, ['new', 'removed', 'parse', 'touched', 'same'][form + 1] AS action, CASE WHEN form = 1 THEN NULL WHEN form IN (0, 2) THEN 2 ELSE 1 END AS run, trim(regexp_replace(text || CASE WHEN form = 2 THEN chr(10) || 'edited' ELSE '' END, '\s+', ' ', 'g')) AS said FROM d)
+    SELECT path, action, bool_or(action <> 'same') OVER (PARTITION BY bucket) AS rewritten, run, CASE WHEN action <> 'removed' AND said = '' THEN 'empty rule' END AS error, CASE WHEN action <> 'removed' THEN sha256(said) END AS summary FROM t
+"""
+
 # ---- rendered files ------------------------------------------------------------------------------
 
 
@@ -319,6 +339,7 @@ QUERIES = [
     Query("sc10_wanted_files", sc10_wanted, SC10),
     Query("sc12_incremental_sync", sc12_sync, SC12),
     Query("sc16_newest_generation", sc16_snapshot, SC16),
+    Query("sc12_incremental_parse", sc12_reparsed, SC12P),
     Query("sc32_drift", sc32_drift, sc32_oracle()),
     Query("dm06_insert_logs", dm06_logs, DM06),
     Query("dm08_replace_by_key", dm08_replaced, DM08),

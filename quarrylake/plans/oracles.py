@@ -32,8 +32,6 @@ ORACLES = {
     "dm05_purge_personal_text": "SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'user' UNION ALL SELECT conv_id, turn, role, NULL FROM conversations WHERE role = 'user'",
     "er07_lookup_by_affix": "SELECT c_custkey FROM customer WHERE starts_with(c_name, 'Customer#0000000') OR ends_with(c_name, '77')",
     "gr04_namespaced_index": "SELECT DISTINCT p_brand || '::' || p_name AS qname, count(*) OVER w AS declarations, first_value(p_partkey) OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS first FROM part WINDOW w AS (PARTITION BY p_brand, p_name)",
-    "gr12_unique_name_fallback": "WITH u AS (SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_name, p_brand) = 1 THEN p_partkey END AS target FROM part) SELECT l_orderkey, l_linenumber, l_partkey, target FROM lineitem JOIN u ON p_partkey = l_partkey",
-    "gr23_text_search": "SELECT doc_id, position('token' IN text) AS at FROM documents WHERE text LIKE '%token%' ORDER BY doc_id LIMIT 100",
     "jn01_supersede_edges": "SELECT o_orderkey AS source_id, (SELECT p.o_orderkey FROM orders p WHERE p.o_custkey = o.o_custkey AND (p.o_orderdate, p.o_orderkey) < (o.o_orderdate, o.o_orderkey) ORDER BY p.o_orderdate DESC, p.o_orderkey DESC LIMIT 1) AS target_id FROM orders o WHERE EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND (p.o_orderdate, p.o_orderkey) < (o.o_orderdate, o.o_orderkey))",
     "jn02_counters": "SELECT p_partkey, count(l_orderkey) AS reinforced, count(l_orderkey) FILTER (l_returnflag = 'R') AS violations FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL",
     "jn03_conflict_pairs": "WITH g AS (SELECT list(o_orderkey ORDER BY o_orderkey) AS ids FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1), x AS (SELECT ids, unnest(ids) AS left_id FROM g) SELECT left_id, unnest(list_filter(ids, lambda i: i > left_id)) AS right_id FROM x",
