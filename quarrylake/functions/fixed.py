@@ -185,3 +185,5 @@ COMMON_NAMES = """
     upper strip startswith endswith startsWith endsWith items update setdefault encode decode lock unlock wait notify sleep run Error New String Sprintf Println Printf Errorf Is As Unwrap invoke let also
     with takeIf use forEachIndexed mapNotNull
 """.split()
+# Fixed value: signs that do not show, those that turn the direction of writing among them (a class of a pattern).
+INVISIBLE = "\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff"

@@ -6,7 +6,7 @@ import math
 import re
 
 from . import signals as S
-from .screening import plain_redact
+from .screening import INVISIBLE, plain_redact
 
 #: Tokens that each line may take at most, in the order in which the lines are served.
 LINE_BUDGETS = {"request": 70, "left": 110, "checks": 60, "commits": 45, "worktree": 55, "goal": 55, "earlier": 50, "end": 90}
@@ -35,7 +35,7 @@ def fitted(text: str, budget: int, end: bool = False) -> str:
 
 def clean(text: str, prompt: bool) -> str:
     bare = S.strip_pasted(text) if prompt else S.FENCED.sub(" ", text)
-    return S.collapse(plain_redact(re.sub("[​-‏⁠﻿]", "", bare)))
+    return S.collapse(plain_redact(INVISIBLE.sub("", bare)))
 
 
 def last_paragraph(reply: str) -> str:

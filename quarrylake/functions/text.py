@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import fixed as X
 from .fixed import ACK
 
 # Patterns and words that results depend on.
@@ -130,6 +131,25 @@ def names_word(text: Column, word: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.lower(word), F.lit(" ")))
 
 
+def strip_invisible(text: Column) -> Column:
+    """Without the signs that do not show and those that turn the direction of writing."""
+    return F.regexp_replace(text, f"[{X.INVISIBLE}]", "")
+
+
+def names_topic(text: Column, topic: Column) -> Column:
+    """Whether a text in any case names a topic: one of ASCII letters as a word, any other also inside of one; not one of a single sign."""
+    low, said = F.lower(text), F.lower(topic)
+    edges = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.replace(said, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![a-z0-9])"))
+    return (F.length(topic) >= 2) & F.when(topic.rlike(r"^[\x20-\x7e]+$"), F.regexp_like(low, edges)).otherwise(F.contains(low, said))
+
+
+def error_excerpt(output: Column, most: int = 5) -> Column:
+    """The first distinct lines that tell of an error, each cut to 200 signs; null where there is none."""
+    lines = F.transform(F.split(output, r"\r?\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    told = F.array_distinct(F.filter(lines, lambda s: F.regexp_like(s, F.lit(X.ERROR_LINE)) & ~F.regexp_like(s, F.lit(X.NOISE_LINE))))
+    return F.nullif(F.array_join(F.transform(F.slice(told, 1, most), lambda s: truncate(s, 200)), "\n"), F.lit(""))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))

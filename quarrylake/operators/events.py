@@ -36,7 +36,6 @@ QUERIES = [
     with_k("sc14_invalidate_for_limit", "SELECT doc_id, CASE WHEN n_chars > 4000 THEN '' ELSE sha2(text, 256) END AS hash FROM {documents}", "SELECT doc_id, CASE WHEN n_chars > 4000 THEN '' ELSE sha256(text) END AS hash FROM documents"),
     with_k("sc19_last_reply", "SELECT conv_id, max_by(text, turn) AS reply FROM {conversations} WHERE role = 'assistant' AND length(trim(text)) > 0 GROUP BY conv_id"),
     with_k("sc21_latest_run_per_command", "SELECT user_id, k, max_by(event_type, struct(ts, event_id)) AS outcome, max(ts) AS at FROM (SELECT *, $K AS k FROM {events} WHERE event_type IN ('error', 'purchase')) GROUP BY user_id, k", "SELECT user_id, k, max_by(event_type, (ts, event_id)) AS outcome, max(ts) AS at FROM (SELECT *, $K AS k FROM events WHERE event_type IN ('error', 'purchase')) GROUP BY user_id, k"),
-    with_k("sc30_normalise_payload", "SELECT event_id, coalesce(get_json_object(props, '$.name'), get_json_object(props, '$.k'), event_type) AS target FROM {events}", "SELECT event_id, coalesce(json_extract_string(props, '$.name'), json_extract_string(props, '$.k'), event_type) AS target FROM events"),
     # predicates
     with_k("pf01_pending_events", "SELECT e.event_id, e.ts, coalesce(f.n, 0) AS failures FROM {events} e LEFT JOIN (SELECT user_id, count(*) AS n FROM {events} WHERE event_type = 'error' GROUP BY user_id) f ON e.user_id = f.user_id WHERE e.event_type = 'view' ORDER BY failures, e.ts, e.event_id LIMIT 50"),
     with_k("pf02_existence", "SELECT count(CASE WHEN event_type = 'error' THEN 1 END) > 0 AS has_errors, count(CASE WHEN event_type = 'refund' THEN 1 END) > 0 AS has_refunds FROM {events}"),
@@ -51,7 +50,6 @@ QUERIES = [
     with_k("pf11_escalated", "SELECT user_id, count(CASE WHEN event_type = 'error' THEN 1 END) >= 1 OR count(CASE WHEN event_type = 'click' THEN 1 END) >= 3 AS escalated, max(ts) < TIMESTAMP '2024-01-29 00:00:00' AS expired FROM {events} GROUP BY user_id"),
     with_k("pf17_extraction_due", "SELECT user_id, explicit > 0 OR (implicit > 0 AND (implicit >= 5 OR oldest <= TIMESTAMP '2024-01-29 23:00:00')) AS due FROM (SELECT user_id, count(CASE WHEN event_type = 'error' THEN 1 END) AS explicit, count(CASE WHEN event_type = 'view' THEN 1 END) AS implicit, min(CASE WHEN event_type = 'view' THEN ts END) AS oldest FROM {events} GROUP BY user_id)"),
     with_k("pf25_authority", "SELECT source_kind, target_kind, a >= b AS may_override, CASE WHEN a >= 2 THEN 'active' ELSE 'proposed' END AS initial_status FROM (SELECT s.o_orderpriority AS source_kind, t.o_orderpriority AS target_kind, 6 - CAST(substr(s.o_orderpriority, 1, 1) AS INT) AS a, 6 - CAST(substr(t.o_orderpriority, 1, 1) AS INT) AS b FROM (SELECT DISTINCT o_orderpriority, o_orderstatus FROM {orders}) s JOIN (SELECT DISTINCT o_orderpriority, o_orderstatus FROM {orders}) t ON s.o_orderstatus = t.o_orderstatus)"),
-    with_k("pf26_model_exclusion", r"SELECT p_partkey, p_type RLIKE '^(PROMO|SMALL)' AS excluded, CASE WHEN p_name RLIKE 'mini|small' THEN 'light' WHEN p_name RLIKE 'large|big' THEN 'heavy' ELSE 'standard' END AS tier FROM {part}", r"SELECT p_partkey, regexp_matches(p_type, '^(PROMO|SMALL)') AS excluded, CASE WHEN regexp_matches(p_name, 'mini|small') THEN 'light' WHEN regexp_matches(p_name, 'large|big') THEN 'heavy' ELSE 'standard' END AS tier FROM part"),
     # aggregates
     with_k("ag01_pending_count", "SELECT count(*) AS pending FROM {events} WHERE event_type = 'view'"),
     with_k("ag02_pending_candidates", "SELECT count(CASE WHEN event_type = 'error' THEN 1 END) AS explicit, count(CASE WHEN event_type = 'view' THEN 1 END) AS implicit, min(CASE WHEN event_type = 'view' THEN ts END) AS oldest_implicit FROM {events}"),

@@ -217,19 +217,25 @@ AD08 = """
 # ---- earlier sessions ----------------------------------------------------------------------------
 
 
+def previous_sessions(events: DataFrame, days: int = 7) -> DataFrame:
+    """(session, begins, previous, ended): the session that was active last before each one began, within ``days``.
+
+    ``events`` has user_id, ts and event_id.  Beginnings are asked in the order of all events, minute by
+    minute, so the log is never one sorted task.
+    """
+    begun = events.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    place = lambda event, after: F.struct(event.alias("event_id"), F.lit(after).alias("after"))
+    known = events.select("ts", place(F.col("event_id"), 1).alias("tie"), F.struct("user_id", "ts").alias("seen"), F.lit(None).cast("long").alias("session"))
+    asks = begun.select(F.col("first.ts").alias("ts"), place(F.col("first.event_id"), 0).alias("tie"), F.lit(None).cast(known.schema["seen"].dataType).alias("seen"), F.col("user_id").alias("session"))
+    every = known.unionByName(asks).withColumn("all", F.lit(0))
+    found = asof.nearest(every, "all", "ts", "tie", F.col("seen"), "before", bucket="minute").filter("session IS NOT NULL")
+    return found.filter(F.col("before.ts") >= F.col("ts") - F.expr(f"INTERVAL {days} DAYS")).select("session", F.col("ts").alias("begins"), F.col("before.user_id").alias("previous"), F.col("before.ts").alias("ended"))
+
+
 def wn04_previous(spark: SparkSession, sf: str) -> DataFrame:
-    """For every session the one that was active last before it began, within a day: its span, prompts, first and last three of them."""
-    e = checkpointed(table(spark, sf, "events").withColumn("all", F.lit(0)))
-    begun = e.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("first"))
-    before = asof.nearest(e, "all", "ts", "event_id", F.struct("user_id", "ts", "event_id"), "seen")
-    # the latest event before a session's first one: the match of the event just before it
-    order = Window.partitionBy(F.date_trunc("day", "ts")).orderBy("ts", "event_id")
-    earlier = before.withColumn("inside", F.lag("seen").over(order))
-    firsts = e.groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.max(F.struct("ts", "event_id", "user_id")).alias("end"))
-    carried = firsts.withColumn("carried", F.lag("end").over(Window.orderBy("day"))).select("day", "carried")  # a row for each day
-    found = earlier.join(begun.select(F.col("first.event_id").alias("event_id"), F.col("user_id").alias("session"), F.col("first.ts").alias("begins")), "event_id").join(F.broadcast(carried), F.date_trunc("day", "ts") == F.col("day"), "left")
-    previous = F.coalesce(F.col("inside"), F.struct(F.col("carried.user_id").alias("user_id"), F.col("carried.ts").alias("ts"), F.col("carried.event_id").alias("event_id")))
-    found = found.withColumn("p", previous).filter(F.col("p.ts") >= F.col("begins") - F.expr("INTERVAL 1 DAY")).select("session", "begins", F.col("p.user_id").alias("previous"), F.col("p.ts").alias("ended"))
+    """For every session the one that was active last before it began, within a week: its span, prompts, first and last three of them."""
+    e = checkpointed(table(spark, sf, "events"))
+    found = previous_sessions(e)
     rows = found.join(e.select(F.col("user_id").alias("previous"), "ts", "event_id", "event_type"), "previous").filter("ts <= ended")
     prompts = F.array_sort(F.collect_list(F.when(F.col("event_type") == "view", F.struct("ts", "event_id"))))["event_id"]
     text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
@@ -239,7 +245,7 @@ def wn04_previous(spark: SparkSession, sf: str) -> DataFrame:
 
 WN04 = """
     WITH b AS (SELECT user_id AS session, min(ts) AS begins, arg_min(event_id, (ts, event_id)) AS first FROM events GROUP BY 1),
-    f AS (SELECT session, begins, arg_max(e.user_id, (e.ts, e.event_id)) AS previous, max(e.ts) AS ended FROM b JOIN events e ON (e.ts, e.event_id) < (b.begins, b.first) GROUP BY ALL HAVING max(e.ts) >= begins - INTERVAL '1 day'),
+    f AS (SELECT session, begins, arg_max(e.user_id, (e.ts, e.event_id)) AS previous, max(e.ts) AS ended FROM b JOIN events e ON (e.ts, e.event_id) < (b.begins, b.first) GROUP BY ALL HAVING max(e.ts) >= begins - INTERVAL '7 days'),
     r AS (SELECT f.*, e.ts, e.event_id, e.event_type FROM f JOIN events e ON e.user_id = f.previous AND e.ts <= f.ended)
     SELECT session, previous, ended, min(ts) AS started, count(*) FILTER (event_type = 'view') AS prompts, coalesce(array_to_string((list(event_id ORDER BY ts, event_id) FILTER (event_type = 'view'))[1:3], ','), '') AS opening,
         coalesce(array_to_string((list(event_id ORDER BY ts, event_id) FILTER (event_type = 'view'))[-3:], ','), '') AS closing FROM r GROUP BY session, previous, ended

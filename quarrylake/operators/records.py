@@ -94,5 +94,4 @@ QUERIES = [
     sql_query("sc33_recent_errors", "SELECT event_id, user_id, ts FROM {events} WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 20"),
     sql_query("so01_score_threshold", "SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM {orders} WHERE o_totalprice >= 100000) WHERE place <= 3"),
     sql_query("sm05_dedup_in_window", "SELECT user_id, event_type, window_start, min(event_id) AS first, count(*) AS seen FROM (SELECT *, date_trunc('hour', ts) AS window_start FROM {events}) GROUP BY user_id, event_type, window_start"),
-    sql_query("er07_lookup_by_affix", "SELECT c_custkey FROM {customer} WHERE c_name LIKE 'Customer#0000000%' OR c_name LIKE '%77'"),
 ]

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed as X
+from ..functions import models
 from ..functions import text as T
+from ..functions.screening import redact_secrets
 from ..plans.query import Query, table
 from . import overlap
 
@@ -78,7 +81,45 @@ AG16 = f"""
     SELECT * FROM (SELECT item_id, doc_id, round(inter / sqrt(qn * dn), 5) AS score FROM i JOIN qn USING (item_id) JOIN dn USING (doc_id)) WHERE score >= 0.12
 """
 
-TX13 = "SELECT doc_id, sha256(coalesce(array_to_string(u[1:5], chr(10)), '')) AS excerpt FROM (SELECT doc_id, list(s ORDER BY p) FILTER (WHERE s IS NOT NULL) AS u FROM (SELECT doc_id, s, min(p) AS p FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents) WHERE regexp_matches(lower(s), 'error|fail|token') GROUP BY doc_id, s) RIGHT JOIN (SELECT doc_id FROM documents) USING (doc_id) GROUP BY doc_id)"
+TX13 = f"""
+    WITH l AS (SELECT doc_id, p, regexp_replace(s, '^\\s+|\\s+$', '', 'g') AS s FROM (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS s, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) AS p FROM documents)),
+    f AS (SELECT doc_id, s, min(p) AS p FROM l WHERE regexp_matches(s, '{X.ERROR_LINE}') AND NOT regexp_matches(s, '{X.NOISE_LINE}') GROUP BY doc_id, s),
+    e AS (SELECT doc_id, array_to_string(list_transform((list(s ORDER BY p))[1:5], lambda x: CASE WHEN length(x) > 200 THEN substr(x, 1, 199) || '…' ELSE x END), chr(10)) AS x FROM f GROUP BY doc_id)
+    SELECT doc_id, sha256(regexp_replace(coalesce(x, ''), '\\b(token\\s*=\\s*")[0-9a-f]{{40}}(")', '\\1{{token}}\\2', 'g')) AS excerpt FROM documents LEFT JOIN e USING (doc_id)
+"""
+
+
+def hidden_in(text: Column) -> Column:
+    """A text with a sign that does not show after every blank: what is to be taken out again."""
+    return F.regexp_replace(text, " ", " \u2066")
+
+
+def pf19_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Which of three topics each document names: its source, its language, and the third word of the document before it."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.try_element_at(F.split("text", r"[\s.,!?]+"), F.lit(3)).alias("word"))
+    topics = F.array_compact(F.array("source", "lang", "word"))
+    return docs.join(before, "doc_id", "left").select("doc_id", F.array_join(F.filter(topics, lambda t: T.names_topic(F.col("text"), t)), "|").alias("named"))
+
+
+PF19 = r"""
+    WITH d AS (SELECT a.doc_id, lower(a.text) AS low, list_filter([a.source, a.lang, string_split_regex(b.text, '[\s.,!?]+')[3]], lambda t: t IS NOT NULL) AS topics FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id - 1)
+    SELECT doc_id, coalesce(array_to_string(list_filter(topics, lambda t: length(t) >= 2 AND CASE WHEN regexp_full_match(t, '[\x20-\x7e]+') THEN regexp_matches(low, '(^|[^a-z0-9])' || regexp_escape(lower(t)) || '($|[^a-z0-9])') ELSE contains(low, lower(t)) END), '|'), '') AS named FROM d
+"""
+
+
+def pf26_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as models, described by their types: those that are no general models, and the tier that the others' names hint at."""
+    k = F.col("p_partkey") % 9
+    name = F.concat("p_name", F.when(k == 0, "-embedding").when(k == 1, "_ultra.1").when(k == 2, "-Security").otherwise(""))
+    told = F.concat_ws(" ", name, F.lower("p_type"))
+    return table(spark, sf, "part").select("p_partkey", models.excluded(told).alias("excluded"), models.tier_hint(told).alias("tier"))
+
+
+PF26 = r"""
+    WITH m AS (SELECT p_partkey, p_name || CASE p_partkey % 9 WHEN 0 THEN '-embedding' WHEN 1 THEN '_ultra.1' WHEN 2 THEN '-Security' ELSE '' END || ' ' || lower(p_type) AS told FROM part)
+    SELECT p_partkey, p_partkey % 9 IN (0, 2) AS excluded, CASE WHEN p_partkey % 9 = 1 THEN 'large' WHEN regexp_matches(told, '(^|[^a-z])(small|economy)($|[^a-z])') THEN 'small' ELSE 'medium' END AS tier FROM m
+"""
 
 QUERIES = [
     per_row("tx01_normalise", "documents", "doc_id", {"digest": lambda t: F.sha2(T.collapse(t), 256)}, r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents"),
@@ -86,13 +127,14 @@ QUERIES = [
     per_row("tx04_token_estimate", "documents", "doc_id", {"n": T.approx_tokens}, r"SELECT doc_id, ceil((length(text) - length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))) / 4 + length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) / 1.3)::BIGINT AS n FROM documents"),
     per_row("tx05_truncate_slug", "documents", "doc_id", {"short": lambda t: T.truncate(F.regexp_replace(t, r"\s+", " "), 30), "slug": T.slug}, r"SELECT doc_id, CASE WHEN length(regexp_replace(text, '\s+', ' ', 'g')) > 30 THEN substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 29) || '…' ELSE regexp_replace(text, '\s+', ' ', 'g') END AS short, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', ''), ''), 'item') AS slug FROM documents"),
     per_row("tx05_sentences", "documents", "doc_id", {"n": lambda t: F.size(T.sentences(t))}, r"SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?。])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: length(trim(s)) > 0)) AS n FROM documents"),
-    per_row("tx07_strip_invisible", "documents", "doc_id", {"digest": lambda t: F.sha2(F.regexp_replace(t, r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}]", ""), 256)}, r"SELECT doc_id, sha256(regexp_replace(text, '[\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g')) AS digest FROM documents"),
+    per_row("tx07_strip_invisible", "documents", "doc_id", {"digest": lambda t: F.sha2(T.strip_invisible(hidden_in(t)), 256)}, f"SELECT doc_id, sha256(regexp_replace(text, '[{X.INVISIBLE}]', '', 'g')) AS digest FROM documents"),
     per_row("tx09_canonical", "documents", "doc_id", {"digest": lambda t: F.sha2(T.canonical(t), 256), "negated": T.negated}, f"SELECT doc_id, sha256({CANON}) AS digest, regexp_matches(lower(text), '(^|[^a-z0-9_])(not|never|no|don''t|dont|without|avoid|stop)([^a-z0-9_]|$)') AS negated FROM documents"),
     per_row("tx09_key_terms", "documents", "doc_id", {"n": lambda t: F.size(T.key_terms(t))}, r"SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]*(?:[._+#-][A-Za-z0-9]+)*[+#]*|\d+(?:\.\d+)*'), lambda x: lower(x)))) AS n FROM documents"),
     Query("tx10_same_rule", tx10_same_rule, TX10),
-    per_row("tx13_error_excerpt", "documents", "doc_id", {"excerpt": lambda t: F.sha2(F.array_join(F.slice(F.array_distinct(F.filter(F.split(t, "\n"), lambda s: F.lower(s).rlike("error|fail|token"))), 1, 5), "\n"), 256)}, TX13),
+    per_row("tx13_error_excerpt", "documents", "doc_id", {"excerpt": lambda t: F.sha2(F.coalesce(redact_secrets(T.error_excerpt(t)), F.lit("")), 256)}, TX13),
     per_row("pf18_path_hints", "pages", "page_id", {"hints": lambda t: F.array_join(T.path_hints(t), "|")}, r"SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(url, '[A-Za-z0-9_@.\-/]*/[A-Za-z0-9_@.\-/]+|[A-Za-z0-9_-]+\.[A-Za-z][A-Za-z0-9_]{0,7}\b'), lambda h: regexp_replace(h, '^[./]+', '')), lambda h: length(h) >= 3 AND NOT regexp_matches(h, '^\d+(\.\d+)*$')))), '|') AS hints FROM pages", "url"),
-    per_row("pf19_topic_named", "documents", "doc_id", {"named": lambda t: T.names_word(t, F.lit("the"))}, "SELECT doc_id, contains(' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ', ' the ') AS named FROM documents"),
+    Query("pf19_topic_named", pf19_topics, PF19),
+    Query("pf26_model_exclusion", pf26_models, PF26),
     Query("ag15_document_frequency", ag15_document_frequency, f"SELECT tok, count(*) AS df, round(ln(1 + (SELECT count(*) FROM documents) / count(*)), 5) AS w FROM (SELECT DISTINCT doc_id, tok FROM (SELECT doc_id, unnest({D}) AS tok FROM documents)) GROUP BY tok"),
     Query("ag16_weighted_overlap", ag16_weighted_overlap, AG16),
     Query("ag26_topic_frequency", ag26_topic_frequency, "SELECT doc_id, word, n, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS place FROM (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents) GROUP BY doc_id, word)) WHERE place <= 4"),

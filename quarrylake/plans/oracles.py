@@ -30,7 +30,6 @@ ORACLES = {
     "dm03_timed_expiry": "SELECT event_id, 'done' AS state FROM events WHERE event_type <> 'view' UNION ALL SELECT event_id, ['open', 'expired'][(ts < TIMESTAMP '2024-01-29 12:00:00')::INT + 1] FROM events WHERE event_type = 'view'",
     "dm04_retention": "SELECT event_id, ts FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-08' UNION ALL SELECT event_id, ts FROM events WHERE event_type <> 'view' AND ts >= TIMESTAMP '2024-01-15'",
     "dm05_purge_personal_text": "SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'user' UNION ALL SELECT conv_id, turn, role, NULL FROM conversations WHERE role = 'user'",
-    "er07_lookup_by_affix": "SELECT c_custkey FROM customer WHERE starts_with(c_name, 'Customer#0000000') OR ends_with(c_name, '77')",
     "gr04_namespaced_index": "SELECT DISTINCT p_brand || '::' || p_name AS qname, count(*) OVER w AS declarations, first_value(p_partkey) OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS first FROM part WINDOW w AS (PARTITION BY p_brand, p_name)",
     "jn01_supersede_edges": "SELECT o_orderkey AS source_id, (SELECT p.o_orderkey FROM orders p WHERE p.o_custkey = o.o_custkey AND (p.o_orderdate, p.o_orderkey) < (o.o_orderdate, o.o_orderkey) ORDER BY p.o_orderdate DESC, p.o_orderkey DESC LIMIT 1) AS target_id FROM orders o WHERE EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND (p.o_orderdate, p.o_orderkey) < (o.o_orderdate, o.o_orderkey))",
     "jn02_counters": "SELECT p_partkey, count(l_orderkey) AS reinforced, count(l_orderkey) FILTER (l_returnflag = 'R') AS violations FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL",

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import code_queries, consolidation, contexts, events, graph, histories, imports, joins, projects, records, resolution, rulebook, sinks, windows, wording, wordings
+from ..operators import code_queries, consolidation, contexts, events, graph, histories, imports, joins, projects, proposals, records, resolution, rulebook, sinks, windows, wording, wordings
 from ..streaming import queries as streams
 
 #: Where a name stands in two modules, the later one is meant.
-MODULES = (events, joins, windows, wording, records, resolution, contexts, graph, streams, code_queries, imports, projects, rulebook, wordings, histories, sinks, consolidation)
+MODULES = (events, joins, windows, wording, records, resolution, contexts, graph, streams, code_queries, imports, projects, rulebook, wordings, histories, sinks, consolidation, proposals)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
