@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import re
 
+from . import fixed as X
 from . import signals as S
-from .screening import INVISIBLE, plain_redact
+
+INVISIBLE = re.compile(f"[{X.INVISIBLE}]")
 
 #: Tokens that each line may take at most, in the order in which the lines are served.
 LINE_BUDGETS = {"request": 70, "left": 110, "checks": 60, "commits": 45, "worktree": 55, "goal": 55, "earlier": 50, "end": 90}
@@ -35,7 +37,7 @@ def fitted(text: str, budget: int, end: bool = False) -> str:
 
 def clean(text: str, prompt: bool) -> str:
     bare = S.strip_pasted(text) if prompt else S.FENCED.sub(" ", text)
-    return S.collapse(plain_redact(INVISIBLE.sub("", bare)))
+    return S.collapse(INVISIBLE.sub("", bare))
 
 
 def last_paragraph(reply: str) -> str:
@@ -96,6 +98,6 @@ def fallback_summary(reply: str | None, files: int, commands: int) -> tuple[str,
     kind = "change" if files else "investigation" if commands else "answer" if reply else "none"
     if not reply:
         return kind, "No summary (no model was available and no reply was recorded)."
-    text = plain_redact(" ".join(re.sub(r"```[\s\S]*?```", "[code]", reply).split()))
+    text = " ".join(re.sub(r"```[\s\S]*?```", "[code]", reply).split())
     return kind, "Reply (first part, not summarised): " + (text if len(text) <= 700 else text[:699] + "…")
 

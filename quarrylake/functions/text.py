@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed as X
-from .fixed import ACK
 
 # Patterns and words that results depend on.
 HANGUL_RUN = r"[가-힣]{2,}"
@@ -19,7 +18,6 @@ SENTENCE_BREAK = r"(?<=[.!?。])\s+|\r?\n+"
 QUOTE_SIGNS = r"[`\"'“”‘’()\[\]{}]"
 POINTS = r"[.,;:!?。、]+"
 NEGATIONS = ("not", "never", "no", "don't", "dont", "without", "avoid", "stop")
-QUESTION_WORDS = ("what", "why", "how", "where", "when", "which", "who", "whose")
 ASCII_PER_TOKEN, OTHER_PER_TOKEN = 4, 1.3
 
 #: Tokens of column {c} in DuckDB: word runs, their parts and themselves, of two letters at least.
@@ -116,21 +114,6 @@ def path_hints(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(bare, lambda h: (F.length(h) >= 3) & ~h.rlike(r"^\d+(\.\d+)*$"))))
 
 
-def prompt_kind(text: Column) -> Column:
-    trimmed = F.trim(text)
-    return F.when(trimmed.rlike("^[/!]"), "command").when((F.length(trimmed) == 0) | F.lower(trimmed).rlike("(?i)" + ACK), "ack").otherwise("normal")
-
-
-def is_question(sentence: Column) -> Column:
-    trimmed = F.trim(sentence)
-    return trimmed.rlike(r"[?？]\s*$") | F.lower(trimmed).rlike("^(" + "|".join(QUESTION_WORDS) + ")(?![a-z0-9_])")
-
-
-def names_word(text: Column, word: Column) -> Column:
-    """The word stands between characters that are neither letters nor digits."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.lower(word), F.lit(" ")))
-
-
 def strip_invisible(text: Column) -> Column:
     """Without the signs that do not show and those that turn the direction of writing."""
     return F.regexp_replace(text, f"[{X.INVISIBLE}]", "")

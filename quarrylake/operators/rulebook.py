@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
+from ..functions import prompts as prompts_
 from ..functions import text as T
 from ..functions.globs import path_regex
 from ..functions.signals import column, is_file_path, path_hints
@@ -453,7 +454,7 @@ def selection_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
     source = F.concat(F.lit("src"), p % 25)
     text = F.when(p % 10 == 9, F.concat(F.lit("/run "), "text")).when(p % 10 == 8, "ok").otherwise(F.concat("text", F.lit(" see "), source, F.when(p % 4 == 0, F.concat(F.lit(" in src/"), source, F.lit("/main.py"))).otherwise("")))
     code_paths = F.when(p % 4 == 1, F.array(F.concat(F.lit("src/"), source, F.lit("/other.py")))).otherwise(none)
-    prompts = asked.select(p.alias("pid"), text.alias("text"), code_paths.alias("code_paths"), T.prompt_kind(text).alias("kind"), F.when(p % 2 == 0, 363 - p % 3).alias("since"))
+    prompts = asked.select(p.alias("pid"), text.alias("text"), code_paths.alias("code_paths"), prompts_.kind(text).alias("kind"), F.when(p % 2 == 0, 363 - p % 3).alias("since"))
     given = docs.select(i.alias("id"), ((97 - i % 97) % 97).alias("r")).join(prompts.select("pid", (F.col("pid") % 97).alias("r")), "r").select("pid", "id")
     return rules, prompts, given
 

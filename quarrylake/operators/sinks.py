@@ -344,7 +344,7 @@ QUERIES = [
     Query("dm06_insert_logs", dm06_logs, DM06),
     Query("dm08_replace_by_key", dm08_replaced, DM08),
     worked("sc27_vocabulary", "events", "event_id", ("path", "text"), ("names",), VOCABULARY, lambda p, t: F.array_join(column(manifest_names, "array<string>")(p, t), "|")),
-    worked("sc31_last_json_answer", "events", "event_id", ("text",), ("answer",), ANSWERS, column(last_answer, "string")),
+    worked("sc31_last_json_answer", "documents", "doc_id", ("text",), ("answer",), ANSWERS, column(last_answer, "string"), "text", True),
     worked("tx25_unwrapped_answer", "events", "event_id", ("text",), ("answer",), WRAPPED, column(last_answer, "string")),
     worked("tx25_display_width", "events", "event_id", ("text",), ("columns",), WIDTHS, display_width),
 ]

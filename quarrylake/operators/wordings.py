@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import globs, handover, models
+from ..functions import globs, handover, models, prompts
 from ..functions import signals as S
 from ..functions.screening import injected, redact_secrets
 from ..functions.signals import column
@@ -232,30 +232,30 @@ def struct(**columns: Column) -> Column:
 QUERIES = [
     worked("pf12_glob", "pages", "page_id", ("path", "glob"), ("matched",), GLOBS, glob_case),
     worked("pf13_path_filter", "pages", "page_id", ("path", "wanted"), ("matched",), PATHS, path_case),
-    worked("pf14_prompt_kind", "events", "event_id", ("prompt",), ("kind",), KINDS, column(S.prompt_kind, "string")),
-    worked("pf15_question", "events", "event_id", ("prompt", "reply"), ("question", "statement", "accept"), STATEMENTS, pair(lambda p, r: {"question": S.is_question(p), "statement": S.has_statement(p), "accept": S.accepts_proposal(p, r)}, question="boolean", statement="boolean", accept="boolean")),
-    worked("pf16_signal_flags", "events", "event_id", ("prompt", "reply"), ("flags",), FLAGS, joined(S.signals)),
-    worked("pf20_signature_named", "events", "event_id", ("prompt", "signature"), ("named",), SIGNATURES_NAMED, column(names_signature, "boolean")),
-    worked("pf21_continues_session", "events", "event_id", ("prompt", "before"), ("continues",), CONTINUES, column(S.continues_session, "boolean")),
+    worked("pf14_prompt_kind", "events", "event_id", ("prompt",), ("kind",), KINDS, prompts.kind),
+    worked("pf15_question", "events", "event_id", ("prompt", "reply"), ("question", "statement", "accept"), STATEMENTS, lambda p, r: struct(question=prompts.asks(p), statement=prompts.has_statement(p, prompts.own_words(p)), accept=prompts.accepts(p, r))),
+    worked("pf16_signal_flags", "events", "event_id", ("prompt", "reply"), ("flags",), FLAGS, lambda p, r: F.array_join(prompts.flags(p, r, prompts.own_words(p)), "|")),
+    worked("pf20_signature_named", "documents", "doc_id", ("prompt", "signature"), ("named",), SIGNATURES_NAMED, column(names_signature, "boolean"), "text"),
+    worked("pf21_continues_session", "events", "event_id", ("prompt", "before"), ("continues",), CONTINUES, prompts.continues),
     worked("pf22_evidence_quote", "events", "event_id", ("message", "quote"), ("valid",), QUOTES, column(S.quote_valid, "boolean")),
-    worked("pf23_injection_guard", "events", "event_id", ("text",), ("held",), HELD, injected),
+    worked("pf23_injection_guard", "documents", "doc_id", ("text",), ("held",), HELD, injected, "text"),
     worked("pf24_scope_equality", "part", "p_partkey", ("a", "b"), ("same",), SCOPES, lambda a, b: F.array_sort(F.array_distinct(F.split(a, r"\|"))) == F.array_sort(F.array_distinct(F.split(b, r"\|")))),
     worked("tx03_code_name_tokens", "part", "p_partkey", ("name",), ("words",), WORDS, lambda n: F.array_join(code_words(n), "|")),
     worked("tx06_redact_assignments", "events", "event_id", ("text",), ("redacted",), SECRETS, redact_secrets),
     worked("tx08_strip_quotes", "events", "event_id", ("text",), ("kept",), PASTED, column(S.strip_pasted, "string")),
     worked("tx11_unsupported_terms", "events", "event_id", ("statement", "source"), ("terms",), UNSUPPORTED, joined(S.unsupported_terms)),
-    worked("tx12_error_signature", "events", "event_id", ("output",), ("signature",), SIGNED, column(S.signature, "string")),
-    worked("tx15_outcome", "events", "event_id", ("output", "flag", "code"), ("ok", "seen"), OUTCOMES, pair(outcome_case, ok="boolean", seen="boolean")),
+    worked("tx12_error_signature", "documents", "doc_id", ("output",), ("signature",), SIGNED, column(S.signature, "string"), "text"),
+    worked("tx15_outcome", "documents", "doc_id", ("output", "flag", "code"), ("ok", "seen"), OUTCOMES, pair(outcome_case, ok="boolean", seen="boolean"), "text", True),
     worked("tx16_positive_terms", "events", "event_id", ("statement",), ("terms",), TERMS, joined(S.positive_terms)),
     worked("tx17_korean_topics", "events", "event_id", ("text",), ("topics",), TOPICS, joined(S.topics)),
     worked("tx18_code_names", "events", "event_id", ("prompt",), ("names",), NAMES, joined(S.code_names)),
     worked("tx20_hook_output", "events", "event_id", ("tool", "kind", "context"), ("printed",), OUTPUTS, hook_output),
     worked("tx21_model_ids", "events", "event_id", ("model", "effort"), ("name", "tier", "tokens"), MODELS, lambda m, e: struct(name=models.normal_id(m), tier=models.tier_hint(m), tokens=models.effort_tokens(e))),
     worked("tx23_dates", "events", "event_id", ("ulid", "day"), ("made", "valid"), ULIDS, ulid_case),
-    worked("tx24_pending_work", "events", "event_id", ("reply",), ("pending",), PENDING, column(S.pending_work, "string")),
-    worked("er04_candidates", "events", "event_id", ("message",), ("sentences",), CANDIDATES, joined(S.candidates)),
-    worked("ct05_handoff_lines", "events", "event_id", ("prompts", "reply", "checks", "budget"), ("lines",), HANDOVERS, joined(hand_over_case)),
-    worked("ad07_fallback_summary", "events", "event_id", ("reply", "files", "commands"), ("kind", "summary"), SUMMARIES, pair(lambda r, f, c: dict(zip(("kind", "summary"), handover.fallback_summary(r, int(f), int(c)), strict=True)), kind="string", summary="string")),
+    worked("tx24_pending_work", "documents", "doc_id", ("reply",), ("pending",), PENDING, column(S.pending_work, "string"), "text", True),
+    worked("er04_candidates", "events", "event_id", ("message",), ("sentences",), CANDIDATES, lambda m: F.array_join(prompts.candidates(prompts.own_words(m)), "|")),
+    worked("ct05_handoff_lines", "events", "event_id", ("prompts", "reply", "checks", "budget"), ("lines",), HANDOVERS, lambda p, r, c, b: joined(hand_over_case)(redact_secrets(p), redact_secrets(r), c, b)),
+    worked("ad07_fallback_summary", "events", "event_id", ("reply", "files", "commands"), ("kind", "summary"), SUMMARIES, lambda r, f, c: pair(lambda *x: dict(zip(("kind", "summary"), handover.fallback_summary(x[0], int(x[1]), int(x[2])), strict=True)), kind="string", summary="string")(redact_secrets(r), f, c)),
     worked("ad07_summary_facts", "events", "event_id", ("summary", "facts"), ("invented",), INVENTED, joined(S.invented_paths)),
     worked("ad10_working_tree", "events", "event_id", ("status",), ("branch", "head", "dirty"), STATES, state_case),
     worked("ad12_provider_order", "events", "event_id", ("policy", "host", "allowed", "targets"), ("providers",), PROVIDERS, provider_order),

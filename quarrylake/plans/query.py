@@ -50,21 +50,24 @@ def literal(value: object) -> str:
 KEY = "«key»"
 
 
-def worked(name: str, source: str, key: str, inputs: tuple[str, ...], outputs: tuple[str, ...], cases: list[tuple], make: Callable[..., Column]) -> Query:
+def worked(name: str, source: str, key: str, inputs: tuple[str, ...], outputs: tuple[str, ...], cases: list[tuple], make: Callable[..., Column], text: str | None = None, last: bool = False) -> Query:
     """A text operator over every row of a table, each row with one of some worked cases around its key.
 
     A case has the inputs and then the outputs that were worked out by hand; row n takes case n modulo
     their number, and ``KEY`` in a text stands for n.  ``make`` takes the inputs as columns and gives one
-    column, or a struct where there are several outputs.  The SQL looks the outputs up.
+    column, or a struct where there are several outputs.  The SQL looks the outputs up.  With ``text`` the
+    case is planted in the row's own text of that column, which stands below it (above it, if ``last``).
     """
     width = len(cases)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = table(spark, sf_dir, source).select(key)
+        rows = table(spark, sf_dir, source).select(key, *([F.coalesce(text, F.lit("")).alias("_text")] if text else []))
         at = F.pmod(F.col(key), F.lit(width)).cast("int") + 1
         for k, column in enumerate(inputs):
             value = F.element_at(F.array(*[F.lit(c[k]).cast("string") for c in cases]), at)
-            rows = rows.withColumn(column, F.replace(value, F.lit(KEY), F.col(key).cast("string")))
+            value = F.replace(value, F.lit(KEY), F.col(key).cast("string"))
+            parts = (F.col("_text"), value) if last else (value, F.col("_text"))
+            rows = rows.withColumn(column, F.concat(parts[0], F.lit("\n\n"), parts[1]) if text and k == 0 else value)
         made = rows.withColumn("_made", make(*map(F.col, inputs)))
         if len(outputs) == 1:
             return made.select(key, F.col("_made").alias(outputs[0]))

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylake.functions import globs
+from quarrylake.functions import globs, prompts
 from quarrylake.functions import text as T
 from quarrylake.operators import asof, codegraph, contexts, graph, rulebook
 from quarrylake.sources import code
@@ -86,10 +86,10 @@ def test_same_rule(spark, a, b, same):
 
 
 def test_prompts_and_paths(spark):
-    assert one(spark, T.prompt_kind, "/help", " ok! ", "", "fix it") == ["command", "ack", "ack", "normal"]
+    assert one(spark, prompts.kind, "/help", " ok! ", "", "fix it") == ["command", "ack", "ack", "normal"]
     assert one(spark, T.is_question, "Really?", "why not", "whyever", "do it") == [True, True, False, False]
     assert one(spark, T.path_hints, "see src/a/B.kt and x.py, not 1.2.3") == [["src/a/B.kt", "x.py"]]
-    assert one(spark, lambda c: T.names_word(c, F.lit("PR")), "the pr is in", "prompt") == [True, False]
+    assert one(spark, lambda c: T.names_topic(c, F.lit("PR")), "the pr is in", "prompt") == [True, False]
 
 
 def test_reach_and_heads(spark):
