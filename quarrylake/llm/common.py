@@ -81,5 +81,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark remove the files of earlier rounds: it does so once the driver has collected what stood for them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
