@@ -149,11 +149,12 @@ class Asked(NamedTuple):
 
 
 def asked_sets(docs: DataFrame, queries: DataFrame) -> Asked:
-    """``docs`` and ``queries`` have id and text.
+    """``docs`` and ``queries`` have id, which is theirs alone, and text; rows without an id are left out.
 
     Every document is tokenised once, and only tokens of the query set go on from it; what else a document
     has is weighed where it is.
     """
+    docs, queries = docs.filter("id is not null"), queries.filter("id is not null")
     posted = checkpointed(T.postings(docs, "id", "text"))
     n = docs.count()
     df = checkpointed(posted.groupBy("tok").agg(F.count("*").alias("df")))

@@ -87,7 +87,7 @@ def test_same_rule(spark, a, b, same):
 
 def test_prompts_and_paths(spark):
     assert one(spark, prompts.kind, "/help", " ok! ", "", "fix it") == ["command", "ack", "ack", "normal"]
-    assert one(spark, T.is_question, "Really?", "why not", "whyever", "do it") == [True, True, False, False]
+    assert one(spark, prompts.asks, "Really?", "why not", "whyever", "do it") == [True, True, False, False]
     assert one(spark, T.path_hints, "see src/a/B.kt and x.py, not 1.2.3") == [["src/a/B.kt", "x.py"]]
     assert one(spark, lambda c: T.names_topic(c, F.lit("PR")), "the pr is in", "prompt") == [True, False]
 
@@ -109,13 +109,6 @@ def test_rolling_count_over_bucket_edges(spark):
     assert got == want | {99: 1}
 
 
-def test_consolidate_in_order(spark):
-    rows = [("p", 1, "a", 2), ("p", 2, "a", 1), ("p", 3, "b", 1), ("p", 4, "b", 2), ("p", 5, "b", 0), ("q", 1, "a", 0)]
-    df = spark.createDataFrame(rows, "pool string, id long, said string, power int")
-    got = asof.consolidate(df, "pool", ["id"], "said", "power").orderBy("pool", "id").collect()
-    assert [(r["relation"], r["target"]) for r in got] == [("new", None), ("duplicate", 1), ("conflict", 1), ("supersede", 1), ("duplicate", 4), ("new", None)]
-
-
 def test_resolution_takes_the_first_rule_with_a_target(spark):
     found = spark.createDataFrame([(1, 9, 2), (1, 8, 1), (1, 7, 1), (2, 5, 3), *[(2, k, 3) for k in range(10, 20)]], "ref long, target long, rule int")
     got = codegraph.first_rule(found, "ref").collect()

@@ -4,11 +4,12 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylake.functions import signals
 from quarrylake.operators import codegraph
 from quarrylake.sources import code, rules, transcripts
-from quarrylake.streaming import sessions
+from quarrylake.streaming import sessions, stateful
 
 RULE = """---
 id: R1
@@ -151,12 +152,68 @@ def test_throttle_stream(spark, tmp_path):
     assert sorted(r["event_id"] for r in drain(sessions.throttle_stream(df, "user", 30), tmp_path)) == [0, 2, 4]
 
 
-def test_turns_stream(spark, tmp_path):
-    events = list(zip(at(0, 5, 10, 5000, 90_000, 90_001), ["prompt", "reply", "prompt", "prompt", "prompt", "reply"], strict=True))
-    rows = [(1, t, k) for t, k in events]
-    df = stream(spark, tmp_path, [rows[:2], rows[2:4], rows[4:]], "user long, ts timestamp, kind string")
-    got = sorted((r["prompt_at"] - at(0)[0].timestamp(), r["state"], r["reply_at"] is not None) for r in drain(sessions.turns_stream(df, "user", 43_200), tmp_path))
-    assert [(int(p) % 100_000, s, reply) for p, s, reply in got] == [(0, "ready", True), (10, "ready", False), (5000, "expired", False), (90_000, "ready", True)]
+def folded(spark, tmp_path, batches, processor, lateness="0 seconds"):
+    """What a processor gives for rows of (user, event_id, seconds, kind, item), batch by batch."""
+    rows = [[(u, i, at(t)[0], k, x) for u, i, t, k, x in batch] for batch in batches]
+    df = stream(spark, tmp_path, rows, "user long, event_id long, ts timestamp, kind string, item long")
+    out = stateful.folded(df, "user", processor, lateness)
+    got = drain(out, tmp_path)
+    base = int(at(0)[0].replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+    return sorted(tuple((v - base) // 1_000_000 if isinstance(v, int) and v > 1 << 40 else v for v in r) for r in got)
+
+
+HOUR = 3600
+
+
+def test_turns_close_by_timer(spark, tmp_path):
+    rows = [(1, 0, 0, "prompt", None), (1, 1, 5, "reply", None), (1, 2, 10, "prompt", None), (1, 3, 5000, "prompt", None), (2, 4, 60 * HOUR, "other", None)]
+    want = [(1, 0, 5, "ready"), (1, 10, None, "ready"), (1, 5000, None, "expired")]
+    key = lambda r: (r[0], r[1])
+    for k, batches in enumerate(([rows[:2], rows[2:4], rows[4:]], [rows])):
+        path = tmp_path / str(k)
+        path.mkdir()
+        assert sorted(folded(spark, path, batches, stateful.Turns(12 * HOUR)), key=key) == want
+
+
+def test_silent_key_is_sent_by_its_timer(spark, tmp_path):
+    rows = [(1, 0, 0, "implicit", None), (1, 1, 60, "implicit", None), (2, 2, 100, "explicit", None), (3, 3, 30 * HOUR, "other", None)]
+    got = folded(spark, tmp_path, [rows[:3], rows[3:]], stateful.SendBatches(5, 24 * HOUR))
+    assert got == [(1, 24 * HOUR, "time", 2), (2, 100, "explicit", 1)]
+
+
+def test_cases_reopen_and_late_rows_count(spark, tmp_path):
+    rows = [(1, 0, 0, "failed", 7), (9, 1, 8 * HOUR, "other", 0), (1, 2, 9 * HOUR, "failed", 7), (1, 3, 9 * HOUR - 60, "other", 7), (1, 4, 10 * HOUR, "passed", 7), (9, 5, 40 * HOUR, "other", 0)]
+    got = folded(spark, tmp_path, [rows[:2], rows[2:3], rows[3:5], rows[5:]], stateful.Cases(6 * HOUR), "2 hours")
+    assert sorted(got, key=lambda r: r[3]) == [(1, 7, 0, 0, "opened"), (1, 7, 0, 6 * HOUR, "unresolved"), (1, 7, 0, 9 * HOUR, "reopened"), (1, 7, 0, 10 * HOUR, "resolved")]
+
+
+def test_session_state_is_forgotten(spark, tmp_path):
+    rows = [(1, 0, 0, "given", 4), (1, 1, 10, "prompt", 4), (1, 2, 5 * HOUR, "prompt", 4), (2, 3, 90 * HOUR, "other", 0)]
+    assert folded(spark, tmp_path, [rows[:2], rows[2:3], rows[3:]], stateful.SessionState(2 * HOUR)) == [(1, 1, 1, 1, True), (1, 2, 1, 0, False)]
+
+
+def test_rounds_are_bounded_and_go_on(spark, tmp_path):
+    df = stream(spark, tmp_path, [[(1, k)] for k in range(5)], "user long, event_id long")
+    sink = sessions.write_once(str(tmp_path / "out"), lambda b: b)
+    runs = []
+    while not runs or runs[-1][1]:
+        runs.append(sessions.run_rounds(df, sink, str(tmp_path / "state"), 2))
+    assert runs == [(2, True), (2, True), (1, False)]
+    assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(5))
+
+
+def test_ledger_reads_only_its_own_buckets(spark, tmp_path, monkeypatch):
+    out, read = str(tmp_path / "ledger"), []
+    plain = sessions.exists
+    monkeypatch.setattr(sessions, "exists", lambda s, path: (read.append(path), plain(s, path))[1])
+    sink = sessions.write_new(out, ["id"], "a", F.col("day").cast("string"))
+    for number in range(6):
+        rows = spark.createDataFrame([(number * 10 + k, number) for k in range(5)], "id long, day int")
+        sink(rows, number)
+        sink(rows, number)
+    sessions.write_new(out, ["id"], "b", F.col("day").cast("string"))(spark.createDataFrame([(3, 0), (99, 0), (99, 0)], "id long, day int"), 0)
+    assert max(len([p for p in read if p.endswith(f"bucket={d}")]) for d in range(1, 6)) == 2  # never looked up again by later days
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == sorted([n * 10 + k for n in range(6) for k in range(5)] + [99])
 
 
 def test_session_windows_and_idempotent_sink(spark, tmp_path):
