@@ -13,7 +13,7 @@ from ..functions import fixed as X
 from ..functions import text as T
 from ..plans.query import Query, table
 from ..sources import transcripts
-from . import asof
+from . import asof, overlap
 from .codegraph import union
 from .graph import checkpointed
 from .sinks import shared_folder
@@ -283,26 +283,15 @@ def recall(sources: DataFrame, asked: DataFrame, limit: int = 5, least: float =
     """(qid, kind, id, part, coverage, place, snippet): what covers each query best, younger work first among equals.
 
     ``sources`` has kind, id, part, age (days), key, text, body; ``asked`` qid and text.  A turn whose request
-    is that of a history entry is left out.  Tokens are weighted over all documents; only those that a
-    query has leave their document.  A query's lightest tokens that together stay below the least
-    coverage bring up no document: words that all documents have would pair each with every query.
+    is that of a history entry is left out.  Tokens are weighted over all documents; see ``overlap.covering``
+    for how documents and queries meet.
     """
     told = sources.filter("kind = 'history'").select("key").distinct()
     kept = sources.filter("kind <> 'turn'").unionByName(sources.filter("kind = 'turn'").join(told, "key", "left_anti").select(*sources.columns))
     pool = checkpointed(kept.select("kind", "id", "part", "age", "text", "body", F.monotonically_increasing_id().alias("row")))
-    want = checkpointed(T.postings(asked, "qid", "text"))
-    n = pool.count()
-    posted = checkpointed(T.postings(pool, "row", "text").join(want.select("tok").distinct(), "tok", "left_semi"))
-    df = posted.groupBy("tok").agg(F.count("*").alias("df"))
-    weighted = want.join(df, "tok", "left").withColumn("w", F.log(1 + F.lit(max(1, n)) / F.coalesce(F.col("df"), F.lit(0.5))))
-    of_query = checkpointed(weighted.groupBy("qid").agg(F.sum("w").alias("total"), F.array_sort(F.collect_list(F.struct("tok", "w"))).alias("wanted")))
-    lighter = F.sum("w").over(Window.partitionBy("qid").orderBy("w", "tok").rowsBetween(Window.unboundedPreceding, 0))
-    bringing = weighted.withColumn("lighter", lighter).join(of_query.select("qid", "total"), "qid").filter(F.col("lighter") >= (least - 1e-5) * F.col("total"))
-    met = posted.join(bringing.select("qid", "tok"), "tok").select("qid", "row").distinct()
-    held = posted.groupBy("row").agg(F.collect_list("tok").alias("held"))
-    hit = F.aggregate("wanted", F.lit(0.0), lambda s, t: s + F.when(F.array_contains("held", t["tok"]), t["w"]).otherwise(0.0))
-    scored = met.join(held, "row").join(of_query, "qid").select("qid", "row", F.round(hit / F.col("total"), 5).alias("coverage"), F.transform("wanted", lambda t: t["tok"]).alias("wanted"))
-    scored = scored.filter(F.col("coverage") >= least)
+    found = overlap.covering(pool.select(F.col("row").alias("id"), "text"), asked.select(F.col("qid").alias("id"), "text"), least)
+    wanted = asked.select("qid", T.tokens(F.col("text")).alias("wanted"))
+    scored = found.select(F.col("query").alias("qid"), F.col("doc").alias("row"), F.round(F.col("inter") / F.col("total"), 5).alias("coverage")).join(wanted, "qid")
     ranked = scored.join(pool.drop("text", "body"), "row").withColumn("rank", F.round(F.col("coverage") + 0.1 * F.exp(-F.col("age") / 30), 5))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rank"), "kind", "id", "part"))
     best = ranked.withColumn("place", place).filter(F.col("place") <= limit)
