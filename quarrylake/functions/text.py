@@ -38,17 +38,26 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Tokens of a single sign do not count.
+SINGLE = ("", *"abcdefghijklmnopqrstuvwxyz0123456789_")
+
+
 def tokens(text: Column) -> Column:
     """Distinct tokens: ASCII words with their camel-case and underscore parts, and Hangul bigrams.
 
     The text is cleaned and split as a whole, not word by word: everything but word characters becomes a
-    blank, camel case is broken only where there is any, and both forms are split at blanks.
+    blank, camel case is broken only where there is any, and both forms are split at blanks.  What is used
+    twice is bound, since nothing shares the parts of an expression that holds a lambda.
     """
+    one_case = lambda words: F.regexp_replace(F.regexp_replace(words, *CASE_BREAKS[0]), *CASE_BREAKS[1])
+
+    def split(words: Column, parted: Column) -> Column:
+        parts = F.when(parted.contains("_") | (parted != words), F.translate(F.lower(parted), "_", " "))
+        return F.array_except(F.split(F.concat_ws(" ", F.lower(words), parts), " "), F.array(*map(F.lit, SINGLE)))
 
     def of_ascii(words: Column) -> Column:
-        parted = F.when(words.rlike("[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"), F.regexp_replace(F.regexp_replace(words, *CASE_BREAKS[0]), *CASE_BREAKS[1])).otherwise(words)
-        parts = F.when(parted.contains("_") | (parted != words), F.split(F.translate(F.lower(parted), "_", " "), " ")).otherwise(F.array().cast("array<string>"))
-        return F.filter(F.array_distinct(F.concat(F.split(F.lower(words), " "), parts)), lambda t: F.length(t) >= 2)
+        parted = F.when(words.rlike("[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"), one_case(words)).otherwise(words)
+        return bound(parted, lambda p: split(words, p))
 
     def bigrams(whole: Column) -> Column:
         runs = F.regexp_extract_all(whole, F.lit(HANGUL_RUN), F.lit(0))
@@ -148,7 +157,7 @@ def same_rule(a: Column, b: Column) -> Column:
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tok): one row for each distinct token of each text."""
-    return docs.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("tok"))
+    return docs.select(F.col(id_col), tokens(F.col(text_col)).alias("toks")).select(id_col, F.explode("toks").alias("tok"))
 
 
 def idf(posted: DataFrame, n: int) -> DataFrame:
