@@ -76,4 +76,3 @@ QUERIES = [
     sql_query("st06_tier_split", "SELECT bucket, count(*) AS rules FROM (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'core' WHEN o_totalprice > 250000 THEN 'scoped' WHEN o_orderstatus = 'F' THEN 'on-demand' ELSE 'overflow' END AS bucket FROM {orders}) GROUP BY bucket"),
     sql_query("st07_union_missing_columns", "SELECT doc_id AS id, source, NULL AS quality FROM {documents} UNION ALL SELECT doc_id, NULL, quality FROM {labels}"),
 ]
-QUERIES = [q if q.name != "sc12_incremental_sync" else Query(q.name, q.run, "SELECT d.doc_id, sha1(d.text) AS hash FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE d.doc_id = l.doc_id AND l.quality = 1)") for q in QUERIES]

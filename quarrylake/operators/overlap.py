@@ -11,6 +11,7 @@ The exact weight of a candidate pair is that of the intersection of the two sets
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,6 +27,8 @@ from ..lineage import checkpointed
 CROWD, LONGEST = 2048, 3
 #: Digits of a document frequency in a coded token, and what rounding may hide.
 DIGITS, SLACK = 12, 1e-9
+#: Buckets of a sketch, by which pairs are ruled out before their sets are joined.
+SKETCH = 128
 
 
 def coded(tok: Column, df: Column) -> Column:
@@ -105,6 +108,26 @@ def shared(pairs: DataFrame, left: DataFrame, right: DataFrame, n: int) -> DataF
     return both.select("l", "r", weight_of(F.array_intersect("lc", "rc"), n).alias("inter"))
 
 
+def sketched(sets: DataFrame, n: int) -> DataFrame:
+    """Adds ``sketch``: the weights of a set's tokens by a hash in SKETCH buckets.
+
+    What two sets share in a bucket is no more than either has there, so the sum of the lesser ones is never
+    less than the weight that they share.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for codes in batch["codes"]:
+                w = np.log(1 + max(1, n) / np.array([float(c[:DIGITS]) for c in codes]))
+                at = np.array([zlib.crc32(c[DIGITS:].encode()) % SKETCH for c in codes])
+                rows.append(np.bincount(at, w, SKETCH).astype(np.float32) * np.float32(1.00001))  # rounded up
+            yield batch.assign(sketch=rows)
+
+    kinds = dict(sets.dtypes)
+    return sets.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in sets.columns) + ", sketch array<float>")
+
+
 def similar_pairs(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(a, b, score) of texts whose weighted overlap is ``least`` or more, and (id, member): which text stands for which.
 
@@ -122,15 +145,18 @@ def similar_pairs(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     posted = checkpointed(named.select("id", "copies", F.explode("toks").alias("tok")))
     df = posted.groupBy("tok").agg(F.sum("copies").alias("df"))
     sets = sets_of(posted.join(df, "tok"), n)
-    sets = checkpointed(sets.withColumn("total", weight_of(F.col("codes"), n)))
+    sets = checkpointed(sketched(sets.withColumn("total", weight_of(F.col("codes"), n)), n))
     # of a pair the lighter set shares least * its own weight, the heavier one least ** 2 of its own
     floor = least - 5.1e-6
     lighter = sets.select("id", F.lit(0).alias("part"), (F.col("total") * floor).alias("cut"), "codes")
     heavier = sets.select("id", F.lit(0).alias("part"), (F.col("total") * floor * floor).alias("cut"), "codes")
     size = sets.select("id", "total")
-    met = meeting(lighter, heavier, n).filter("l <> r").join(size.toDF("l", "wl"), "l").join(size.toDF("r", "wr"), "r")
-    able = met.filter((F.col("wl") <= F.col("wr") + SLACK) & (F.col("wl") >= F.col("wr") * (floor * floor) - SLACK))
-    able = able.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).distinct()
+    met = meeting(lighter, heavier, n).filter("l <> r").select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).distinct()
+    met = met.join(size.toDF("l", "wl"), "l").join(size.toDF("r", "wr"), "r").filter(F.least("wl", "wr") >= F.greatest("wl", "wr") * (floor * floor) - SLACK)
+    sketches = sets.select("id", "sketch")
+    most = F.aggregate(F.zip_with("ls", "rs", lambda x, y: F.least(x, y)), F.lit(0.0), lambda total, x: total + x)
+    able = met.join(sketches.toDF("l", "ls"), "l").join(sketches.toDF("r", "rs"), "r").filter(most >= F.sqrt(F.col("wl") * F.col("wr")) * floor).select("l", "r")
+    able = checkpointed(able)
     scored = shared(able, sets, sets, n).join(size.toDF("l", "wl"), "l").join(size.toDF("r", "wr"), "r")
     score = F.round(F.col("inter") / F.sqrt(F.col("wl") * F.col("wr")), 5)
     return scored.select(F.col("l").alias("a"), F.col("r").alias("b"), score.alias("score")).filter(F.col("score") >= least), members

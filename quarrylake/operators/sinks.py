@@ -7,7 +7,7 @@ import re
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.globs import match_any
@@ -251,13 +251,20 @@ def drift(expected: DataFrame, existing: DataFrame) -> DataFrame:
     return both.select("path", F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").otherwise("unchanged").alias("state"))
 
 
+def rendered(plan: DataFrame, line: Column) -> DataFrame:
+    """(path, pool, text): the files of each pool: its rules for every session, those bound to paths, and the list of those given on demand."""
+    given = plan.filter("tier <> 'core' OR in_session")
+    folder = F.when(F.col("tier") == "core", "rules/").when(F.col("tier") == "scoped", "rules/paths/").otherwise("rules/on-demand/")
+    title = F.when(F.col("tier") == "core", "# Rules\n").when(F.col("tier") == "scoped", "# Rules for paths\n").otherwise("# Rules to ask for\n")
+    lines = F.array_join(F.array_sort(F.collect_list(F.struct("id", line.alias("line"))))["line"], "\n")
+    return given.groupBy("pool", "tier").agg(lines.alias("lines")).select(F.concat(folder, "pool", F.lit(".md")).alias("path"), "pool", F.concat(title, "lines").alias("text"))
+
+
 def sc32_drift(spark: SparkSession, sf: str) -> DataFrame:
-    """Rule lists of customers, rendered from their core rules, against files of which some are old, missing or left over."""
+    """Three kinds of files of customers' rules as rendered, against files of which some are old, missing or left over."""
     from .rulebook import plan_tiers, tier_rules
 
-    core = plan_tiers(tier_rules(spark, sf), 24, 30).filter("in_session AND tier = 'core'")
-    text = F.concat(F.lit("# Rules\n"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: F.concat(F.lit("- Use order "), i)), "\n"))
-    expected = checkpointed(core.groupBy("pool").agg(text.alias("text")).select(F.concat(F.lit("rules/"), "pool", F.lit(".md")).alias("path"), "pool", "text"))
+    expected = checkpointed(rendered(plan_tiers(tier_rules(spark, sf), 24, 30), F.concat(F.lit("- Use order "), "id")))
     kept = expected.filter("pool % 4 <> 2").select("path", F.when(F.col("pool") % 4 == 1, F.concat("text", F.lit("\n"))).otherwise(F.col("text")).alias("text"))
     left_over = expected.filter("pool % 4 = 3").select(F.concat(F.lit("old/"), "path").alias("path"), "text")
     return drift(expected, kept.unionByName(left_over))
@@ -266,7 +273,10 @@ def sc32_drift(spark: SparkSession, sf: str) -> DataFrame:
 def sc32_oracle() -> str:
     from .rulebook import CT01
 
-    return f"WITH p AS (SELECT DISTINCT pool FROM ({CT01}) WHERE in_session AND tier = 'core') SELECT 'rules/' || pool || '.md' AS path, ['unchanged', 'changed', 'new', 'unchanged'][pool % 4 + 1] AS state FROM p UNION ALL SELECT 'old/rules/' || pool || '.md', 'removed' FROM p WHERE pool % 4 = 3"
+    return f"""
+        WITH p AS (SELECT DISTINCT pool, CASE tier WHEN 'core' THEN 'rules/' WHEN 'scoped' THEN 'rules/paths/' ELSE 'rules/on-demand/' END || pool || '.md' AS path FROM ({CT01}) WHERE in_session OR tier <> 'core')
+        SELECT path, ['unchanged', 'changed', 'new', 'unchanged'][pool % 4 + 1] AS state FROM p UNION ALL SELECT 'old/' || path, 'removed' FROM p WHERE pool % 4 = 3
+    """
 
 
 # ---- vocabulary and answers ----------------------------------------------------------------------
