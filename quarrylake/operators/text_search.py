@@ -1,40 +1,53 @@
-"""Text search by line: three-letter postings rule blocks of lines out before a pattern is tried on any."""
+"""Text search by line: marks of three-letter runs rule blocks of lines out before a pattern is tried on any."""
 
 from __future__ import annotations
 
 import re
-from typing import NamedTuple
+import zlib
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import checkpointed
 
-#: Lines of a block, most lines of an answer, and signs of a line that is shown.
-BLOCK, LIMIT, MOST, SHOWN = 32, 50, 300, 240
+#: Lines of a block, bits of its marks, most lines of an answer, and signs of a line that is shown.
+BLOCK, MARKS, LIMIT, MOST, SHOWN = 32, 4096, 50, 300, 240
 
 
-class LineIndex(NamedTuple):
-    """Blocks of lines (path, block, first, lines) and their postings (gram, path, block)."""
+def marks(runs: Iterable[str]) -> np.ndarray:
+    """Where the runs are marked: a hash of each."""
+    return np.fromiter((zlib.crc32(r.encode()) % MARKS for r in runs), np.int64)
 
-    blocks: DataFrame
-    postings: DataFrame
 
+def runs_of(text: str) -> set[str]:
+    low = text.lower()
+    return {low[i : i + 3] for i in range(len(low) - 2)}
 
-def grams(text: Column) -> Column:
-    """Distinct runs of three signs of a text, in small letters."""
-    low = F.lower(text)
-    return F.when(F.length(low) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))))
 
+def index_lines(files: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(path, first, lines, grams): blocks of lines, each with a map of the runs of three signs that its lines have.
 
-def index_lines(files: DataFrame, block: int = BLOCK) -> LineIndex:
-    """``files`` has path and text; lines end at line feeds, a null text has none, a last empty line does not count."""
+    ``files`` has path and text; lines end at line feeds, a null text has none, a last empty line does not
+    count.  The maps take a fixed 512 bytes a block, about a quarter of its text.
+    """
     text = F.regexp_replace("text", "\n$", "")
     lines = files.filter("text <> ''").select("path", F.transform(F.split(text, "\n"), lambda s: F.regexp_replace(s, "\r$", "")).alias("lines"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / block).cast("int")), lambda b: F.struct(b.alias("block"), (b * block + 1).alias("first"), F.slice("lines", b * block + 1, block).alias("lines")))
-    blocks = checkpointed(lines.select("path", F.explode(cut).alias("b")).select("path", "b.*"))
-    postings = blocks.select("path", "block", F.explode(F.array_distinct(F.flatten(F.transform("lines", grams)))).alias("gram"))
-    return LineIndex(blocks, checkpointed(postings))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / block).cast("int")), lambda b: F.struct((b * block + 1).alias("first"), F.slice("lines", b * block + 1, block).alias("lines")))
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            maps = []
+            for own in batch["lines"]:
+                bits = np.zeros(MARKS, np.uint8)
+                bits[marks(set().union(*map(runs_of, own)))] = 1
+                maps.append(np.packbits(bits).tobytes())
+            yield batch.assign(grams=maps)
+
+    blocks = lines.select("path", F.explode(cut).alias("b")).select("path", "b.*")
+    return checkpointed(blocks.mapInPandas(marked, "path string, first int, lines array<string>, grams binary"))
 
 
 def needed(pattern: str, regex: bool) -> list[str]:
@@ -47,27 +60,32 @@ def needed(pattern: str, regex: bool) -> list[str]:
         head = re.match(r"[^\\^$.|?*+()\[\]{}]*", pattern)[0]
         rest = pattern[len(head) :]
         sure = "" if "|" in pattern else head[:-1] if rest[:1] in ("?", "*", "{") else head
-    low = sure.lower()
-    return sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    return sorted(runs_of(sure))
 
 
-def search_lines(index: LineIndex, patterns: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(pattern, path, line, text, total): the first ``limit`` lines of each pattern by path and line, and how many there are.
+def search_lines(index: DataFrame, patterns: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(q, pattern, path, line, text, total): the first ``limit`` lines of each pattern by path and line, and how many there are.
 
     ``patterns`` is the stated set of questions: pattern, regex, ignore_case, and under, a folder or file to
     look in or null.  An empty pattern finds nothing; patterns shorter than three signs look at all lines.
     """
     asked = patterns.filter(F.length(F.trim("pattern")) > 0).select("pattern", "regex", "ignore_case", "under").distinct().collect()  # the stated set
     spark = patterns.sparkSession
-    rows = [(n, r["pattern"], r["regex"], r["ignore_case"], r["under"], needed(r["pattern"], r["regex"])) for n, r in enumerate(asked)]
-    questions = checkpointed(spark.createDataFrame(rows, "q int, pattern string, regex boolean, ignore_case boolean, under string, grams array<string>"))
-    wants = questions.filter(F.size("grams") > 0).select("q", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    able = index.postings.join(wants, "gram").groupBy("q", "path", "block").agg(F.count("*").alias("has"), F.first("n").alias("n")).filter("has = n").select("q", "path", "block")
-    found = index.blocks.join(able, ["path", "block"])
-    short = [r[0] for r in rows if not r[5]]
-    if short:
-        found = found.unionByName(index.blocks.withColumn("q", F.explode(F.array(*map(F.lit, short)))))
-    lines = found.join(questions.drop("grams"), "q").select("q", "pattern", "regex", "ignore_case", "under", "path", "first", F.posexplode("lines").alias("nth", "text"))
+    rows = [(n, r["pattern"], r["regex"], r["ignore_case"], r["under"]) for n, r in enumerate(asked)]
+    questions = checkpointed(spark.createDataFrame(rows, "q int, pattern string, regex boolean, ignore_case boolean, under string"))
+    wanted = [marks(needed(r["pattern"], r["regex"])) for r in asked]
+
+    def able(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The blocks that may have a question's pattern."""
+        for batch in batches:
+            maps = np.frombuffer(b"".join(batch["grams"]), np.uint8).reshape(len(batch), MARKS // 8)
+            for q, at in enumerate(wanted):
+                may = ((maps[:, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+                if may.any():
+                    yield batch[may].drop(columns="grams").assign(q=q)
+
+    found = index.mapInPandas(able, "path string, first int, lines array<string>, q int")
+    lines = found.join(F.broadcast(questions), "q").select("q", "pattern", "regex", "ignore_case", "under", "path", "first", F.posexplode("lines").alias("nth", "text"))  # the stated set
     inside = F.col("under").isNull() | (F.col("path") == F.col("under")) | F.startswith("path", F.concat(F.regexp_replace("under", "/+$", ""), F.lit("/")))
     cased = lambda c: F.when(F.col("ignore_case"), F.lower(c)).otherwise(F.col(c))
     flagged = F.when(F.col("ignore_case"), F.concat(F.lit("(?i)"), "pattern")).otherwise(F.col("pattern"))
