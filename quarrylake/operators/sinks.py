@@ -238,7 +238,7 @@ def sc12_reparsed(spark: SparkSession, sf: str) -> DataFrame:
 _BUCKET = "(('0x' || substr(md5(regexp_replace(path, '[^/]*$', '')), 1, 6))::BIGINT % 64)::VARCHAR || '-' || (('0x' || substr(md5(path), 1, 6))::BIGINT % 4)::VARCHAR"
 SC12P = f"""
     WITH d AS (SELECT *, CASE WHEN coalesce(source IN ('src3', 'src7'), false) THEN doc_id % 5 ELSE 4 END AS form, coalesce(source, 'none') || '/' || doc_id || '.md' AS path FROM documents),
-    t AS (SELECT path, {_BUCKET} AS bucket, ['new', 'removed', 'parse', 'touched', 'same'][form + 1] AS action, CASE WHEN form = 1 THEN NULL WHEN form IN (0, 2) THEN 2 ELSE 1 END AS run, trim(regexp_replace(text || CASE WHEN form = 2 THEN chr(10) || 'edited' ELSE '' END, '\s+', ' ', 'g')) AS said FROM d)
+    t AS (SELECT path, {_BUCKET} AS bucket, ['new', 'removed', 'parse', 'touched', 'same'][form + 1] AS action, CASE WHEN form = 1 THEN NULL WHEN form IN (0, 2) THEN 2 ELSE 1 END AS run, trim(regexp_replace(text || CASE WHEN form = 2 THEN chr(10) || 'edited' ELSE '' END, '\\s+', ' ', 'g')) AS said FROM d)
     SELECT path, action, bool_or(action <> 'same') OVER (PARTITION BY bucket) AS rewritten, run, CASE WHEN action <> 'removed' AND said = '' THEN 'empty rule' END AS error, CASE WHEN action <> 'removed' THEN sha256(said) END AS summary FROM t
 """
 
