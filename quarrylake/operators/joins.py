@@ -30,9 +30,9 @@ def jn06_turn_pairing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jn17_token_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Weighted token overlap of the query set with every document that has a quarter of a query's weight or more."""
+    """Weighted token overlap of the query set with every document that shares a token with a query."""
     docs, asked = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    found = overlap.covering(docs.select(F.col("doc_id").alias("id"), "text"), asked.select(F.col("item_id").alias("id"), "text"), 0.25, None)
+    found = overlap.covering(docs.select(F.col("doc_id").alias("id"), "text"), asked.select(F.col("item_id").alias("id"), "text"), 0.0, None)
     return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), F.round("inter", 4).alias("inter"))
 
 
@@ -42,8 +42,7 @@ JN17 = f"""
     q AS (SELECT DISTINCT item_id, tok FROM (SELECT item_id, unnest({TOKENS.format(c='text')}) AS tok FROM benchmark)),
     n AS (SELECT greatest(1, count(*)) AS n FROM documents),
     w AS (SELECT tok, ln(1 + n.n / count(*)) AS w FROM d, n GROUP BY tok, n.n)
-    SELECT item_id, doc_id, inter FROM (SELECT item_id, doc_id, sum(w) AS s, round(sum(w), 4) AS inter FROM q JOIN d USING (tok) JOIN w USING (tok) GROUP BY item_id, doc_id)
-        JOIN (SELECT item_id, sum(w) AS total FROM q JOIN w USING (tok) GROUP BY item_id) USING (item_id) WHERE round(s / total, 5) >= 0.25
+    SELECT item_id, doc_id, round(sum(w), 4) AS inter FROM q JOIN d USING (tok) JOIN w USING (tok) GROUP BY item_id, doc_id
 """
 
 QUERIES = [

@@ -215,3 +215,12 @@ def test_weighed_in_blocks(spark, monkeypatch, block):
         got = overlap.weighed(a.wanted.withColumn("total", F.lit(1.0)).withColumn("need", F.lit(need)), a.held.withColumn("need", F.lit(1.0)), a.n).collect()
         met = {k for k, v in want.items() if v and v >= need}
         assert len(got) == len(met) and {(r["l"], r["r"]) for r in got} == met and all(abs(r["inter"] - want[r["l"], r["r"]]) < 1e-9 for r in got)
+
+
+def test_shared_tokens_of_little_weight(spark):
+    """A document that shares one common word with a long query is listed with it."""
+    docs = spark.createDataFrame([(0, "the end"), (1, "the other"), (2, None)], "id long, text string")
+    asked = spark.createDataFrame([(7, "the end of many other words and more of them")], "id long, text string")
+    assert {(r["query"], r["doc"]) for r in overlap.covering(docs, asked, 0.0, None).collect()} == {(7, 0), (7, 1)}
+    query = next(q for q in joins.QUERIES if q.name == "jn17_token_overlap")
+    assert "0.25" not in query.oracle
