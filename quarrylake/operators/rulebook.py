@@ -336,13 +336,12 @@ def glob_matches(hints: DataFrame, globs: DataFrame) -> DataFrame:
 
 
 def score_parts(rules: DataFrame, prompts: DataFrame, least: float) -> DataFrame:
-    """(pid, id, lexical, topics, path, code, score) of every pair that scores ``least`` or more.
+    """(pid, id, lexical, topics, path, code, score) of every pair that scores ``least`` or more, and more than nothing.
 
     ``rules`` has id, text, topics, paths; ``prompts`` pid, text, code_paths.  A rule bound to paths scores
-    nothing where the prompt names files and none of them is among those.  Pairs come from common words
-    that weigh enough by themselves, or from a topic or a path that is named.
+    nothing where the prompt names files and none of them is among those.  Pairs come from common words,
+    weighed in blocks of rules and prompts, or from a topic or a path that is named.
     """
-    asked = overlap.asked_sets(rules.select("id", "text"), prompts.select(F.col("pid").alias("id"), "text"))
     spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), F.lit(" "))
     said = prompts.select("pid", F.explode(F.array_distinct(F.split(F.trim(spaced(F.col("text"))), " "))).alias("word"))
     named = rules.select("id", F.explode("topics").alias("topic")).filter(F.length("topic") >= 2).withColumn("word", F.split(F.trim(spaced(F.col("topic"))), " ")[0])
@@ -354,15 +353,19 @@ def score_parts(rules: DataFrame, prompts: DataFrame, least: float) -> DataFrame
     path = hints.join(matched, "hint").select("pid", "id", F.lit(X.PATH_BONUS).alias("path")).distinct()
     code = codes.join(matched, "hint").select("pid", "id", F.lit(X.CODE_BONUS).alias("code")).distinct()
     files = hints.filter(column(is_file_path, "boolean")(F.col("hint"))).select("pid").unionByName(codes.select("pid")).distinct().withColumn("files", F.lit(True))
-    bonus = checkpointed(topics.join(path, ["pid", "id"], "full").join(code, ["pid", "id"], "full"))
-    pairs = checkpointed(overlap.alike(asked, least).toDF("pid", "id").unionByName(bonus.select("pid", "id")).distinct())
-    lexical = overlap.cosines(asked, pairs.toDF("l", "r")).select(F.col("l").alias("pid"), F.col("r").alias("id"), F.col("score").alias("lexical"))
-    every = pairs.join(lexical, ["pid", "id"], "left").join(bonus, ["pid", "id"], "left")
-    every = every.join(files, "pid", "left").join(rules.select("id", (F.size("paths") > 0).alias("scoped")), "id").na.fill(0.0, ["lexical", "path", "code"]).na.fill(0, ["topics"]).na.fill(False, ["files"])
+    files = checkpointed(files)
+    scoped = rules.select("id", (F.size("paths") > 0).alias("scoped"))
+    both = topics.join(path, ["pid", "id"], "full").join(code, ["pid", "id"], "full").join(scoped, "id").join(files, "pid", "left")
+    bonus = checkpointed(both.withColumn("bound", F.col("scoped") & F.col("files").isNotNull()).drop("scoped", "files"))
+    asked = overlap.asked_sets(rules.select("id", "text"), prompts.select(F.col("pid").alias("id"), "text"))
+    held = asked.held.join(scoped.withColumnRenamed("scoped", "mark"), "id")
+    wanted = asked.wanted.join(files.select(F.col("pid").alias("id"), F.col("files").alias("mark")), "id", "left").na.fill(False, ["mark"])
+    lexical = overlap.likeness(asked._replace(held=checkpointed(held), wanted=checkpointed(wanted)), 0.0).toDF("pid", "id", "lexical", "marked")
+    every = lexical.join(bonus, ["pid", "id"], "full").na.fill(0.0, ["lexical", "path", "code"]).na.fill(0, ["topics"])
     every = every.withColumn("topics", F.least(F.lit(X.TOPIC_CAP), F.col("topics") * X.TOPIC_BONUS)).withColumn("code", F.when(F.col("path") > 0, 0.0).otherwise(F.col("code")))
-    off = F.col("scoped") & F.col("files") & (F.col("path") == 0) & (F.col("code") == 0)
+    off = F.coalesce("marked", "bound") & (F.col("path") == 0) & (F.col("code") == 0)
     score = F.round(F.col("lexical") + F.col("topics") + F.col("path") + F.col("code"), 5)
-    return every.filter(~off).select("pid", "id", F.round("lexical", 5).alias("lexical"), F.round("topics", 5).alias("topics"), "path", "code", score.alias("score")).filter(F.col("score") >= least)
+    return every.filter(~off).select("pid", "id", F.round("lexical", 5).alias("lexical"), F.round("topics", 5).alias("topics"), "path", "code", score.alias("score")).filter((F.col("score") >= least) & (F.col("score") > 0))
 
 
 def first_fitting(rules: DataFrame, prompts: DataFrame, given: DataFrame, budget: int) -> DataFrame:
@@ -391,14 +394,14 @@ def first_fitting(rules: DataFrame, prompts: DataFrame, given: DataFrame, budget
     return found.unionByName(every).join(given.select("pid", "id"), ["pid", "id"], "left_anti")
 
 
-def select_context(rules: DataFrame, prompts: DataFrame, given: DataFrame, budget: int, fresh_header: int, related_header: int) -> DataFrame:
-    """(pid, id, outcome and the parts of the score) of every rule that has something to do with a prompt.
+def select_context(rules: DataFrame, prompts: DataFrame, given: DataFrame, budget: int, fresh_header: int, related_header: int, least: float = X.PROMPT_MIN_SCORE) -> DataFrame:
+    """(pid, id, outcome and the parts of the score) of every rule that is new or given to a prompt or scores ``least`` or more for it.
 
     ``rules`` has id, text, topics, paths, captured, loaded (given at session start), conflict and cost;
     ``prompts`` kind and since (start of the session or null); ``given`` pid and id of what the session
     already has.  New rules go first; the best eight of the others share what is left of the budget.
-    Outcomes of pairs: fresh, injected, already injected, over budget, over limit.  What is left out here
-    belongs to the prompt or the rule alone, see ``outcome_counts``: nothing is made for each pair.
+    Outcomes of pairs: fresh, injected, already injected, below threshold, over budget, over limit.  What is
+    left out here belongs to the prompt or the rule alone, see ``every_outcome`` and ``outcome_counts``.
     """
     rules, prompts, given = checkpointed(rules), checkpointed(prompts), checkpointed(given.select("pid", "id").distinct())
     fresh = asof.pack_budget(first_fitting(rules, prompts, given, budget - fresh_header), "pid", ["captured", "id"], "cost", budget - fresh_header).filter("taken")
@@ -406,21 +409,30 @@ def select_context(rules: DataFrame, prompts: DataFrame, given: DataFrame, budge
     spent = fresh.groupBy("pid").agg((F.sum("cost") + fresh_header).alias("spent"))
     pool = checkpointed(rules.filter("NOT loaded OR conflict"))
     normal = prompts.filter("kind = 'normal'")
-    parts = checkpointed(score_parts(pool, normal, X.PROMPT_MIN_SCORE).join(fresh.select("pid", "id"), ["pid", "id"], "left_anti"))
+    parts = checkpointed(score_parts(pool, normal, least).join(fresh.select("pid", "id"), ["pid", "id"], "left_anti"))
     had = given.join(normal.select("pid"), "pid").join(pool.select("id"), "id").join(fresh.select("pid", "id"), ["pid", "id"], "left_anti").withColumn("had", F.lit(True))
     every = parts.join(had, ["pid", "id"], "full").withColumn("had", F.coalesce("had", F.lit(False))).join(pool.select("id", "cost"), "id")
     place = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("score"), "id"))
-    hits = checkpointed(every.filter("NOT had").withColumn("place", place).filter(F.col("place") <= X.PROMPT_LIMIT)).join(spent, "pid", "left")
+    hits = checkpointed(every.filter(~F.col("had") & (F.col("score") >= X.PROMPT_MIN_SCORE)).withColumn("place", place).filter(F.col("place") <= X.PROMPT_LIMIT)).join(spent, "pid", "left")
     lists = hits.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("place", "cost", "id"))).alias("xs"), F.first(F.lit(budget) - F.coalesce("spent", F.lit(0)) - related_header).alias("left"))
     start = F.struct(F.col("left").cast("long").alias("left"), F.array().cast("array<long>").alias("ids"))
     packed = F.aggregate("xs", start, lambda a, x: F.when(x["cost"] <= a["left"], F.struct((a["left"] - x["cost"]).cast("long").alias("left"), F.concat(a["ids"], F.array(x["id"])).alias("ids"))).otherwise(a))
     chosen = lists.select("pid", F.explode(packed["ids"]).alias("id")).withColumn("chosen", F.lit(True))
     told = every.join(hits.select("pid", "id", F.lit(True).alias("hit")), ["pid", "id"], "left").join(chosen, ["pid", "id"], "left")
-    outcome = F.when(F.col("chosen"), "injected").when(F.col("had"), "already injected").when(F.col("hit"), "over budget").otherwise("over limit")
+    outcome = F.when(F.col("chosen"), "injected").when(F.col("had"), "already injected").when(F.col("score") < X.PROMPT_MIN_SCORE, "below threshold").when(F.col("hit"), "over budget").otherwise("over limit")
     told = told.select("pid", "id", outcome.alias("outcome"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lexical", "topics", "path", "code", "score")])
     return told.unionByName(fresh.select("pid", "id", F.lit("fresh").alias("outcome"), *[F.lit(0.0).alias(c) for c in ("lexical", "topics", "path", "code", "score")]))
 
 
+def every_outcome(rules: DataFrame, prompts: DataFrame, selected: DataFrame) -> DataFrame:
+    """(pid, id, outcome, score): one row for each rule and prompt; ``selected`` has all pairs that score anything."""
+    always = F.col("loaded") & ~((F.col("kind") == "normal") & F.col("conflict"))
+    rest = F.when(F.col("kind") == "command", "skipped prompt").when(always, "always loaded").otherwise("below threshold")
+    rows = rules.select("id", "loaded", "conflict").crossJoin(prompts.select("pid", "kind"))
+    told = rows.join(selected.select("pid", "id", "outcome", "score"), ["pid", "id"], "left")
+    return told.select("pid", "id", F.coalesce("outcome", rest).alias("outcome"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def outcome_counts(rules: DataFrame, prompts: DataFrame, selected: DataFrame) -> DataFrame:
     """(pid, outcome, rules): how many rules each prompt has of each outcome, those included that need no pair.
 
@@ -444,8 +456,8 @@ def outcome_counts(rules: DataFrame, prompts: DataFrame, selected: DataFrame) ->
 BUDGET, FRESH_HEADER, RELATED_HEADER = 60, 9, 7
 
 
-def selection_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents as rules, benchmark texts as prompts of sessions of their own, and what these have been given: few rules each."""
+def selection_inputs(spark: SparkSession, sf: str, share: int = 13) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as rules, benchmark texts as prompts of sessions of their own, and what these have been given: one rule in ``share`` each."""
     docs, asked = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     i, p = F.col("doc_id"), F.col("item_id")
     none = F.array().cast("array<string>")
@@ -455,12 +467,12 @@ def selection_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
     text = F.when(p % 10 == 9, F.concat(F.lit("/run "), "text")).when(p % 10 == 8, "ok").otherwise(F.concat("text", F.lit(" see "), source, F.when(p % 4 == 0, F.concat(F.lit(" in src/"), source, F.lit("/main.py"))).otherwise("")))
     code_paths = F.when(p % 4 == 1, F.array(F.concat(F.lit("src/"), source, F.lit("/other.py")))).otherwise(none)
     prompts = asked.select(p.alias("pid"), text.alias("text"), code_paths.alias("code_paths"), prompts_.kind(text).alias("kind"), F.when(p % 2 == 0, 363 - p % 3).alias("since"))
-    given = docs.select(i.alias("id"), ((97 - i % 97) % 97).alias("r")).join(prompts.select("pid", (F.col("pid") % 97).alias("r")), "r").select("pid", "id")
+    given = docs.select(i.alias("id"), ((share - i % share) % share).alias("r")).join(prompts.select("pid", (F.col("pid") % share).alias("r")), "r").select("pid", "id")
     return rules, prompts, given
 
 
-def selection(spark: SparkSession, sf: str) -> DataFrame:
-    return select_context(*selection_inputs(spark, sf), BUDGET, FRESH_HEADER, RELATED_HEADER)
+def selection(spark: SparkSession, sf: str, least: float = X.PROMPT_MIN_SCORE) -> DataFrame:
+    return select_context(*selection_inputs(spark, sf), BUDGET, FRESH_HEADER, RELATED_HEADER, least)
 
 
 D = T.DUCK_TOKENS.format(c="text")
@@ -471,7 +483,7 @@ SELECTION = f"""
     q AS (
         SELECT item_id AS pid, 'src' || item_id % 25 AS src, item_id % 4 AS form, CASE item_id % 10 WHEN 9 THEN 'command' WHEN 8 THEN 'ack' ELSE 'normal' END AS kind, CASE WHEN item_id % 2 = 0 THEN 363 - item_id % 3 END AS since,
             CASE WHEN item_id % 10 IN (8, 9) THEN 'ok' ELSE text || ' see src' || item_id % 25 || CASE WHEN item_id % 4 = 0 THEN ' in src/src' || item_id % 25 || '/main.py' ELSE '' END END AS text FROM benchmark),
-    x AS (SELECT q.pid, q.kind, q.since, q.src, q.form, r.*, (r.id + q.pid % 97) % 97 = 0 AS had FROM q CROSS JOIN r),
+    x AS (SELECT q.pid, q.kind, q.since, q.src, q.form, r.*, (r.id + q.pid % 13) % 13 = 0 AS had FROM q CROSS JOIN r),
     fl AS (SELECT pid, list_reduce(list_prepend({{'used': 0::BIGINT, 'ids': []::BIGINT[]}}, list({{'used': cost, 'ids': [id]}} ORDER BY captured, id)),
         lambda a, b: CASE WHEN a.used + b.used <= {BUDGET - FRESH_HEADER} THEN {{'used': a.used + b.used, 'ids': a.ids || b.ids}} ELSE a END) AS f FROM x WHERE kind <> 'command' AND since IS NOT NULL AND NOT had AND NOT conflict AND (captured >= since OR loaded) GROUP BY pid),
     pool AS (SELECT * FROM r WHERE NOT loaded OR conflict), n AS (SELECT greatest(1, count(*)) AS n FROM pool),
@@ -495,14 +507,19 @@ SELECTION = f"""
 """
 
 
+#: Outcomes are counted over sessions that have been given fewer rules.
+COUNTED = SELECTION.replace("(r.id + q.pid % 13) % 13", "(r.id + q.pid % 97) % 97")
+
+
 def ct02_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """What becomes of every rule that is new to a session, given already, or scores enough for a prompt."""
-    return selection(spark, sf).select("pid", "id", "outcome", "score")
+    """What becomes of every rule for every prompt."""
+    rules, prompts, given = selection_inputs(spark, sf)
+    return every_outcome(rules, prompts, select_context(rules, prompts, given, BUDGET, FRESH_HEADER, RELATED_HEADER, 0.0))
 
 
 def ct02_counts(spark: SparkSession, sf: str) -> DataFrame:
     """How many rules each prompt has of each of the eight outcomes."""
-    rules, prompts, given = selection_inputs(spark, sf)
+    rules, prompts, given = selection_inputs(spark, sf, 97)
     return outcome_counts(rules, prompts, select_context(rules, prompts, given, BUDGET, FRESH_HEADER, RELATED_HEADER))
 
 
@@ -514,13 +531,13 @@ def so08_selected(spark: SparkSession, sf: str) -> DataFrame:
 def ct04_explained(spark: SparkSession, sf: str) -> DataFrame:
     """The twelve best rules of each prompt with the parts of their scores, as text."""
     place = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("score"), "id"))
-    shown = selection(spark, sf).filter("score > 0").withColumn("place", place).filter("place <= 12")
+    shown = selection(spark, sf, 0.0).filter("score > 0").withColumn("place", place).filter("place <= 12")
     more = [F.when(F.col(c) > 0, F.concat(F.lit(f", {c} +"), F.format_string("%.2f", c))).otherwise("") for c in ("topics", "path", "code")]
     return shown.select("pid", "place", "id", F.concat("outcome", F.lit(": "), F.lit("lexical "), F.format_string("%.2f", F.round("lexical", 2)), *more).alias("why"))
 
 
 CT04 = f"""{SELECTION} SELECT pid, place, id, outcome || ': lexical ' || printf('%.2f', round(lexical, 2)) || CASE WHEN topics > 0 THEN ', topics +0.15' ELSE '' END || CASE WHEN path > 0 THEN ', path +0.50' ELSE '' END || CASE WHEN code > 0 THEN ', code +0.35' ELSE '' END AS why
-    FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, id) AS place FROM o WHERE score >= 0.12) WHERE place <= 12"""
+    FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, id) AS place FROM o WHERE outcome NOT IN ('always loaded', 'skipped prompt') AND (score > 0 OR outcome = 'injected')) WHERE place <= 12"""
 
 QUERIES = [
     Query("gr25_ancestor_counts", gr25_ancestors, GR25),
@@ -529,8 +546,8 @@ QUERIES = [
     Query("wn08_first_occurrence", wn08_first_texts, WN08),
     Query("tx20_rule_line", tx20_lines, TX20),
     Query("ct01_tier_plan", ct01_tiers, CT01),
-    Query("ct02_selection_outcomes", ct02_outcomes, f"{SELECTION} SELECT pid, id, outcome, CASE WHEN score >= 0.12 THEN score ELSE 0 END AS score FROM o WHERE outcome IN ('fresh', 'injected', 'already injected', 'over budget', 'over limit')"),
-    Query("ct02_outcome_counts", ct02_counts, f"{SELECTION} SELECT pid, outcome, count(*) AS rules FROM o GROUP BY ALL"),
+    Query("ct02_selection_outcomes", ct02_outcomes, f"{SELECTION} SELECT pid, id, outcome, score FROM o"),
+    Query("ct02_outcome_counts", ct02_counts, f"{COUNTED} SELECT pid, outcome, count(*) AS rules FROM o GROUP BY ALL"),
     Query("so08_prompt_selection", so08_selected, f"{SELECTION} SELECT pid, id, score FROM o WHERE outcome = 'injected'"),
     Query("ct04_explain", ct04_explained, CT04),
 ]

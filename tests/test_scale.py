@@ -224,3 +224,12 @@ def test_shared_tokens_of_little_weight(spark):
     assert {(r["query"], r["doc"]) for r in overlap.covering(docs, asked, 0.0, None).collect()} == {(7, 0), (7, 1)}
     query = next(q for q in joins.QUERIES if q.name == "jn17_token_overlap")
     assert "0.25" not in query.oracle
+
+
+def test_selection_has_every_rule_and_prompt(spark):
+    """Each rule has an outcome for each prompt, and of the scores below the threshold none is lost."""
+    told = {(r["pid"], r["id"]): r for r in rulebook.ct02_outcomes(spark, "/root/testdata/sf0.001").collect()}
+    assert len(told) == 200 * 40 and len({r["outcome"] for r in told.values()}) >= 5
+    assert any(0 < r["score"] < 0.12 and r["outcome"] == "below threshold" for r in told.values())
+    sql = {q.name: q.oracle for q in rulebook.QUERIES}
+    assert "WHERE outcome IN" not in sql["ct02_selection_outcomes"] and "% 13" in sql["so08_prompt_selection"] and "score > 0" in sql["ct04_explain"] and "% 97" in sql["ct02_outcome_counts"]
