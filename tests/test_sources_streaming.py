@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarrylake.functions import signals
 from quarrylake.operators import codegraph
 from quarrylake.sources import code, rules, transcripts
+from quarrylake.streaming import queries as streams
 from quarrylake.streaming import sessions, stateful
 
 RULE = """---
@@ -226,3 +227,12 @@ def test_session_windows_and_idempotent_sink(spark, tmp_path):
     for _ in range(2):
         sessions.write_once(str(tmp_path / "again"), lambda b: b)(first, 7)
     assert spark.read.parquet(str(tmp_path / "again")).count() == 1
+
+
+def test_stretches_are_of_whole_seconds(spark, tmp_path):
+    """An event less than half a second before a stretch ends is of the next one."""
+    rows = [(1, "2024-01-01 00:00:00.2", 9.0), (2, "2024-01-02 23:59:59.6", 9.0), (3, "2024-01-02 23:59:59.8", 1.0)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["event_id"], r["state"], r["round"], r["run"]) for r in streams.sm02_micro_batches(spark, str(tmp_path)).collect()}
+    assert got == {(1, "done", 0, 1), (2, "done", 0, 1), (3, "dead", 1, 1)}
