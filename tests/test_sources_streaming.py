@@ -229,6 +229,11 @@ def test_session_windows_and_idempotent_sink(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "again")).count() == 1
 
 
+def test_retained_to_a_part_of_a_second(spark):
+    rows = spark.createDataFrame([(1, "2024-01-21 00:00:00"), (2, "2024-01-20 23:59:59.5"), (3, "2024-01-21 00:00:00.5")], "id long, at string").withColumn("at", F.col("at").cast("timestamp_ntz")).withColumn("kind", F.lit("x"))
+    assert {r["id"] for r in streams.retained(rows, "at", "kind", {"x": 10}, "2024-01-31 00:00:00").collect()} == {1, 3}
+
+
 def test_stretches_are_of_whole_seconds(spark, tmp_path):
     """An event less than half a second before a stretch ends is of the next one."""
     rows = [(1, "2024-01-01 00:00:00.2", 9.0), (2, "2024-01-02 23:59:59.6", 9.0), (3, "2024-01-02 23:59:59.8", 1.0)]
