@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..plans.query import Query, table
-from .codegraph import closest, first_rule, folder, nearest_member, normal, normal_module, path_candidates, prefixes, suffixes, union
+from .codegraph import closest_folders, first_rule, folder, nearest_member, normal, normal_module, path_candidates, prefixes, suffixes, union
 from .graph import checkpointed
 
 # ---- JavaScript and TypeScript -------------------------------------------------------------------
@@ -172,18 +172,24 @@ def generic_names(asked: DataFrame, files: DataFrame, tops: DataFrame, imports:
     exact = by_path.join(stored, ["tried", "family"]).groupBy("spec").agg(F.min_by("tried", "nth").alias("file"))
     tails = known.select(F.col("path").alias("target"), "path", "family", F.explode(suffixes(F.col("path"), "/")).alias("tried"))
     missing = by_path.join(exact, "spec", "left_anti").select(F.col("spec").alias("ref"), "path", F.concat_ws("|", "family", "tried").alias("key"))
-    near = closest(missing, tails.select("target", "path", F.concat_ws("|", "family", "tried").alias("key")), "key")
+    near, ended = closest_folders(missing, tails.select("target", "path", F.concat_ws("|", "family", "tried").alias("key")), "key")
     by_module = specs.filter(~has("paths") & (F.col("imp") != "file")).select(F.col("spec").alias("ref"), "path", F.concat_ws("|", "family", normal_module(F.col("module"))).alias("key")).distinct()
     answering = known.select(F.col("path").alias("target"), "path", F.explode(F.array_distinct(F.concat("keys", F.filter(F.array("pkg"), lambda p: p != "")))).alias("k"), "family").select("target", "path", F.concat_ws("|", "family", "k").alias("key"))
+    by_key, keyed = closest_folders(by_module, answering, "key")
     folders = specs.filter(has("dirmodules") & (F.col("imp") != "file")).select("spec", "path", "module", F.array().cast("array<string>").alias("endings"), "family").distinct()
-    in_folder = path_candidates(folders, F.col("module"), F.col("endings")).join(known.select(F.col("dir").alias("tried"), "family", F.col("path").alias("file")), ["tried", "family"])
-    in_folder = in_folder.select(F.col("spec").alias("ref"), F.col("file").alias("target")).distinct()
-    behind = checkpointed(union(exact.select(F.col("spec").alias("ref"), F.col("file").alias("target")), near, closest(by_module, answering, "key"), in_folder).select(F.col("ref").alias("spec"), F.col("target").alias("file")).distinct())
+    in_folder = path_candidates(folders, F.col("module"), F.col("endings"))
+    # a specification means a group of files, a file is in a few groups: they meet by the names that are asked for, never all of them
+    group = lambda kind, *by: F.concat_ws("\0", F.lit(kind), *by).alias("group")
+    behind = union(exact.select("spec", group("file", "file")), in_folder.select("spec", group("folder", "family", "tried")), *[best.select(F.col("ref").alias("spec"), group(kind, "key", "at")) for kind, best in (("end", near), ("key", by_key))])
+    behind = checkpointed(behind.distinct())
+    offers = union(known.select(group("file", "path"), F.col("path").alias("file")), known.select(group("folder", "family", "dir"), F.col("path").alias("file")), *[held.select(group(kind, "key", "at"), F.col("target").alias("file")) for kind, held in (("end", ended), ("key", keyed))])
+    offers = checkpointed(offers.join(behind.select("group"), "group", "left_semi").distinct())
+    offered = checkpointed(offers.join(top, "file").select("group", "name", "target"))
 
     named = asked.join(specs.filter("imp = 'named'").select("path", "spec", "module", "family", "flags", F.col("name").alias("imported"), F.col("alias").alias("name")), ["path", "name"])
     everywhere = ~has("paths") | has("global")
     by_name = named.filter(everywhere).select("ref", "family", F.concat_ws(".", F.nullif(normal_module(F.col("module")), F.lit("")), "imported").alias("full")).join(full, ["family", "full"]).select("ref", F.lit(1).alias("rule"), "target")
-    from_files = named.join(behind, "spec").select("ref", "file", F.col("imported").alias("name")).join(top, ["file", "name"]).select("ref", F.lit(1).alias("rule"), "target")
+    from_files = named.join(behind, "spec").select("ref", "group", F.col("imported").alias("name")).join(offered, ["group", "name"]).select("ref", F.lit(1).alias("rule"), "target")
     around = F.when(has("parents"), F.filter(prefixes(F.col("space"), "\\."), lambda p: p != "")).otherwise(F.filter(F.array("space"), lambda p: p != ""))
     scoped = here.filter(everywhere).select("ref", "family", "name", F.explode(F.transform(around, lambda p: F.replace(p, F.lit("\\."), F.lit(".")))).alias("at")).select("ref", "family", F.concat_ws(".", "at", "name").alias("full"), F.length("at").alias("size")).join(full, ["family", "full"])
     of_schema = here.filter(has("schemas") & F.col("user").contains(".")).select("ref", "family", F.concat_ws(".", F.regexp_replace("user", r"\.[^.]+$", ""), "name").alias("full")).join(full, ["family", "full"]).select("ref", F.lit(2).alias("rule"), "target")
@@ -191,8 +197,8 @@ def generic_names(asked: DataFrame, files: DataFrame, tops: DataFrame, imports:
     scoped = scoped.join(inner, ["ref", "size"]).select("ref", F.lit(2).alias("rule"), "target")
     wild = here.join(specs.filter("imp = 'wild'").select("path", "spec", "module"), "path")
     of_space = wild.filter(everywhere).select("ref", "family", F.concat_ws(".", F.nullif(normal_module(F.col("module")), F.lit("")), "name").alias("full")).join(full, ["family", "full"]).select("ref", F.lit(3).alias("rule"), "target")
-    of_files = wild.join(behind, "spec").select("ref", "file", "name").join(top, ["file", "name"]).select("ref", F.lit(3).alias("rule"), "target")
-    direct = checkpointed(specs.filter("imp = 'file'").join(behind, "spec").select("path", "file", has("transitive").alias("goes_on")).distinct())
+    of_files = wild.join(behind, "spec").select("ref", "group", "name").join(offered, ["group", "name"]).select("ref", F.lit(3).alias("rule"), "target")
+    direct = checkpointed(specs.filter("imp = 'file'").join(behind, "spec").join(offers, "group").select("path", "file", has("transitive").alias("goes_on")).distinct())
     reached = seen = direct.select("path", "file", "goes_on")
     for _ in range(7):  # eight steps with the first one
         onward = direct.select(F.col("path").alias("at"), F.col("file").alias("next"))

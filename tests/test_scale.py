@@ -233,3 +233,25 @@ def test_selection_has_every_rule_and_prompt(spark):
     assert any(0 < r["score"] < 0.12 and r["outcome"] == "below threshold" for r in told.values())
     sql = {q.name: q.oracle for q in rulebook.QUERIES}
     assert "WHERE outcome IN" not in sql["ct02_selection_outcomes"] and "% 13" in sql["so08_prompt_selection"] and "score > 0" in sql["ct04_explain"] and "% 97" in sql["ct02_outcome_counts"]
+
+
+def test_wild_imports_of_a_large_namespace(spark, monkeypatch):
+    """Of 60 files that import a namespace of 60 files, no step has a row for each two of them."""
+    sizes, cut = [], imports.checkpointed
+
+    def counted(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(imports, "checkpointed", counted)
+    n = spark.range(60).select(F.col("id").alias("n"))
+    path = F.concat(F.lit("gen/f"), "n", F.lit(".cs"))
+    files = n.select(path.alias("path"), F.lit("csharp").alias("lang"), F.lit("Ns").alias("pkg"))
+    tops = n.select(path.alias("path"), F.concat(F.lit("N"), "n").alias("name"), F.col("n").alias("target"), F.lit("class").alias("kind"))
+    users = n.select((F.col("n") + 100).alias("n"))
+    files = files.unionByName(users.select(path.alias("path"), F.lit("csharp").alias("lang"), F.lit("App").alias("pkg")))
+    asked = users.select("n", path.alias("path"), F.concat(F.lit("N"), F.col("n") - 100).alias("name")).withColumnRenamed("n", "ref")
+    specs = users.select(path.alias("path"), F.lit("wild").alias("imp"), F.lit("Ns").alias("module"), F.lit("").alias("name"), F.lit("").alias("alias"))
+    got = {(r["ref"], r["rule"], r["target"]) for r in imports.generic_names(asked, files, tops, specs).collect()}
+    assert got == {(k + 100, 3, k) for k in range(60)} and max(sizes) < 60 * 20
