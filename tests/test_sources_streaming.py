@@ -241,3 +241,30 @@ def test_stretches_are_of_whole_seconds(spark, tmp_path):
     events.write.parquet(f"{tmp_path}/events.parquet")
     got = {(r["event_id"], r["state"], r["round"], r["run"]) for r in streams.sm02_micro_batches(spark, str(tmp_path)).collect()}
     assert got == {(1, "done", 0, 1), (2, "done", 0, 1), (3, "dead", 1, 1)}
+
+
+def test_one_call_folds_all_keys_of_a_bucket():
+    """Keys of a bucket share a call and a stored value; a key without rows lapses with the others, and late rows wait."""
+    import json
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from quarrylake.streaming import stateful
+
+    stored, timers = [], []
+    turns = stateful.Turns(10)
+    kept = SimpleNamespace(get=lambda: stored[-1], exists=lambda: bool(stored), update=stored.append, clear=stored.clear)
+    turns.init(SimpleNamespace(getValueState=lambda *a: kept, registerTimer=timers.append))
+    at = lambda s: s * stateful.SECOND
+
+    def call(rows, seconds):
+        frame = pd.DataFrame(rows, columns=["key", "at", "id", "kind", "item"])
+        clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: seconds * 1000)
+        return [r for f in turns.handleInputRows((5,), [frame], clock) for r in f.itertuples(index=False, name=None)]
+
+    rows = [(1, at(3), 11, "reply", None), (None, at(2), 12, "prompt", None), (1, at(1), 10, "prompt", None), (2, at(30), 13, "prompt", None)]
+    assert call(rows, 5) == [(1, at(1), at(3), "ready")]
+    assert len(stored) == 1 and [r[1] for r in json.loads(stored[0][0])["waiting"]] == [13] and timers == [12_000]
+    assert call([(1, at(21), 14, "other", None)], 20) == [(None, at(2), None, "expired")]
+    assert call([(1, at(41), 15, "other", None)], 45) == [(2, at(30), None, "expired")] and not stored
