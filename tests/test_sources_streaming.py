@@ -268,3 +268,14 @@ def test_one_call_folds_all_keys_of_a_bucket():
     assert len(stored) == 1 and [r[1] for r in json.loads(stored[0][0])["waiting"]] == [13] and timers == [12_000]
     assert call([(1, at(21), 14, "other", None)], 20) == [(None, at(2), None, "expired")]
     assert call([(1, at(41), 15, "other", None)], 45) == [(2, at(30), None, "expired")] and not stored
+
+
+def test_rules_are_made_in_pieces():
+    import pandas as pd
+
+    from quarrylake.sources import rules
+
+    batch = pd.DataFrame({"text": ["", "a" * rules.PIECE, None, "b" * 10, "c" * (rules.PIECE - 5), ""]})
+    found = [list(p["text"]) for p in rules.pieces(batch, batch["text"].map(lambda t: len(t or "")))]
+    assert sum(found, []) == list(batch["text"]) and all(len(f) == 1 or sum(len(t or "") for t in f) <= rules.PIECE for f in found) and len(found) == 4
+    assert list(rules.pieces(batch[:0], batch[:0]["text"])) == []
