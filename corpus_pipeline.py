@@ -35,7 +35,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group of near-duplicates.
 
-    Near-duplicates have a Jaccard similarity of 0.8 or more over five-word shingles.  A row without an id
+    Near-duplicates have a Jaccard similarity of 0.8 or more over five-word shingles; SimHash links them
+    first, then bands.  A row without an id
     stays only where no row of its group has one.  Rows that share an id are told apart by their texts,
     and of rows that are equal in both one stays.
     """
@@ -61,8 +62,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack_documents(docs)
 
 
-#: The near-duplicate stage finds what SimHash is for, but not by SimHash: texts with a similarity of 0.8 lie up to 11
-#: and more of 64 bits apart, beyond any radius that blocks of bits can index.  See the README; ``op4_simhash`` is SimHash.
+#: The near-duplicate stage links by SimHash first and checks its links exactly.  Texts with a similarity of 0.8 lie up to 11
+#: and more of 64 bits apart, beyond any radius that blocks of bits can index, so MinHash bands link what is left.  See the README.
 STAGES = [
     ("language_id", language_stage),
     ("exact_dedup", exact_stage),

@@ -1,7 +1,10 @@
 """Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-A 64-bit SimHash puts such pairs 3 to 11 bits apart and no radius holds them all, so candidates come
-from MinHash bands: a pair at exactly 0.8 is missed with a chance of 3e-6, a closer one with less.
+SimHash comes first: texts whose fingerprints differ in two bits at most (bit-sliced comparison, as in
+``simhash``) are candidates, an exact check decides them, and the components of those that hold are the
+first groups.  A 64-bit SimHash puts the other pairs 3 to 11 bits apart and no radius holds them all, so
+candidates between different groups come from MinHash bands: a pair at exactly 0.8 is missed with a
+chance of 3e-6, a closer one with less.
 Inside a bucket pairs are filtered by the parity bitmaps of their sets, whose distance is never more
 than the size of the symmetric difference, so that filter loses nothing.  What passes is joined with
 the shingle sets and decided by the exact similarity.  A bucket emits a spanning forest; only where an
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, forget, id_in, id_out, thrifty
 from .components import connected_components
-from .simhash import BLOCK, SEED, _whole_groups, dealt
+from .simhash import BLOCK, RADIUS, SEED, _whole_groups, dealt, link_edges, majority
 
 WIDTH = 5
 #: Chance of missing a pair of similarity s: (1 - s ** ROWS) ** BANDS.
@@ -127,11 +130,21 @@ def _sketches(docs: DataFrame) -> DataFrame:
             rows = []
             for text in batch["text"]:
                 found = shingles(text)
-                rows.append((node_of(found), len(found), parity_bitmap(found), band_keys(found)))
-            node, n, bits, keys = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "node": np.array(node, np.int64), "n": np.array(n, np.int64), "bits": list(bits), "keys": list(keys)})
+                rows.append((node_of(found), np.array(majority(found), np.uint64).astype(np.int64), len(found), parity_bitmap(found), band_keys(found)))
+            node, fp, n, bits, keys = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_key": batch["text_key"], "node": np.array(node, np.int64), "fp": np.array(fp, np.int64), "n": np.array(n, np.int64), "bits": list(bits), "keys": list(keys)})
 
-    return docs.mapInPandas(thrifty(run), "doc_id long, text_key long, node long, n long, bits binary, keys array<long>")
+    return docs.mapInPandas(thrifty(run), "doc_id long, text_key long, node long, fp long, n long, bits binary, keys array<long>")
+
+
+def _simhash_pairs(nodes: DataFrame, block: int) -> DataFrame:
+    """(src, dst) of nodes whose fingerprints differ in ``RADIUS`` bits at most: a forest, in which the least node stands for a fingerprint."""
+    prints = nodes.select("node", "sketch.fp")
+    stands = checkpointed(prints.groupBy("fp").agg(F.min("node").alias("of")))
+    equal = prints.join(stands, "fp").filter("node <> of").select(F.col("of").alias("src"), F.col("node").alias("dst"))
+    edges = link_edges(stands.select("fp"), RADIUS, block).distinct()
+    ends = edges.join(stands.select(F.col("fp").alias("src"), F.col("of").alias("a")), "src").join(stands.select(F.col("fp").alias("dst"), F.col("of").alias("b")), "dst")
+    return checkpointed(equal.unionByName(ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))))
 
 
 def _shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -210,20 +223,22 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     docs = df.select(id_in(id_col), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"))
     rows = checkpointed(id_out(_sketches(docs.select("doc_id", "text", "text_key"))))
     total = rows.count()
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(rank()).alias("first"), F.count("*").alias("copies"), F.first(F.struct("text_key", "n", "bits", "keys")).alias("sketch")))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min(rank()).alias("first"), F.count("*").alias("copies"), F.first(F.struct("text_key", "fp", "n", "bits", "keys")).alias("sketch")))
     buckets = dealt(checkpointed(_shared_buckets(nodes)), "node", block)
     buckets = checkpointed(buckets.join(nodes.select("node", "sketch.n", "sketch.bits"), "node"))
-    decided, sets = _decided(_candidates(buckets.withColumn("label", F.col("node")), 0), None, nodes, docs)
-    roots = connected_components(decided.filter("near"))
+    by_simhash, sets = _decided(_simhash_pairs(nodes, block), None, nodes, docs)
+    links = checkpointed(by_simhash.filter("near"))
+    told = lambda roots: buckets.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    decided, sets = _decided(_candidates(told(connected_components(links)), 0), sets, nodes, docs)
+    roots = connected_components(links.unionByName(decided.filter("near")))
     most = FIRST_PAIRS
     while not decided.filter("NOT near").isEmpty():  # a failed edge may have stood for pairs that hold
-        told = buckets.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        asked = _candidates(told, most)
+        asked = _candidates(told(roots), most)
         pairs = checkpointed(asked.filter("src <> dst").join(decided, ["src", "dst"], "left_anti"))
         if not pairs.isEmpty():
             more, sets = _decided(pairs, sets, nodes, docs)
             decided = checkpointed(decided.unionByName(more))
-        roots = connected_components(decided.filter("near"))
+        roots = connected_components(links.unionByName(decided.filter("near")))
         if asked.filter("src = dst").isEmpty():
             break
         most *= FIRST_PAIRS

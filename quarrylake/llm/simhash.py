@@ -30,6 +30,15 @@ BLOCK = 16_384
 LOOK = 8
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned SimHash of hashes: a bit is set where it is in over half of them; zero where there is none."""
+    votes = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 16_384):
+        part = np.ascontiguousarray(hashes[k : k + 16_384].astype("<u8")).view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return sum(1 << b for b in np.flatnonzero(2 * votes > len(hashes)).tolist())
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
     """Unsigned SimHash of one text; zero where there is no word."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
@@ -43,11 +52,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = [0, *(ends[: len(words) - width] + 1).tolist()]
         hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
-    votes = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 16_384):
-        part = np.ascontiguousarray(hashes[k : k + 16_384].astype("<u8")).view(np.uint8).reshape(-1, 8)
-        votes += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << b for b in np.flatnonzero(2 * votes > len(hashes)).tolist())
+    return majority(hashes)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

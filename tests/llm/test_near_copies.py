@@ -114,3 +114,12 @@ def test_band_key_of_very_many_nodes(spark):
     assert shared.count() == 100_000 and shared.select("key").distinct().count() == 1  # keys 7 and 9 have the same members
     parts = dealt(shared, "node", 16_384).groupBy("key", "part").count()
     assert parts.agg(F.max("count")).first()[0] <= 2 * 16_384
+
+
+def test_simhash_links_come_first(spark, make, monkeypatch):
+    """Copies within two bits of SimHash are grouped by its links alone; what those bits cannot tell is left to the bands, and an exact check decides."""
+    words = [f"word{k}" for k in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words) + " end"), (3, "all other words stand here"), (4, " ".join(words[:200]))]
+    monkeypatch.setattr(near_copies, "_shared_buckets", lambda nodes: nodes.limit(0).select(nodes["node"].alias("key"), "node"))
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(make(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
