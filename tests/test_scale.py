@@ -266,3 +266,31 @@ def test_pairs_of_one_long_front(spark, monkeypatch):
     rows += [(100 + i, rows[i][1] + " further") for i in range(5)]
     pairs, _ = overlap.similar_pairs(spark.createDataFrame(rows, "id long, text string"), 0.6)
     assert {(r["a"], r["b"]) for r in pairs.collect()} == {(i, 100 + i) for i in range(5)}
+
+
+@pytest.mark.parametrize("name", ["pf23_injection_guard", "tx02_tokens", "tx13_error_excerpt"])
+def test_one_row_group_is_worked_on_by_many_tasks(spark, name):
+    """A table of one file with one row group is one task if its rows are not dealt out first."""
+    from quarrylake.plans import registry
+
+    made = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() > 1
+
+
+def test_texts_are_worked_out_once_for_both_neighbours(spark, monkeypatch):
+    """What two neighbours are compared by is made once for each text, not once for each side of a pair."""
+    from quarrylake.functions import text as T
+    from quarrylake.operators import wording
+
+    made, real = [], T.canonical
+    monkeypatch.setattr(T, "canonical", lambda c: made.append(c) or real(c))
+    got = wording.tx10_same_rule(spark, "/root/testdata/sf0.001")
+    assert len(made) == 2 and got.count() == got.select("doc_id").distinct().count()
+
+
+def test_guard_looks_at_the_first_sign_of_a_match_before_what_stands_behind_it():
+    from quarrylake.functions import screening
+
+    for g in screening.GUARDS:
+        pattern = screening._guard_pattern(g)
+        assert "(?<!" not in pattern.replace(screening.EDGE, "") or pattern.startswith(f"(?i)(?=[{g.first}])")
