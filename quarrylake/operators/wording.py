@@ -11,7 +11,8 @@ from ..functions import fixed as X
 from ..functions import models
 from ..functions import text as T
 from ..functions.screening import redact_secrets
-from ..plans.query import Query, table
+from ..lineage import checkpointed
+from ..plans.query import Query, spread, table
 from . import overlap
 
 D = T.DUCK_TOKENS.format(c="text")
@@ -23,16 +24,37 @@ def per_row(name: str, source: str, key: str, columns: dict[str, Callable[[Colum
     """A projection of one text column."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return table(spark, sf, source).select(key, *[make(F.col(text)).alias(c) for c, make in columns.items()])
+        rows = spread(table(spark, sf, source).select(key, text), key, text)
+        return rows.select(key, *[make(F.col(text)).alias(c) for c, make in columns.items()])
 
     return Query(name, run, oracle)
 
 
 def tx10_same_rule(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that say the same as the document before them."""
+    """Documents that say the same as the document before them.
+
+    Each text is worked out once and neighbours meet by digests.  Only those that these cannot tell apart
+    (equal key terms and negation, different wording) have their tokens compared, one set for each wording.
+    """
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    after = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before"))
-    return docs.join(after, "doc_id").select("doc_id", T.same_rule(F.col("text"), F.col("before")).alias("same"))
+    marks = checkpointed(spread(docs, "doc_id", "text").select("doc_id", T.rule_marks(F.col("text")).alias("own")).select("doc_id", "own.*"))
+    before = marks.select((F.col("doc_id") + 1).alias("doc_id"), *[F.col(c).alias(f"{c}_before") for c in marks.columns[1:]])
+    alike = lambda c: F.col(c) == F.col(f"{c}_before")
+    both, equal = F.col("said") & F.col("said_before"), alike("wording")
+    pairs = checkpointed(marks.join(before, "doc_id").select("doc_id", (both & equal).alias("same"), F.coalesce(both & ~equal & alike("negated") & alike("terms"), F.lit(False)).alias("open"), "wording", "wording_before"))
+    left = pairs.filter("open")
+    near = left.select(F.explode(F.array("doc_id", F.col("doc_id") - 1)).alias("doc_id")).distinct()
+    wordings = spread(docs.join(near, "doc_id", "left_semi"), "doc_id", "text").select(T.canonical(F.col("text")).alias("text"))
+    toks = checkpointed(wordings.distinct().select(F.sha2("text", 256).alias("wording"), T.tokens(F.col("text")).alias("toks")))
+    told = left.join(toks, "wording").join(toks.select(F.col("wording").alias("wording_before"), F.col("toks").alias("toks_before")), "wording_before")
+    return pairs.filter("NOT open").select("doc_id", "same").unionByName(told.select("doc_id", T.close_wording(F.col("toks"), F.col("toks_before")).alias("same")))
+
+
+def tx02_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The number of tokens of each document and a digest of them in order; the tokens are worked out once."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    told = T.bound(T.tokens(F.col("text")), lambda t: F.struct(F.size(t).alias("n"), F.sha2(F.concat_ws(" ", F.sort_array(t)), 256).alias("digest")))
+    return docs.select("doc_id", told.alias("told")).select("doc_id", "told.*")
 
 
 TX10 = f"""
@@ -123,7 +145,7 @@ PF26 = r"""
 
 QUERIES = [
     per_row("tx01_normalise", "documents", "doc_id", {"digest": lambda t: F.sha2(T.collapse(t), 256)}, r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents"),
-    per_row("tx02_tokens", "documents", "doc_id", {"n": lambda t: F.size(T.tokens(t)), "digest": lambda t: F.sha2(F.concat_ws(" ", F.array_sort(T.tokens(t))), 256)}, f"SELECT doc_id, len({D}) AS n, sha256(array_to_string(list_sort({D}), ' ')) AS digest FROM documents"),
+    Query("tx02_tokens", tx02_tokens, f"SELECT doc_id, len({D}) AS n, sha256(array_to_string(list_sort({D}), ' ')) AS digest FROM documents"),
     per_row("tx04_token_estimate", "documents", "doc_id", {"n": T.approx_tokens}, r"SELECT doc_id, ceil((length(text) - length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))) / 4 + length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) / 1.3)::BIGINT AS n FROM documents"),
     per_row("tx05_truncate_slug", "documents", "doc_id", {"short": lambda t: T.truncate(F.regexp_replace(t, r"\s+", " "), 30), "slug": T.slug}, r"SELECT doc_id, CASE WHEN length(regexp_replace(text, '\s+', ' ', 'g')) > 30 THEN substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 29) || '…' ELSE regexp_replace(text, '\s+', ' ', 'g') END AS short, coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', ''), ''), 'item') AS slug FROM documents"),
     per_row("tx05_sentences", "documents", "doc_id", {"n": lambda t: F.size(T.sentences(t))}, r"SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?。])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: length(trim(s)) > 0)) AS n FROM documents"),
@@ -131,7 +153,7 @@ QUERIES = [
     per_row("tx09_canonical", "documents", "doc_id", {"digest": lambda t: F.sha2(T.canonical(t), 256), "negated": T.negated}, f"SELECT doc_id, sha256({CANON}) AS digest, regexp_matches(lower(text), '(^|[^a-z0-9_])(not|never|no|don''t|dont|without|avoid|stop)([^a-z0-9_]|$)') AS negated FROM documents"),
     per_row("tx09_key_terms", "documents", "doc_id", {"n": lambda t: F.size(T.key_terms(t))}, r"SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]*(?:[._+#-][A-Za-z0-9]+)*[+#]*|\d+(?:\.\d+)*'), lambda x: lower(x)))) AS n FROM documents"),
     Query("tx10_same_rule", tx10_same_rule, TX10),
-    per_row("tx13_error_excerpt", "documents", "doc_id", {"excerpt": lambda t: F.sha2(F.coalesce(redact_secrets(T.error_excerpt(t)), F.lit("")), 256)}, TX13),
+    per_row("tx13_error_excerpt", "documents", "doc_id", {"excerpt": lambda t: T.bound(T.error_excerpt(t), lambda x: F.sha2(F.coalesce(redact_secrets(x), F.lit("")), 256))}, TX13),
     per_row("pf18_path_hints", "pages", "page_id", {"hints": lambda t: F.array_join(T.path_hints(t), "|")}, r"SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(url, '[A-Za-z0-9_@.\-/]*/[A-Za-z0-9_@.\-/]+|[A-Za-z0-9_-]+\.[A-Za-z][A-Za-z0-9_]{0,7}\b'), lambda h: regexp_replace(h, '^[./]+', '')), lambda h: length(h) >= 3 AND NOT regexp_matches(h, '^\d+(\.\d+)*$')))), '|') AS hints FROM pages", "url"),
     Query("pf19_topic_named", pf19_topics, PF19),
     Query("pf26_model_exclusion", pf26_models, PF26),
