@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,14 +11,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import checkpointed
+from ..plans.query import spread
 
 #: Lines of a block, bits of its marks, most lines of an answer, and signs of a line that is shown.
 BLOCK, MARKS, LIMIT, MOST, SHOWN = 32, 4096, 50, 300, 240
+#: Blocks whose maps are made at once: MARKS bytes each.
+AT_ONCE = 2048
+
+
+def marks_of(low: str) -> np.ndarray:
+    """The mark of each run of three signs of a text in small letters: a mix of the three code points."""
+    signs = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(signs) < 3:
+        return np.zeros(0, np.int64)
+    mixed = (signs[:-2] * np.uint32(0x9E3779B1)) ^ (signs[1:-1] * np.uint32(0x85EBCA77)) ^ (signs[2:] * np.uint32(0xC2B2AE3D))
+    return ((mixed ^ (mixed >> np.uint32(15))) % np.uint32(MARKS)).astype(np.int64)
 
 
 def marks(runs: Iterable[str]) -> np.ndarray:
-    """Where the runs are marked: a hash of each."""
-    return np.fromiter((zlib.crc32(r.encode()) % MARKS for r in runs), np.int64)
+    """Where runs of three signs are marked."""
+    return np.fromiter((marks_of(r)[0] for r in runs), np.int64)
 
 
 def runs_of(text: str) -> set[str]:
@@ -27,6 +38,17 @@ def runs_of(text: str) -> set[str]:
     return {low[i : i + 3] for i in range(len(low) - 2)}
 
 
+def block_maps(blocks: Iterable[Iterable[str]]) -> list[bytes]:
+    """The map of each block of lines; runs do not go from one line to the next."""
+    texts = ["\n".join(lines).lower() for lines in blocks]
+    bits = np.zeros((len(texts), MARKS), np.uint8)
+    for own, low in zip(bits, texts, strict=True):
+        at = marks_of(low)
+        ends = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32) == 10
+        own[at[~(ends[:-2] | ends[1:-1] | ends[2:])] if len(at) else at] = 1
+    return [row.tobytes() for row in np.packbits(bits, axis=1)]
+
+
 def index_lines(files: DataFrame, block: int = BLOCK) -> DataFrame:
     """(path, first, lines, grams): blocks of lines, each with a map of the runs of three signs that its lines have.
 
@@ -34,17 +56,14 @@ def index_lines(files: DataFrame, block: int = BLOCK) -> DataFrame:
     count.  The maps take a fixed 512 bytes a block, about a quarter of its text.
     """
     text = F.regexp_replace("text", "\n$", "")
-    lines = files.filter("text <> ''").select("path", F.transform(F.split(text, "\n"), lambda s: F.regexp_replace(s, "\r$", "")).alias("lines"))
+    lines = spread(files.filter("text <> ''").select("path", "text"), "path", "text").select("path", F.transform(F.split(text, "\n"), lambda s: F.regexp_replace(s, "\r$", "")).alias("lines"))
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / block).cast("int")), lambda b: F.struct((b * block + 1).alias("first"), F.slice("lines", b * block + 1, block).alias("lines")))
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            maps = []
-            for own in batch["lines"]:
-                bits = np.zeros(MARKS, np.uint8)
-                bits[marks(set().union(*map(runs_of, own)))] = 1
-                maps.append(np.packbits(bits).tobytes())
-            yield batch.assign(grams=maps)
+            for at in range(0, len(batch), AT_ONCE):
+                part = batch.iloc[at : at + AT_ONCE]
+                yield part.assign(grams=block_maps(part["lines"]))
 
     blocks = lines.select("path", F.explode(cut).alias("b")).select("path", "b.*")
     return checkpointed(blocks.mapInPandas(marked, "path string, first int, lines array<string>, grams binary"))

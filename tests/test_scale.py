@@ -186,6 +186,16 @@ def test_search_by_lines(spark):
     assert text_search.needed("ab?cde", True) == [] and text_search.needed("abcd+", True) == ["abc", "bcd"] and text_search.needed("Abcd", False) == ["abc", "bcd"]
 
 
+def test_maps_of_blocks_hold_the_runs_of_each_line_alone():
+    import numpy as np
+
+    blocks = [["one Fish", "", "ab", "Ｒed"], [], ["x"], ["Σas", "\U0001f600ab"]]
+    for lines, made in zip(blocks, text_search.block_maps(blocks), strict=True):
+        want = np.zeros(text_search.MARKS, np.uint8)
+        want[text_search.marks(set().union(*map(text_search.runs_of, lines)))] = 1
+        assert made == np.packbits(want).tobytes()
+
+
 def test_refused_calls_do_not_count(spark):
     minute = 60_000_000
     rows = [("p/a", "a", t * minute, k) for k, t in enumerate((0, 1, 2, 3, 70))] + [("p/b", "b", 0, 9)]
