@@ -10,17 +10,24 @@ from ..lineage import checkpointed
 from ..plans.query import Query, table
 
 
+def known_ends(commands: DataFrame, items: DataFrame) -> DataFrame:
+    """(kind, affix, id): the beginnings and ends of items in small letters, of the lengths that commands have, which are few."""
+    sizes = commands.filter(F.length("affix") > 0).select("kind", F.length("affix").alias("size")).distinct()
+    sized = items.select("id", "kind", F.lower("id").alias("low")).join(sizes, "kind").filter(F.length("low") >= F.col("size"))
+    ends = F.array_distinct(F.array(F.left("low", F.col("size")), F.right("low", F.col("size"))))
+    return sized.select("kind", F.explode(ends).alias("affix"), "id")
+
+
 def by_affix(commands: DataFrame, items: DataFrame) -> DataFrame:
-    """(n, id) of the items of a command's kind whose id begins or ends with its affix, in any case.
+    """(n, hits, id): of the items of a command's kind whose id begins or ends with its affix, in any case, how many there are and the least.
 
-    Both sides meet by equal text: an item is known under its beginnings and ends of the lengths that
-    commands have, which are few.  ``commands`` has n, kind and affix, ``items`` id and kind.
+    Both sides meet by equal text.  Items are counted by their ends before commands are looked at, so a short
+    affix of many commands that names many items makes no pairs.  ``commands`` has n, kind and affix, ``items``
+    id and kind.
     """
     asked = commands.filter(F.length("affix") > 0).select("n", "kind", F.lower("affix").alias("affix"))
-    sizes = asked.select("kind", F.length("affix").alias("size")).distinct()
-    sized = items.select("id", "kind", F.lower("id").alias("low")).join(sizes, "kind").filter(F.length("low") >= F.col("size"))
-    ends = F.array_distinct(F.array(F.left("low", F.col("size")), F.right("low", F.col("size"))))
-    return asked.join(sized.select("id", "kind", F.explode(ends).alias("affix")), ["kind", "affix"]).select("n", "id")
+    counted = known_ends(commands, items).groupBy("kind", "affix").agg(F.count("*").alias("hits"), F.min("id").alias("id"))
+    return asked.join(counted, ["kind", "affix"]).groupBy("n").agg(F.sum("hits").alias("hits"), F.min("id").alias("id"))
 
 
 def decide(commands: DataFrame, items: DataFrame) -> DataFrame:
@@ -34,8 +41,7 @@ def decide(commands: DataFrame, items: DataFrame) -> DataFrame:
     items = checkpointed(items)
     kind = F.when(F.col("action") == "resolve", "conflict").otherwise("proposal")
     own = F.when(F.col("local"), "proposal").when(F.col("status") == "conflict", "conflict")
-    found = by_affix(commands.withColumn("kind", kind), items.withColumn("kind", own).filter("kind IS NOT NULL"))
-    one = found.groupBy("n").agg(F.count("*").alias("hits"), F.min("id").alias("id"))
+    one = by_affix(commands.withColumn("kind", kind), items.withColumn("kind", own).filter("kind IS NOT NULL"))
     told = commands.join(one, "n", "left").join(items.select("id", "held"), "id", "left")
     live = items.filter("NOT local AND status IN ('active', 'conflict')").select(F.col("id").alias("other"))
     links = items.filter("NOT local AND status = 'conflict'").select("id", F.explode("conflict_with").alias("other"))

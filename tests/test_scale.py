@@ -304,3 +304,35 @@ def test_guard_looks_at_the_first_sign_of_a_match_before_what_stands_behind_it()
     for g in screening.GUARDS:
         pattern = screening._guard_pattern(g)
         assert "(?<!" not in pattern.replace(screening.EDGE, "") or pattern.startswith(f"(?i)(?=[{g.first}])")
+
+
+def test_affix_of_many_commands_makes_no_pairs(spark):
+    """Items are counted by their ends first: what meets the commands has one row for each end, not one for each item."""
+    from quarrylake.operators import proposals
+
+    items = spark.range(2000).select(F.format_string("R%06d", "id").alias("id"), F.lit("k").alias("kind"))
+    commands = spark.range(300).select(F.col("id").alias("n"), F.lit("k").alias("kind"), F.when(F.col("id") == 0, "r000007").otherwise("07").alias("affix"))
+    got = {r["n"]: (r["hits"], r["id"]) for r in proposals.by_affix(commands, items).collect()}
+    assert got == {0: (1, "R000007")} | {n: (20, "R000007") for n in range(1, 300)}
+
+
+def test_levels_of_bases_are_not_broadcast(spark, monkeypatch):
+    plans, real = [], codegraph.checkpointed
+    monkeypatch.setattr(codegraph, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or real(df))
+    asked = spark.createDataFrame([(1, 9, "run")], "ref long, cls long, name string")
+    members = spark.createDataFrame([(0, "run", 5)], "cls long, name string, target long")
+    bases = spark.createDataFrame([(k, k // 3) for k in range(1, 10)], "src long, dst long")
+    assert [tuple(r) for r in codegraph.nearest_member(asked, members, bases).collect()] == [(1, 5, 3)]
+    assert not any("Broadcast" in p for p in plans)
+
+
+def test_tasks_name_their_files_themselves(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from quarrylake.operators import sinks
+
+    asked, real = {}, DataFrameWriter.option
+    monkeypatch.setattr(DataFrameWriter, "option", lambda self, k, v: asked.update({k: v}) or real(self, k, v))
+    sinks.write_each(spark.createDataFrame([("a", "x"), ("b", "y")], "name string, value string"), str(tmp_path / "out"), "name")
+    assert asked["mapreduce.fileoutputcommitter.algorithm.version"] == "2"
+    assert sorted(p.parent.name for p in (tmp_path / "out").rglob("*.txt")) == ["name=a", "name=b"]
