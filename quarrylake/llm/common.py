@@ -81,6 +81,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a few numbers that one task takes at least, where there are more tasks than cores.
+ROWS_A_TASK = 1 << 17
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for a narrow table: one for every core at least.  Each task of a shuffle leaves files, however few its rows."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """A narrow table, checkpointed, in as many partitions as its rows are worth."""
+    out = checkpointed(df)
+    return out.coalesce(tasks_for(df.sparkSession, out.count()))
+
+
 def forget(spark: SparkSession) -> None:
     """Lets Spark remove the files of earlier rounds: it does so once the driver has collected what stood for them."""
     gc.collect()

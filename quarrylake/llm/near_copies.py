@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, forget, id_in, id_out, thrifty
+from .common import checkpointed, forget, gathered, id_in, id_out, thrifty
 from .components import connected_components
 from .simhash import BLOCK, RADIUS, SEED, _whole_groups, dealt, link_edges, majority
 
@@ -144,7 +144,7 @@ def _simhash_pairs(nodes: DataFrame, block: int) -> DataFrame:
     equal = prints.join(stands, "fp").filter("node <> of").select(F.col("of").alias("src"), F.col("node").alias("dst"))
     edges = link_edges(stands.select("fp"), RADIUS, block).distinct()
     ends = edges.join(stands.select(F.col("fp").alias("src"), F.col("of").alias("a")), "src").join(stands.select(F.col("fp").alias("dst"), F.col("of").alias("b")), "dst")
-    return checkpointed(equal.unionByName(ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))))
+    return gathered(equal.unionByName(ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))))
 
 
 def _shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def _candidates(buckets: DataFrame, most: int) -> DataFrame:
                 yield pd.DataFrame({"src": np.minimum(node[i], node[j]), "dst": np.maximum(node[i], node[j])})
 
     found = buckets.repartition("key", "part").sortWithinPartitions("key", "part", "n", "node").mapInPandas(thrifty(run), "src long, dst long")
-    return checkpointed(found.distinct())
+    return gathered(found.distinct())
 
 
 def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -203,12 +203,12 @@ def _sets(asked: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def _decided(pairs: DataFrame, known: DataFrame | None, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(src, dst, near), where near tells whether the exact similarity of the shingle sets is 0.8 or more, and all sets that are known then."""
     asked = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    asked = checkpointed(asked if known is None else asked.join(known.select("node"), "node", "left_anti"))
+    asked = gathered(asked if known is None else asked.join(known.select("node"), "node", "left_anti"))
     if known is None or not asked.isEmpty():
         more = checkpointed(_sets(asked, nodes, docs))
         known = more if known is None else known.unionByName(more)
     both = pairs.join(known.select(F.col("node").alias("src"), F.col("grams").alias("a")), "src").join(known.select(F.col("node").alias("dst"), F.col("grams").alias("b")), "dst")
-    return checkpointed(both.select("src", "dst", (9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).alias("near"))), known
+    return gathered(both.select("src", "dst", (9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).alias("near"))), known
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: int = 64, block: int = BLOCK) -> DataFrame:
@@ -227,17 +227,21 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     buckets = dealt(checkpointed(_shared_buckets(nodes)), "node", block)
     buckets = checkpointed(buckets.join(nodes.select("node", "sketch.n", "sketch.bits"), "node"))
     by_simhash, sets = _decided(_simhash_pairs(nodes, block), None, nodes, docs)
-    links = checkpointed(by_simhash.filter("near"))
+    links = gathered(by_simhash.filter("near"))
+    forget(df.sparkSession)
     told = lambda roots: buckets.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     decided, sets = _decided(_candidates(told(connected_components(links)), 0), sets, nodes, docs)
+    forget(df.sparkSession)
     roots = connected_components(links.unionByName(decided.filter("near")))
     most = FIRST_PAIRS
+    forget(df.sparkSession)
     while not decided.filter("NOT near").isEmpty():  # a failed edge may have stood for pairs that hold
         asked = _candidates(told(roots), most)
-        pairs = checkpointed(asked.filter("src <> dst").join(decided, ["src", "dst"], "left_anti"))
+        pairs = gathered(asked.filter("src <> dst").join(decided, ["src", "dst"], "left_anti"))
         if not pairs.isEmpty():
             more, sets = _decided(pairs, sets, nodes, docs)
-            decided = checkpointed(decided.unionByName(more))
+            decided = gathered(decided.unionByName(more))
+            forget(df.sparkSession)
         roots = connected_components(links.unionByName(decided.filter("near")))
         if asked.filter("src = dst").isEmpty():
             break

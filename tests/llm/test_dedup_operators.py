@@ -124,6 +124,30 @@ def test_components_of_a_path(spark):
     assert got == {k: 0 for k in range(41)} | {200: 200, 201: 200}
 
 
+def test_rounds_of_components_have_as_many_tasks_as_their_edges_are_worth(spark, monkeypatch):
+    """A shuffle of 211 tasks leaves files for each of them; a few edges need no more tasks than there are cores."""
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    widths = []
+
+    def counted(df):
+        out = df.checkpoint()
+        widths.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(components, "checkpointed", counted)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(20, 21)], "src long, dst long")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = dict(components.connected_components(edges).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {**dict.fromkeys(range(10), 0), 20: 20, 21: 20}
+    assert len(widths) > 2 and max(widths[1:]) <= spark.sparkContext.defaultParallelism
+
+
 def plain_removal(rows, length=50):
     first = {}
     texts = [(low(i), (t or "").encode()) for i, t in rows]
