@@ -336,3 +336,12 @@ def test_tasks_name_their_files_themselves(spark, tmp_path, monkeypatch):
     sinks.write_each(spark.createDataFrame([("a", "x"), ("b", "y")], "name string, value string"), str(tmp_path / "out"), "name")
     assert asked["mapreduce.fileoutputcommitter.algorithm.version"] == "2"
     assert sorted(p.parent.name for p in (tmp_path / "out").rglob("*.txt")) == ["name=a", "name=b"]
+
+
+def test_modules_of_a_project_are_parsed_by_all_cores(spark):
+    """The suppliers are one file with one row group, which alone would be one task."""
+    from quarrylake.operators.code_queries import project_files
+
+    files = project_files(spark, "/root/testdata/sf0.001")
+    assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert files.select("path").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
