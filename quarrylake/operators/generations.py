@@ -64,9 +64,9 @@ def bring_up_to_date(found: DataFrame, folder: str, parse: Callable[[DataFrame],
     empty = found.select("path", "size", "mtime", F.sha1("text").alias("hash"), F.lit("").alias("bucket")).limit(0)
     index = (empty if known is None else known.select("path", "size", "mtime", "hash", "bucket")).select(*[F.col(c).alias(f"_{c}") for c in ("path", "size", "mtime", "hash", "bucket")])
     both = found.join(index, F.col("path") == F.col("_path"), "full")
-    same_stat = (F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime"))
-    hash_ = F.when(~F.coalesce(same_stat, F.lit(False)) & F.col("path").isNotNull(), F.sha1("text"))
-    action = F.when(F.col("path").isNull(), "removed").when(F.col("_path").isNull(), "new").when(same_stat, "same").when(F.col("hash") == F.col("_hash"), "touched").otherwise("parse")
+    same_stat = F.col("size").eqNullSafe(F.col("_size")) & F.col("mtime").eqNullSafe(F.col("_mtime"))  # a text may be null, and then its size and hash
+    hash_ = F.when(~same_stat & F.col("path").isNotNull(), F.sha1("text"))
+    action = F.when(F.col("path").isNull(), "removed").when(F.col("_path").isNull(), "new").when(same_stat, "same").when(F.col("hash").eqNullSafe(F.col("_hash")) & F.col("size").eqNullSafe(F.col("_size")), "touched").otherwise("parse")
     named = F.coalesce("path", "_path")
     told = both.withColumn("hash", hash_).select(named.alias("path"), action.alias("action"), F.coalesce("_bucket", bucket_of(named, folders, parts)).alias("bucket"), "size", "mtime", "hash")
     told = checkpointed(told)

@@ -57,7 +57,7 @@ def test_rules_round_trip(spark, tmp_path):
     assert rules.read_rules(spark, str(tmp_path / "in")).first()["summary"] == "Use zod for input"
 
 
-@pytest.mark.parametrize("name", ["sc05_parse_rules", "sc07_serialize_rules"])
+@pytest.mark.parametrize("name", ["sc05_parse_rules", "sc12_incremental_parse", "sc07_serialize_rules"])
 def test_documents_without_text_are_as_in_sql(spark, tmp_path, name):
     import duckdb
 
