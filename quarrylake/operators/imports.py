@@ -142,6 +142,8 @@ def generic_names(asked: DataFrame, files: DataFrame, tops: DataFrame, imports:
     kind; ``imports`` path, imp (named, wild, file), module, name, alias.  Members of type classes count as
     names of their file where the language says so, a module may be all files of a folder, and a name is
     looked up in the schema of the object that uses it (``user`` in ``asked``, by its qualified name) first.
+
+    Each rule's candidates are a job of their own, since the driver takes memory for a plan as a whole.
     """
     if "user" not in asked.columns:
         asked = asked.withColumn("user", F.lit(None).cast("string"))
@@ -166,10 +168,10 @@ def generic_names(asked: DataFrame, files: DataFrame, tops: DataFrame, imports:
     top = tops.select(F.col("path").alias("file"), "name", "target")
     own = asked.join(tops, ["path", "name"]).select("ref", F.lit(0).alias("rule"), "target")
 
-    specs = imports.join(known.select("path", "family", "flags", "endings", "dir"), "path").withColumn("spec", F.concat_ws("|", "path", "imp", "module"))
+    specs = checkpointed(imports.join(known.select("path", "family", "flags", "endings", "dir"), "path").withColumn("spec", F.concat_ws("|", "path", "imp", "module")))
     by_path = path_candidates(specs.filter(has("paths") | (F.col("imp") == "file")).select("spec", "path", "module", "endings", "family").distinct(), F.col("module"), F.col("endings"))
     stored = known.select(F.col("path").alias("tried"), "family")
-    exact = by_path.join(stored, ["tried", "family"]).groupBy("spec").agg(F.min_by("tried", "nth").alias("file"))
+    exact = checkpointed(by_path.join(stored, ["tried", "family"]).groupBy("spec").agg(F.min_by("tried", "nth").alias("file")))
     tails = known.select(F.col("path").alias("target"), "path", "family", F.explode(suffixes(F.col("path"), "/")).alias("tried"))
     missing = by_path.join(exact, "spec", "left_anti").select(F.col("spec").alias("ref"), "path", F.concat_ws("|", "family", "tried").alias("key"))
     near, ended = closest_folders(missing, tails.select("target", "path", F.concat_ws("|", "family", "tried").alias("key")), "key")
@@ -180,7 +182,7 @@ def generic_names(asked: DataFrame, files: DataFrame, tops: DataFrame, imports:
     in_folder = path_candidates(folders, F.col("module"), F.col("endings"))
     # a specification means a group of files, a file is in a few groups: they meet by the names that are asked for, never all of them
     group = lambda kind, *by: F.concat_ws("\0", F.lit(kind), *by).alias("group")
-    behind = union(exact.select("spec", group("file", "file")), in_folder.select("spec", group("folder", "family", "tried")), *[best.select(F.col("ref").alias("spec"), group(kind, "key", "at")) for kind, best in (("end", near), ("key", by_key))])
+    behind = union(exact.select("spec", group("file", "file")), in_folder.select("spec", group("folder", "family", "tried")), *[checkpointed(best.select(F.col("ref").alias("spec"), group(kind, "key", "at"))) for kind, best in (("end", near), ("key", by_key))])
     behind = checkpointed(behind.distinct())
     offers = union(known.select(group("file", "path"), F.col("path").alias("file")), known.select(group("folder", "family", "dir"), F.col("path").alias("file")), *[held.select(group(kind, "key", "at"), F.col("target").alias("file")) for kind, held in (("end", ended), ("key", keyed))])
     offers = checkpointed(offers.join(behind.select("group"), "group", "left_semi").distinct())
@@ -212,7 +214,7 @@ def generic_names(asked: DataFrame, files: DataFrame, tops: DataFrame, imports:
     spread = syms.filter(has("global") & (has("functions") | F.col("kind").isin(*X.CLASS_LIKE)) & (F.col("space") == "")).groupBy("family", "name").agg(F.count("*").alias("n"), F.min("target").alias("target")).filter("n = 1")
     alone = here.filter(has("global")).select("ref", "family", "name").join(spread, ["family", "name"]).select("ref", F.lit(7).alias("rule"), "target")
     inherited = own.limit(0) if inherited is None else inherited
-    return first_rule(union(inherited, own, by_name, from_files, scoped, of_schema, of_space, of_files, included, target, beside, alone), "ref")
+    return first_rule(union(*map(checkpointed, (inherited, own, by_name, from_files, scoped, of_schema, of_space, of_files, included, target, beside, alone))), "ref")
 
 
 # ---- queries -------------------------------------------------------------------------------------

@@ -345,3 +345,14 @@ def test_modules_of_a_project_are_parsed_by_all_cores(spark):
     files = project_files(spark, "/root/testdata/sf0.001")
     assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert files.select("path").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+
+
+def test_rules_of_the_generic_resolver_are_jobs_of_their_own(spark, monkeypatch):
+    """The driver takes memory for a plan as a whole, so no plan has the joins of all rules."""
+    from quarrylake.operators import imports
+
+    joins, real = [], imports.checkpointed
+    count = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("Join")
+    monkeypatch.setattr(imports, "checkpointed", lambda df: joins.append(count(df)) or real(df))
+    result = imports.gr09_generic(spark, "/root/testdata/sf0.001")
+    assert max([*joins, count(result)]) <= 8
