@@ -394,6 +394,15 @@ def first_fitting(rules: DataFrame, prompts: DataFrame, given: DataFrame, budget
     return found.unionByName(every).join(given.select("pid", "id"), ["pid", "id"], "left_anti")
 
 
+#: Rows of a few numbers that may be broadcast once they are counted.
+FEW = 100_000
+
+
+def if_few(rows: DataFrame) -> DataFrame:
+    """``rows``, a checkpointed table, broadcast if it is small: what they are joined with is not shuffled."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def select_context(rules: DataFrame, prompts: DataFrame, given: DataFrame, budget: int, fresh_header: int, related_header: int, least: float = X.PROMPT_MIN_SCORE) -> DataFrame:
     """(pid, id, outcome and the parts of the score) of every rule that is new or given to a prompt or scores ``least`` or more for it.
 
@@ -407,18 +416,22 @@ def select_context(rules: DataFrame, prompts: DataFrame, given: DataFrame, budge
     fresh = asof.pack_budget(first_fitting(rules, prompts, given, budget - fresh_header), "pid", ["captured", "id"], "cost", budget - fresh_header).filter("taken")
     fresh = checkpointed(fresh.select("pid", "id", "cost"))
     spent = fresh.groupBy("pid").agg((F.sum("cost") + fresh_header).alias("spent"))
-    pool = checkpointed(rules.filter("NOT loaded OR conflict"))
+    pool = rules.filter("NOT loaded OR conflict")
     normal = prompts.filter("kind = 'normal'")
-    parts = checkpointed(score_parts(pool, normal, least).join(fresh.select("pid", "id"), ["pid", "id"], "left_anti"))
-    had = given.join(normal.select("pid"), "pid").join(pool.select("id"), "id").join(fresh.select("pid", "id"), ["pid", "id"], "left_anti").withColumn("had", F.lit(True))
-    every = parts.join(had, ["pid", "id"], "full").withColumn("had", F.coalesce("had", F.lit(False))).join(pool.select("id", "cost"), "id")
+    new = if_few(fresh.select("pid", "id"))
+    parts = checkpointed(score_parts(pool, normal, least).join(new, ["pid", "id"], "left_anti"))
+    had = given.join(normal.select("pid"), "pid").join(pool.select("id"), "id").join(new, ["pid", "id"], "left_anti").withColumn("had", F.lit(True))
+    every = parts.join(had, ["pid", "id"], "full").withColumn("had", F.coalesce("had", F.lit(False)))
     place = F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("score"), "id"))
-    hits = checkpointed(every.filter(~F.col("had") & (F.col("score") >= X.PROMPT_MIN_SCORE)).withColumn("place", place).filter(F.col("place") <= X.PROMPT_LIMIT)).join(spent, "pid", "left")
+    able = parts.filter(F.col("score") >= X.PROMPT_MIN_SCORE).join(had.select("pid", "id"), ["pid", "id"], "left_anti")
+    best = able.select("pid", "id", "score").withColumn("place", place).filter(F.col("place") <= X.PROMPT_LIMIT)
+    hits = checkpointed(best.join(pool.select("id", "cost"), "id")).join(spent, "pid", "left")
     lists = hits.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("place", "cost", "id"))).alias("xs"), F.first(F.lit(budget) - F.coalesce("spent", F.lit(0)) - related_header).alias("left"))
     start = F.struct(F.col("left").cast("long").alias("left"), F.array().cast("array<long>").alias("ids"))
     packed = F.aggregate("xs", start, lambda a, x: F.when(x["cost"] <= a["left"], F.struct((a["left"] - x["cost"]).cast("long").alias("left"), F.concat(a["ids"], F.array(x["id"])).alias("ids"))).otherwise(a))
     chosen = lists.select("pid", F.explode(packed["ids"]).alias("id")).withColumn("chosen", F.lit(True))
-    told = every.join(hits.select("pid", "id", F.lit(True).alias("hit")), ["pid", "id"], "left").join(chosen, ["pid", "id"], "left")
+    taken = checkpointed(hits.select("pid", "id", F.lit(True).alias("hit")).join(chosen, ["pid", "id"], "left"))
+    told = every.join(if_few(taken), ["pid", "id"], "left")
     outcome = F.when(F.col("chosen"), "injected").when(F.col("had"), "already injected").when(F.col("score") < X.PROMPT_MIN_SCORE, "below threshold").when(F.col("hit"), "over budget").otherwise("over limit")
     told = told.select("pid", "id", outcome.alias("outcome"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lexical", "topics", "path", "code", "score")])
     return told.unionByName(fresh.select("pid", "id", F.lit("fresh").alias("outcome"), *[F.lit(0.0).alias(c) for c in ("lexical", "topics", "path", "code", "score")]))

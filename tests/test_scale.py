@@ -368,3 +368,13 @@ def test_pairs_that_do_not_stay_are_no_rows(spark, monkeypatch):
     pairs, _ = overlap.similar_pairs(spark.createDataFrame(rows, "id long, text string"), 0.6)
     assert len(made) > 1
     assert sum(m.count() for m in made) == sum(m.filter("inter >= 0.5999 * sqrt(lt * rt)").count() for m in made) == pairs.count() > 0
+
+
+def test_tokens_of_documents_are_checkpointed_by_document(spark, monkeypatch):
+    """A checkpoint has no row for each token of a document, which would be many times its text."""
+    kept, real = [], overlap.checkpointed
+    monkeypatch.setattr(overlap, "checkpointed", lambda df: kept.append(real(df)) or kept[-1])
+    docs = spark.createDataFrame([(i, " ".join(f"word{i}x{k}" for k in range(50))) for i in range(20)], "id long, text string")
+    a = overlap.asked_sets(docs, docs.filter("id < 2"))
+    assert a.n == 20 and a.held.count() == 2
+    assert not any({"id", "tok"} <= set(k.columns) and k.count() > 200 for k in kept)
