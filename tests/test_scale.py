@@ -378,3 +378,14 @@ def test_tokens_of_documents_are_checkpointed_by_document(spark, monkeypatch):
     a = overlap.asked_sets(docs, docs.filter("id < 2"))
     assert a.n == 20 and a.held.count() == 2
     assert not any({"id", "tok"} <= set(k.columns) and k.count() > 200 for k in kept)
+
+
+def test_facts_of_a_project_are_not_broadcast(spark, monkeypatch):
+    """What facts were made from says nothing of their size, so links are merged; and no plan has all ways of linking."""
+    from quarrylake.operators import code_queries
+
+    plans, real = [], codegraph.checkpointed
+    monkeypatch.setattr(codegraph, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or real(df))
+    row = code_queries.gr14_statistics(spark, "/root/testdata/sf0.001").first()
+    assert row["refs"] > row["resolved"] > 0
+    assert sum(p.count("BroadcastHashJoin") for p in plans) <= 5
